@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm import wordhash
 from tallyloom.llm.shared import own_names, written
 
 CAPACITY, SHARD, TIGHT = 2048, 8192, 0.985
 #: Emptier bins that a bin is compared with in one sweep, sweeps at most, and pieces of a bin from which pairs are made.
 PARTNERS, SWEEPS, PAIRED = 24, 3, 24
-#: Split words whose ids a worker keeps; beyond it begins anew.
-MEMO = 300_000
+#: Split words whose ids a worker keeps in each of two generations, and bytes of text encoded at once.
+MEMO, AT_ONCE = 350_000, 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # In texts of these characters alone, the vocabulary's splitting rule needs no Unicode tables.
@@ -52,7 +53,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         self.special = [t["content"] for t in described.get("added_tokens", [])]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[int, bytes] = {}  # by the word's hash; of two generations
+        self.older: dict[int, bytes] = {}
         self.word = self._ranked(described["model"]) or self._whole
 
     def _ranked(self, model: dict):
@@ -76,17 +78,85 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self._whole(text)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        words = _SPLIT.findall(text)
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = self.word(w)
-            return b"".join(map(memo.__getitem__, words))
+        return b"".join(map(self.word, _SPLIT.findall(text)))
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, and the n + 1 places where they begin. Rows that need Unicode tables go by :meth:`encode`."""
+        starts, odd = split_bytes(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        row = np.searchsorted(offsets, starts, "right") - 1
+        plain = ~odd[row]
+        starts, ends, row = starts[plain], ends[plain], row[plain]
+        code, found = pd.factorize(wordhash.span_hashes(data, starts, ends, wordhash.VALUE_EXACT))
+        first = np.zeros(len(found), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older, raw, held = self.memo, self.older, data.tobytes(), []
+        for h, i in zip(found.tolist(), first.tolist()):
+            ids = memo.get(h)
+            if ids is None:
+                ids = memo[h] = older.get(h) or self.word(raw[starts[i] : ends[i]].decode())
+            held.append(ids)
+        size = np.array([len(x) // 4 for x in held], np.int64)
+        at = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(held), "<u4")
+        n = size[code] if len(code) else np.zeros(0, np.int64)
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = pool[np.repeat(at[code] - (upto - n), n) + np.arange(total)] if total else np.zeros(0, "<u4")
+        per_row = np.zeros(len(offsets), np.int64)
+        np.add.at(per_row, row + 1, n)
+        if odd.any():
+            parts, place = [], np.cumsum(per_row)
+            for r in range(len(odd)):
+                if odd[r]:
+                    parts.append(np.frombuffer(self.encode(raw[offsets[r] : offsets[r + 1]].decode()), "<u4"))
+                    per_row[r + 1] = len(parts[-1])
+                else:
+                    parts.append(ids[place[r] : place[r + 1]])
+            ids = np.concatenate(parts)
+        return ids, np.cumsum(per_row)
+
+
+_SPACE, _ALPHA, _DIGIT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:192] = _CLASS[195] = _ALPHA
+#: Bytes that the rules of :func:`split_bytes` do not cover: other controls, and all characters from U+0100 or below U+00C0.
+_ODD = np.zeros(256, bool)
+_ODD[:32] = _ODD[127] = _ODD[192:] = True
+_ODD[[9, 10, 13, 195]] = False
+
+
+def split_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the vocabulary's split words begin, and which rows are beyond these rules (their words are not to be used).
+
+    Runs of letters, digits or other characters are words, with one space before them; white space before that is a
+    word, and so is a lone last white space that is no space. Contractions are left to the regular expression.
+    """
+    n, rows = len(data), len(offsets) - 1
+    kind = _CLASS[data]
+    head = np.zeros(n + 1, bool)
+    head[offsets[:-1]] = True
+    head = head[:n]
+    change = np.ones(n, bool)
+    change[1:] = kind[1:] != kind[:-1]
+    change |= head
+    word = np.flatnonzero(change & (kind != _SPACE) & ~head)
+    word = word[kind[word - 1] == _SPACE] if len(word) else word
+    start = change.copy()
+    start[word - 1] = True
+    start[word[data[word - 1] == 32]] = False
+    odd = _ODD[data]
+    if n > 1:
+        pair = data[:-1].astype(np.uint16) * 256 + data[1:]
+        odd[1:] |= (pair == 0xC397) | (pair == 0xC3B7) | (pair == 0x3C7C) | ((data[:-1] == 39) & (kind[1:] == _ALPHA))
+    where = np.flatnonzero(odd)
+    marked = np.zeros(rows, bool)
+    marked[np.searchsorted(offsets, where, "right") - 1] = True
+    return np.flatnonzero(start), marked
 
 
 @lru_cache(maxsize=2)
@@ -98,17 +168,19 @@ def cut(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: s
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        model = encoder(vocabulary)
         for part in parts:
-            rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                ids = encode(text.as_py() or "") + b"\0\0\0\0"
-                n = len(ids) // 4
-                start, end = 0, n % capacity or min(n, capacity)
-                k = 0
-                while start < n:
-                    rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
-                    start, end, k = end, end + capacity, k + 1
+            rows, doc_ids = [], part.column(0).to_pylist()
+            for top, _, data, offsets in wordhash.chunks(*wordhash.text_bytes(part.column(1)), AT_ONCE):
+                ids, at = model.encode_rows(data, offsets)
+                raw = memoryview(ids.tobytes())
+                for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    n = b - a + 1  # with the closing id 0
+                    start, end, k = 0, n % capacity or min(n, capacity), 0
+                    while start < n:
+                        crc = zlib.crc32(raw[4 * (a + start) : 4 * min(a + end, b)])
+                        rows.append((doc_ids[top + r], k, start, end - start, zlib.crc32(b"\0\0\0\0", crc) if end == n else crc))
+                        start, end, k = end, end + capacity, k + 1
             columns = list(zip(*rows)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat_format, exact_dedup, mixing, packing, pii, token_count
+from tallyloom.llm import chat_format, exact_dedup, lm_score, mixing, packing, pii, quality, token_count
 from tallyloom.llm.shared import table
 
 
@@ -34,13 +34,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six decimals: sums of logarithms differ in their last digits with the order of addition."""
+    from pyspark.sql import functions as F
+
+    found = lm_score.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tag")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_mixing, op4_packing, op6_exact_dedup, op9_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_mixing, op4_packing, op6_exact_dedup, op7_lm_score, op8_quality, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op9_chat_format": chat_format.ORACLE}
