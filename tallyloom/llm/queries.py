@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat_format, exact_dedup, jaccard_join, lm_score, mixing, packing, pii, quality, token_count
+from tallyloom.llm import ann, chat_format, exact_dedup, jaccard_join, lm_score, mixing, packing, pii, quality, token_count
 from tallyloom.llm.shared import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_mixing, op4_packing, op5_jaccard_join, op6_exact_dedup, op7_lm_score, op8_quality, op9_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_mixing, op4_packing, op5_jaccard_join, op6_exact_dedup, op7_lm_score, op8_quality, op9_chat_format, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op9_chat_format": chat_format.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op9_chat_format": chat_format.ORACLE, "op10_ann": ann.ORACLE}
