@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tallyloom.plans import matching
+
+_MODULES = (matching,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.O.items()}
