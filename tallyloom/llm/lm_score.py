@@ -54,14 +54,16 @@ def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 48-bit keys as steps: their low 32 bits, then their high bits."""
+    """Sorted 48-bit keys as steps: their low 32 bits, then the byte above, then the highest, which is nearly always 0."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return (steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (steps >> np.uint64(32)).astype("<u2").tobytes()
+    return b"".join((steps >> np.uint64(at)).astype(kind).tobytes() for at, kind in ((0, "<u4"), (32, "u1"), (40, "u1")))
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
     n = len(raw) // 6
-    steps = np.frombuffer(raw, "<u4", n).astype(np.uint64) | (np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
+    steps = np.frombuffer(raw, "<u4", n).astype(np.uint64)
+    for at, place in ((32, 4 * n), (40, 5 * n)):
+        steps |= np.frombuffer(raw, "u1", n, place).astype(np.uint64) << np.uint64(at)
     return np.cumsum(steps, dtype=np.uint64)
 
 
