@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import matching
+from tallyloom.plans import ledgers, matching, reports
 
-_MODULES = (matching,)
+_MODULES = (matching, ledgers, reports)
 
 
 def queries() -> dict:
