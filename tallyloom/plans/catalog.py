@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import ledgers, matching, reports
+from tallyloom.plans import ledgers, matching, reports, streams
 
-_MODULES = (matching, ledgers, reports)
+_MODULES = (matching, ledgers, reports, streams)
 
 
 def queries() -> dict:
