@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import free_name, own_names, written
+from tallyloom.llm.shared import free_name, own_names, small, written
 
 #: Entries of a bucket above which the directory splits it.
 CAPACITY = 1 << 18
@@ -87,8 +87,7 @@ def dedup(
     )
     repeated = written(owned.where("n > 1").select("key"), "dedup-keys")
 
-    few = repeated.count() <= broadcast_keys
-    members = rows.join(F.broadcast(repeated) if few else repeated, "key", "left_semi")
+    members = rows.join(small(repeated, broadcast_keys), "key", "left_semi")
     texts = members.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
     links = texts.select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id")
     chains = links.join(links.groupBy("key").agg(F.array_sort(F.collect_set("text_sha256")).alias("chain_of")), "key").select(
@@ -121,7 +120,9 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def same(right: DataFrame) -> Column:
         return (marked[digest] == right[digest]) & marked[id_col].eqNullSafe(right[twin])
 
-    rest = marked.join(dropped, same(dropped), "left_anti")
+    dropped = written(dropped, "dedup-dropped")
+    few = small(dropped)
+    rest = marked.join(few, same(few), "left_anti")
     if tied.isEmpty():
         return rest.drop(digest)
     marked = rest

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import wordhash
-from tallyloom.llm.shared import free_name, own_names, written
+from tallyloom.llm.shared import free_name, own_names, small, written
 
 N, THRESHOLD = 5, (4, 5)  # words of a shingle; similarity as a fraction
 COORDS, DEPTH, LIMIT, RECALL = 128, 3, 256, 0.9995
@@ -281,8 +281,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bro
     by_group = lambda df: df.repartition("g").sortWithinPartitions("g", "cls")
     likely = written(by_group(_members(reps)).mapInArrow(_likely, _MEMBER), "join-likely")
     needed = written(likely.select("cls").distinct().join(reps, "cls").select("cls", F.col("rep.doc_id").alias("r"), F.col("rep.tag").alias("t")), "join-needed")
-    few = needed.count() <= broadcast_rows
-    texts = rows.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("tag") == F.col("t")))
+    texts = rows.join(small(needed, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("tag") == F.col("t")))
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -308,7 +307,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The columns of ``docs``: of each class the document with the smallest id (all rows that repeat it)."""
     tag, twin = free_name(docs, "text_tag"), free_name(docs, "twin_id")
     found = join(docs, id_col=id_col, text_col=text_col, **options)
-    gone = written(found.where("not stays").select(F.col("tag").alias(tag), F.col("doc_id").alias(twin)).distinct(), "join-gone")
+    gone = small(written(found.where("not stays").select(F.col("tag").alias(tag), F.col("doc_id").alias(twin)).distinct(), "join-gone"))
     marked = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     return marked.join(gone, (marked[tag] == gone[tag]) & marked[id_col].eqNullSafe(gone[twin]), "left_anti").drop(tag)
 

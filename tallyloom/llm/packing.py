@@ -34,7 +34,7 @@ CAPACITY, SHARD, TIGHT = 2048, 8192, 0.985
 #: Emptier bins that a bin is compared with in one sweep, sweeps at most, and pieces of a bin from which pairs are made.
 PARTNERS, SWEEPS, PAIRED = 24, 3, 24
 #: Split words whose ids a worker keeps in each of two generations, and bytes of text encoded at once.
-MEMO, AT_ONCE = 350_000, 2 << 20
+MEMO, AT_ONCE = 150_000, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # In texts of these characters alone, the vocabulary's splitting rule needs no Unicode tables.
@@ -47,9 +47,7 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary as little-endian 32-bit bytes; equal to ``tokenizers``' own, remembered by word."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         self.special = [t["content"] for t in described.get("added_tokens", [])]
@@ -73,6 +71,10 @@ class Encoder:
         return lambda w: struct.pack(f"<{len(ids := merge(w))}I", *ids)
 
     def _whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:

@@ -51,11 +51,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: whole texts come in these, so Spark's 10,000 would take several times the memory.
+BATCH_ROWS = 2000
+#: Rows of keys (up to 100 bytes each) that are sent to every task; more are joined by a shuffle.
+SMALL_ROWS = 1 << 18
+
+
 def own_names(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the columns named, under the operator's own names, so that no other column can clash."""
+    """Only the columns named, under the operator's own names, so that no other column can clash.
+
+    Sets the session's Arrow batches to ``BATCH_ROWS`` rows if they are larger.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df.select([F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def small(keys: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``keys`` (a written table) for a broadcast join if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or it with underscores in front, whichever ``df`` does not have yet (case aside)."""
     taken = {c.lower() for c in df.columns}
