@@ -167,7 +167,7 @@ def _score(order: int, shard_bits: int, backoff: float):
         value[open_] += np.where(rest[0][open_] > 0, np.log(np.maximum(rest[0][open_], 1)), math.log(backoff))
         base[open_] = 1
         n_docs = len(per_row)
-        sums, bases = np.bincount(row, value, n_docs), np.bincount(row, base, n_docs).astype(np.int64)
+        sums, bases = np.bincount(row, value, n_docs).astype(np.float64), np.bincount(row, base, n_docs).astype(np.int64)
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(per_row.astype(np.int64)), pa.array(sums), pa.array(bases)], names=["doc_id", "n_words", "sum_log", "n_base"])
 
     return score
