@@ -40,7 +40,7 @@ RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (THRESHOLD[0] / THRESHOLD[1
 #: A sketch's estimate may fall this many standard deviations below the threshold before its pair is dropped.
 SLACK = 4.0
 FLOOR = THRESHOLD[0] / THRESHOLD[1] - SLACK * math.sqrt(0.8 * 0.2 / COORDS)
-#: Rows of 24 bytes that are sent to every task at most, when the sets of likely pairs are fetched.
+#: Rows of 16 to 40 bytes that are sent to every task at most: bucket sizes, and the keys of sets to be fetched.
 BROADCAST_ROWS = 1 << 19
 PAIRS_AT_ONCE = 1 << 17
 
@@ -118,8 +118,8 @@ def _leaves(reps: DataFrame) -> DataFrame:
     done = None
     for d in range(DEPTH):
         at = open_.withColumn("leaf", F.col("path")[d])
-        counts = at.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-        at = written(at.join(counts, "leaf"), "join-level")
+        counts = written(at.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "join-counts")
+        at = written(at.join(small(counts, BROADCAST_ROWS), "leaf"), "join-level")
         ends = at.where(F.col("n") <= LIMIT) if d < DEPTH - 1 else at
         ends = ends.select("cls", "run", "leaf", "n")
         done = ends if done is None else done.unionByName(ends)

@@ -52,9 +52,9 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int =
     after = order.rowsBetween(0, Window.unboundedFollowing)
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after)
-    per = per.withColumn("level", level)
-    fits = F.when(F.col("cap").cast("double") / F.col("weight") >= F.col("level"), F.col("level"))
-    per = per.withColumn("level", F.coalesce(F.min(fits).over(every), F.lit(0.0)))
+    per = per.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    fits = F.when(F.col("cap").cast("double") / F.col("weight") >= F.col("level"), F.struct("place", "level"))
+    per = per.withColumn("level", F.coalesce(F.min(fits).over(every)["level"], F.lit(0.0)))
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
@@ -134,6 +134,7 @@ per AS (
   FROM sizes GROUP BY source),
 lvl AS (
   SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio,
+         row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ASC NULLS LAST) AS place,
          CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ASC NULLS LAST
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
          / sum(weight) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ASC NULLS LAST
@@ -141,7 +142,7 @@ lvl AS (
   FROM per),
 goal AS (
   SELECT source, source_size,
-         least(CAST(3 * source_size AS DOUBLE), (SELECT coalesce(min(level), 0.0) FROM lvl WHERE ratio >= level) * weight) AS target
+         least(CAST(3 * source_size AS DOUBLE), (SELECT coalesce(arg_min(level, place), 0.0) FROM lvl WHERE ratio >= level) * weight) AS target
   FROM lvl),
 budget AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goal),
