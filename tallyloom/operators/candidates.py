@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
@@ -30,18 +30,22 @@ def ref_token_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT)
     return l.join(r, ["session_id", "type", "key"]).select(KEYS).distinct()
 
 
+def _bin(a: Column, tol: Tolerance) -> Column:
+    """The bin of an amount; amounts in one another's window are in the same or in neighbouring bins."""
+    if tol.amount_pct > 0:
+        step = math.log1p(max(tol.amount_pct / 100 * 2, 1e-6))
+        least = max(tol.amount_abs, 1e-6) * 100 / tol.amount_pct  # below it the absolute tolerance is the wider one
+        return F.when(F.abs(a) <= least, F.lit(0)).otherwise(F.ceil(F.log(F.abs(a) / least) / step)).cast("long")
+    return F.floor(a / (2 * max(tol.amount_abs, 1e-6) + 4e-9)).cast("long")
+
+
 def amount_window_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
     """session_id, l_row, r_row of mirrored rows whose amounts lie in the left one's window.
 
     Amounts fall into bins at least as wide as the window: equal ones for an absolute tolerance, growing ones for a
     percentage. The left row looks into its bin and the two next to it, so the join is an equi-join with a filter.
     """
-    if tol.amount_pct > 0:
-        step = math.log1p(max(tol.amount_pct / 100 * 2, 1e-6))
-        least = max(tol.amount_abs, 1e-6) * 100 / tol.amount_pct  # below it the absolute tolerance is the wider one
-        bin_of = lambda a: F.when(F.abs(a) <= least, F.lit(0)).otherwise(F.ceil(F.log(F.abs(a) / least) / step)).cast("long")
-    else:
-        bin_of = lambda a: F.floor(a / (2 * max(tol.amount_abs, 1e-6) + 4e-9)).cast("long")
+    bin_of = lambda a: _bin(a, tol)
     l = left.select("session_id", F.col("row_number").alias("l_row"), T.mirrored(F.col("sign")).alias("type"), F.col("amount").alias("l_amount"))
     l = l.withColumn("bin", F.explode(F.array(*[bin_of(F.col("l_amount")) + d for d in (-1, 0, 1)])))
     r = right.select("session_id", F.col("row_number").alias("r_row"), "type", F.col("amount").alias("r_amount")).withColumn("bin", bin_of(F.col("r_amount")))
@@ -70,5 +74,42 @@ def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = N
     return rows.select(*KEYS, "t.tier", "t.auto_confirm", diff.alias("amount_diff"), F.col("l.our_ref").alias("ref"))
 
 
+def equal_rows(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame | None:
+    """The candidates that a greedy pass takes among rows of equal session, type, amount and date without references.
+
+    All rows of such a block are candidates of one another at the first tier without a reference, and no other candidate of
+    theirs comes before these, so the pass takes the first left with the first right row, the second with the second, and so
+    on. Rows count only if no row in their amount window has a reference. None where the tiers are ordered otherwise.
+    """
+    tiers = T.default_tiers() if tiers is None else tiers
+    free = [t for t in T.active(tiers) if not any(c.op in ("symmetric_in_narration", "in_other_narration") for c in t.conditions)]
+    if not free or free[0].number > min(t.number for t in free) or tol.amount_abs < 0:
+        return None
+    kinds = {(c.field, c.op) for c in free[0].conditions}
+    amount = {("amount", "equal_within_tol"), ("amount", "exact")}
+    if not {("sign", "mirror"), ("value_date", "equal")} <= kinds <= {("sign", "mirror"), ("value_date", "equal"), ("value_date", "within_days")} | amount or not kinds & amount:
+        return None
+    key = ["session_id", "type", "amount", "value_date"]
+    long = lambda c: F.length(F.trim(text.text(F.col(c)))) >= tol.min_ref_len
+    l = left.select(
+        "session_id", T.mirrored(F.col("sign")).alias("type"), "amount", "value_date", F.col("row_number").alias("row"), F.col("our_ref").alias("ref"),
+        (F.size(text.ref_keys([F.col("our_ref")], [F.col("booking_text_1"), F.col("booking_text_2")], tol.min_ref_len)) > 0).alias("keyed"),
+        (F.length(text.normalize_ref(F.col("our_ref"))) >= tol.min_ref_len).alias("carries"), _bin(F.col("amount"), tol).alias("bin"),
+    )
+    r = right.select(
+        "session_id", "type", "amount", "value_date", F.col("row_number").alias("row"),
+        (F.size(text.ref_keys([F.col("trn_ref"), F.col("external_ref")], [F.col("narration")], tol.min_ref_len)) > 0).alias("keyed"),
+        (long("trn_ref") | long("external_ref")).alias("carries"), _bin(F.col("amount"), tol).alias("bin"),
+    )
+
+    def plain(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        near = other.where("carries").select("session_id", "type", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin")).distinct()
+        rows = rows.where("not keyed and not carries and value_date <> 0 and not isnan(amount)").join(near, ["session_id", "type", "bin"], "left_anti")
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("row"))).drop("keyed", "carries", "bin").withColumnRenamed("row", name)
+
+    both = plain(l, r, "l_row").join(plain(r, l, "r_row"), [*key, "place"])
+    return both.select(*KEYS, F.lit(free[0].number).alias("tier"), F.lit(free[0].auto_confirm).alias("auto_confirm"), F.lit(0.0).alias("amount_diff"), "ref")
+
+
 def strict(left: DataFrame, right: DataFrame, tier: T.Tier, tol: Tolerance = DEFAULT) -> DataFrame:
     return candidates(left, right, [tier], tol)

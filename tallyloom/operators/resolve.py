@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import candidates as C
+from tallyloom.operators import tiers as T
 from tallyloom.operators.store import written
+from tallyloom.operators.tolerance import DEFAULT, Tolerance
 
 _L, _R = ["session_id", "l_row"], ["session_id", "r_row"]
 
@@ -15,15 +21,17 @@ def order() -> Column:
     return F.struct("tier", F.abs("amount_diff").alias("gap"), "l_row", "r_row")
 
 
-def greedy(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy(pairs: DataFrame) -> DataFrame:
     """The assignments that a sequential greedy pass in :func:`order` takes.
 
     Each round takes every pair that comes first at both of its rows; no earlier pair can claim either, so the result is
-    the sequential one. Pairs at claimed rows go, the rest is written and taken up by the next round.
+    the sequential one. Pairs at claimed rows go, the rest is written and taken up by the next round. Once a round leaves
+    more than half of the pairs, they form long chains (n equal rows of both sides need n rounds): :func:`_in_order`
+    resolves what is left in one pass.
     """
     open_ = written(pairs.withColumn("_o", order()), "greedy-open")
-    taken = None
-    for _ in range(max_rounds):
+    taken, before = None, open_.count()
+    while True:
         best_l = open_.groupBy(_L).agg(F.min("_o").alias("_l"))
         best_r = open_.groupBy(_R).agg(F.min("_o").alias("_r"))
         first = open_.join(best_l, _L).join(best_r, _R).where((F.col("_o") == F.col("_l")) & (F.col("_o") == F.col("_r"))).select(pairs.columns)
@@ -31,9 +39,43 @@ def greedy(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         taken = first if taken is None else taken.unionByName(first)
         rest = open_.join(first.select(_L), _L, "left_anti").join(first.select(_R), _R, "left_anti")
         open_ = written(rest, "greedy-open")
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             return taken
-    raise RuntimeError(f"chains of competing candidates are longer than {max_rounds}")
+        if 2 * left > before:
+            return taken.unionByName(written(_in_order(open_).select(pairs.columns), "greedy-taken"))
+        before = left
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """The sequential pass itself, sessions side by side: pairs come sorted, only the claimed rows of a session are kept."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, used_l, used_r = None, set(), set()
+        for batch in batches:
+            keep = []
+            for i, (s, l, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("session_id", "l_row", "r_row")))):
+                if s != session:
+                    session, used_l, used_r = s, set(), set()
+                if l not in used_l and r not in used_r:
+                    used_l.add(l)
+                    used_r.add(r)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return pairs.repartition("session_id").sortWithinPartitions("session_id", "_o").mapInArrow(take, pairs.schema)
+
+
+def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame:
+    """:func:`greedy` over all candidates of two sides, without pairing the rows that :func:`candidates.equal_rows` settles."""
+    settled = C.equal_rows(left, right, tiers, tol)
+    if settled is None:
+        return greedy(C.candidates(left, right, tiers, tol))
+    settled = written(settled, "greedy-equal")
+    if settled.isEmpty():
+        return greedy(C.candidates(left, right, tiers, tol))
+    rest = greedy(C.candidates(unmatched(left, settled, "l"), unmatched(right, settled, "r"), tiers, tol))
+    return settled.unionByName(rest)
 
 
 def unmatched(rows: DataFrame, assignments: DataFrame, side: str) -> DataFrame:

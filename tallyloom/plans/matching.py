@@ -100,19 +100,19 @@ cut AS (SELECT * FROM cand WHERE tier IS NOT NULL)"""
 
 @query("WITH " + _WON + " " + _CAND.format("cut") + " WHERE l_row = r_row")
 def greedy_resolve(spark, d):
-    return _shown(R.greedy(C.candidates(*_sides(spark, d))))
+    return _shown(R.assigned(*_sides(spark, d)))
 
 
 @query("WITH " + _WON + " SELECT session_id, row_number FROM stmt WHERE row_number NOT IN (SELECT l_row FROM cut WHERE l_row = r_row)")
 def unmatched_left(spark, d):
     l, r = _sides(spark, d)
-    return R.unmatched(l, R.greedy(C.candidates(l, r)), "l").select("session_id", "row_number")
+    return R.unmatched(l, R.assigned(l, r), "l").select("session_id", "row_number")
 
 
 @query("WITH " + _WON + " SELECT session_id, row_number FROM ledg WHERE row_number NOT IN (SELECT r_row FROM cut WHERE l_row = r_row)")
 def unmatched_right(spark, d):
     l, r = _sides(spark, d)
-    return R.unmatched(r, R.greedy(C.candidates(l, r)), "r").select("session_id", "row_number")
+    return R.unmatched(r, R.assigned(l, r), "r").select("session_id", "row_number")
 
 
 def _colliding(spark, d):
@@ -125,7 +125,7 @@ def _colliding(spark, d):
 @query()
 def greedy_colliding(spark, d):
     """Order-dependent, so beyond plain SQL; tests compare with a sequential pass."""
-    return _shown(R.greedy(C.candidates(*_colliding(spark, d), tol=tol.Tolerance(amount_abs=0.01))))
+    return _shown(R.assigned(*_colliding(spark, d), tol=tol.Tolerance(amount_abs=0.01)))
 
 
 @query()
