@@ -1,12 +1,22 @@
 """Whole results where the code once did less: long chains, every order, every card number, open sessions, repeated splits."""
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 from test_matching import left, right, sequential
 
 from tallyloom.operators import candidates as C
 from tallyloom.operators import resolve as R
+from tallyloom.plans import catalog
+from tallyloom.plans import derived as D
+from tallyloom.plans import matching as M
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def date_of(day):
+    return datetime.strptime(str(day), "%Y%m%d")
 
 
 def taken(df):
@@ -35,3 +45,20 @@ def test_assigned_equals_the_sequential_pass(spark):
     pairs = C.candidates(l, r)
     assert C.equal_rows(l, r).count() > 0
     assert taken(R.assigned(l, r)) == sorted(sequential([(p.session_id, p.l_row, p.r_row, p.tier, p.amount_diff) for p in pairs.collect()]))
+
+
+def test_colliding_queries_take_every_row(spark):
+    l, r = M._colliding(spark, SMALL)
+    assert (l.count(), r.count()) == (D.stmt(spark, SMALL).count(), D.ledg(spark, SMALL).count())
+    lt, rt = ({(x.session_id, x.row_number): x for x in side.collect()} for side in (l, r))
+    pairs = []
+    for (s, i), a in lt.items():
+        for (z, j), b in rt.items():
+            if s == z and a.amount == b.amount and {"C": "DR", "D": "CR"}[a.sign] == b.type:
+                days = abs((date_of(a.value_date) - date_of(b.value_date)).days)
+                if days <= 1:
+                    pairs.append((s, i, j, 3 + days, 0.0))
+    won = sequential(pairs)
+    assert taken(catalog.queries()["greedy_colliding"](spark, SMALL)) == sorted(won)
+    rivals = catalog.queries()["competing_topk"](spark, SMALL).collect()
+    assert {(x.session_id, x.l_row, x.r_row) for x in rivals} == {p[:3] for p in pairs} - set(won)  # no winner has more than six
