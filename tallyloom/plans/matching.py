@@ -173,7 +173,7 @@ SELECT o.o_orderkey, r.rate, CASE WHEN abs(o.o_totalprice - o.o_totalprice * r.r
 FROM orders o ASOF LEFT JOIN rates r ON o.o_orderdate >= r.rate_date""")
 def asof_fx(spark, d):
     o = D.table(spark, d, "orders")
-    rates = o.where("o_orderkey % 50 = 0").groupBy(F.date_trunc("month", "o_orderdate").alias("rate_date")).agg(F.round(F.avg("o_totalprice") / 100000, 6).alias("rate")).withColumn("ccy", F.lit("USD"))
+    rates = o.groupBy(F.date_trunc("month", "o_orderdate").alias("rate_date")).agg(F.round(F.avg("o_totalprice") / 100000, 6).alias("rate")).withColumn("ccy", F.lit("USD"))
     rows = tol.with_rate(o.withColumn("ccy", F.lit("USD")), rates, date="o_orderdate", ccy="ccy")
     a = F.col("o_totalprice")
     there = a * F.col("rate")

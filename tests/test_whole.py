@@ -62,3 +62,24 @@ def test_colliding_queries_take_every_row(spark):
     assert taken(catalog.queries()["greedy_colliding"](spark, SMALL)) == sorted(won)
     rivals = catalog.queries()["competing_topk"](spark, SMALL).collect()
     assert {(x.session_id, x.l_row, x.r_row) for x in rivals} == {p[:3] for p in pairs} - set(won)  # no winner has more than six
+
+
+def test_splits_carry_forward_and_rates_take_every_order(spark):
+    q = lambda name: catalog.queries()[name](spark, SMALL)
+    lines = D.table(spark, SMALL, "lineitem").groupBy("l_orderkey").count().where("count between 2 and 4")
+    expected = {(x.l_orderkey % 8, x.l_orderkey, x["count"]) for x in lines.collect()}
+    assert {tuple(x) for x in q("split_1n").collect()} == expected == {tuple(x) for x in q("split_n1").collect()}
+
+    orders = D.table(spark, SMALL, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.date_trunc("month", "o_orderdate").alias("month")).collect()
+    cleared = {(o.o_custkey % 5, o.o_orderkey, o.o_orderkey, 2 if o.o_orderkey % 3 == 0 else 1) for o in orders if o.o_orderkey % 5}
+    assert {tuple(x) for x in q("carry_forward").collect()} == cleared
+
+    months = {}
+    for o in orders:
+        months.setdefault(o.month, []).append(o.o_totalprice)
+    rate = {o.o_orderkey: sum(months[o.month]) / len(months[o.month]) / 100000 for o in orders}
+    got = {x.o_orderkey: x.rate for x in q("asof_fx").collect()}
+    assert got.keys() == rate.keys() and all(abs(got[k] - rate[k]) < 1e-6 for k in rate)
+
+    rows = catalog.queries()["m2n"](spark, SMALL.replace("0.001", "0.01")).collect()  # the smaller tables have none
+    assert {x.l_row % 2 for x in rows} | {x.r_row % 2 for x in rows} == {0, 1}
