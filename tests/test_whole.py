@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from test_matching import left, right, sequential
 
+from tallyloom.functions import pan
 from tallyloom.operators import candidates as C
 from tallyloom.operators import resolve as R
 from tallyloom.plans import catalog
@@ -83,3 +84,28 @@ def test_splits_carry_forward_and_rates_take_every_order(spark):
 
     rows = catalog.queries()["m2n"](spark, SMALL.replace("0.001", "0.01")).collect()  # the smaller tables have none
     assert {x.l_row % 2 for x in rows} | {x.r_row % 2 for x in rows} == {0, 1}
+
+
+def test_card_numbers_behind_other_numbers(spark):
+    n, spaced, amex, long = "4111111111111111", "4111 1111-1111 1111", "378282246310005", "6304000000000000000"
+    cases = [
+        (f"order 12 {n}", {n}), (f"2024-01-05 {n}", {n}), (f"12 {spaced} 7", {spaced}), (f"{amex} 3", {amex}), (long, {long}),
+        (f"9{n}9999", set()), ("4111111111111112", set()), (f"{n} {amex}", {n, amex}), (f"x{n}x", {n}),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    rows = df.select("i", pan.pans(F.col("t")).alias("p"), pan.redact(F.col("t")).alias("r"), F.col("t").rlike(pan.CANDIDATE).alias("c")).collect()
+    for r in rows:
+        assert cases[r.i][1] <= set(r.p) and (bool(r.p) == bool(cases[r.i][1])), cases[r.i]
+        assert not any(p in r.r for p in r.p) and (r.c or not r.p)
+        assert r.p or r.r == cases[r.i][0]
+    near = spark.createDataFrame([(f"{i:07} {n} {i:010}-{amex}",) for i in range(10**6, 10**6 + 300)], "t string").withColumn("r", pan.redact(F.col("t")))
+    assert near.where((F.size(pan.pans(F.col("r"))) > 0) | (pan.redact(F.col("r")) != F.col("r")) | F.contains("r", F.lit(n))).count() == 0
+    assert rows[0].r == "order 12 411111***1111" and rows[2].r == "12 411111***1111 7"
+
+
+def test_luhn_mask_lists_every_length(spark, tmp_path):
+    texts = ["pay 378282246310005", "on 2024-01-05 4111111111111111", "card 4111 1111 1111 1111"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.pan, r.masked) for r in catalog.queries()["luhn_mask"](spark, str(tmp_path)).collect()}
+    assert got >= {(0, "378282246310005", "378282***0005"), (1, "4111111111111111", "411111***1111"), (2, "4111 1111 1111 1111", "411111***1111")}
+    assert {r.left_over for r in catalog.queries()["pan_redact"](spark, str(tmp_path)).collect()} == {0}
