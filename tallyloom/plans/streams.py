@@ -20,9 +20,9 @@ def stream_dedupe(spark, d):
 
 
 def stream_session_window(spark, d):
-    """Sessions that the watermark has closed."""
-    rows = flows.activity(flows.events(spark, d)).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    return flows.drained(rows, "append")
+    """All sessions of what is there, in whatever order files come; open ones too, so the state keeps every session."""
+    rows = flows.activity(flows.events(spark, d), late=None).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return flows.drained(rows, "complete", merge=flows.last_batch)
 
 
 def stream_open_item_state(spark, d):

@@ -27,9 +27,9 @@ def daily(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withWatermark("at", late).groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def activity(stream: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    """Sessions of a user: runs of events without a pause of ``gap``."""
-    return stream.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+def activity(stream: DataFrame, gap: str = "6 hours", late: str | None = "1 day") -> DataFrame:
+    """Sessions of a user: runs of events without a pause of ``gap``. Without ``late`` no event is late and no session closes."""
+    return (stream.withWatermark("at", late) if late else stream).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
 
 
 def once(stream: DataFrame, key: str, late: str | None = None) -> DataFrame:

@@ -109,3 +109,15 @@ def test_luhn_mask_lists_every_length(spark, tmp_path):
     got = {(r.doc_id, r.pan, r.masked) for r in catalog.queries()["luhn_mask"](spark, str(tmp_path)).collect()}
     assert got >= {(0, "378282246310005", "378282***0005"), (1, "4111111111111111", "411111***1111"), (2, "4111 1111 1111 1111", "411111***1111")}
     assert {r.left_over for r in catalog.queries()["pan_redact"](spark, str(tmp_path)).collect()} == {0}
+
+
+def test_sessions_over_shuffled_files_equal_the_batch(spark, tmp_path):
+    rows = D.table(spark, SMALL, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").toPandas().sort_values("ts")
+    step = -(-len(rows) // 40)
+    parts = [rows.iloc[i * step:(i + 1) * step] for i in range(40)]
+    random.Random(1).shuffle(parts)
+    for i, part in enumerate(parts):
+        part.to_parquet(f"{tmp_path}/events-{i:02}.parquet", index=False, coerce_timestamps="us")
+    batch = D.table(spark, SMALL, "events").groupBy(F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    expected = sorted(tuple(r) for r in batch.select("user_id", "w.start", "w.end", "n").collect())
+    assert sorted(tuple(r) for r in catalog.queries()["stream_session_window"](spark, str(tmp_path)).collect()) == expected
