@@ -1,21 +1,24 @@
 """One-to-many, many-to-one and many-to-many matches among rows that one-to-one matching left over.
 
-Subsets are enumerated inside grouped Arrow functions. Groups are bounded before they are collected: one-to-many pools
-are the rows of one reference, many-to-many pools the rows of a few days of a session, of which larger ones are not
+Subsets are enumerated inside Arrow functions. Groups are bounded before they are collected: one-to-many pools
+are the rows of one reference and of references connected to it, many-to-many pools the rows of a few days of a session, of which larger ones are not
 searched at all (``POOL``), which is the operator's rule and not a cut of its input.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import tiers as T
+from tallyloom.operators.store import written
 from tallyloom.operators.tolerance import DEFAULT, Tolerance
 
 MAX_SUBSET, POOL, SIDE = 4, 20, 3
@@ -49,37 +52,50 @@ def _pools(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
     return inside.select(cols).unionByName(around.select(cols)).distinct()
 
 
-def _subsets(pools: DataFrame, tol: Tolerance) -> DataFrame:
-    """o, ms: the first subset in size and order of rows whose sum meets the amount."""
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("m")
-        rows, amounts, target = group["m"].tolist(), group["ma"].tolist(), float(group["oa"].iloc[0])
-        for size in range(2, min(MAX_SUBSET, len(rows)) + 1):
-            for picked in combinations(range(len(rows)), size):
-                total = sum(amounts[i] for i in picked)
-                if _close(total, target, tol):
-                    return pd.DataFrame({"session_id": [int(group["session_id"].iloc[0])], "o": [int(group["o"].iloc[0])], "ms": [[int(rows[i]) for i in picked]], "gap": [total - target]})
-        return pd.DataFrame({"session_id": [], "o": [], "ms": pd.Series([], dtype=object), "gap": []})
-
-    return pools.groupBy("session_id", "o").applyInPandas(find, "session_id long, o long, ms array<long>, gap double")
+def _claimed(pools: DataFrame, tol: Tolerance) -> DataFrame:
+    """session_id, o, ms, gap: in order of ``o``, each takes the first subset (in size and order of rows) of its free rows that meets its amount.
 
+    Claims reach only as far as pools share rows, so pools that do, directly or over others, form one group.
+    """
 
-def _claimed(found: DataFrame) -> DataFrame:
-    """Of subsets that share a row the one of the smallest ``o`` stays, decided in rounds like one-to-one claims."""
-    from tallyloom.operators.store import written
+    schema = pa.schema([("session_id", pa.int64()), ("o", pa.int64()), ("ms", pa.list_(pa.int64())), ("gap", pa.float64())])
 
-    open_, taken = written(found, "split-open"), None
+    def first(pool: list[tuple[int, float]], target: float) -> tuple[list[int], float] | None:
+        for size in range(2, min(MAX_SUBSET, len(pool)) + 1):
+            for picked in combinations(pool, size):
+                total = sum(a for _, a in picked)
+                if _close(total, target, tol):
+                    return [m for m, _ in picked], total - target
+        return None
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "c", "o", "oa", "m", "ma"))))
+        group, used, out = None, set(), []
+        for (session, c, o, target), pool in groupby(rows, key=lambda r: r[:4]):
+            if (session, c) != group:
+                group, used = (session, c), set()
+            hit = first([(m, a) for *_, m, a in pool if m not in used], target)
+            if hit:
+                used.update(hit[0])
+                out.append({"session_id": session, "o": o, "ms": hit[0], "gap": hit[1]})
+            if len(out) == 10000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    rows = _grouped(pools).repartition("session_id", "c").sortWithinPartitions("session_id", "c", "o", "m")
+    return rows.select("session_id", "c", "o", "oa", "m", "ma").mapInArrow(take, "session_id long, o long, ms array<long>, gap double")
+
+
+def _grouped(pools: DataFrame) -> DataFrame:
+    """``pools`` with ``c``, the smallest ``o`` that a pool is connected to by shared rows."""
+    edges = written(pools.withColumn("c", F.col("o")), "split-pools")
     while True:
-        rows = open_.select("session_id", "o", F.explode("ms").alias("m"))
-        lost = rows.withColumn("first", F.min("o").over(Window.partitionBy("session_id", "m"))).where("first < o").select("session_id", "o").distinct()
-        win = written(open_.join(lost, ["session_id", "o"], "left_anti"), "split-taken")
-        taken = win if taken is None else taken.unionByName(win)
-        used = win.select("session_id", F.explode("ms").alias("m"))
-        hit = rows.join(used, ["session_id", "m"]).select("session_id", "o").distinct()
-        open_ = written(open_.join(hit, ["session_id", "o"], "left_anti"), "split-open")
-        if open_.isEmpty():
-            return taken
+        least = edges.withColumnRenamed("c", "was").withColumn("c", F.min("was").over(Window.partitionBy("session_id", "m")))
+        least = written(least.withColumn("c", F.min("c").over(Window.partitionBy("session_id", "o"))), "split-pools")
+        edges = least.drop("was")
+        if least.where("c <> was").isEmpty():
+            return edges
 
 
 def _left(left: DataFrame) -> DataFrame:
@@ -93,7 +109,7 @@ def _right(right: DataFrame) -> DataFrame:
 
 def one_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
     """session_id, l_rows, r_rows, tier 5, amount_diff: a statement row against two to four ledger rows."""
-    found = _claimed(_subsets(_pools(_left(left), _right(right), tol), tol))
+    found = _claimed(_pools(_left(left), _right(right), tol), tol)
     return found.select("session_id", F.array("o").alias("l_rows"), F.col("ms").alias("r_rows"), F.lit(5).alias("tier"), F.col("gap").alias("amount_diff"))
 
 
@@ -102,7 +118,7 @@ def many_to_one(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT, tak
     r = _right(right)
     if taken is not None:
         r = r.join(taken.select("session_id", F.explode("r_rows").alias("row")), ["session_id", "row"], "left_anti")
-    found = _claimed(_subsets(_pools(r, _left(left), tol), tol))
+    found = _claimed(_pools(r, _left(left), tol), tol)
     return found.select("session_id", F.col("ms").alias("l_rows"), F.array("o").alias("r_rows"), F.lit(5).alias("tier"), (-F.col("gap")).alias("amount_diff"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime
+from itertools import combinations
 
 from pyspark.sql import functions as F
 from test_matching import left, right, sequential
@@ -9,6 +10,7 @@ from test_matching import left, right, sequential
 from tallyloom.functions import pan
 from tallyloom.operators import candidates as C
 from tallyloom.operators import resolve as R
+from tallyloom.operators import splits
 from tallyloom.plans import catalog
 from tallyloom.plans import derived as D
 from tallyloom.plans import matching as M
@@ -121,3 +123,29 @@ def test_sessions_over_shuffled_files_equal_the_batch(spark, tmp_path):
     batch = D.table(spark, SMALL, "events").groupBy(F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
     expected = sorted(tuple(r) for r in batch.select("user_id", "w.start", "w.end", "n").collect())
     assert sorted(tuple(r) for r in catalog.queries()["stream_session_window"](spark, str(tmp_path)).collect()) == expected
+
+
+def test_equal_statement_rows_of_one_reference_both_split(spark):
+    l = left(spark, dict(row=1, ref="SPLIT001"), dict(row=2, ref="SPLIT001"), dict(row=3, ref="SPLIT001"))
+    r = right(spark, *[dict(row=10 + i, ref="SPLIT001", amount=50.0) for i in range(4)])
+    assert sorted((s.l_rows, s.r_rows) for s in splits.one_to_many(l, r).collect()) == [([1], [10, 11]), ([2], [12, 13])]
+    many = left(spark, *[dict(row=10 + i, ref="SPLIT001", amount=50.0) for i in range(4)])
+    one = right(spark, dict(row=1, ref="SPLIT001"), dict(row=2, ref="SPLIT001"))
+    assert sorted((s.l_rows, s.r_rows) for s in splits.many_to_one(many, one).collect()) == [([10, 11], [1]), ([12, 13], [2])]
+
+
+def test_splits_equal_the_sequential_pass(spark):
+    """References that contain one another, so that pools overlap without being equal."""
+    rng = random.Random(3)
+    ref = lambda: rng.choice(["", "AB", "ZZ"]) + rng.choice(["SPLIT001", "SPLIT002"]) + rng.choice(["", "77"])
+    ls = [dict(row=i, ref=ref(), amount=float(rng.randint(3, 9))) for i in range(14)]
+    rs = [dict(row=100 + i, ref=ref(), amount=float(rng.randint(1, 4))) for i in range(16)]
+    used, expected = set(), []
+    for a in ls:
+        pool = [b for b in rs if (a["ref"] in b["ref"] or b["ref"] in a["ref"]) and b["row"] not in used]
+        for p in (p for n in (2, 3, 4) for p in combinations(pool, n)):
+            if sum(b["amount"] for b in p) == a["amount"]:
+                expected.append(([a["row"]], [b["row"] for b in p]))
+                used |= {b["row"] for b in p}
+                break
+    assert sorted((s.l_rows, s.r_rows) for s in splits.one_to_many(left(spark, *ls), right(spark, *rs)).collect()) == sorted(expected)
