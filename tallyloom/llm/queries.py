@@ -47,7 +47,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tag")
+    """Perplexities to four decimals, as in op7."""
+    from pyspark.sql import functions as F
+
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_tokens", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "keep")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op9_chat_format": chat_format.ORACLE, "op10_ann": ann.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op8_quality": quality.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_ann": ann.ORACLE}

@@ -68,6 +68,12 @@ def own_names(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if their scan has fewer partitions than these, as a small or unsplittable table has."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def small(keys: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``keys`` (a written table) for a broadcast join if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(keys) if keys.count() <= rows else keys
