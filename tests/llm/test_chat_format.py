@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 from tallyloom.llm import chat_format as C
 
 ROWS = [
@@ -12,27 +14,45 @@ SCHEMA = "conv_id long, turn long, role string, text string, rendered string"
 def plain(rows, max_turns=C.MAX_TURNS):
     talks = defaultdict(list)
     for c, t, r, x, *_ in rows:
-        talks[c, (t or 0) // max_turns].append(((-1 if t is None else t), r or "unknown", x or ""))
+        talks[c].append(((-1 if t is None else t), r or "unknown", x or ""))
     out = set()
-    for (c, part), turns in talks.items():
+    for c, turns in talks.items():
         turns.sort()
         for who in {r for _, r, _ in turns} - {"system"}:
-            text, mask, n = "", [], 0
-            for _, r, x in turns:
-                text += "<|im_start|>" + ("system" if r == "system" else "assistant" if r == who else "user name=" + r) + "\n"
-                start = len(text)
-                text += x + "<|im_end|>\n"
-                if r == who:
-                    mask.append(f"{start}:{len(text)}")
-                    n += 1
-            out.add((c, part, who, text, ",".join(mask), len(turns), n))
+            start = 0
+            for part in range(-(-len(turns) // max_turns)):
+                here = turns[part * max_turns : (part + 1) * max_turns]
+                text, mask, n = "", [], 0
+                for _, r, x in here:
+                    text += "<|im_start|>" + ("system" if r == "system" else "assistant" if r == who else "user name=" + r) + "\n"
+                    begin = len(text)
+                    text += x + "<|im_end|>\n"
+                    if r == who:
+                        mask.append(f"{begin}:{len(text)}")
+                        n += 1
+                out.add((c, part, who, text, ",".join(mask), len(here), n, start))
+                start += len(text)
     return out
 
 
-def test_equals_brute_force(spark):
-    got = C.rotate(spark.createDataFrame(ROWS, SCHEMA))
-    assert {tuple(r) for r in got.collect()} == plain(ROWS) and got.count() == len(plain(ROWS))
-    assert {tuple(r) for r in C.rotate(spark.createDataFrame(ROWS, SCHEMA), max_turns=2).collect()} == plain(ROWS, 2)
+@pytest.mark.parametrize("max_turns", [C.MAX_TURNS, 2, 1])
+def test_equals_brute_force(spark, max_turns):
+    """Short dialogues, and long ones in parts: turns with equal numbers, equal rows and null ids among them."""
+    got = C.rotate(spark.createDataFrame(ROWS, SCHEMA).repartition(3), max_turns=max_turns)
+    assert {tuple(r) for r in got.collect()} == plain(ROWS, max_turns) and got.count() == len(plain(ROWS, max_turns))
+
+
+def test_turn_numbers_do_not_cut_a_dialogue(spark):
+    rows = [(7, 1020 + i, "ab"[i % 2], f"t{i}", "") for i in range(10)]
+    got = C.rotate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {tuple(r) for r in got} == plain(rows) and [r.part for r in got] == [0, 0]
+
+
+def test_a_speaker_silent_in_a_part_gets_it_too(spark):
+    rows = [(None, None if i < 5 else i, "guest" if i == 0 else "host", f"t{i}", "") for i in range(3000)]
+    got = C.rotate(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    assert {tuple(r) for r in got} == plain(rows) and len(got) == 6
+    assert sum(r.n_turns for r in got if r.speaker == "guest") == 3000
 
 
 def test_mask_is_the_speakers_content(spark):
