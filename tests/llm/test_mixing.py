@@ -66,6 +66,31 @@ def test_rows_are_repeated_as_often_as_taken(spark):
     assert got == {k: n for k, n in copies.items() if n}
 
 
+def test_rows_without_words_and_rows_that_share_a_hash(spark):
+    """Never more than three copies; half of a source are equal rows without id, which are split at the boundary."""
+    rows = [(i, None if i % 2 else "", "a") for i in range(50)] + [(100 + i, "w " * 9, "a") for i in range(10)]
+    rows += [(None, "one two three", "b")] * 200 + [(1000 + i, "four", "b") for i in range(20)] + [(5000 + i, "x " * 40 + "y" * 9000, "c") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got, size_of = mixing.mix(docs).collect(), defaultdict(int)
+    for _, text, source in rows:
+        size_of[source] += len((text or "").split())
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.copies <= mixing.MAX_EPOCHS
+        taken[r.source] += r.taken
+    longest = {"a": 9, "b": 3, "c": 41}
+    for s, want in plain_targets(size_of).items():
+        assert abs(taken[s] - want) <= longest[s]
+    out = mixing.mixed(docs)
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((r.doc_id or 0, t or "") for r, t in _copied(got, rows))
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(2)).collect()))
+
+
+def _copied(got, rows):
+    text_of = {i: t for i, t, _ in rows}
+    return [(r, text_of[r.doc_id]) for r in got for _ in range(r.copies)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0
