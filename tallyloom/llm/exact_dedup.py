@@ -1,34 +1,38 @@
-"""Exact de-duplication over an extendible-hash index, with DataFrame operations only.
-
-1. One scan writes the index entries (id, 64-bit key, digest) to the shared folder.
-2. The directory: keys are counted by prefix; a bucket whose count is above ``capacity`` is split by one more bit, the
-   directory doubling as deep as ``max_depth`` bits. It has at most ``2 ** max_depth`` rows.
-3. Owner tasks, each holding whole buckets (ranges of the key), merge the entries of a key. Entries are combined
-   before and after a salted exchange, so a text that makes up a third of all rows reaches its owner as a few rows.
-4. Keys that hold more than one entry are chained: their texts are grouped byte by byte, so texts that share a key
-   without being equal get a chain link each.
+"""Exact de-duplication over an extendible-hash index on shared files, with DataFrame operations only.
+
+1. One scan writes the entries (id, 64-bit key, digest) to the shared folder; equal keys are merged into one row each.
+2. The directory starts with one bucket. While a bucket holds more than ``capacity`` keys it is split by its next bit,
+   and the directory doubles with its deepest bucket. Splitting works on a histogram of key prefixes, which is refined by
+   further bits for as long as a bucket is overfull; merged keys are distinct, so this ends for every input.
+3. The index: every key with its bucket, dealt by ranges of buckets (ranges of the key) and written sorted. A bucket is
+   never torn, so each owner task holds whole buckets.
+4. Texts of keys that occur more than once go to the owner of their bucket, combined before by task, so that a text that
+   makes up a third of all rows arrives as a few rows. The owner compares them byte by byte; different texts of one
+   key are chained.
+5. Every entry meets the chains. Groups of more than 1 / ``HOT`` of all entries, of which there are fewer than ``HOT``,
+   are sent to every task instead of bringing all their entries to one.
 
 Nulls: a null text counts as empty, a null id is below every other id (a group of null ids alone keeps null).
 Repeated rows: every row that carries its group's largest id is marked kept; :func:`survivors` returns one of them.
-An empty table gives an empty result. Other columns are never read by :func:`dedup`.
+Very long texts are compared whole. An empty table gives an empty result. Other columns are never read by :func:`dedup`.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import free_name, own_names, small, written
+from tallyloom.llm.shared import SMALL_ROWS, free_name, own_names, small, written
 
-#: Entries of a bucket above which the directory splits it.
-CAPACITY = 1 << 18
-#: Bits of the directory at most: 2 ** 18 rows of 16 bytes.
-MAX_DEPTH = 18
-#: Keys of repeated texts that are sent to every task at most (8 bytes each); beyond, the texts are joined by shuffle.
+#: Keys of a bucket above which the directory splits it.
+CAPACITY = 1 << 15
+#: Buckets that are sent to every task at most (20 bytes each); a larger directory is joined by shuffle.
+BROADCAST_BUCKETS = 1 << 21
+#: Bits by which the histogram of prefixes is refined at a time.
+STEP = 8
+#: Keys of repeated texts that are sent to every task at most (16 bytes each); beyond, the texts are joined by shuffle.
 BROADCAST_KEYS = 1 << 20
-SALTS = 64
+HOT = 1 << 15
 
 
 def _key(text: Column, key_bits: int) -> Column:
@@ -40,20 +44,39 @@ def _prefix(key: Column, depth: int, key_bits: int) -> Column:
     return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(key, key_bits - depth)
 
 
-def directory(entries: DataFrame, capacity: int, depth: int, key_bits: int) -> DataFrame:
-    """``prefix`` of ``depth`` bits -> ``bucket``: the shortest prefix of it that holds at most ``capacity`` entries."""
-    counts = entries.groupBy(_prefix(F.col("key"), depth, key_bits).alias("prefix")).agg(F.count("*").alias("n"))
-    levels = counts.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn(
-        "slot", F.expr(f"shiftright(prefix, {depth} - level)")
-    )
-    fits = levels.groupBy("level", "slot").agg(F.sum("n").alias("n")).where((F.col("n") <= capacity) | (F.col("level") == depth))
-    return (
-        levels.drop("n")
-        .join(fits, ["level", "slot"])
-        .groupBy("prefix")
-        .agg(F.min(F.struct("level", "slot")).alias("b"))
-        .select("prefix", F.expr("shiftleft(1L, b.level) + b.slot").alias("bucket"))
-    )
+def directory(keys: DataFrame, capacity: int, key_bits: int) -> DataFrame:
+    """depth, slot: the buckets, each the keys whose first ``depth`` bits are ``slot``; at most ``capacity`` keys or all bits each."""
+    full, buckets, depth = keys.sparkSession.createDataFrame([(0, 0)], "depth int, slot long"), None, 0
+    while True:
+        deeper = min(key_bits, depth + STEP)
+        inside = keys.withColumn("slot", _prefix(F.col("key"), depth, key_bits)).join(small(full), "slot", "left_semi")
+        counts = written(inside.groupBy(_prefix(F.col("key"), deeper, key_bits).alias("prefix")).agg(F.count("*").alias("n")), "dedup-prefixes")
+        levels = counts.select("n", F.explode(F.sequence(F.lit(depth), F.lit(deeper))).alias("depth"), "prefix")
+        levels = levels.withColumn("slot", F.expr(f"shiftrightunsigned(prefix, {deeper} - depth)"))
+        nodes = levels.groupBy("depth", "slot").agg(F.sum("n").alias("n"))
+        # a node is split if it is overfull; its halves are buckets if they are not, and the deepest ones go on if they are
+        parent = nodes.select((F.col("depth") + 1).alias("depth"), F.col("slot").alias("up"), (F.col("n") > capacity).alias("split"))
+        nodes = nodes.withColumn("up", F.shiftrightunsigned("slot", 1)).join(parent, ["depth", "up"], "left")
+        reached = nodes.where((F.col("depth") == depth) | F.col("split"))
+        done = written(reached.where((F.col("n") <= capacity) | (F.col("depth") == key_bits)).select("depth", "slot"), "dedup-buckets")
+        full = written(reached.where((F.col("n") > capacity) & (F.col("depth") == deeper) & F.lit(deeper < key_bits)).select("depth", "slot"), "dedup-full")
+        buckets = done if buckets is None else buckets.unionByName(done)
+        if full.isEmpty():
+            return buckets
+        depth = deeper
+
+
+def index(keys: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> tuple[DataFrame, int]:
+    """The written index, ``keys`` with ``bucket`` (a number in the order of keys) in owners' ranges, and the number of owners."""
+    buckets = written(directory(keys, capacity, key_bits), "dedup-directory")
+    depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # at most 65 numbers
+    first = F.expr(f"shiftleft(slot, {key_bits} - depth)") if key_bits < 64 else F.expr("if(depth = 0, 0L, shiftleft(slot, 64 - depth))")
+    slots = small(buckets.select(F.col("depth").alias("d"), F.col("slot").alias("s"), first.alias("bucket")), BROADCAST_BUCKETS)
+    # of a key's prefixes exactly one is a bucket
+    tried = F.transform(F.array(*[F.lit(d) for d in depths] or [F.lit(0)]), lambda d: F.struct(d.alias("d"), F.when(d == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("key"), F.lit(key_bits) - d)).alias("s")))
+    placed = keys.select("*", F.inline(tried)).join(slots, ["d", "s"]).drop("d", "s")
+    owners = min(max(1, buckets.count()), 1 << 14)  # tasks; each takes whole buckets
+    return written(placed.repartitionByRange(owners, "bucket").sortWithinPartitions("bucket", "key"), "dedup-index"), owners
 
 
 def dedup(
@@ -62,9 +85,9 @@ def dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = CAPACITY,
-    max_depth: int = MAX_DEPTH,
     key_bits: int = 64,
     broadcast_keys: int = BROADCAST_KEYS,
+    hot: int = HOT,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chain (its text's place in its key's chain).
 
@@ -73,27 +96,21 @@ def dedup(
     rows = own_names(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("key", _key(F.col("text"), key_bits))
     entries = written(rows.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), "dedup-entries")
-
-    n = entries.count()
-    depth = min(max_depth, key_bits, max(2, math.ceil(math.log2(max(n, 1) / capacity + 1)) + 2))
-    slots = directory(entries, capacity, depth, key_bits)
-    placed = entries.withColumn("prefix", _prefix(F.col("key"), depth, key_bits)).join(F.broadcast(slots), "prefix")
-    owned = (
-        placed.groupBy("bucket", "key", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
-        .agg(F.count("*").alias("n"))
-        .repartition("bucket")
-        .groupBy("bucket", "key")
-        .agg(F.sum("n").alias("n"))
-    )
-    repeated = written(owned.where("n > 1").select("key"), "dedup-keys")
-
-    members = rows.join(small(repeated, broadcast_keys), "key", "left_semi")
-    texts = members.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    links = texts.select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id")
-    chains = links.join(links.groupBy("key").agg(F.array_sort(F.collect_set("text_sha256")).alias("chain_of")), "key").select(
-        "key", "text_sha256", "group_size", "keep_id", (F.array_position("chain_of", F.col("text_sha256")) - 1).cast("int").alias("chain")
-    )
-    found = entries.join(chains, ["key", "text_sha256"], "left")
+    keys = written(entries.groupBy("key").agg(F.count("*").alias("n")), "dedup-keys")
+    held, owners = index(keys, capacity, key_bits)
+
+    repeated = written(held.where("n > 1").select("bucket", "key"), "dedup-repeated")
+    members = rows.join(small(repeated, broadcast_keys), "key")
+    few = members.groupBy("bucket", "key", "text", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    owned = few.repartitionByRange(owners, "bucket").groupBy("bucket", "key", "text").agg(F.sum("n").alias("group_size"), F.max("top").alias("keep_id"))
+    links = owned.select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id")
+    place = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")) - 1
+    chains = written(links.select("key", "text_sha256", "group_size", "keep_id", place.alias("chain")), "dedup-chains")
+
+    large = chains.where(F.col("group_size") * hot > entries.count())  # fewer than ``hot`` rows
+    on = ["key", "text_sha256"]
+    crowded = entries.join(F.broadcast(large), on)
+    found = entries.join(F.broadcast(large.select(on)), on, "left_anti").join(small(chains, min(broadcast_keys, SMALL_ROWS)), on, "left").unionByName(crowded)
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(

@@ -23,7 +23,7 @@ def plain(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"key_bits": 3, "capacity": 4}, {"capacity": 2, "max_depth": 6, "broadcast_keys": 0}])
+@pytest.mark.parametrize("options", [{}, {"key_bits": 3, "capacity": 4}, {"capacity": 2, "broadcast_keys": 0}, {"key_bits": 4, "capacity": 1, "hot": 2}])
 def test_equals_brute_force(spark, options):
     """Few key bits make different texts share keys, which then are chained."""
     docs = spark.createDataFrame(ROWS, SCHEMA)
@@ -33,6 +33,23 @@ def test_equals_brute_force(spark, options):
         assert max(r.chain for r in got) > 1
 
 
+@pytest.mark.parametrize("key_bits", [64, 24])
+def test_buckets_split_until_none_is_overfull(spark, key_bits):
+    """Keys that share their first 30 (or 15) bits, beyond any fixed depth; every key lies in exactly one bucket, buckets in whole ranges."""
+    shared = key_bits // 2 - 2
+    keys = [(i << (key_bits - shared - 10)) + 5 for i in range(1000)] + [(1 << (key_bits - 2)) + i * 7919 for i in range(50)]
+    held, owners = exact_dedup.index(spark.createDataFrame([(k, 1) for k in keys], "key long, n long"), capacity=8, key_bits=key_bits)
+    rows = held.collect()
+    assert sorted(r.key for r in rows) == sorted(keys) and owners > 100
+    buckets = defaultdict(list)
+    for r in rows:
+        buckets[r.bucket].append(r.key)
+    assert max(map(len, buckets.values())) <= 8
+    spans = sorted((min(b), max(b)) for b in buckets.values())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert all(first <= min(b) for first, b in buckets.items())
+
+
 def test_survivors_are_one_row_of_each_text(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     got = exact_dedup.survivors(docs)
