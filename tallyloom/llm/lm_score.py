@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents against the n-gram counts of the rest of their corpus.
 
-1. Documents are dealt into blocks of about ``block_bytes`` by a hash of id and text.
+1. Documents are dealt into blocks of about ``block_bytes`` by a hash of id, text and place in the table.
 2. Each block explodes its texts into the n-grams of orders 1 to ``order`` and sends every distinct one, with its count,
    to the shard that its hash names: one row per (block, order, shard) holds them packed, sorted and delta coded.
 3. Each shard adds the counts of its n-grams over all blocks. That is the count table, partitioned by hash. It is joined
@@ -13,7 +13,7 @@ counts as one place in the corpus after one more backoff. Nothing is sampled or
 proportion to the corpus. A frequent n-gram is one entry of a block, however often it occurs there.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, ASCII case folded. N-grams are told apart
-by a hash of 48 bits within their shard; shards double with the corpus.
+by a hash of 48 bits within their shard, of 64 in all from 65,536 shards on; shards double with the corpus, without a limit.
 
 Nulls: a null text has no words; its score is 0 and its mean null. A null id is passed on. Repeated rows are part of the
 corpus each. An empty table gives an empty result; other columns are not read.
@@ -35,6 +35,13 @@ ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a block, and of text behind a shard.
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 KEY_BITS = 48
+
+
+def _key_bits(shard_bits: int) -> int:
+    """Bits that are left to the key of a 64-bit hash once its first ``shard_bits`` name the shard."""
+    return min(KEY_BITS, 64 - shard_bits)
+
+
 _SENT = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _SENT_DDL = "block long, n int, shard int, keys binary, counts binary"
 _BACK_DDL = "block long, n int, shard int, counts binary"
@@ -83,7 +90,7 @@ def _grams(texts: pa.Array, order: int, shard_bits: int) -> tuple[np.ndarray, np
     for n in range(1, order + 1):
         key = np.full(len(h), ~np.uint64(0))
         if len(h) >= n:
-            g = wordhash.grams(h, n) >> np.uint64(64 - KEY_BITS - shard_bits)
+            g = wordhash.grams(h, n) >> np.uint64(64 - _key_bits(shard_bits) - shard_bits)
             key[n - 1 :] = np.where(place[n - 1 :] >= n - 1, g, ~np.uint64(0))
         keys.append(key)
     return per_row, row, keys
@@ -103,14 +110,15 @@ def _texts(table: pa.Table) -> pa.Array:
 
 
 def _explode(order: int, shard_bits: int):
-    low = np.uint64((1 << KEY_BITS) - 1)
+    bits = _key_bits(shard_bits)
+    low = np.uint64((1 << bits) - 1)
 
     def explode(key, table):
         _, _, keys = _grams(_texts(table), order, shard_bits)
         rows = []
         for n in range(order):
             found, counts, _ = _distinct(keys[n])
-            shard = (found >> np.uint64(KEY_BITS)).astype(np.int64)
+            shard = (found >> np.uint64(bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(shard, prepend=-1, append=1 << shard_bits))
             for a, b in zip(edges[:-1], edges[1:]):
                 if b > a:
@@ -145,7 +153,7 @@ def _score(order: int, shard_bits: int, backoff: float):
         rest = []  # for each order and word: the count of the n-gram that ends there, in the other documents
         for n in range(1, order + 1):
             found, _, place = _distinct(keys[n - 1])
-            shard = (found >> np.uint64(KEY_BITS)).astype(np.int64)
+            shard = (found >> np.uint64(_key_bits(shard_bits))).astype(np.int64)
             edges = np.flatnonzero(np.diff(shard, prepend=-1, append=1 << shard_bits))
             total = np.concatenate([_unpack_counts(answers[n, int(shard[a])], int(b - a)) for a, b in zip(edges[:-1], edges[1:]) if b > a] or [np.zeros(0, np.int64)])
             ok = place < len(found)
@@ -179,8 +187,9 @@ def score(
     """One row per document: doc_id, n_words, score (sum of natural logarithms), mean_score (per word)."""
     rows = own_names(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shard_bits = max(1, -(-size // block_bytes)), min(16, max(0, math.ceil(math.log2(max(1, size / shard_bytes)))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("long")))
+    blocks, shard_bits = max(1, -(-size // block_bytes)), min(31, max(0, math.ceil(math.log2(max(1, size / shard_bytes)))))
+    # rows that are equal, or without id, part as well: their place in the table is in the hash
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(blocks).cast("long")))
     sent = dealt.groupBy("block").applyInArrow(_explode(order, shard_bits), _SENT_DDL)
     back = sent.groupBy("n", "shard").applyInArrow(_add, _BACK_DDL)
     out = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(order, shard_bits, backoff), _OUT_DDL)
