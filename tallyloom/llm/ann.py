@@ -5,18 +5,22 @@
 2. Codebooks of 16 centres for every two components are fitted on at most ``SAMPLE`` entries, chosen by hash. The loss
    weighs the residual along a vector ``eta`` times as much as that across it, since the former is what changes large
    inner products; assignment is by coordinate descent, centres are the weighted least-squares solutions.
-3. Every entry is encoded, in blocks of about ``BLOCK`` entries. Query blocks meet every block of entries: a four-bit
-   table per query and component pair, joined in twos to bytes, is summed over the block's codes, the ``RERANK`` best
-   are computed exactly from the original vectors, and the block's ``k`` best go on to a ranking by query.
+3. Every entry is encoded. The scan ships codes alone (half a byte for two components): blocks of queries meet blocks of
+   codes, and a four-bit table per query and component pair, joined in twos to bytes, is summed over the block's codes.
+   Entries lie in blocks by hash, so a block sends on its share of the ``rerank`` best and six standard deviations more.
+4. The ``rerank`` best of all blocks are kept by a ranking per query. They go back to the blocks of their entries, where
+   the original vectors wait: each vector moves once for every ``ASKED`` queries, each query once for every block that holds
+   some of its candidates. There the products are computed exactly, and the ``k`` best are ranked again.
 
 Nearness is the inner product in double precision, summed in the order of components; ties go to the smaller id.
-Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part, nor do
-rows without id. Repeated rows count once; an id with several vectors is a query by the smallest of them and a candidate
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id. Vectors of different
+lengths have no product: each length is searched by itself. Repeated rows count once; an id with several vectors is a query by the smallest of them and a candidate
 by each, at its best. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,8 @@ from tallyloom.llm.shared import own_names, written
 
 CENTRES, WIDTH = 16, 2
 SAMPLE, ROUNDS, T = 8192, 6, 0.2
-BLOCK, QUERIES, RERANK, AT_ONCE = 8192, 1024, 512, 256
+#: Entries of a block, queries that meet it at once in the scan and in the exact ranking, candidates of a query, queries in one array.
+BLOCK, QUERIES, ASKED, RERANK, AT_ONCE = 32768, 4096, 65536, 1024, 64
 
 
 def _split(x: np.ndarray) -> np.ndarray:
@@ -97,24 +102,19 @@ def _matrix(column, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def scan(queries: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the places of the ``rerank`` best entries by the tables, and their exact inner products. A byte of ``code`` has two parts' codes."""
+def scan(queries: np.ndarray, code: np.ndarray, books: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the places of the ``keep`` best codes by the tables, and their sums. A byte of ``code`` has two parts' codes."""
     parts = books.shape[0]
-    table = np.einsum("qmw,mcw->mcq", _split(queries), books).astype(np.float32)
-    pairs = code.T.astype(np.int64)
-    total = np.zeros((len(x), len(queries)), np.float32)
+    table = np.einsum("qmw,mcw->mqc", _split(queries), books).astype(np.float32)
+    total = np.zeros((len(queries), len(code)), np.float32)
     for b in range(parts // 2):
-        both = (table[2 * b][:, None, :] + table[2 * b + 1][None, :, :]).reshape(CENTRES * CENTRES, -1)
-        total += both[pairs[b]]
-    total = total.T
-    if len(x) > rerank:
-        best = np.argpartition(-total, rerank - 1, axis=1)[:, :rerank]
+        both = (table[2 * b][:, :, None] + table[2 * b + 1][:, None, :]).reshape(len(queries), -1)
+        total += both[:, code[:, b]]
+    if len(code) > keep:
+        best = np.argpartition(-total, keep - 1, axis=1)[:, :keep]
     else:
-        best = np.tile(np.arange(len(x)), (len(queries), 1))
-    exact = np.zeros(best.shape)
-    for d in range(x.shape[1]):
-        exact += x[:, d][best] * queries[:, d, None]
-    return best, exact
+        best = np.tile(np.arange(len(code)), (len(queries), 1))
+    return best, np.take_along_axis(total, best, 1)
 
 
 def _coded(books: np.ndarray, eta: float, dim: int):
@@ -127,27 +127,46 @@ def _coded(books: np.ndarray, eta: float, dim: int):
     return coded
 
 
-def _search(books: np.ndarray, dim: int, k: int, rerank: int):
-    def search(key, left, right):
-        """One block of entries (left) and one of queries (right)."""
-        x, q = np.asfortranarray(_matrix(left.column("v"), dim)), _matrix(right.column("v"), dim)
-        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-        ids = left.column("ids").to_pylist()
-        first = np.array([i[0] for i in ids], np.int64)
-        names = right.column("query_id").to_numpy()
-        out_q, out_v, out_s = [], [], []
+def _scanned(books: np.ndarray, dim: int, keep: int):
+    def scanned(key, left, right):
+        """One block of codes (left) and one of queries (right): the block's best entries of every query."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "e": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
+        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+        entry, q, names = left.column("e").to_numpy(), _matrix(right.column("v"), dim), right.column("query_id").to_numpy()
+        parts = []
         for a in range(0, len(q), AT_ONCE):
-            best, exact = scan(q[a : a + AT_ONCE], x, code, books, rerank)
-            for name, places, scores in zip(names[a : a + AT_ONCE].tolist(), best, exact):
-                near = np.lexsort((first[places], -scores))[: k + 1]
-                found = [(-scores[p], i) for p in near for i in ids[places[p]] if i != name]
-                found = sorted(found)[:k]
-                out_q += [name] * len(found)
-                out_v += [i for _, i in found]
-                out_s += [-s for s, _ in found]
+            best, near = scan(q[a : a + AT_ONCE], code, books, keep)
+            parts.append((np.repeat(names[a : a + AT_ONCE], best.shape[1]), entry[best.ravel()], near.ravel()))
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        return pa.table(dict(zip(("query_id", "e", "near"), map(pa.array, columns))))
+
+    return scanned
+
+
+def _ranked(dim: int, k: int):
+    def ranked(key, left, right):
+        """One block of entries (left) and the queries that have candidates in it (right): exact products, the ``k`` best of each query."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        order = np.argsort(left.column("e").to_numpy(), kind="stable")
+        entry, x, ids = left.column("e").to_numpy()[order], _matrix(left.column("v"), dim)[order], left.column("ids").to_pylist()
+        first = np.array([ids[p][0] for p in order], np.int64)
+        q, names, wanted = _matrix(right.column("v"), dim), right.column("query_id").to_pylist(), right.column("es").to_pylist()
+        out_q, out_v, out_s = [], [], []
+        for name, own, es in zip(names, q, wanted):
+            places = np.searchsorted(entry, np.array(es, np.int64))
+            exact, some = np.zeros(len(places)), x[places]
+            for d in range(dim):
+                exact += some[:, d] * own[d]
+            near = np.lexsort((first[places], -exact))[: k + 1]
+            found = sorted((-exact[p], i) for p in near for i in ids[order[places[p]]] if i != name)[:k]
+            out_q += [name] * len(found)
+            out_v += [i for _, i in found]
+            out_s += [-s for s, _ in found]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    return search
+    return ranked
 
 
 def search(
@@ -165,31 +184,52 @@ def search(
     rows = own_names(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    most = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = most["d"] if most else 1
-    rows = rows.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # one kind of zero
+    rows = rows.withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # one kind of zero
+    found = None
+    for dim in sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()):  # lengths of vectors
+        part = _found(rows.where(F.size("v") == dim), dim, every, k, sample, block, rerank)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+
+def _found(rows: DataFrame, dim: int, every: int, k: int, sample: int, block: int, rerank: int) -> DataFrame:
+    """query_id, vec_id, score: candidates of every query among vectors of one length, the ``k`` best among them."""
     among = Window.partitionBy("h", "v").orderBy("vec_id")
     few = rows.withColumn("h", F.xxhash64("v")).withColumn("r", F.dense_rank().over(among)).where(F.col("r") <= k + 1)
     entries = few.groupBy("h", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))  # at most k + 1 ids
-    entries = written(entries, "ann-entries")
+    entries = written(entries.withColumn("e", F.monotonically_increasing_id()), "ann-entries")
     got = entries.orderBy("h", "v").limit(sample).select("v").toArrow()
-    x = _matrix(got.column("v"), dim).astype(np.float32) if got.num_rows else np.ones((1, dim), np.float32)
+    x = _matrix(got.column("v"), dim).astype(np.float32)
     eta = eta_of(dim)
     books = fit(x, eta)
-
-    entries = written(entries.mapInArrow(_coded(books, eta, dim), "h long, v array<double>, ids array<long>, code binary"), "ann-codes")
+    entries = written(entries.mapInArrow(_coded(books, eta, dim), "h long, v array<double>, ids array<long>, e long, code binary"), "ann-codes")
 
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = written(asked, "ann-queries")
-    blocks, turns = max(1, -(-entries.count() // block)), max(1, -(-asked.count() // QUERIES))
-    # every block of entries meets every block of queries: the pair is the key, each side goes once to each of its pairs
-    left = entries.withColumn("b", F.pmod(F.col("h"), F.lit(blocks).cast("long"))).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
-    right = asked.withColumn("t", F.pmod(F.xxhash64("query_id"), F.lit(turns).cast("long"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = left.groupBy("b", "t").cogroup(right.groupBy("b", "t")).applyInArrow(_search(books, dim, k, rerank), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, m, cores = entries.count(), asked.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block))
+    at_least = max(1, min(m, 2 * cores // blocks))  # turns, so that every core has work
+    turns, wide = max(at_least, -(-m // QUERIES)), max(at_least, -(-m // ASKED))
+    share = rerank / blocks
+    keep = min(rerank, math.ceil(share + 6 * math.sqrt(share) + 8))
+
+    of = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts).cast("long"))
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    # every block of codes meets every block of queries: the pair is the key, each side goes once to each of its pairs
+    codes = entries.select("e", "code", of("e", blocks).alias("b")).withColumn("t", all_of(turns))
+    questions = asked.withColumn("t", of("query_id", turns)).withColumn("b", all_of(blocks))
+    near = codes.groupBy("b", "t").cogroup(questions.groupBy("b", "t")).applyInArrow(_scanned(books, dim, keep), "query_id long, e long, near float")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "e")
+    near = written(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "e"), "ann-near")
+
+    wanted = near.groupBy(F.col("query_id").alias("q"), of("e", blocks).alias("b")).agg(F.collect_list("e").alias("es"))  # at most rerank
+    wanted = wanted.join(asked, F.col("q") == F.col("query_id")).select("b", "query_id", "v", "es", of("query_id", wide).alias("t"))
+    vectors = entries.select("e", "v", "ids", of("e", blocks).alias("b")).withColumn("t", all_of(wide))
+    return vectors.groupBy("b", "t").cogroup(wanted.groupBy("b", "t")).applyInArrow(_ranked(dim, k), "query_id long, vec_id long, score double")
 
 
 ORACLE = """
