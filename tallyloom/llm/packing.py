@@ -5,7 +5,9 @@
 2. Pieces are dealt into shards of about ``shard_size`` by row number, never by a key, so repeated rows spread out.
 3. In a shard, pieces are put best-fit, longest first. Then the local search works on bins with room: it moves a piece,
    exchanges one for one, two for one or one for two between a fuller and an emptier bin wherever that fills the
-   fuller one further, which raises the sum of squared fills, until bins run empty or nothing improves.
+   fuller one further, which raises the sum of squared fills, until bins run empty or nothing improves. A sweep compares
+   every bin with room with the ``partners`` emptiest ones; ``sweeps`` ends a search that still improves a little. Both are
+   parameters of the search, not of the result: every piece is packed either way.
 4. Bins of all shards that stay under ``tight`` of the capacity are dealt out again, mixed, and packed once more.
 
 Only lengths move between tasks, never texts or ids. Nulls: a null text is empty and so one id long; a null id is
@@ -28,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import wordhash
-from tallyloom.llm.shared import own_names, written
+from tallyloom.llm.shared import own_names, spread, written
 
 CAPACITY, SHARD, TIGHT = 2048, 8192, 0.985
-#: Emptier bins that a bin is compared with in one sweep, sweeps at most, and pieces of a bin from which pairs are made.
-PARTNERS, SWEEPS, PAIRED = 24, 3, 24
+#: Emptier bins that a bin is compared with in one sweep, and sweeps at most.
+PARTNERS, SWEEPS = 24, 8
 #: Split words whose ids a worker keeps in each of two generations, and bytes of text encoded at once.
 MEMO, AT_ONCE = 150_000, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,8 +53,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         self.special = [t["content"] for t in described.get("added_tokens", [])]
-        self.memo: dict[int, bytes] = {}  # by the word's hash; of two generations
-        self.older: dict[int, bytes] = {}
+        self.memo: dict[int, tuple[bytes, bytes]] = {}  # by the word's hash: its bytes, which decide, and its ids; of two generations
+        self.older: dict[int, tuple[bytes, bytes]] = {}
         self.word = self._ranked(described["model"]) or self._whole
 
     def _ranked(self, model: dict):
@@ -96,10 +98,11 @@ class Encoder:
             self.memo, self.older = {}, self.memo
         memo, older, raw, held = self.memo, self.older, data.tobytes(), []
         for h, i in zip(found.tolist(), first.tolist()):
-            ids = memo.get(h)
-            if ids is None:
-                ids = memo[h] = older.get(h) or self.word(raw[starts[i] : ends[i]].decode())
-            held.append(ids)
+            word, known = raw[starts[i] : ends[i]], memo.get(h) or older.get(h)
+            if known is None or known[0] != word:
+                known = (word, self.word(word.decode()))
+            memo[h] = known
+            held.append(known[1])
         size = np.array([len(x) // 4 for x in held], np.int64)
         at = np.cumsum(size) - size
         pool = np.frombuffer(b"".join(held), "<u4")
@@ -188,7 +191,7 @@ def cut(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = own_names(docs, doc_id=id_col, text=text_col)
-    return rows.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(batches, PIECES)
+    return spread(rows.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(batches, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -218,23 +221,22 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def _choices(items: list[int], lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
     """Sums of none, one and two pieces, the places they stand for and how many they are."""
     places: list[tuple[int, ...]] = [(), *((i,) for i in range(len(items)))]
-    k = min(len(items), PAIRED)
-    places += [(i, j) for i in range(k) for j in range(i)]
+    places += [(i, j) for i in range(len(items)) for j in range(i)]
     return np.array([sum(lengths[items[i]] for i in p) for p in places]), places, np.array([len(p) for p in places])
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, partners: int = PARTNERS, sweeps: int = SWEEPS) -> list[list[int]]:
     lengths = lengths.tolist()
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
     alive = sum(map(bool, bins))
-    for _ in range(SWEEPS):
+    for _ in range(sweeps):
         if alive <= least:
             break
         open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (-fill[b], b))
         improved = False
         for place, a in enumerate(open_bins):
-            for b in open_bins[max(place + 1, len(open_bins) - PARTNERS) :][::-1]:
+            for b in open_bins[max(place + 1, len(open_bins) - partners) :][::-1]:
                 while bins[b] and fill[a] < capacity and fill[a] >= fill[b]:
                     give, give_at, give_n = _choices(bins[b], lengths)
                     take, take_at, take_n = _choices(bins[a], lengths)
@@ -262,19 +264,20 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     return [b for b in bins if b]
 
 
-def packed(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+def packed(lengths: np.ndarray, capacity: int = CAPACITY, partners: int = PARTNERS, sweeps: int = SWEEPS) -> list[list[int]]:
+    return local_search(best_fit(lengths, capacity), lengths, capacity, partners, sweeps)
 
 
-def _round(pieces: DataFrame, number: int, shard_size: int, capacity: int) -> DataFrame:
+def _round(pieces: DataFrame, number: int, shard_size: int, capacity: int, partners: int, sweeps: int) -> DataFrame:
     shards = max(1, -(-pieces.count() // shard_size))
-    dealt = pieces.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    # mixed, as the partition's number stands in the high bits of a row's
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards).cast("long")))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ignore_index=True)
         lengths = group["length"].to_numpy()
         seq, offset, fill = np.zeros(len(group), "i8"), np.zeros(len(group), "i8"), np.zeros(len(group), "i8")
-        for k, b in enumerate(packed(lengths, capacity)):
+        for k, b in enumerate(packed(lengths, capacity, partners, sweeps)):
             ends = np.cumsum(lengths[b])
             seq[b], offset[b], fill[b] = k, ends - lengths[b], ends[-1]
         group["sequence_id"] = seq + (number << 56) + group["shard"].to_numpy() * (1 << 24)
@@ -285,12 +288,12 @@ def _round(pieces: DataFrame, number: int, shard_size: int, capacity: int) -> Da
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_size: int = SHARD, tight: float = TIGHT
+    docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_size: int = SHARD, tight: float = TIGHT, partners: int = PARTNERS, sweeps: int = SWEEPS
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = written(cut(docs, vocabulary, id_col=id_col, text_col=text_col, capacity=capacity), "pack-pieces")
     names = [x.split()[0] for x in PIECES.split(", ")]
-    first = written(_round(pieces, 1, shard_size, capacity), "pack-round")
+    first = written(_round(pieces, 1, shard_size, capacity, partners, sweeps), "pack-round")
     done, loose = first.where(F.col("fill") >= tight * capacity), first.where(F.col("fill") < tight * capacity).select(names)
-    again = _round(loose, 2, shard_size, capacity)
+    again = _round(loose, 2, shard_size, capacity, partners, sweeps)
     return done.unionByName(again).select(*names, "sequence_id", "offset")
