@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.shared import own_names
+from tallyloom.llm.shared import own_names, spread
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 BASE = KINDS[:4]
@@ -117,8 +118,16 @@ def spans(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int,
     """The base spans, and all spans with their scores. An added span yields to a base span that it overlaps."""
     base = base_spans(text)
     found = [(s, k, e, score(text, KINDS[k], s, e)) for s, k, e in base]
+    starts, ends = [], []  # the base spans as runs without overlap, for a binary search
+    for s, _, e in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for s, k, e in _proposed(text):
-        if not any(a < e and s < b for a, _, b in base) and (x := score(text, KINDS[k], s, e)) >= threshold:
+        at = bisect_left(starts, e) - 1  # the last run that begins before this span ends
+        if not (at >= 0 and ends[at] > s) and (x := score(text, KINDS[k], s, e)) >= threshold:
             found.append((s, k, e, x))
     return base, sorted(found)
 
@@ -144,7 +153,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = own_names(docs, doc_id=id_col, text=text_col)
-    return rows.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(batches, SCHEMA)
+    return spread(rows.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(batches, SCHEMA)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
