@@ -22,12 +22,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.shared import own_names
+from tallyloom.llm.shared import own_names, spread
 
 WORD = re.compile(r"\w+|[^\w\s]")
 MARK = "▁"
 #: Words whose counts a worker keeps; beyond it forgets them all and begins anew.
 MEMO = 200_000
+#: Characters of a word that is remembered at most, so that the memo is bounded in bytes; longer ones are counted each time.
+REMEMBERED = 64
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
@@ -104,7 +106,9 @@ class _Memo(dict):
         if len(self) >= MEMO:
             self.clear()
         found = self.auto.count(word)
-        self[word] = n = -1 if found is None else found
+        n = -1 if found is None else found
+        if len(word) <= REMEMBERED:
+            self[word] = n
         return n
 
 
@@ -124,7 +128,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = own_names(docs, doc_id=id_col, text=text_col)
-    return rows.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(batches, SCHEMA)
+    return spread(rows.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(batches, SCHEMA)
 
 
 def greedy_count(pieces: set[str], word: str) -> int | None:
