@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import wordhash
-from tallyloom.llm.shared import free_name, own_names, small, written
+from tallyloom.llm.shared import free_name, own_names, small, spread, written
 
 N, THRESHOLD = 5, (4, 5)  # words of a shingle; similarity as a fraction
 COORDS, DEPTH, LIMIT, RECALL = 128, 3, 256, 0.9995
@@ -273,7 +273,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bro
     """One row per document: doc_id, class_id (smallest id of all that it is linked with, directly or by others),
     n_links (other documents at the threshold), tag (hash of its text), stays (it is its class's one document)."""
     rows = own_names(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) tag", "text")
-    sketches = written(rows.mapInArrow(_sketched, _SKETCH), "join-sketches")
+    sketches = written(spread(rows).mapInArrow(_sketched, _SKETCH), "join-sketches")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
     reps = sketches.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"), rep.alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     reps = written(reps, "join-reps")

@@ -36,13 +36,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch_mark() -> int:
+    """How many tables are written so far, for :func:`forget_since`."""
+    return len(_written)
+
+
+def forget_since(mark: int) -> None:
+    """Deletes the tables that were written after ``mark``, but for the last one, which must read none of the others."""
+    for spark, path in _written[mark:-1]:
+        _delete(spark, path)
+    _written[mark:] = _written[-1:]
+
+
 @atexit.register
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the cluster's own clean-up takes the folder
             return
 
