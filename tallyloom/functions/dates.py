@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyyMMdd", "dd-MMM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd")
+FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyyMMdd", "dd-MMM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "MM/dd/yyyy")
 FAR = 999  # days between dates of which one is invalid
 
 
@@ -28,7 +28,7 @@ def statement_date(yymmdd: Column) -> Column:
 
 
 def parse_date(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """yyyymmdd from text in the first format that fits, or from a spreadsheet's day number; 0 if none does."""
+    """yyyymmdd from text in the first format that fits (month before day comes last), or from a spreadsheet's day number; 0 if none does."""
     t = F.trim(c.cast("string"))
     serial = F.when(t.rlike(r"^[0-9]{5}(\.[0-9]+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(F.try_to_number(F.regexp_extract(t, "^([0-9]{5})", 1), F.lit("99999"))).cast("int")))
     day = F.split_part(t, F.lit(" "), F.lit(1))

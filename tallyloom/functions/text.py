@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Characters that separate the parts of a reference. Fixed values.
 SEPARATORS = " \t/\\-_.,;:|()[]{}'\""
-_SPLIT = r"[\s/\\\-_.,;:|()\[\]{}'\"]+"
+_SPLIT = "[\\s" + "".join(f"\\{c}" for c in SEPARATORS if not c.isspace()) + "]+"
 MIN_NORMAL = 3
 DIGIT_SHARE, MIN_DIGITS = 0.40, 2
 
@@ -56,3 +56,14 @@ def merged_description(a: Column, b: Column) -> Column:
     """The text that contains the other, else both."""
     x, y = F.trim(text(a)), F.trim(text(b))
     return F.when(F.contains(x, y), x).when(F.contains(y, x), y).otherwise(F.concat_ws(" ", x, y))
+
+
+def detail(details: Column, key: str) -> Column:
+    """One value of a log entry's JSON details as text; null where the text is no JSON or lacks the key."""
+    return F.try_variant_get(F.try_parse_json(details), f"$.{key}", "string")
+
+
+def unlike(c: Column, part: Column | str) -> Column:
+    """Whether a text is there and does not hold ``part``, case aside: NOT LIKE '%part%'. An empty part is held by every text."""
+    part = F.lit(part) if isinstance(part, str) else part
+    return F.coalesce(~F.contains(F.upper(c), F.upper(text(part))), F.lit(False))

@@ -30,7 +30,7 @@ def ref_token_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT)
     return l.join(r, ["session_id", "type", "key"]).select(KEYS).distinct()
 
 
-def _bin(a: Column, tol: Tolerance) -> Column:
+def amount_bin(a: Column, tol: Tolerance) -> Column:
     """The bin of an amount; amounts in one another's window are in the same or in neighbouring bins."""
     if tol.amount_pct > 0:
         step = math.log1p(max(tol.amount_pct / 100 * 2, 1e-6))
@@ -45,7 +45,7 @@ def amount_window_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAU
     Amounts fall into bins at least as wide as the window: equal ones for an absolute tolerance, growing ones for a
     percentage. The left row looks into its bin and the two next to it, so the join is an equi-join with a filter.
     """
-    bin_of = lambda a: _bin(a, tol)
+    bin_of = lambda a: amount_bin(a, tol)
     l = left.select("session_id", F.col("row_number").alias("l_row"), T.mirrored(F.col("sign")).alias("type"), F.col("amount").alias("l_amount"))
     l = l.withColumn("bin", F.explode(F.array(*[bin_of(F.col("l_amount")) + d for d in (-1, 0, 1)])))
     r = right.select("session_id", F.col("row_number").alias("r_row"), "type", F.col("amount").alias("r_amount")).withColumn("bin", bin_of(F.col("r_amount")))
@@ -53,23 +53,37 @@ def amount_window_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAU
     return l.join(r, ["session_id", "type", "bin"]).where(near).select(KEYS)
 
 
-def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``pairs`` with both rows as structs ``l`` and ``r``."""
-    l = left.select("session_id", F.col("row_number").alias("l_row"), F.struct(*left.columns).alias("l"))
-    r = right.select("session_id", F.col("row_number").alias("r_row"), F.struct(*right.columns).alias("r"))
+def fx_window_join(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame:
+    """session_id, l_row, r_row of mirrored rows whose amount lies within ``fx_bps`` of the left one times its ``rate``.
+
+    The converted amounts fall into growing bins, as percentages do; rows without a rate have no such candidates.
+    """
+    there = left.where("rate is not null and rate * amount <> 0").withColumn("amount", F.col("amount") * F.col("rate"))
+    return amount_window_join(there, right, Tolerance(amount_abs=0.0, amount_pct=tol.fx_bps / 100))
+
+
+def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """``pairs`` with both rows, or of them the ``wanted`` columns, as structs ``l`` and ``r``."""
+    some = lambda df: F.struct(*[c for c in df.columns if wanted is None or c in wanted])
+    l = left.select("session_id", F.col("row_number").alias("l_row"), some(left).alias("l"))
+    r = right.select("session_id", F.col("row_number").alias("r_row"), some(right).alias("r"))
     return pairs.join(l, ["session_id", "l_row"]).join(r, ["session_id", "r_row"])
 
 
 def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame:
     """session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref: every pair that some tier accepts, by its first one.
 
-    Amounts are searched only if a tier can do without a reference. A pair found both ways is judged once.
+    Amounts are searched only if a tier can do without a reference, converted ones if ``tol.fx_bps`` is set and left rows have
+    a ``rate``. A pair found both ways is judged once. Only the columns that tiers read travel with the pairs.
     """
     tiers = T.default_tiers() if tiers is None else tiers
     pairs = ref_token_join(left, right, tol)
-    if not T.all_gated_by_ref(tiers) or tol.fx_bps > 0:
-        pairs = pairs.unionByName(amount_window_join(left, right, tol)).distinct()
-    rows = with_rows(pairs, left, right).withColumn("t", T.first_tier(tiers, F.col("l"), F.col("r"), tol)).where("t is not null")
+    if not T.all_gated_by_ref(tiers):
+        pairs = pairs.unionByName(amount_window_join(left, right, tol))
+        if tol.fx_bps > 0 and "rate" in left.columns:
+            pairs = pairs.unionByName(fx_window_join(left, right, tol))
+        pairs = pairs.distinct()
+    rows = with_rows(pairs, left, right, T.columns(tiers) | {"amount", "our_ref"}).withColumn("t", T.first_tier(tiers, F.col("l"), F.col("r"), tol)).where("t is not null")
     diff = F.col("r.amount") - F.col("l.amount")
     return rows.select(*KEYS, "t.tier", "t.auto_confirm", diff.alias("amount_diff"), F.col("l.our_ref").alias("ref"))
 
@@ -94,12 +108,12 @@ def equal_rows(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = N
     l = left.select(
         "session_id", T.mirrored(F.col("sign")).alias("type"), "amount", "value_date", F.col("row_number").alias("row"), F.col("our_ref").alias("ref"),
         (F.size(text.ref_keys([F.col("our_ref")], [F.col("booking_text_1"), F.col("booking_text_2")], tol.min_ref_len)) > 0).alias("keyed"),
-        (F.length(text.normalize_ref(F.col("our_ref"))) >= tol.min_ref_len).alias("carries"), _bin(F.col("amount"), tol).alias("bin"),
+        (F.length(text.normalize_ref(F.col("our_ref"))) >= tol.min_ref_len).alias("carries"), amount_bin(F.col("amount"), tol).alias("bin"),
     )
     r = right.select(
         "session_id", "type", "amount", "value_date", F.col("row_number").alias("row"),
         (F.size(text.ref_keys([F.col("trn_ref"), F.col("external_ref")], [F.col("narration")], tol.min_ref_len)) > 0).alias("keyed"),
-        (long("trn_ref") | long("external_ref")).alias("carries"), _bin(F.col("amount"), tol).alias("bin"),
+        (long("trn_ref") | long("external_ref")).alias("carries"), amount_bin(F.col("amount"), tol).alias("bin"),
     )
 
     def plain(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
@@ -111,5 +125,8 @@ def equal_rows(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = N
     return both.select(*KEYS, F.lit(free[0].number).alias("tier"), F.lit(free[0].auto_confirm).alias("auto_confirm"), F.lit(0.0).alias("amount_diff"), "ref")
 
 
-def strict(left: DataFrame, right: DataFrame, tier: T.Tier, tol: Tolerance = DEFAULT) -> DataFrame:
-    return candidates(left, right, [tier], tol)
+def at_tier(left: DataFrame, right: DataFrame, number: int, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame:
+    """The candidates that fall to one tier. Later tiers are not looked at, so tiers of references alone search no amounts."""
+    tiers = T.active(T.default_tiers() if tiers is None else tiers)
+    upto = max((i for i, t in enumerate(tiers, 1) if t.number == number), default=0)
+    return candidates(left, right, tiers[:upto], tol).where(F.col("tier") == number)

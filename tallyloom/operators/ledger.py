@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text
 from tallyloom.operators import resolve
+from tallyloom.operators.candidates import amount_bin
 from tallyloom.operators.tolerance import DEFAULT, Tolerance, amount_ok, window
 
 #: What balances an open item of a sign: ledger items look for statement signs and the other way round.
@@ -64,17 +65,13 @@ def carry_forward(items: DataFrame, rows: DataFrame, tol: Tolerance = DEFAULT) -
 
     done = first.select(F.col("session_id").alias("account_id"), F.col("l_row").alias("item_id"))
     used = first.select(F.col("session_id").alias("account_id"), F.col("r_row").alias("row_number"))
-    step = 2 * max(tol.amount_abs, 1e-6) + 4e-9
     i2 = i.join(done, ["account_id", "item_id"], "left_anti")
     r2 = r.join(used, ["account_id", "row_number"], "left_anti")
-    if tol.amount_pct > 0:
-        near = F.lit(True)
-    else:
-        i2 = i2.withColumn("bin", F.explode(F.array(*[F.floor(F.col("amount") / step) + k for k in (-1, 0, 1)])))
-        near = F.col("i.bin") == F.col("rb")
-    r2 = r2.select(F.col("account_id").alias("ra"), "row_number", F.col("amount").alias("rm"), F.col("sign").alias("rs"), F.col("value_date").alias("rv"), F.floor(F.col("amount") / step).alias("rb"))
-    on = (F.col("i.account_id") == F.col("ra")) & (F.col("want") == F.col("rs")) & near
-    cols = ["account_id", "item_id", "want", F.col("amount").alias("ia"), F.col("value_date").alias("iv")] + (["bin"] if tol.amount_pct <= 0 else [])
+    # equal bins for an absolute tolerance, growing ones for a percentage: an equi-join either way
+    i2 = i2.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("amount"), tol) + k for k in (-1, 0, 1)])))
+    r2 = r2.select(F.col("account_id").alias("ra"), "row_number", F.col("amount").alias("rm"), F.col("sign").alias("rs"), F.col("value_date").alias("rv"), amount_bin(F.col("amount"), tol).alias("rb"))
+    on = (F.col("i.account_id") == F.col("ra")) & (F.col("want") == F.col("rs")) & (F.col("i.bin") == F.col("rb"))
+    cols = ["account_id", "item_id", "want", "bin", F.col("amount").alias("ia"), F.col("value_date").alias("iv")]
     p2 = i2.select(*cols).alias("i").join(r2, on).where((F.abs(F.col("rm") - F.col("ia")) <= window(F.col("ia"), tol)) & dates.date_close(F.col("iv"), F.col("rv"), tol.days))
     p2 = p2.select(F.col("i.account_id").alias("session_id"), F.col("item_id").alias("l_row"), F.col("row_number").alias("r_row"), F.lit(0).alias("tier"), (F.col("rm") - F.col("ia")).alias("amount_diff"))
     second = claims(p2).withColumn("phase", F.lit(2))
@@ -102,11 +99,29 @@ def balance_check(rows: DataFrame, balances: DataFrame, keys: list[str]) -> Data
     return out.withColumn("delta", delta).withColumn("balanced", F.abs("delta") < 0.01)
 
 
-def continuity(chain: DataFrame, tolerance: float = DEFAULT.continuity_abs) -> DataFrame:
-    """chain: account_id, seq, opening, closing. Each file's opening against the closing before it; the first has none."""
-    before = F.lag("closing").over(Window.partitionBy("account_id").orderBy("seq"))
-    out = chain.withColumn("anchor", before).withColumn("gap", F.round(F.col("opening") - F.col("anchor"), 4))
-    return out.withColumn("accepted", F.col("anchor").isNull() | (F.abs("gap") <= tolerance))
+def continuity(chain: DataFrame, tolerance: float | str = DEFAULT.continuity_abs, forced: str | None = None) -> DataFrame:
+    """chain: account_id, seq, opening, closing. Each file's opening against the closing of the last accepted file before it.
+
+    A refused file leaves the anchor where it was, so the files after it are refused until one fits or is accepted by force
+    (``forced``, a boolean column). The first file of an account has no anchor and is accepted. ``tolerance`` is a number or a
+    column. An account's files, one a day or so, are folded in order in one row.
+    """
+    within = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
+    force = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    files = chain.select("account_id", F.struct("seq", "opening", "closing", within.alias("tol"), force.alias("forced"), F.struct(*chain.columns).alias("row")).alias("f"))
+    files = files.groupBy("account_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    none = F.lit(None).cast("double")
+    done = "array<struct<anchor:double,gap:double,accepted:boolean>>"
+    start = F.struct(none.alias("anchor"), F.array().cast(done).alias("done"))
+
+    def step(state: Column, f: Column) -> Column:
+        gap = F.round(f["opening"] - state["anchor"], 4)
+        accepted = state["anchor"].isNull() | f["forced"] | F.coalesce(F.abs(gap) <= f["tol"], F.lit(False))
+        here = F.struct(state["anchor"].alias("anchor"), gap.alias("gap"), accepted.alias("accepted"))
+        return F.struct(F.when(accepted, f["closing"]).otherwise(state["anchor"]).alias("anchor"), F.concat(state["done"], F.array(here)).alias("done"))
+
+    out = files.select(F.explode(F.arrays_zip("fs", F.aggregate("fs", start, step)["done"].alias("done"))).alias("z"))
+    return out.select("z.fs.row.*", "z.done.*")
 
 
 def running_anchor(chain: DataFrame, net: str = "net") -> DataFrame:
@@ -151,3 +166,24 @@ def close_sessions(sessions: DataFrame, now: Column, hours: int) -> DataFrame:
     """Open sessions of an age in hours are closed; closed ones stay as they are."""
     old = F.unix_timestamp(now) - F.unix_timestamp("created_at") >= hours * 3600
     return sessions.withColumn("status", F.when((F.col("status") == "open") & old, "closed").otherwise(F.col("status")))
+
+
+def close(sessions: DataFrame, now: Column, hours: int, left: DataFrame, right: DataFrame, assignments: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, new open items): what :func:`close_sessions` closes leaves its residue as open items. Closing again adds none."""
+    after = close_sessions(sessions, now, hours)
+    closing = after.where("status = 'closed'").select("session_id").join(sessions.where("status = 'open'").select("session_id"), "session_id", "left_semi")
+    mine = lambda df: df.join(closing, "session_id", "left_semi")
+    return after, seed(mine(left), mine(right), assignments, items)
+
+
+def manual_clearing(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (item_id, side, row_number) with ``refused``: an item is cleared by a row of the opposite side, once, while it is open.
+
+    Of several requests for one item that could be granted, the one with the smallest row is.
+    """
+    rows = requests.join(items.select("item_id", F.col("side").alias("item_side"), F.col("status").alias("item_status")), "item_id", "left")
+    why = F.when(F.col("item_status").isNull(), "no such item").when(F.col("item_status") != "open", "not open").when(F.col("side") == F.col("item_side"), "same side")
+    rows = rows.withColumn("refused", why)
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("refused").isNotNull(), "row_number", "side"))
+    again = F.col("refused").isNull() & (place > 1)
+    return rows.withColumn("refused", F.when(again, "cleared already").otherwise(F.col("refused"))).drop("item_side", "item_status")

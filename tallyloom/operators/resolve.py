@@ -24,25 +24,26 @@ def order() -> Column:
 def greedy(pairs: DataFrame) -> DataFrame:
     """The assignments that a sequential greedy pass in :func:`order` takes.
 
-    Each round takes every pair that comes first at both of its rows; no earlier pair can claim either, so the result is
-    the sequential one. Pairs at claimed rows go, the rest is written and taken up by the next round. Once a round leaves
-    more than half of the pairs, they form long chains (n equal rows of both sides need n rounds): :func:`_in_order`
-    resolves what is left in one pass.
+    Each round takes every pair that comes first at both of its rows, uncontested ones among them; no earlier pair can claim
+    either, so the result is the sequential one. Pairs at claimed rows go; the contested rest is taken up by the next round.
+    A round shuffles by left, right and left rows again, joins nothing and is written once. Once a round leaves more than half
+    of the pairs, they form long chains (n equal rows of both sides need n rounds): :func:`_in_order` resolves what is left in
+    one pass.
     """
-    open_ = written(pairs.withColumn("_o", order()), "greedy-open")
-    taken, before = None, open_.count()
+    open_, taken, before = pairs.withColumn("_o", order()), None, None
+    by_l, by_r = Window.partitionBy(_L), Window.partitionBy(_R)
     while True:
-        best_l = open_.groupBy(_L).agg(F.min("_o").alias("_l"))
-        best_r = open_.groupBy(_R).agg(F.min("_o").alias("_r"))
-        first = open_.join(best_l, _L).join(best_r, _R).where((F.col("_o") == F.col("_l")) & (F.col("_o") == F.col("_r"))).select(pairs.columns)
-        first = written(first, "greedy-taken")
+        rows = open_.withColumn("_l", F.min("_o").over(by_l)).withColumn("_r", F.min("_o").over(by_r))
+        rows = rows.withColumn("_first", (F.col("_o") == F.col("_l")) & (F.col("_o") == F.col("_r"))).drop("_l", "_r")
+        rows = rows.withColumn("_used_r", F.max("_first").over(by_r)).withColumn("_used_l", F.max("_first").over(by_l))
+        rows = written(rows.where("_first or not (_used_l or _used_r)"), "greedy-round")
+        first = rows.where("_first").select(pairs.columns)
         taken = first if taken is None else taken.unionByName(first)
-        rest = open_.join(first.select(_L), _L, "left_anti").join(first.select(_R), _R, "left_anti")
-        open_ = written(rest, "greedy-open")
+        open_ = rows.where("not _first").select(*pairs.columns, "_o")
         left = open_.count()
         if not left:
             return taken
-        if 2 * left > before:
+        if 2 * left > (rows.count() if before is None else before):
             return taken.unionByName(written(_in_order(open_).select(pairs.columns), "greedy-taken"))
         before = left
 

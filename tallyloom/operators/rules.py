@@ -60,22 +60,25 @@ def backfill(items: DataFrame, rules: list[Rule], into: str, default: str) -> Da
 
 
 def auto_match(pending: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each pending assignment with the first automatic rule that holds, or without (rule null).
+    """Each pending assignment with the first automatic rule that holds, or without (rule null); equal rows stay as many.
 
     pending: id columns and tier, amount_diff, l_ref, r_ref, l_date, r_date; rules: rule_id, priority, require_tier,
     require_amount_exact, max_amount_diff, require_ref_match, require_same_date; null requirements do not matter. The
-    rules are a configuration table, of which every assignment keeps the least by (priority, rule_id).
+    rules are a configuration table, read once and compiled to one CASE in order of (priority, rule_id).
     """
     l, r = text.normalize_ref(F.col("l_ref")), text.normalize_ref(F.col("r_ref"))
-    gap = F.abs("amount_diff")
-    ok = (
-        (F.col("require_tier").isNull() | (F.col("tier") == F.col("require_tier")))
-        & (~F.coalesce("require_amount_exact", F.lit(False)) | (gap <= EXACT))
-        & (F.col("max_amount_diff").isNull() | (gap <= F.col("max_amount_diff")))
-        & (~F.coalesce("require_ref_match", F.lit(False)) | F.contains(r, l) | F.contains(l, r))
-        & (~F.coalesce("require_same_date", F.lit(False)) | ((F.col("l_date") != 0) & (F.col("l_date") == F.col("r_date"))))
-    )
-    keyed = pending.withColumn("_row", F.struct(*pending.columns))
-    hits = keyed.join(rules, ok, "left")
-    best = hits.groupBy("_row").agg(F.min(F.when(F.col("rule_id").isNotNull(), F.struct("priority", "rule_id"))).alias("_best"))
-    return best.select("_row.*", F.col("_best.rule_id").alias("rule"))
+    gap, chain = F.abs("amount_diff"), None
+    for rule in rules.orderBy("priority", "rule_id").collect():
+        ok = F.lit(True)
+        if rule["require_tier"] is not None:
+            ok = ok & (F.col("tier") == rule["require_tier"])
+        if rule["require_amount_exact"]:
+            ok = ok & (gap <= EXACT)
+        if rule["max_amount_diff"] is not None:
+            ok = ok & (gap <= rule["max_amount_diff"])
+        if rule["require_ref_match"]:
+            ok = ok & (F.contains(r, l) | F.contains(l, r))
+        if rule["require_same_date"]:
+            ok = ok & (F.col("l_date") != 0) & (F.col("l_date") == F.col("r_date"))
+        chain = F.when(ok, rule["rule_id"]) if chain is None else chain.when(ok, rule["rule_id"])
+    return pending.withColumn("rule", chain if chain is not None else F.lit(None).cast("int"))

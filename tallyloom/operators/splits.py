@@ -1,8 +1,9 @@
 """One-to-many, many-to-one and many-to-many matches among rows that one-to-one matching left over.
 
-Subsets are enumerated inside Arrow functions. Groups are bounded before they are collected: one-to-many pools
-are the rows of one reference and of references connected to it, many-to-many pools the rows of a few days of a session, of which larger ones are not
-searched at all (``POOL``), which is the operator's rule and not a cut of its input.
+Subsets are searched inside Arrow functions. One-to-many pools are the rows of one reference and of references connected to
+it; a pool of n rows is searched by sorted sums of pairs, in some n * n steps. Many-to-many pools are the rows of a few days
+of a session, of which larger ones are not searched at all (``POOL``), which is the operator's rule and not a cut of its
+input; a group is a run of days of one session whose pools share rows, so it holds at most ``2 * POOL`` rows a day.
 """
 
 from __future__ import annotations
@@ -37,6 +38,52 @@ def _near(totals: np.ndarray, target: float, tol: Tolerance) -> np.ndarray:
     return ok | (gap / np.maximum(np.maximum(np.abs(totals), abs(target)), 1.0) * 100 <= tol.amount_pct) if tol.amount_pct > 0 else ok
 
 
+def first_subset(amounts: list[float], target: float, tol: Tolerance) -> list[int] | None:
+    """The first combination of two to four places, in order of size and then of places, whose sum is close to ``target``.
+
+    Two amounts of a combination are given; the others are looked up among sorted amounts or sorted sums of two.
+    """
+    n, a = len(amounts), np.asarray(amounts, float)
+    if n < 2:
+        return None
+    share = min(tol.amount_pct / 100, 0.99)
+    reach = max(tol.amount_abs, share / (1 - share) * max(abs(target), 1.0)) + 1e-9 * (1 + abs(target) + float(np.abs(a).sum()))
+    fits = lambda places: _close(sum(amounts[p] for p in places), target, tol)
+    by = np.argsort(a, kind="stable")
+    one = a[by]
+
+    def beyond(base: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which of ``base`` have some sorted value at the right distance."""
+        return np.searchsorted(values, target - base - reach) < np.searchsorted(values, target - base + reach, "right")
+
+    for i in np.flatnonzero(beyond(a, one)).tolist():
+        near = by[np.searchsorted(one, target - a[i] - reach) : np.searchsorted(one, target - a[i] + reach, "right")]
+        for j in np.sort(near[near > i]).tolist():
+            if fits((i, j)):
+                return [i, j]
+    if n < 3 or MAX_SUBSET < 3:
+        return None
+    first, second = np.triu_indices(n, 1)
+    two = a[first] + a[second]
+    for at in np.flatnonzero(beyond(two, one)).tolist():
+        i, j = int(first[at]), int(second[at])
+        near = by[np.searchsorted(one, target - two[at] - reach) : np.searchsorted(one, target - two[at] + reach, "right")]
+        for k in np.sort(near[near > j]).tolist():
+            if fits((i, j, k)):
+                return [i, j, k]
+    if n < 4 or MAX_SUBSET < 4:
+        return None
+    order = np.argsort(two, kind="stable")
+    sums = two[order]
+    for at in np.flatnonzero(beyond(two, sums)).tolist():
+        i, j = int(first[at]), int(second[at])
+        near = order[np.searchsorted(sums, target - two[at] - reach) : np.searchsorted(sums, target - two[at] + reach, "right")]
+        for p in np.sort(near[first[near] > j]).tolist():  # places of pairs are in their order
+            if fits((i, j, int(first[p]), int(second[p]))):
+                return [i, j, int(first[p]), int(second[p])]
+    return None
+
+
 def _pools(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
     """one: session_id, row, type, key, amount; many the same. Pools of ``many`` for each row of ``one`` by related keys.
 
@@ -60,24 +107,17 @@ def _claimed(pools: DataFrame, tol: Tolerance) -> DataFrame:
 
     schema = pa.schema([("session_id", pa.int64()), ("o", pa.int64()), ("ms", pa.list_(pa.int64())), ("gap", pa.float64())])
 
-    def first(pool: list[tuple[int, float]], target: float) -> tuple[list[int], float] | None:
-        for size in range(2, min(MAX_SUBSET, len(pool)) + 1):
-            for picked in combinations(pool, size):
-                total = sum(a for _, a in picked)
-                if _close(total, target, tol):
-                    return [m for m, _ in picked], total - target
-        return None
-
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "c", "o", "oa", "m", "ma"))))
         group, used, out = None, set(), []
         for (session, c, o, target), pool in groupby(rows, key=lambda r: r[:4]):
             if (session, c) != group:
                 group, used = (session, c), set()
-            hit = first([(m, a) for *_, m, a in pool if m not in used], target)
+            free = [(m, a) for *_, m, a in pool if m not in used]
+            hit = first_subset([a for _, a in free], target, tol)
             if hit:
-                used.update(hit[0])
-                out.append({"session_id": session, "o": o, "ms": hit[0], "gap": hit[1]})
+                used.update(free[p][0] for p in hit)
+                out.append({"session_id": session, "o": o, "ms": [free[p][0] for p in hit], "gap": sum(free[p][1] for p in hit) - target})
             if len(out) == 10000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
@@ -126,8 +166,8 @@ def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) ->
     """session_id, l_rows, r_rows, tier 6: two or three rows of each side whose sums agree within a band of days.
 
     For each left date, in order, the rows of both sides within the band form a pool; a pool of more than ``POOL`` rows
-    on a side is not searched. Claims go on from date to date, so a session is one group; rows in no searchable pool
-    are left out before.
+    on a side is not searched. Claims go on from date to date as long as pools share rows, so a group is a run of dates that
+    are at most two bands apart; rows in no searchable pool are left out before.
     """
     band = max(tol.days, 1)
     day = lambda c: F.unix_date(F.try_to_date(c.cast("string"), "yyyyMMdd"))
@@ -137,7 +177,10 @@ def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) ->
     near = both.select("session_id", "at", "row", F.explode(F.sequence(F.col("day") - band, F.col("day") + band)).alias("anchor"))
     sizes = near.groupBy("session_id", "anchor").agg(F.count_if(F.col("at") == "l").alias("nl"), F.count_if(F.col("at") == "r").alias("nr"))
     anchors = sizes.where(f"nl between 2 and {POOL} and nr between 2 and {POOL}").join(l.select("session_id", F.col("day").alias("anchor")).distinct(), ["session_id", "anchor"], "left_semi")
-    pools = near.join(anchors.select("session_id", "anchor"), ["session_id", "anchor"]).join(both, ["session_id", "at", "row"])
+    days = Window.partitionBy("session_id").orderBy("anchor")
+    begins = F.coalesce((F.col("anchor") - F.lag("anchor").over(days) > 2 * band).cast("int"), F.lit(0))
+    runs = anchors.select("session_id", "anchor", begins.alias("begins")).withColumn("run", F.sum("begins").over(days)).drop("begins")
+    pools = near.join(runs, ["session_id", "anchor"]).join(both, ["session_id", "at", "row"])
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         used: set[tuple[str, int]] = set()
@@ -169,7 +212,7 @@ def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) ->
         lists = [pd.Series([x[i] for x in out], dtype=object) for i in (0, 1)]
         return pd.DataFrame({"session_id": [session] * len(out), "l_rows": lists[0], "r_rows": lists[1], "tier": [6] * len(out), "amount_diff": [x[2] for x in out]})
 
-    return pools.groupBy("session_id").applyInPandas(find, _OUT)
+    return pools.groupBy("session_id", "run").applyInPandas(find, _OUT)
 
 
 def persisted(found: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def condition(c: Condition, l: Column, r: Column, tol: Tolerance = DEFAULT) -> C
     """One condition; an unknown one never holds."""
     key, p = (c.field, c.op), c.params
     if key == ("amount", "equal_within_tol"):
-        return amount_ok(l["amount"], r["amount"], tol)
+        return amount_ok(l["amount"], r["amount"], tol, l["rate"] if tol.fx_bps > 0 else None)
     if key == ("amount", "exact"):
         return l["amount"] == r["amount"]
     if key == ("value_date", "equal"):
@@ -124,6 +124,17 @@ def all_gated_by_ref(tiers: list[Tier]) -> bool:
     return all(any(c.op == "symmetric_in_narration" for c in t.conditions) for t in active(tiers))
 
 
+#: The columns that each kind of condition reads.
+_READS = {"amount": ("amount", "rate"), "value_date": ("value_date",), "sign": ("sign", "type"), "narration": ("booking_text_1", "booking_text_2", "narration"),
+          "ref": ("our_ref", "booking_text_1", "booking_text_2", "narration", "external_ref", "trn_ref")}
+
+
+def columns(tiers: list[Tier]) -> set[str]:
+    """The columns of both sides that the active tiers read."""
+    conditions = [c for t in active(tiers) for c in t.conditions]
+    return {x for c in conditions for x in (*_READS.get(c.field, ()), c.params.get("left"), c.params.get("right")) if x}
+
+
 def holds(tier: Tier, l: Column, r: Column, tol: Tolerance = DEFAULT) -> Column:
     out = F.lit(True)
     for c in tier.conditions:

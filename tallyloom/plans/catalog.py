@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import ledgers, matching, reports, streams
+from tallyloom.plans import intake, ledgers, matching, reports, sessions, streams
 
-_MODULES = (matching, ledgers, reports, streams)
+_MODULES = (matching, ledgers, sessions, reports, intake, streams)
 
 
 def queries() -> dict:

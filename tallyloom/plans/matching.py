@@ -80,7 +80,7 @@ def amount_range_join(spark, d):
 
 def _tier(name, number):
     def run(spark, d):
-        return _shown(C.candidates(*_sides(spark, d)).where(F.col("tier") == number))
+        return _shown(C.at_tier(*_sides(spark, d), number))
 
     Q[name], O[name] = run, "WITH " + D.PAIRS + " " + _CAND.format("cand") + f" WHERE tier = {number}"
 
@@ -168,7 +168,7 @@ def full_outer_engine_diff(spark, d):
     return R.engine_diff(pairs.where("tier in (1, 2)"), new).select("l_row", "r_row", "verdict")
 
 
-@query("""WITH rates AS (SELECT date_trunc('month', o_orderdate) AS rate_date, 'USD' AS ccy, round(avg(o_totalprice) / 100000, 6) AS rate FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1)
+@query("""WITH rates AS (SELECT date_trunc('month', o_orderdate) AS rate_date, 'USD' AS ccy, round(avg(o_totalprice) / 100000, 6) AS rate FROM orders GROUP BY 1)
 SELECT o.o_orderkey, r.rate, CASE WHEN abs(o.o_totalprice - o.o_totalprice * r.rate) <= 0.01 OR abs(o.o_totalprice - o.o_totalprice * r.rate) <= abs(o.o_totalprice * r.rate) * 0.5 THEN TRUE ELSE FALSE END AS ok
 FROM orders o ASOF LEFT JOIN rates r ON o.o_orderdate >= r.rate_date""")
 def asof_fx(spark, d):

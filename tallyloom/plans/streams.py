@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.plans import ledgers
 from tallyloom.streaming import flows
 
 Q, O = {}, {}
@@ -31,10 +32,38 @@ def stream_open_item_state(spark, d):
     return flows.drained(flows.item_state(rows), "update", merge=flows.latest("account_id"))
 
 
-Q |= {f.__name__: f for f in (stream_tumbling_daily, stream_dedupe, stream_session_window, stream_open_item_state)}
+def stream_counterparts(spark, d):
+    """Every second event is the ledger's side of an item whose statement side is another event of the same user, however late."""
+    i = F.col("event_id")
+    rows = flows.events(spark, d).select(F.col("user_id").alias("account_id"), F.concat(F.lit("R"), F.floor(i / 4).cast("string")).alias("ref"), F.when(i % 2 == 0, "ledger").otherwise("statement").alias("side"), (F.floor(i / 8) * 1.0).alias("amount"), F.col("ts").alias("at"))
+    return flows.drained(flows.counterparts(rows), "update", merge=flows.latest("account_id", "ref"))
+
+
+def stream_anchors(spark, d):
+    """The files of every account in two folders, one after the other; the chain's state goes on from the first to the second."""
+    import uuid
+
+    from tallyloom.operators.store import shared_folder
+    from tallyloom.plans.ledgers import _chain
+
+    path = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    chain = _chain(spark, d).select("account_id", "seq", "opening", "closing")
+    for at, part in enumerate((F.col("seq") < "1995-01-01", F.col("seq") >= "1995-01-01")):
+        chain.where(part).coalesce(1).write.parquet(f"{path}/{at}")
+    stream = spark.readStream.schema(chain.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    return flows.drained(flows.anchor_state(stream), "append")
+
+
+Q |= {f.__name__: f for f in (stream_tumbling_daily, stream_dedupe, stream_session_window, stream_open_item_state, stream_counterparts, stream_anchors)}
 O |= {
     "stream_tumbling_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
     "stream_dedupe": "SELECT DISTINCT user_id || '-' || event_type AS key FROM events",
+    "stream_session_window": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), s AS (SELECT *, sum(CASE WHEN gap < INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n_s FROM e)
+SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 6 HOUR AS TIMESTAMP) AS "end", count(*) AS n FROM s GROUP BY user_id, n_s""",
+    "stream_counterparts": """WITH e AS (SELECT user_id AS account_id, 'R' || (event_id // 4) AS ref, ts, CASE WHEN event_id % 2 = 0 THEN event_id // 8 END AS l, CASE WHEN event_id % 2 = 1 THEN event_id // 8 END AS s FROM events),
+g AS (SELECT account_id, ref, min(ts) AS opened_at, max(ts) AS last_at, sum(l) AS l, sum(s) AS s FROM e GROUP BY 1, 2)
+SELECT account_id, ref, opened_at, CASE WHEN abs(l - s) < 0.01 THEN 'cleared' ELSE 'open' END AS status, CASE WHEN abs(l - s) < 0.01 THEN last_at END AS cleared_at FROM g""",
+    "stream_anchors": ledgers.O["continuity_chain"].replace("SELECT account_id, seq, anchor, gap, accepted FROM fold", "SELECT account_id, seq, anchor, accepted FROM fold"),
     "stream_open_item_state": """SELECT user_id AS account_id, count(*) FILTER (WHERE event_id % 4 <> 0) - count(*) FILTER (WHERE event_id % 4 = 0) AS open_items,
  round(sum(CASE WHEN event_id % 4 = 0 THEN -value ELSE value END), 2) AS open_amount, count(*) FILTER (WHERE event_id % 4 = 0) AS cleared_items FROM events GROUP BY 1""",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import dates
 
 _ENTRY = "path string, row_number int, amount double, mark string, value_date string, book_date string, our_refs array<string>, their_refs array<string>, texts array<string>, info string, fallback_date string"
-_META = "path string, account string, currency string, statement_ref string, balances array<struct<code:string,amount:double,mark:string,date:string>>, containers int"
+_META = "path string, account string, currency string, statement_ref string, balances array<struct<code:string,amount:double,mark:string,date:string>>, containers int, error string"
 
 
 def _name(e: ET.Element) -> str:
@@ -37,8 +37,16 @@ def _number(text: str | None) -> float | None:
         return None
 
 
-def _containers(text: str) -> list[ET.Element]:
-    return [e for e in ET.fromstring(text.strip().encode()).iter() if _name(e) in ("Stmt", "Ntfctn")]
+def _containers(text: str | None) -> tuple[list[ET.Element], str | None]:
+    """A file's statements and notifications, or why it was refused: declarations of types or entities are never expanded."""
+    text = (text or "").strip()
+    if "<!DOCTYPE" in text or "<!ENTITY" in text:
+        return [], "document type declared"
+    try:
+        found = [e for e in ET.fromstring(text.encode()).iter() if _name(e) in ("Stmt", "Ntfctn")]
+    except (ET.ParseError, ValueError, LookupError):
+        return [], "not well-formed"
+    return found, None if len(found) == 1 else f"{len(found)} statements"
 
 
 def _day(e: ET.Element, tag: str) -> str | None:
@@ -49,15 +57,16 @@ def entries(files: DataFrame) -> DataFrame:
     """path, text -> statement rows. Entries without a numeric amount are left out but keep their number.
 
     Own reference: end-to-end, instruction, entry reference, then UETR; theirs: servicer's, then transaction id.
-    Dates fall back from value to booking to the container's. Only files of one container are read.
+    Dates fall back from value to booking to the container's. Only well-formed files of one container are read; what is
+    wrong with the others is in :func:`statements`.
     """
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, text in zip(part["path"], part["text"]):
-                boxes = _containers(text)
-                if len(boxes) != 1:
+                boxes, why = _containers(text)
+                if why:
                     continue
                 box = boxes[0]
                 fallback = (_text(box, "CreDtTm") or _text(box, "FrToDt", "ToDtTm") or "")[:10] or None
@@ -81,21 +90,21 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """One row per file: account, currency, opening (OPBD or PRCD, whichever is first) and closing (CLBD) balances, containers."""
+    """One row per file: account, currency, opening (OPBD or PRCD, whichever is first) and closing (CLBD) balances, whether it is valid, and else the error."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, text in zip(part["path"], part["text"]):
-                boxes = _containers(text)
+                boxes, why = _containers(text)
                 box = boxes[0] if boxes else ET.Element("none")
                 balances = [
                     {"code": _text(b, "Tp", "CdOrPrtry", "Cd"), "amount": _number(_text(b, "Amt")), "mark": _text(b, "CdtDbtInd"), "date": _day(b, "Dt") or _text(b, "Dt")} for b in _all(box, "Bal")
                 ]
                 ccy = _text(box, "Acct", "Ccy") or next((a.get("Ccy") for a in box.iter() if _name(a) == "Amt"), None)
-                rows.append((path, _text(box, "Acct", "Id", "IBAN") or _text(box, "Acct", "Id", "Othr", "Id"), ccy, _text(box, "Id"), balances, len(boxes)))
-            yield pd.DataFrame(rows, columns=["path", "account", "currency", "statement_ref", "balances", "containers"]).astype({"balances": object})
+                rows.append((path, _text(box, "Acct", "Id", "IBAN") or _text(box, "Acct", "Id", "Othr", "Id"), ccy, _text(box, "Id"), balances, len(boxes), why))
+            yield pd.DataFrame(rows, columns=["path", "account", "currency", "statement_ref", "balances", "containers", "error"]).astype({"balances": object})
 
     raw = files.select("path", "text").mapInPandas(read, _META)
     pick = lambda *codes: F.get(F.filter("balances", lambda b: b["code"].isin(*codes)), F.lit(0))
-    return raw.select("path", "account", "currency", "statement_ref", pick("OPBD", "PRCD").alias("opening"), pick("CLBD").alias("closing"), (F.col("containers") == 1).alias("valid"))
+    return raw.select("path", "account", "currency", "statement_ref", pick("OPBD", "PRCD").alias("opening"), pick("CLBD").alias("closing"), F.col("error").isNull().alias("valid"), "error")

@@ -29,21 +29,31 @@ PRESETS = {
     "plain": Profile("plain", {"value_date": "Date", "ref": "Ref", "narration": "Memo", "amount": "Amount"}),
     "two columns": Profile("two columns", {"value_date": "Date", "ref": "Receipt", "narration": "Details", "paid_in": "Paid In", "withdrawn": "Withdrawn"}, sign_convention="two_columns"),
     "marked": Profile("marked", {"value_date": "Date", "ref": "Ref", "narration": "Memo", "amount": "Amount", "sign": "Dr/Cr"}, sign_convention="sign_column"),
+    "wallet statement": Profile("wallet statement", {"value_date": "Completion Time", "ref": "Receipt No.", "narration": "Details", "paid_in": "Paid In", "withdrawn": "Withdrawn"}, sign_convention="two_columns"),
+    "wallet transfers": Profile("wallet transfers", {"value_date": "Transaction Date", "ref": "Transaction ID", "narration": "Description", "amount": "Amount", "sign": "Type", "currency": "Currency"}, sign_convention="sign_column"),
+    "card switch": Profile("card switch", {"value_date": "Local Date", "ref": "RRN", "narration": "Merchant", "amount": "Amount"}, sign_convention="positive_debit"),
+    "piped ledger": Profile("piped ledger", {"value_date": "VALUE_DATE", "booking_date": "BOOKING_DATE", "ref": "TRN_REF", "narration": "NARRATIVE", "amount": "AMOUNT", "sign": "DRCR", "currency": "CCY"}, delimiter="|", sign_convention="sign_column"),
     "european": Profile("european", {"value_date": "Datum", "ref": "Referenz", "narration": "Text", "amount": "Betrag"}, delimiter=";", date_format="dd.MM.yyyy"),
 }
 
 
+def _record(d: str) -> str:
+    """A record's pattern: a field is quoted if it begins with a quote that is closed; line breaks end only other fields."""
+    field = rf'(?:"[^"]*+(?:""[^"]*+)*+"[^{d}\r\n]*+|[^{d}\r\n]*+)'
+    return rf"{field}(?:{d}{field})*+"
+
+
 def rows(files: DataFrame, profile: Profile) -> DataFrame:
     """path, text -> path, row_number (over all data rows that are not blank), extra (header -> cell)."""
-    lines = F.filter(F.split("text", r"\r?\n"), lambda s: F.trim(s) != "")
+    d = {"|": r"\|", "\t": "\t"}.get(profile.delimiter, profile.delimiter)
+    lines = F.filter(F.regexp_extract_all("text", F.lit(_record(d)), F.lit(0)), lambda s: F.trim(s) != "")
     data = files.select("path", F.slice(lines, profile.skip_rows + profile.header_row + 1, F.size(lines)).alias("lines")).where(F.size("lines") > 0)
     # quoted cells keep their delimiters: cells are matched, not split
-    d = {"|": r"\|", "\t": "\t"}.get(profile.delimiter, profile.delimiter)
-    cell = rf'(?:^|{d})("(?:[^"]|"")*"|[^{d}]*)'
+    cell = rf'(?:^|{d})("[^"]*+(?:""[^"]*+)*+"|[^{d}]*)'
 
     def cells(line: Column) -> Column:
         found = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
-        return F.transform(found, lambda c: F.trim(F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
+        return F.transform(found, lambda c: F.trim(F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
 
     named = data.select("path", cells(F.get("lines", F.lit(0))).alias("header"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("i", "line"))
     got = named.withColumn("cells", cells(F.col("line"))).where(F.exists("cells", lambda c: c != ""))

@@ -84,6 +84,9 @@ def triaged(files: DataFrame, ingested: DataFrame, registry: DataFrame) -> DataF
 
 #: Words that name a column, by field. The first field's first fitting column wins.
 SYNONYMS = {
+    "booking_date": ("booking date", "posting date", "entry date", "book date"),
+    "ac_no": ("account number", "account no", "ac no", "ac_no", "account"),
+    "ac_branch": ("branch code", "branch", "ac_branch"),
     "value_date": ("value date", "transaction date", "date"),
     "amount": ("amount", "value", "total"),
     "ref": ("reference", "ref", "transaction id", "id"),
@@ -113,3 +116,9 @@ def ledger_table(spark: SparkSession, url: str, query: str, *, key: str, low: in
     """A core-banking extract over JDBC, read in ranges of ``key`` by as many tasks."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q")
     return reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
+
+
+def balance_before(rows: DataFrame, day: int, keys: list[str]) -> DataFrame:
+    """Per account the signed sum of the ledger rows (type, amount, value_date as yyyymmdd) before a day: its opening balance."""
+    signed = F.when(F.col("type") == "CR", F.col("amount")).otherwise(-F.col("amount"))
+    return rows.where(F.col("value_date") < day).groupBy(*keys).agg(F.round(F.sum(signed), 2).alias("opening"), F.count("*").alias("rows"))

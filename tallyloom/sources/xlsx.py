@@ -39,10 +39,14 @@ def sheets(content: bytes) -> Iterator[tuple[int, str, int, list[str | None]]]:
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in s.iter() if _local(t) == "t") for s in ET.fromstring(book.read("xl/sharedStrings.xml")) if _local(s) == "si"]
-    names = [s.get("name") for s in ET.fromstring(book.read("xl/workbook.xml")).iter() if _local(s) == "sheet"]
-    for i, name in enumerate(names):
+    # sheets stand in the workbook's order; which part holds one is told by its relationship
+    parts = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    listed = [s for s in ET.fromstring(book.read("xl/workbook.xml")).iter() if _local(s) == "sheet"]
+    for i, sheet in enumerate(listed):
+        name, target = sheet.get("name"), parts[next(v for k, v in sheet.items() if k.endswith("}id"))]
+        part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         number = 0
-        for row in (e for e in ET.fromstring(book.read(f"xl/worksheets/sheet{i + 1}.xml")).iter() if _local(e) == "row"):
+        for row in (e for e in ET.fromstring(book.read(part)).iter() if _local(e) == "row"):
             number = int(row.get("r") or number + 1)
             cells: list[str | None] = []
             for c in row:

@@ -1,4 +1,4 @@
-"""Structured Streaming counterparts: daily windows, exactly-once intake, sessions of activity, keyed open-item state."""
+"""Structured Streaming counterparts: daily windows, exactly-once intake, sessions of activity, open items, late counterparts, anchors."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyloom.operators.store import shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-STATE = "account_id long, open_items long, open_amount double, cleared_items long"
 
 
 def events(spark: SparkSession, folder: str, glob: str = "events*.parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -38,20 +37,48 @@ def once(stream: DataFrame, key: str, late: str | None = None) -> DataFrame:
 
 
 def item_state(stream: DataFrame) -> DataFrame:
-    """stream: account_id, kind ("open" or "clear"), amount. Each account's open items, as they change; they never expire."""
+    """stream: account_id, kind ("open" or "clear"), amount. Each account's open items, as they change: a built-in aggregate.
+
+    The state is a row per account; it never expires, as an account's items do not.
+    """
+    opened = F.col("kind") == "open"
+    return stream.groupBy("account_id").agg(
+        F.sum(F.when(opened, 1).otherwise(-1)).alias("open_items"), F.round(F.sum(F.when(opened, F.col("amount")).otherwise(-F.col("amount"))), 2).alias("open_amount"), F.count_if(~opened).alias("cleared_items")
+    )
+
+
+def counterparts(stream: DataFrame) -> DataFrame:
+    """stream: account_id, ref, side ("statement" or "ledger"), amount, at. Each reference's item, as it changes.
+
+    An item is open from its first row on, and is cleared when its other side comes, however late, with an amount within a
+    cent. The state is a row per account and reference.
+    """
+    total = lambda side: F.sum(F.when(F.col("side") == side, F.col("amount")))
+    rows = stream.groupBy("account_id", "ref").agg(F.min("at").alias("opened_at"), F.max("at").alias("last_at"), total("statement").alias("s"), total("ledger").alias("l"))
+    cleared = F.coalesce(F.abs(F.col("s") - F.col("l")) < 0.01, F.lit(False))
+    return rows.select("account_id", "ref", "opened_at", F.when(cleared, "cleared").otherwise("open").alias("status"), F.when(cleared, F.col("last_at")).alias("cleared_at"))
+
+
+def anchor_state(stream: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """stream: account_id, seq, opening, closing. Every file as it comes, with the anchor it met and whether it was accepted.
+
+    The state of an account is the closing of its last accepted file; a refused file leaves it. Files of one batch are taken in
+    order of ``seq``, batches in the order of their arrival.
+    """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, amount, gone = state.get if state.exists else (0, 0.0, 0)
-        for part in parts:
-            opened = part["kind"] == "open"
-            n += int(opened.sum()) - int((~opened).sum())
-            gone += int((~opened).sum())
-            amount += float(part["amount"].where(opened, -part["amount"]).sum())
-        state.update((n, amount, gone))
-        yield pd.DataFrame({"account_id": [key[0]], "open_items": [n], "open_amount": [round(amount, 2)], "cleared_items": [gone]})
+        anchor = state.get[0] if state.exists else None
+        files = pd.concat([p for p in parts if len(p)]).sort_values("seq")
+        out = []
+        for seq, opening, closing in zip(files["seq"], files["opening"], files["closing"]):
+            fits = anchor is None or abs(round(opening - anchor, 4)) <= tolerance
+            out.append((key[0], seq, anchor, fits))
+            anchor = closing if fits else anchor
+        state.update((anchor,))
+        yield pd.DataFrame(out, columns=["account_id", "seq", "anchor", "accepted"])
 
-    rows = stream.select("account_id", "kind", "amount")
-    return rows.groupBy("account_id").applyInPandasWithState(fold, STATE, "n long, amount double, gone long", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.select("account_id", "seq", "opening", "closing")
+    return rows.groupBy("account_id").applyInPandasWithState(fold, "account_id long, seq timestamp_ntz, anchor double, accepted boolean", "anchor double", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str, *, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -59,14 +86,16 @@ def drained(stream: DataFrame, mode: str, *, merge: Callable[[DataFrame], DataFr
 
     Batches are written with their number; ``merge`` gets them all (column ``_batch``) and keeps what counts.
     """
-    base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/_batch=-1")  # where no file is, there is no batch
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/_batch={number}")  # a batch that is run again replaces itself
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    got = stream.sparkSession.read.schema(stream.schema.add("_batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    got = spark.read.schema(stream.schema.add("_batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
     return (merge(got) if merge else got).drop("_batch")
 
 
@@ -76,10 +105,11 @@ def last_batch(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(last), F.col("_batch") == F.col("_last")).drop("_last")  # one row
 
 
-def latest(key: str) -> Callable[[DataFrame], DataFrame]:
+def latest(*keys: str) -> Callable[[DataFrame], DataFrame]:
     """Update mode: of each key the row of its last batch."""
+
     def merge(df: DataFrame) -> DataFrame:
-        return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), "_batch").alias("r")).select("r.*")
+        return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "_batch").alias("r")).select("r.*")
 
     return merge
 

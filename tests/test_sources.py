@@ -111,3 +111,59 @@ def test_files(spark, tmp_path):
     assert sorted((r.account, r.n, r.status) for r in pairs) == [("1", 1, "paired"), ("1", 2, "no_partner"), ("2", 1, "paired")]
     assert files.guess_columns(["Txn Date", "Description", "Amount", "Ref No"]) == {"value_date": "Txn Date", "amount": "Amount", "ref": "Ref No", "narration": "Description"}
     assert files.is_xlsx is not None and pytest
+
+
+def test_quoted_line_breaks_and_lone_quotes(spark):
+    from tallyloom.sources import csv_profile
+
+    text = 'Date,Ref,Memo,Amount\r\n2024-01-05,A1,"two\nlines, ""quoted""",5.00\r\n2024-01-06,A2,5" pipe,6.00\n\n2024-01-07,A3,"open,7.00\n2024-01-08,A4,x,12/05/2024\n'
+    good, bad = csv_profile.load(spark.createDataFrame([("f", text)], "path string, text string"), csv_profile.PRESETS["plain"])
+    got = {x.trn_ref: (x.narration, x.amount) for x in good.collect()}
+    assert got["A1"] == ('two\nlines, "quoted"', 5.0) and got["A2"] == ('5" pipe', 6.0) and got["A3"] == ('"open', 7.0)
+    assert [(x.row_number, x.error) for x in bad.collect()] == [(4, "amount")]
+
+
+def test_a_malformed_camt_file_is_an_error_row(spark):
+    from tallyloom.sources import camt
+
+    fine = '<Document xmlns="urn:x"><A><Stmt><Id>S</Id><Ntry><Amt Ccy="EUR">5.00</Amt><CdtDbtInd>CRDT</CdtDbtInd></Ntry></Stmt></A></Document>'
+    bomb = '<!DOCTYPE x [<!ENTITY a "b">]>' + fine
+    files = spark.createDataFrame([("fine", fine), ("cut", fine[:50]), ("bomb", bomb), ("null", None), ("two", fine.replace("</A>", "<Stmt/></A>"))], "path string, text string")
+    assert [(x.path, x.amount) for x in camt.entries(files).collect()] == [("fine", 5.0)]
+    assert {x.path: x.error for x in camt.statements(files).collect()} == {"fine": None, "cut": "not well-formed", "bomb": "document type declared", "null": "not well-formed", "two": "2 statements"}
+
+
+def test_sheets_are_found_by_relationship(spark):
+    import io
+    import zipfile
+
+    from tallyloom.sinks.tables import sheet_bytes
+    from tallyloom.sources import xlsx
+
+    one, two = (zipfile.ZipFile(io.BytesIO(sheet_bytes(n, ["h"], [(n,)]))) for n in ("first", "second"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("xl/workbook.xml", f'<workbook xmlns:r="{rel}"><sheets><sheet name="first" sheetId="1" r:id="r9"/><sheet name="second" sheetId="2" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r9" Target="/xl/worksheets/sheet7.xml"/></R>')
+        z.writestr("xl/worksheets/sheet1.xml", two.read("xl/worksheets/sheet1.xml"))
+        z.writestr("xl/worksheets/sheet7.xml", one.read("xl/worksheets/sheet1.xml"))
+    rows = xlsx.rows(spark.createDataFrame([("b", bytearray(out.getvalue()))], "path string, content binary")).where("row = 2").collect()
+    assert {(x.sheet_name, x.cells[0]) for x in rows} == {("first", "first"), ("second", "second")}
+
+
+def test_every_message_of_a_file_is_read(spark):
+    from tallyloom.sources import mt
+
+    one = "{1:F01A}{2:I940BANKGB2LXXXXN}{4:\n:20:A\n:25:ACC\n:28C:1\n:60F:C240101USD10\n:61:2401050106D5,NTRFREF1//B1\nmore\n:86:paid\n:61:240105C,5NTRFREF2\n:61:240106RD7,25NTRFREF 3\n:62F:C240131USD5,\n-}"
+    m = mt.messages(spark.createDataFrame([("f", one + "\n" + one.replace("REF1", "REF9"))], "path string, text string"))
+    got = [(x.path, x.row_number, x.amount, x.sign, x.reversed, x.book_date, x.our_ref, x.their_ref, x.booking_text_1, x.booking_text_2) for x in mt.lines(m).orderBy("path", "row_number").collect()]
+    first = [("f", 1, 5.0, "D", False, 20240106, "REF1", "B1", "more", "paid"), ("f", 3, 7.25, "D", True, 20240106, "REF 3", "", "", "")]
+    assert got == first + [("f#2", *first[0][1:6], "REF9", *first[0][7:]), ("f#2", *first[1][1:])]
+    assert [(x.path, x.opening.amount, x.closing.amount) for x in mt.statements(m).orderBy("path").collect()] == [("f", 10.0, 5.0), ("f#2", 10.0, 5.0)]
+
+
+def test_an_empty_folder_streams_nothing(spark, tmp_path):
+    from tallyloom.streaming import flows
+
+    assert flows.drained(flows.daily(flows.events(spark, str(tmp_path))), "complete", merge=flows.last_batch).count() == 0
