@@ -1,14 +1,14 @@
 """N-gram Jaccard join by chosen paths: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
 1. One pass over the texts turns each set of shingles into an exact key of the set, ``COORDS`` min-hash coordinates (a
-   one-byte sketch of each) and, for each of ``RUNS`` independent runs, a path: at every node a coordinate is drawn from
-   the path so far, and the set goes to the child named by the shared token that this coordinate samples.
+   one-byte sketch of each) and, for each of ``RUNS`` independent runs, a tree of paths: every node draws ``BRANCH``
+   coordinates from its path, and the set goes to each child that is named by a token which they sample from it.
 2. Rows of equal sets form a class, combined before any exchange. Only one representative of each goes on.
 3. The recursion: buckets of one set end, buckets of at most ``LIMIT`` are leaves, larger ones are split by the next
-   token. Runs are repeated until the recall of a pair at the threshold, which is at least J per level of the path, is
-   ``RECALL``. A bucket that is still larger at the last level is not cut short: its members are compared block by block,
+   token. Runs are repeated until a pair at the threshold, whose paths part with probability 1 - J at every child, shares a
+   leaf with probability ``RECALL``. A bucket that is still larger at the last level is not cut short: its members are compared block by block,
    each pair of blocks in a group of its own.
-4. Leaves are brute-forced by sketches; a pair belongs to the first run in which its sets share a leaf, so it is treated
+4. Leaves are brute-forced by sketches; a pair belongs to the first place at which its sets share a leaf, so it is treated
    once. Members of likely pairs fetch their whole sets, and the similarity is computed exactly.
 5. A leaf returns one row per member: its links and the member that its part of the leaf hangs on; pairs are never
    written out. Components of these stars give the class ids.
@@ -27,16 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import wordhash
 from tallyloom.llm.shared import free_name, own_names, small, spread, written
 
 N, THRESHOLD = 5, (4, 5)  # words of a shingle; similarity as a fraction
-COORDS, DEPTH, LIMIT, RECALL = 128, 3, 256, 0.9995
+COORDS, BRANCH, DEPTH, LIMIT, RECALL = 128, 2, 3, 256, 0.9995
+
+
+def _missed(depth: int) -> float:
+    """The probability that a pair at the threshold shares no node at a depth of one run: each child parts it, or all below it do."""
+    return (1 - THRESHOLD[0] / THRESHOLD[1] * (1 - _missed(depth - 1))) ** BRANCH if depth else 0.0
+
+
 #: Runs until a pair at the threshold is missed by all with probability 1 - RECALL even if its leaves lie deepest.
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (THRESHOLD[0] / THRESHOLD[1]) ** DEPTH))
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(_missed(DEPTH)))
+#: Places of nodes at each level, in the order of paths, and of leaves: a leaf above the last level takes the first place below it.
+WIDTHS = [RUNS * BRANCH ** (d + 1) for d in range(DEPTH)]
+PLACES = WIDTHS[-1]
+#: Nodes of the tree below a first child, itself included.
+TREE = sum(BRANCH**d for d in range(DEPTH))
 #: A sketch's estimate may fall this many standard deviations below the threshold before its pair is dropped.
 SLACK = 4.0
 FLOOR = THRESHOLD[0] / THRESHOLD[1] - SLACK * math.sqrt(0.8 * 0.2 / COORDS)
@@ -71,15 +83,21 @@ def _min_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _paths(m: np.ndarray) -> np.ndarray:
-    """(sets, RUNS * DEPTH): the chosen path of every run after each of its tokens."""
-    out, each = np.empty((len(m), RUNS, DEPTH), np.uint64), np.arange(len(m))
-    for r in range(RUNS):
-        path = np.full(len(m), _SEED[r])
-        for d in range(DEPTH):
-            token = m[each, (wordhash.mix(path) % np.uint64(COORDS)).astype(np.int64)]
-            path = wordhash.mix(path * np.uint64(0x9E3779B97F4A7C15) + token)
-            out[:, r, d] = path
-    return out.reshape(len(m), -1)
+    """(sets, WIDTHS[0] * TREE): the trees of the nodes that a set reaches, each level by level; 0 where two children of a node have one name."""
+    n, levels, each = len(m), [], np.arange(len(m))[:, None]
+    above = np.broadcast_to(_SEED[None, :RUNS], (n, RUNS))
+    for _ in range(DEPTH):
+        nodes = np.repeat(above, BRANCH, axis=1)
+        draw = np.tile(np.arange(1, BRANCH + 1, dtype=np.uint64), above.shape[1]) * np.uint64(0xD6E8FEB86659FD93)
+        coordinate = (wordhash.mix(nodes + draw) % np.uint64(COORDS)).astype(np.int64)
+        child = wordhash.mix(nodes * np.uint64(0x9E3779B97F4A7C15) + m[each, coordinate]) | np.uint64(1)
+        child[nodes == 0] = 0
+        family = child.reshape(n, -1, BRANCH)
+        for k in range(1, BRANCH):  # a child that an earlier draw of its node has named already
+            family[:, :, k][(family[:, :, :k] == family[:, :, k : k + 1]).any(axis=2)] = 0
+        above = child
+        levels.append(child.reshape(n, WIDTHS[0], -1))
+    return np.concatenate(levels, axis=2).reshape(n, -1)
 
 
 def _sketched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,33 +130,43 @@ def _sketched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(reps: DataFrame) -> DataFrame:
-    """cls, run, leaf, n: where the recursion ends for each class and run, without buckets of one."""
-    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.struct(r.alias("run"), F.slice("paths", r * DEPTH + 1, DEPTH).alias("path")))
-    open_ = reps.select("cls", F.inline(runs))
-    done = None
-    for d in range(DEPTH):
-        at = open_.withColumn("leaf", F.col("path")[d])
+    """cls, place, leaf, n: where the recursion ends for each class and path, without buckets of one."""
+    trees = F.transform(F.sequence(F.lit(0), F.lit(WIDTHS[0] - 1)), lambda p: F.struct(p.alias("at"), F.slice("paths", p * TREE + 1, TREE).alias("tree")))
+    open_, done = reps.select("cls", F.inline(trees)), None
+    for d, width in enumerate(WIDTHS):
+        at = open_.withColumn("leaf", F.col("tree")[0]).where("leaf <> 0")
         counts = written(at.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "join-counts")
-        at = written(at.join(small(counts, BROADCAST_ROWS), "leaf"), "join-level")
-        ends = at.where(F.col("n") <= LIMIT) if d < DEPTH - 1 else at
-        ends = ends.select("cls", "run", "leaf", "n")
+        at = written(at.join(small(counts, BROADCAST_ROWS), "leaf").withColumn("tree", F.when(F.col("n") > LIMIT, F.col("tree"))), "join-level")
+        last = d == DEPTH - 1
+        ends = at if last else at.where(F.col("n") <= LIMIT)
+        ends = ends.select("cls", (F.col("at") * (PLACES // width)).alias("place"), "leaf", "n")
         done = ends if done is None else done.unionByName(ends)
-        open_ = at.where(F.col("n") > LIMIT).select("cls", "run", "path")
+        if not last:
+            open_ = at.where(F.col("n") > LIMIT).select("cls", F.inline(F.array(*[_below(j, DEPTH - 1 - d) for j in range(BRANCH)])))
     return done
 
 
+def _below(j: int, levels: int) -> Column:
+    """struct(at, tree) of the j-th child: of every further level its share of the nodes."""
+    places, begin = [], 1
+    for k in range(levels):
+        places += [begin + j * BRANCH**k + i for i in range(BRANCH**k)]
+        begin += BRANCH ** (k + 1)
+    return F.struct((F.col("at") * BRANCH + j).alias("at"), F.array(*[F.col("tree")[i] for i in places]).alias("tree"))
+
+
 def _members(reps: DataFrame) -> DataFrame:
     """One row per class and leaf; of a leaf above LIMIT, one for each pair of blocks that the class's block is in."""
     leaves = _leaves(reps)
-    by_run = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))  # at most RUNS entries
-    known = leaves.groupBy("cls").agg(by_run.alias("m")).select(
-        "cls", F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.element_at("m", r), F.lit(0).cast("long"))).alias("leaves")
+    by_place = F.map_from_entries(F.collect_list(F.struct("place", "leaf")))  # at most PLACES entries
+    known = leaves.groupBy("cls").agg(by_place.alias("m")).select(
+        "cls", F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda r: F.coalesce(F.element_at("m", r), F.lit(0).cast("long"))).alias("leaves")
     )
     blocks = F.ceil(F.col("n") / LIMIT).cast("int")
     rows = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", "leaf"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     g = F.xxhash64("leaf", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(g.alias("g"), "cls", "block", (F.col("block") != F.col("other")).alias("crossed"), "run")
+    rows = rows.select(g.alias("g"), "cls", "block", (F.col("block") != F.col("other")).alias("crossed"), F.col("place").alias("run"))
     rows = rows.join(known, "cls").join(reps.select("cls", "sketch", "size"), "cls")
     return rows.select([x.split()[0] for x in _MEMBER.split(", ")])
 
@@ -171,7 +199,7 @@ def _owned(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     g = table.column("g").to_numpy()
     block, crossed, run = (table.column(c).to_numpy() for c in ("block", "crossed", "run"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, COORDS)
-    leaves = np.array(table.column("leaves").to_pylist(), np.int64).reshape(n, RUNS)
+    leaves = np.array(table.column("leaves").to_pylist(), np.int64).reshape(n, PLACES)
     ends = np.flatnonzero(np.append(g[1:] != g[:-1], True)) + 1
     later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n) - 1
     upto = np.cumsum(later)
