@@ -33,7 +33,7 @@ from tallyloom.llm.shared import own_names, written
 CENTRES, WIDTH = 16, 2
 SAMPLE, ROUNDS, T = 8192, 6, 0.2
 #: Entries of a block, queries that meet it at once in the scan and in the exact ranking, candidates of a query, queries in one array.
-BLOCK, QUERIES, ASKED, RERANK, AT_ONCE = 32768, 4096, 65536, 1024, 64
+BLOCK, QUERIES, ASKED, RERANK, AT_ONCE = 32768, 4096, 65536, 512, 64
 
 
 def _split(x: np.ndarray) -> np.ndarray:
