@@ -34,7 +34,9 @@ from tallyloom.llm import wordhash
 from tallyloom.llm.shared import free_name, own_names, small, spread, written
 
 N, THRESHOLD = 5, (4, 5)  # words of a shingle; similarity as a fraction
-COORDS, BRANCH, DEPTH, LIMIT, RECALL = 128, 2, 3, 256, 0.9995
+COORDS, BRANCH, DEPTH, LIMIT, RECALL = 128, 2, 2, 256, 0.9995
+#: Members of a leaf that are compared in one group; a larger leaf is dealt into blocks of so many, and each pair of blocks is a group.
+BLOCK = 1024
 
 
 def _missed(depth: int) -> float:
@@ -156,13 +158,13 @@ def _below(j: int, levels: int) -> Column:
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """One row per class and leaf; of a leaf above LIMIT, one for each pair of blocks that the class's block is in."""
+    """One row per class and leaf; of a leaf above BLOCK, one for each pair of blocks that the class's block is in."""
     leaves = _leaves(reps)
     by_place = F.map_from_entries(F.collect_list(F.struct("place", "leaf")))  # at most PLACES entries
     known = leaves.groupBy("cls").agg(by_place.alias("m")).select(
         "cls", F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda r: F.coalesce(F.element_at("m", r), F.lit(0).cast("long"))).alias("leaves")
     )
-    blocks = F.ceil(F.col("n") / LIMIT).cast("int")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", "leaf"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     g = F.xxhash64("leaf", F.least("block", "other"), F.greatest("block", "other"))

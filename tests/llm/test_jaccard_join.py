@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from tallyloom.llm import jaccard_join as J
 
 
@@ -44,7 +46,10 @@ def corpus(seed=5):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-def test_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [J.BLOCK, 100])
+def test_equals_brute_force(spark, monkeypatch, block):
+    """Leaves in one group, and in pairs of blocks."""
+    monkeypatch.setattr(J, "BLOCK", block)
     rows = corpus() + [(900, None), (901, ""), (902, "one two"), (903, "One  two."), (904, "?!"), (None, "one two"), (905, "p " * 4000), (905, "p " * 4000), (906, "a b c d e")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, class_id int")
     got = J.join(docs).collect()
