@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from itertools import combinations, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,37 +181,55 @@ def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) ->
     runs = anchors.select("session_id", "anchor", begins.alias("begins")).withColumn("run", F.sum("begins").over(days)).drop("begins")
     pools = near.join(runs, ["session_id", "anchor"]).join(both, ["session_id", "at", "row"])
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[tuple[str, int]] = set()
-        out = []
-        group = group.sort_values(["anchor", "row"])
-        for _, pool in group.groupby("anchor", sort=True):
+    def search(left: list[tuple[int, float]], right: list[tuple[int, float]], used: set[tuple[str, int]]) -> Iterator[tuple[list[int], list[int], float]]:
+        """The matches of one pool, in order of left combinations; each claims its rows."""
+        amounts = np.array([a for _, a in right])
+        tuples = [np.array(list(combinations(range(len(right)), n)), int).reshape(-1, n) for n in range(2, SIDE + 1)]
+        sums = [amounts[t].sum(axis=1) if len(t) else np.zeros(0) for t in tuples]
+        # left combinations that no right sum is near are left out before; claims only make hits fewer
+        every = np.sort(np.concatenate(sums))
+        reach = max(tol.amount_abs, tol.amount_pct / 100 * (2 * sum(abs(a) for _, a in left + right) + 1)) + 1e-6
+        free = np.array([("r", i) not in used for i, _ in right], bool)
+        for m in range(2, SIDE + 1):
+            choices = list(combinations(left, m))
+            totals = np.array([sum(a for _, a in ls) for ls in choices])
+            near = np.searchsorted(every, totals - reach) < np.searchsorted(every, totals + reach, "right") if choices else []
+            for k in np.flatnonzero(near).tolist():
+                ls, total = choices[k], sum(a for _, a in choices[k])
+                if any(("l", i) in used for i, _ in ls):
+                    continue
+                for t, s in zip(tuples, sums):
+                    hit = np.flatnonzero(_near(s, total, tol) & free[t].all(axis=1)) if len(t) else t
+                    if len(hit):
+                        rs = [right[j] for j in t[hit[0]]]
+                        free[t[hit[0]]] = False
+                        used.update([("l", i) for i, _ in ls] + [("r", i) for i, _ in rs])
+                        yield [i for i, _ in ls], [i for i, _ in rs], sum(a for _, a in rs) - total
+                        break
+
+    schema = pa.schema([("session_id", pa.int64()), ("l_rows", pa.list_(pa.int64())), ("r_rows", pa.list_(pa.int64())), ("tier", pa.int32()), ("amount_diff", pa.float64())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pools in order of session, run, date and row; what is claimed is kept for one run."""
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "run", "anchor", "row", "at", "type", "amount"))))
+        group, used, out = None, set(), []
+        for (session, run, _), pool in groupby(rows, key=lambda x: x[:3]):
+            if (session, run) != group:
+                group, used = (session, run), set()
+            sides: dict[tuple[str, str], list[tuple[int, float]]] = {}
+            for *_, row, at, kind, amount in pool:
+                sides.setdefault((at, kind), []).append((row, amount))
             for kind in ("DR", "CR"):
-                same = pool[pool["type"] == kind]
-                side = {at: [(int(i), float(a)) for i, a in zip(x["row"], x["amount"])] for at, x in same.groupby("at")}
-                right = side.get("r", [])
-                free = np.array([("r", i) not in used for i, _ in right], bool)
-                amounts = np.array([a for _, a in right])
-                tuples = [np.array(list(combinations(range(len(right)), n)), int).reshape(-1, n) for n in range(2, SIDE + 1)]
-                sums = [amounts[t].sum(axis=1) if len(t) else np.zeros(0) for t in tuples]
-                for m in range(2, SIDE + 1):
-                    for ls in combinations(side.get("l", []), m):
-                        if any(("l", i) in used for i, _ in ls):
-                            continue
-                        total = sum(a for _, a in ls)
-                        for t, s in zip(tuples, sums):
-                            hit = np.flatnonzero(_near(s, total, tol) & free[t].all(axis=1)) if len(t) else t
-                            if len(hit):
-                                rs = [right[k] for k in t[hit[0]]]
-                                free[t[hit[0]]] = False
-                                used |= {("l", i) for i, _ in ls} | {("r", i) for i, _ in rs}
-                                out.append(([i for i, _ in ls], [i for i, _ in rs], sum(a for _, a in rs) - total))
-                                break
-        session = int(group["session_id"].iloc[0])
-        lists = [pd.Series([x[i] for x in out], dtype=object) for i in (0, 1)]
-        return pd.DataFrame({"session_id": [session] * len(out), "l_rows": lists[0], "r_rows": lists[1], "tier": [6] * len(out), "amount_diff": [x[2] for x in out]})
-
-    return pools.groupBy("session_id", "run").applyInPandas(find, _OUT)
+                left, right = sides.get(("l", kind), []), sides.get(("r", kind), [])
+                if min(len(left), len(right)) >= 2:
+                    out += [{"session_id": session, "l_rows": ls, "r_rows": rs, "tier": 6, "amount_diff": gap} for ls, rs, gap in search(left, right, used)]
+            if len(out) >= 10000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    ordered = pools.repartition("session_id", "run").sortWithinPartitions("session_id", "run", "anchor", "row", "at")
+    return ordered.select("session_id", "run", "anchor", "row", "at", "type", "amount").mapInArrow(find, _OUT)
 
 
 def persisted(found: DataFrame) -> DataFrame:
