@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates
 from tallyloom.operators.ledger import CREDIT
+from tallyloom.operators.store import written
 
 DASHBOARD = (("0-1", 1), ("2-3", 3), ("4-7", 7), ("8-30", 30))
 ACCOUNT = (("<=7", 7), ("<=30", 30), ("<=90", 90))
@@ -123,9 +124,13 @@ def match_patterns(decided: DataFrame, min_occurrences: int = 3, caps: tuple[int
     long = rows.select("ok", F.explode(F.concat(*[tagged(k, v) for k, v in kinds.items()])).alias("p"))
     agg = long.groupBy("p.kind", "p.value").agg(F.count("*").alias("total"), F.count_if("ok").alias("confirmed")).where(F.col("total") >= min_occurrences)
     agg = agg.withColumn("rate", F.round(100.0 * F.col("confirmed") / F.col("total"), 1))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(F.col("confirmed") / F.col("total")), F.desc("total"), "value"))
-    cap = F.create_map(*[F.lit(x) for kv in zip(kinds, caps) for x in kv])
-    return agg.withColumn("place", place).where(F.col("place") <= cap[F.col("kind")])
+    agg, out = written(agg, "patterns"), None
+    best = [F.desc(F.col("confirmed") / F.col("total")), F.desc("total"), F.asc("value")]
+    for kind, cap in zip(kinds, caps):  # every task keeps its best ``cap`` of a kind; only these are ranked
+        top = agg.where(F.col("kind") == kind).orderBy(*best).limit(cap)
+        top = top.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*best)))
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def session_totals(left: DataFrame, right: DataFrame, assignments: DataFrame) -> DataFrame:

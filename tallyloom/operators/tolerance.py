@@ -48,11 +48,19 @@ def of_accounts(accounts: DataFrame, settings: DataFrame, tol: Tolerance = DEFAU
 def with_rate(rows: DataFrame, rates: DataFrame, *, date: str, ccy: str) -> DataFrame:
     """As-of join: to each row the latest rate of its currency on or before its date (rates: ccy, rate_date, rate).
 
-    Rates are turned into validity ranges first, so the join is an equi-join by currency with a range condition.
+    Rows and rates meet by currency and month: a month has the rates of its own days and the last one before it. In a month
+    rates become validity ranges, so the join is an equi-join with a range condition, and a row meets a month's rates alone.
     """
     from pyspark.sql import Window
 
-    until = F.lead("rate_date").over(Window.partitionBy("ccy").orderBy("rate_date"))
-    spans = rates.select(F.col("ccy").alias("_ccy"), F.col("rate_date").alias("_from"), until.alias("_until"), "rate")
-    on = (F.col(ccy) == F.col("_ccy")) & (F.col(date) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(date) < F.col("_until")))
-    return rows.join(spans, on, "left").drop("_ccy", "_from", "_until")
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    keyed = rows.withColumn("_month", month(date))
+    rates = rates.select(F.col("ccy").alias("_ccy"), F.col("rate_date").alias("_from"), "rate", month("rate_date").alias("_month"))
+    wanted = keyed.select(F.col(ccy).alias("_ccy"), "_month").distinct()
+    # both sides are one row per currency and month, or day at most
+    earlier = wanted.join(rates.drop("_month"), "_ccy").where(F.col("_from") < F.col("_month")).groupBy("_ccy", "_month").agg(F.max_by(F.struct("_from", "rate"), "_from").alias("r"))
+    of_month = rates.select("_ccy", "_month", "_from", "rate").unionByName(earlier.select("_ccy", "_month", "r._from", "r.rate"))
+    until = F.lead("_from").over(Window.partitionBy("_ccy", "_month").orderBy("_from"))
+    spans = of_month.withColumn("_until", until).withColumnRenamed("_month", "_of")
+    on = (F.col(ccy) == F.col("_ccy")) & (F.col("_month") == F.col("_of")) & (F.col(date) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(date) < F.col("_until")))
+    return keyed.join(spans, on, "left").drop("_ccy", "_from", "_until", "_month", "_of")

@@ -181,6 +181,61 @@ def sink_sessions(spark, d):
     return spark.read.schema("l_row long, tier int, status string, session_id long").parquet(path).select("session_id", "l_row", "tier", "status")
 
 
+@query("WITH " + D.ITEMS + "," + D.SESSIONS_SQL + """ SELECT 'summary' AS part, account_id, sign AS key, count(*) AS n FROM items WHERE status = 'open' GROUP BY 2, 3 UNION ALL SELECT 'items', account_id, '', count(*) FROM items WHERE status = 'open' GROUP BY 2
+UNION ALL SELECT 'continuity', account_id, '', count(*) FROM sess GROUP BY 2""")
+def sink_one_sided(spark, d):
+    """The book of one-sided accounts, written and counted."""
+    from tallyloom.plans.ledgers import _chain
+
+    path = f"{shared_folder(spark)}/book-{uuid.uuid4().hex}"
+    tables.one_sided(D.items(spark, d), _chain(spark, d), path)
+    part = lambda name, key: spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("part"), "account_id", key.alias("key"), *([F.col("items").alias("n")] if name == "summary" else [F.lit(1).cast("long").alias("n")]))
+    rows = part("summary", F.col("sign")).unionByName(part("items", F.lit(""))).unionByName(part("continuity", F.lit("")))
+    return rows.groupBy("part", "account_id", "key").agg(F.sum("n").alias("n"))
+
+
+@query("WITH " + D.ITEMS + """ SELECT category AS key, count(*) AS n FROM items WHERE status = 'open' GROUP BY 1""")
+def sink_certificate(spark, d):
+    """A certificate's frozen figures, read back from their JSON text."""
+    figures = D.items(spark, d).where("status = 'open'").groupBy(F.col("category").alias("key")).agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount")).withColumn("metric", F.lit("category"))
+    path = f"{shared_folder(spark)}/certificate-{uuid.uuid4().hex}"
+    tables.certificate(figures, path)
+    back = spark.read.json(f"{path}/snapshot").select(F.explode(F.from_json("snapshot", "array<struct<metric:string,key:string,n:long,amount:double>>")).alias("f"))
+    return back.select("f.key", "f.n")
+
+
+@query("WITH " + _MT_FROM + """ SELECT 'REF' || o_orderkey AS our_ref, round(o_totalprice, 2) AS amount FROM f JOIN orders ON o_custkey = c WHERE o_orderkey % 7 <> 0""")
+def sink_statement(spark, d):
+    """Statement rows exported in their twelve columns as delimited text, and read back."""
+    path = f"{shared_folder(spark)}/statement-{uuid.uuid4().hex}"
+    tables.export_csv(tables.statement_columns(mt.lines(mt.messages(_mt_files(spark, d)))), path)
+    return spark.read.option("header", True).csv(path).select("our_ref", F.col("amount").cast("double").alias("amount"))
+
+
+@query("SELECT CAST(user_id % 20 AS VARCHAR) AS actor, count(*) AS n FROM events GROUP BY 1")
+def sink_audit(spark, d):
+    """A log that only grows: two appends, read back."""
+    e = D.table(spark, d, "events").select((F.col("user_id") % 20).cast("string").alias("actor"), "event_id")
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        tables.append_audit(e.where(part), path)
+    return spark.read.schema("actor string, event_id long").parquet(path).groupBy("actor").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT name, name LIKE '%1' AS xlsx FROM (SELECT c_name AS name FROM customer)""")
+def file_magic(spark, d):
+    """Workbooks by their first four bytes, whatever the file is called."""
+    name = F.col("c_name")
+    content = F.when(name.like("%1"), F.concat(F.lit(files.XLSX_MAGIC), F.encode(name, "UTF-8"))).otherwise(F.encode(F.concat(F.lit("PK"), name), "UTF-8"))
+    return D.table(spark, d, "customer").select(name.alias("name"), F.coalesce(files.is_xlsx(content), F.lit(False)).alias("xlsx"))
+
+
+@query("""SELECT count(DISTINCT c_nationkey) = 1 AS one_account, count(DISTINCT c_mktsegment) = 1 AS one_currency FROM customer WHERE c_nationkey = 3""")
+def file_pair_valid(spark, d):
+    c = D.table(spark, d, "customer").where("c_nationkey = 3")
+    return files.valid_pair(c.select(F.col("c_name").alias("file"), F.col("c_nationkey").alias("account"), F.col("c_mktsegment").alias("ccy")))
+
+
 # -- files ---------------------------------------------------------------------------------------------------------
 
 

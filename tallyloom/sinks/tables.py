@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import ledger, reviews
+
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -30,21 +32,29 @@ def write_tabs(df: DataFrame, tab: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(tab).option("header", True).csv(path)
 
 
-def one_sided(items: DataFrame, balances: DataFrame, path: str) -> None:
-    """Open items and the account's anchors with their continuity."""
-    for name, df in (("items", items), ("balances", balances)):
+def one_sided(items: DataFrame, chain: DataFrame, path: str) -> None:
+    """A one-sided account's book: a summary, its open items, and its files with their anchors and continuity."""
+    open_ = items.where("status = 'open'")
+    summary = open_.groupBy("account_id", "sign").agg(F.count("*").alias("items"), F.round(F.sum("amount"), 2).alias("amount"))
+    for name, df in (("summary", summary), ("items", open_), ("continuity", ledger.continuity(chain))):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def certificate(figures: DataFrame, path: str) -> None:
+    """A certificate's figures as a table, and as the one JSON text that is frozen when it is signed."""
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+    reviews.snapshot(figures).write.mode("overwrite").json(f"{path}/snapshot")
+
+
 def two_sided(summary: DataFrame, matched: DataFrame, left: DataFrame, right: DataFrame, path: str) -> None:
     for name, df in (("summary", summary), ("matched", matched), ("unmatched_statement", left), ("unmatched_ledger", right)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def statement_columns(lines: DataFrame) -> DataFrame:
-    """The twelve columns of an exported statement, in order of rows."""
+    """The twelve columns of an exported statement: a file's rows together and in order."""
     names = ("row_number", "value_date", "amount", "sign", "origin", "type", "status", "book_date", "our_ref", "their_ref", "booking_text_1", "booking_text_2")
-    return lines.orderBy("path", "row_number").select(*names)
+    return lines.repartition("path").sortWithinPartitions("path", "row_number").select(*names)
 
 
 def batch_totals(lines: DataFrame, statements: DataFrame) -> DataFrame:
