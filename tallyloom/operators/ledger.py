@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import dates, text
 from tallyloom.operators import resolve
 from tallyloom.operators.candidates import amount_bin
+from tallyloom.operators.store import numbered
 from tallyloom.operators.tolerance import DEFAULT, Tolerance, amount_ok, window
 
 #: What balances an open item of a sign: ledger items look for statement signs and the other way round.
@@ -142,10 +143,11 @@ def discovered(seen: DataFrame, known: DataFrame, keys: list[str], at: str) -> D
 
 def self_split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A one-sided ledger as two sides: debits as statement rows of sign D, credits as ledger rows, each numbered anew."""
-    number = F.row_number().over(Window.partitionBy("session_id").orderBy("row_number"))
-    debit = rows.where("type = 'DR'").select("session_id", number.alias("row_number"), "value_date", "amount", F.lit("D").alias("sign"), F.col("trn_ref").alias("our_ref"),
-                                             F.lit("").alias("their_ref"), F.col("narration").alias("booking_text_1"), F.lit("").alias("booking_text_2"))
-    return debit, rows.where("type = 'CR'").withColumn("row_number", number)
+    debit = numbered(rows.where("type = 'DR'"), "session_id", "row_number", "n")
+    debit = debit.select("session_id", F.col("n").alias("row_number"), "value_date", "amount", F.lit("D").alias("sign"), F.col("trn_ref").alias("our_ref"),
+                         F.lit("").alias("their_ref"), F.col("narration").alias("booking_text_1"), F.lit("").alias("booking_text_2"))
+    credit = numbered(rows.where("type = 'CR'"), "session_id", "row_number", "n")
+    return debit, credit.withColumn("row_number", F.col("n")).select(rows.columns)
 
 
 def decided(items: DataFrame, log: DataFrame, key: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:

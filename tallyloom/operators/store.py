@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, key: str, order: str, into: str) -> DataFrame:
+    """``rows`` with their number, from 1, within ``key`` in ``order``, in column ``into``.
+
+    Rows are sorted in ranges; a range's numbers begin after the counts of the ranges before it. So no task sorts a whole key,
+    and what is joined back is a row for each key and range.
+    """
+    parts = max(8, rows.sparkSession.sparkContext.defaultParallelism)
+    laid = rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order)
+    laid = written(laid.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    ranges = laid.groupBy(key, "_pid").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(key, "_pid", (before - F.col("_first") + 1).alias("_shift"))
+    return laid.join(ranges, [key, "_pid"]).withColumn(into, F.col("_at") + F.col("_shift")).drop("_pid", "_at", "_shift")
