@@ -46,3 +46,13 @@ def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")
     assert {round(r.score, 9) for r in L.score(docs).collect()} == {round(plain(["a b"] * 3)[0][1], 9)}
     assert L.score(docs.limit(0)).count() == 0
+
+
+def test_more_shards_than_sixteen_bits_name(spark):
+    """Seventeen bits of shards leave 47 to the key; a text of 70,000 words is one document."""
+    words = [a + b for a in "bcdfghjk" for b in ("a", "e", "ie", "o", "u")]
+    rows = [(i, " ".join(words[(i * 7 + k * k) % len(words)] for k in range(40))) for i in range(60)] + [(99, " ".join(words[k * k % len(words)] for k in range(70_000))), (None, "a b"), (None, "a b"), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {(r.doc_id, r.n_words): r.score for r in L.score(docs).collect()}
+    many = {(r.doc_id, r.n_words): r.score for r in L.score(docs, shard_bytes=2).collect()}
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-6 for k in few)
