@@ -18,6 +18,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
+FOLDED = _FOLD.astype(np.uint8)
 VALUE_FOLDED = _VALUE[_FOLD]
 VALUE_EXACT = _VALUE
 
@@ -78,9 +79,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (ASCII case folded) in order, and for each row the number of words before it (n + 1 values)."""
-    inside = IS_WORD[data]
+def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all rows begin and end, in order: runs of word bytes, which a row's end ends too."""
+    inside = is_word[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
@@ -89,7 +90,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.zeros(len(data) + 1, bool)
     after[:-1] = inside
     after[first] = False
-    ends = np.flatnonzero(np.concatenate(([False], inside)) & ~after) if len(data) else starts
+    return starts, np.flatnonzero(np.concatenate(([False], inside)) & ~after) if len(data) else starts
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (ASCII case folded) in order, and for each row the number of words before it (n + 1 values)."""
+    starts, ends = spans(data, offsets, is_word)
     return span_hashes(data, starts, ends, VALUE_FOLDED), np.searchsorted(starts, offsets)
 
 
