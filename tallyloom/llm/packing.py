@@ -218,50 +218,112 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _choices(items: list[int], lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
-    """Sums of none, one and two pieces, the places they stand for and how many they are."""
-    places: list[tuple[int, ...]] = [(), *((i,) for i in range(len(items)))]
-    places += [(i, j) for i in range(len(items)) for j in range(i)]
-    return np.array([sum(lengths[items[i]] for i in p) for p in places]), places, np.array([len(p) for p in places])
+class _Bin:
+    """A bin's pieces by length. Bit s of ``ones`` and ``twos``: some piece, or two pieces, have that length together."""
+
+    def __init__(self, items: list[int], lengths: list[int]):
+        self.by_length: dict[int, list[int]] = {}
+        for i in items:
+            self.by_length.setdefault(lengths[i], []).append(i)
+        self.fill = sum(lengths[i] for i in items)
+        self._changed()
+
+    def _changed(self) -> None:
+        self.ones, self._twos = sum(1 << n for n in self.by_length), None
+
+    @property
+    def twos(self) -> int:
+        if self._twos is None:
+            self._twos = 0
+            for n, held in self.by_length.items():
+                self._twos |= (self.ones if len(held) > 1 else self.ones & ~(1 << n)) << n
+        return self._twos
+
+    def pair(self, total: int) -> tuple[int, int]:
+        """The lengths of two pieces of that length together."""
+        for n, held in self.by_length.items():
+            if total - n in self.by_length and (total != 2 * n or len(held) > 1):
+                return n, total - n
+        raise KeyError(total)
+
+    def taken(self, wanted: tuple[int, ...]) -> list[int]:
+        out = []
+        for n in wanted:
+            out.append(self.by_length[n].pop())
+            self.fill -= n
+            if not self.by_length[n]:
+                del self.by_length[n]
+        self._changed()
+        return out
+
+    def put(self, items: list[int], wanted: tuple[int, ...]) -> None:
+        for i, n in zip(items, wanted):
+            self.by_length.setdefault(n, []).append(i)
+            self.fill += n
+        self._changed()
+
+
+def _best_move(full: _Bin, low: _Bin, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """The largest gain up to ``room``, 0 where there is none, and the lengths that ``low`` gives for it and takes.
+
+    A bin has at most some 60 distinct lengths and its sums lie below the capacity, so each wanted sum is looked up in bits;
+    how many pieces there are does not count.
+    """
+
+    def highest(bits: int, above: int) -> int:
+        """The highest sum in (above, above + room], or 0."""
+        found = (bits >> (above + 1)) & ((1 << room) - 1)
+        return above + found.bit_length() if found else 0
+
+    best = (0, (), ())
+    if s := highest(low.ones, 0):
+        best = (s, (s,), ())
+    for t in full.by_length:
+        if best[0] == room:
+            return best
+        if (s := highest(low.ones, t)) and s - t > best[0]:
+            best = (s - t, (s,), (t,))
+        if (s := highest(low.twos, t)) and s - t > best[0]:
+            best = (s - t, low.pair(s), (t,))
+    for s in low.by_length:
+        if best[0] == room:
+            return best
+        least = max(0, s - room)
+        found = (full.twos >> least) & ((1 << (s - least)) - 1)
+        if found and s - (t := least + (found & -found).bit_length() - 1) > best[0]:
+            best = (s - t, (s,), full.pair(t))
+    return best
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, partners: int = PARTNERS, sweeps: int = SWEEPS) -> list[list[int]]:
     lengths = lengths.tolist()
     least = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = sum(map(bool, bins))
+    held = [_Bin(b, lengths) for b in bins if b]
+    alive = len(held)
     for _ in range(sweeps):
         if alive <= least:
             break
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (-fill[b], b))
+        open_bins = sorted((b for b in held if 0 < b.fill < capacity), key=lambda b: -b.fill)
         improved = False
         for place, a in enumerate(open_bins):
             for b in open_bins[max(place + 1, len(open_bins) - partners) :][::-1]:
-                while bins[b] and fill[a] < capacity and fill[a] >= fill[b]:
-                    give, give_at, give_n = _choices(bins[b], lengths)
-                    take, take_at, take_n = _choices(bins[a], lengths)
-                    gain = give[:, None] - take[None, :]
-                    kinds = give_n[:, None] * 3 + take_n[None, :]  # one for none, one, two; two for one
-                    good = (gain > 0) & (gain <= capacity - fill[a]) & np.isin(kinds, (3, 4, 5, 7))
-                    if not good.any():
+                while b.fill and a.fill < capacity and a.fill >= b.fill:
+                    gain, given, taken = _best_move(a, b, capacity - a.fill)
+                    if not gain:
                         break
-                    g, t = np.unravel_index(np.argmax(np.where(good, gain, 0)), gain.shape)
-                    out = [bins[b][i] for i in give_at[g]]
-                    back = [bins[a][i] for i in take_at[t]]
-                    bins[a] = [i for i in bins[a] if i not in back] + out
-                    bins[b] = [i for i in bins[b] if i not in out] + back
-                    fill[a] += int(gain[g, t])
-                    fill[b] -= int(gain[g, t])
+                    out, back = b.taken(given), a.taken(taken)
+                    a.put(out, given)
+                    b.put(back, taken)
                     improved = True
-                    if not bins[b]:
+                    if not b.fill:
                         alive -= 1
-                if alive <= least or fill[a] == capacity:
+                if alive <= least or a.fill == capacity:
                     break
             if alive <= least:
                 break
         if not improved:
             break
-    return [b for b in bins if b]
+    return [[i for items in b.by_length.values() for i in items] for b in held if b.fill]
 
 
 def packed(lengths: np.ndarray, capacity: int = CAPACITY, partners: int = PARTNERS, sweeps: int = SWEEPS) -> list[list[int]]:

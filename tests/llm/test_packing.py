@@ -1,8 +1,11 @@
+import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tallyloom.llm import packing
@@ -49,3 +52,25 @@ def test_local_search_empties_bins():
         bins = packing.local_search([list(b) for b in start], lengths, 64)
         assert sorted(i for b in bins for i in b) == list(range(80)) and max(lengths[b].sum() for b in bins) <= 64
         assert sum(int(lengths[b].sum()) ** 2 for b in bins) >= sum(int(x) ** 2 for x in lengths) and len(bins) < 80
+
+
+@pytest.mark.parametrize("tokens", [[1], [3], [5], [10], [20], [40], [1030], [1, 3, 5, 10, 40], [3, 700, 900]])
+def test_many_short_equal_rows(tokens):
+    """A shard of 8192 equal or few lengths: in bounded memory, and as few bins as may be."""
+    lengths = np.resize(tokens, packing.SHARD)
+    tracemalloc.start()
+    began = time.process_time()
+    bins = packing.packed(lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and time.process_time() - began < 30
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and max(lengths[b].sum() for b in bins) <= packing.CAPACITY
+    if len(tokens) == 1:
+        assert len(bins) == -(-len(lengths) // (packing.CAPACITY // tokens[0]))
+    elif max(tokens) == 40:
+        assert len(bins) == -(-int(lengths.sum()) // packing.CAPACITY)
+
+
+def test_short_rows_in_spark(spark):
+    docs = spark.createDataFrame([(i, "one two three four") for i in range(8192)], "doc_id long, text string")
+    assert packing.pack(docs, PATH).select("sequence_id").distinct().count() <= -(-8192 * 5 // 2045)
