@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import ann, chat_format, collocations, exact_dedup, jaccard_join, lm_score, mixing, packing, pii, quality, token_count, vector_codes
+from tallyloom.llm import ann, chat_format, collocations, exact_dedup, jaccard_join, lm_score, minhash, mixing, packing, pii, quality, token_count, vector_codes
 from tallyloom.llm.shared import table
 
 
@@ -70,9 +70,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_mixing, op4_packing, op5_jaccard_join, op6_exact_dedup, op7_lm_score, op8_quality, op9_chat_format, op10_ann, op11_collocations, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_token_counts, op2_pii, op3_mixing, op4_packing, op5_jaccard_join, op6_exact_dedup, op7_lm_score, op8_quality, op9_chat_format, op10_ann, op11_collocations, op12_vector_codes, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op8_quality": quality.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_ann": ann.ORACLE, "op11_collocations": collocations.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op7_lm_score": "SELECT doc_id, n_words, round(score, 6) AS score, round(mean_score, 6) AS mean_score FROM (" + lm_score.ORACLE + ")", "op8_quality": quality.ORACLE, "op9_chat_format": chat_format.ORACLE, "op10_ann": ann.ORACLE, "op11_collocations": collocations.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_minhash": minhash.ORACLE}
