@@ -126,7 +126,7 @@ def reconcile(
     found = written(found if found is not None else taken.where("false"), "run-found")
 
     if flags.auto_rules and auto_rules is not None:
-        l = left.select("session_id", F.col("row_number").alias("l_row"), F.col("our_ref").alias("l_ref"), F.col("value_date").alias("l_date"))
+        l = left.select("session_id", F.col("row_number").alias("l_row"), F.col("our_ref").alias("l_ref"), F.col("their_ref").alias("l_their_ref"), F.col("value_date").alias("l_date"))
         r = right.select("session_id", F.col("row_number").alias("r_row"), F.col("trn_ref").alias("r_ref"), F.col("value_date").alias("r_date"))
         pending = found.where("status = 'pending' and source = 'engine'").join(l, ["session_id", "l_row"]).join(r, ["session_id", "r_row"])
         hits = rules.auto_match(pending, auto_rules).where("rule is not null").select("session_id", "l_row", "r_row", "rule")

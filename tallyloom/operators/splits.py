@@ -13,11 +13,12 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import tiers as T
+from tallyloom.operators.components import components
 from tallyloom.operators.store import written
 from tallyloom.operators.tolerance import DEFAULT, Tolerance
 
@@ -83,58 +84,77 @@ def first_subset(amounts: list[float], target: float, tol: Tolerance) -> list[in
     return None
 
 
-def _pools(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
-    """one: session_id, row, type, key, amount; many the same. Pools of ``many`` for each row of ``one`` by related keys.
+def _grams(key: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - MIN_KEY + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(MIN_KEY))))
 
-    Keys are related if they are equal or one contains the other. Containment is found by the shared first ``MIN_KEY``
-    characters of any place in the longer key, so the join stays an equi-join.
+
+def contained_keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of unequal keys of one session and type of which the first lies inside the second: (them, what was compared).
+
+    keys: distinct session_id, type, key. Every key is looked up by its rarest gram of ``MIN_KEY`` characters alone, counted over
+    all keys first: whatever holds the key holds that gram. A key with a gram that no other has lies in none, and is not
+    looked up at all. What prefixes of a bank's references have in common is thereby never joined on.
     """
-    grams = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - MIN_KEY + 1, F.lit(1))), lambda i: F.substring(k, i, F.lit(MIN_KEY))))
-    o = one.where(F.length("key") >= max(tol.min_ref_len, MIN_KEY)).select("session_id", "type", F.col("row").alias("o"), F.col("key").alias("ok"), F.col("amount").alias("oa"))
-    m = many.where(F.length("key") >= MIN_KEY).select("session_id", "type", F.col("row").alias("m"), F.col("key").alias("mk"), F.col("amount").alias("ma"))
-    inside = m.withColumn("g", F.substring("mk", 1, MIN_KEY)).join(o.withColumn("g", F.explode(grams(F.col("ok")))), ["session_id", "type", "g"]).where(F.contains("ok", F.col("mk")))
-    around = o.withColumn("g", F.substring("ok", 1, MIN_KEY)).join(m.withColumn("g", F.explode(grams(F.col("mk")))), ["session_id", "type", "g"]).where(F.contains("mk", F.col("ok")))
-    cols = ["session_id", "type", "o", "oa", "m", "ma"]
-    return inside.select(cols).unionByName(around.select(cols)).distinct()
+    of = ["session_id", "type"]
+    grams = written(keys.select(*of, "key", F.explode(_grams(F.col("key"))).alias("g")), "split-grams")
+    counts = written(grams.groupBy(*of, "g").agg(F.count("*").alias("n")).where("n > 1"), "split-counts")
+    rarest = grams.join(counts, [*of, "g"]).groupBy(*of, "key").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("known"))
+    inner = rarest.where(F.col("known") == F.size(_grams(F.col("key")))).select(*of, F.col("key").alias("inner"), "g")
+    compared = inner.join(grams.withColumnRenamed("key", "outer"), [*of, "g"]).where(F.length("outer") > F.length("inner"))
+    return compared.where(F.contains("outer", F.col("inner"))).select(*of, "inner", "outer"), compared
 
 
-def _claimed(pools: DataFrame, tol: Tolerance) -> DataFrame:
-    """session_id, o, ms, gap: in order of ``o``, each takes the first subset (in size and order of rows) of its free rows that meets its amount.
+def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
+    """session_id, type, c, side (0: of many), key, row, amount: the rows that may take part, and the group ``c`` of each.
 
-    Claims reach only as far as pools share rows, so pools that do, directly or over others, form one group.
+    Pools are the rows whose keys are equal to a row's key, contain it or lie inside it. Keys that are so related, directly or
+    over others, are a group: the smallest of its keys names it, and a key related to no other is a group by itself.
     """
+    of = ["session_id", "type"]
+    o = one.where((F.length("key") >= max(tol.min_ref_len, MIN_KEY)) & F.col("type").isNotNull()).withColumn("side", F.lit(1))
+    m = many.where((F.length("key") >= MIN_KEY) & F.col("type").isNotNull()).withColumn("side", F.lit(0))
+    rows = written(o.unionByName(m).select(*of, "side", "key", "row", "amount"), "split-rows")
+    keys = written(rows.groupBy(*of, "key").agg(F.max(F.col("side") == 1).alias("o"), F.max(F.col("side") == 0).alias("m")), "split-keys")
+    pairs, _ = contained_keys(keys.select(*of, "key"))
+    roles = lambda name: keys.select(*of, F.col("key").alias(name), F.struct("o", "m").alias(f"{name}_at"))
+    linked = pairs.join(roles("inner"), [*of, "inner"]).join(roles("outer"), [*of, "outer"]).where("inner_at.o and outer_at.m or inner_at.m and outer_at.o")
+    node = lambda c: F.struct(*of, F.col(c).alias("key"))
+    groups = components(linked.select(node("inner").alias("a"), node("outer").alias("b")), "a", "b").select("node.*", F.col("component.key").alias("c"))
+    both = keys.join(written(groups, "split-groups"), [*of, "key"], "left").where("c is not null or o and m")  # a key of one side alone has no pool
+    return rows.join(both.select(*of, "key", F.coalesce("c", "key").alias("c")), [*of, "key"])
+
+
+def _claimed(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
+    """session_id, o, ms, gap: in order of ``o``, each takes the first subset (in size and order of rows) of its free rows that meets its amount.
 
+    Claims reach only as far as pools share rows, which is a group at most. Rows travel once each; the pools of a group are put
+    together where they are searched.
+    """
     schema = pa.schema([("session_id", pa.int64()), ("o", pa.int64()), ("ms", pa.list_(pa.int64())), ("gap", pa.float64())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "c", "o", "oa", "m", "ma"))))
-        group, used, out = None, set(), []
-        for (session, c, o, target), pool in groupby(rows, key=lambda r: r[:4]):
-            if (session, c) != group:
-                group, used = (session, c), set()
-            free = [(m, a) for *_, m, a in pool if m not in used]
-            hit = first_subset([a for _, a in free], target, tol)
-            if hit:
-                used.update(free[p][0] for p in hit)
-                out.append({"session_id": session, "o": o, "ms": [free[p][0] for p in hit], "gap": sum(free[p][1] for p in hit) - target})
-            if len(out) == 10000:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "type", "c", "side", "key", "row", "amount"))))
+        out = []
+        for (session, _, _), group in groupby(rows, key=lambda r: r[:3]):
+            held, pools, used = {}, {}, set()
+            for *_, side, key, row, amount in group:  # first the rows of many
+                if not side:
+                    held.setdefault(key, []).append((row, amount))
+                    continue
+                if key not in pools:
+                    pools[key] = sorted(x for k, xs in held.items() if k == key or k in key or key in k for x in xs)
+                free = [x for x in pools[key] if x[0] not in used]
+                hit = first_subset([a for _, a in free], amount, tol) if len(free) > 1 else None
+                if hit:
+                    used.update(free[p][0] for p in hit)
+                    out.append({"session_id": session, "o": row, "ms": [free[p][0] for p in hit], "gap": sum(free[p][1] for p in hit) - amount})
+                if len(out) == 10000:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    rows = _grouped(pools).repartition("session_id", "c").sortWithinPartitions("session_id", "c", "o", "m")
-    return rows.select("session_id", "c", "o", "oa", "m", "ma").mapInArrow(take, "session_id long, o long, ms array<long>, gap double")
-
-
-def _grouped(pools: DataFrame) -> DataFrame:
-    """``pools`` with ``c``, the smallest ``o`` that a pool is connected to by shared rows."""
-    edges = written(pools.withColumn("c", F.col("o")), "split-pools")
-    while True:
-        least = edges.withColumnRenamed("c", "was").withColumn("c", F.min("was").over(Window.partitionBy("session_id", "m")))
-        least = written(least.withColumn("c", F.min("c").over(Window.partitionBy("session_id", "o"))), "split-pools")
-        edges = least.drop("was")
-        if least.where("c <> was").isEmpty():
-            return edges
+    rows = _grouped(one, many, tol).repartition("session_id", "type", "c").sortWithinPartitions("session_id", "type", "c", "side", "row")
+    return rows.select("session_id", "type", "c", "side", "key", "row", "amount").mapInArrow(take, "session_id long, o long, ms array<long>, gap double")
 
 
 def _left(left: DataFrame) -> DataFrame:
@@ -148,7 +168,7 @@ def _right(right: DataFrame) -> DataFrame:
 
 def one_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
     """session_id, l_rows, r_rows, tier 5, amount_diff: a statement row against two to four ledger rows."""
-    found = _claimed(_pools(_left(left), _right(right), tol), tol)
+    found = _claimed(_left(left), _right(right), tol)
     return found.select("session_id", F.array("o").alias("l_rows"), F.col("ms").alias("r_rows"), F.lit(5).alias("tier"), F.col("gap").alias("amount_diff"))
 
 
@@ -157,7 +177,7 @@ def many_to_one(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT, tak
     r = _right(right)
     if taken is not None:
         r = r.join(taken.select("session_id", F.explode("r_rows").alias("row")), ["session_id", "row"], "left_anti")
-    found = _claimed(_pools(r, _left(left), tol), tol)
+    found = _claimed(r, _left(left), tol)
     return found.select("session_id", F.col("ms").alias("l_rows"), F.array("o").alias("r_rows"), F.lit(5).alias("tier"), (-F.col("gap")).alias("amount_diff"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,11 +23,50 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that are written and not yet deleted, by the path that their reader has.
+_kept: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: its lineage is cut, and a lost executor costs a re-read."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _kept.pop(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame that :func:`written` returned, once nothing reads it any more."""
+    if getattr(df, "_written_at", None) in _kept:
+        _delete(df._written_at)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that were written inside, but for those that are put into the list it yields."""
+    before, keep = set(_kept), []
+    yield keep
+    held = {getattr(df, "_written_at", None) for df in keep}
+    for path in set(_kept) - before - held:
+        _delete(path)
+
+
+@atexit.register
+def _end() -> None:
+    for path in list(_kept):
+        try:
+            _delete(path)
+        except Exception:  # the session has ended: the cluster's own clean-up takes the folder
+            return
 
 
 def numbered(rows: DataFrame, key: str, order: str, into: str) -> DataFrame:

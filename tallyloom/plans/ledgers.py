@@ -44,17 +44,35 @@ def group_first_match(spark, d):
     return rules.backfill(items, TEAMS, "team", rules.DEFAULT_TEAM).select("item_id", "team")
 
 
-@query("WITH " + D.ASSIGN + """, p AS (SELECT l_row, tier, amount_diff, CASE WHEN l_row % 2 = 0 THEN 'AB' || l_row ELSE '' END AS l_ref, 'XAB' || l_row || 'Z' AS r_ref, l_row % 4 AS gap FROM assign WHERE status = 'pending')
-SELECT l_row, CASE WHEN tier = 1 AND abs(amount_diff) <= 0.005 AND gap = 0 THEN 7 WHEN abs(amount_diff) <= 40 AND tier = 2 AND (contains(upper(r_ref), upper(l_ref))) THEN 8 WHEN tier = 3 THEN 9 END AS rule FROM p""")
+_PENDING = D.ASSIGN + """, p AS (SELECT l_row, tier, CASE WHEN l_row % 11 <> 5 THEN amount_diff END AS amount_diff, CASE WHEN l_row % 2 = 0 THEN ' ab' || l_row WHEN l_row % 3 = 0 THEN 'QQ' END AS l_ref,
+  CASE WHEN l_row % 5 = 0 THEN 'XAB' || l_row || 'Z9' WHEN l_row % 5 < 4 THEN 'ZZ' ELSE '' END AS l_their_ref, CASE WHEN l_row % 7 IN (4, 5) THEN 'XAB' || l_row || 'Z' WHEN l_row % 7 = 6 THEN ' ' END AS r_ref, l_row % 4 AS gap FROM assign WHERE status <> 'rejected'),
+k AS (SELECT *, upper(trim(coalesce(l_ref, ''))) AS o, upper(trim(l_their_ref)) AS t, upper(trim(coalesce(r_ref, ''))) AS b, abs(coalesce(amount_diff, 0)) AS d FROM p),
+m AS (SELECT *, b <> '' AND (contains(o, b) OR contains(t, b) OR contains(b, o) OR contains(b, t)) AS refs FROM k)"""
+
+
+@query("WITH " + _PENDING + " SELECT l_row, CASE WHEN tier = 1 AND d <= 0.005 AND gap IN (0, 3) THEN 7 WHEN d <= 40 AND tier = 2 AND refs THEN 8 WHEN refs AND tier = 1 THEN 10 WHEN tier = 3 THEN 9 END AS rule FROM m")
 def auto_match_rules(spark, d):
-    a = D.assignments(spark, d).where("status = 'pending'")
-    p = a.select(
-        "l_row", "tier", "amount_diff", F.when(F.col("l_row") % 2 == 0, F.concat(F.lit("AB"), "l_row")).otherwise("").alias("l_ref"), F.concat(F.lit("XAB"), "l_row", F.lit("Z")).alias("r_ref"),
-        F.lit(20240101).alias("l_date"), (F.lit(20240101) + F.col("l_row") % 4).alias("r_date"),
+    """Rows with empty and null references, with a second statement reference, null differences and dates that are missing."""
+    k, ref = F.col("l_row"), lambda *c: F.concat(*[F.lit(x) if x != "l_row" else F.col(x) for x in c])
+    p = D.assignments(spark, d).where("status <> 'rejected'").select(
+        "l_row", "tier", F.when(k % 11 != 5, F.col("amount_diff")).alias("amount_diff"), F.when(k % 2 == 0, ref(" ab", "l_row")).when(k % 3 == 0, "QQ").alias("l_ref"),
+        F.when(k % 5 == 0, ref("XAB", "l_row", "Z9")).when(k % 5 < 4, "ZZ").otherwise("").alias("l_their_ref"), F.when((k % 7).isin(4, 5), ref("XAB", "l_row", "Z")).when(k % 7 == 6, " ").alias("r_ref"),
+        F.when(k % 4 != 3, 20240101).alias("l_date"), F.when(k % 4 == 3, 0).otherwise(20240101 + k % 4).alias("r_date"),
     )
     spec = "rule_id int, priority int, require_tier int, require_amount_exact boolean, max_amount_diff double, require_ref_match boolean, require_same_date boolean"
-    table = spark.createDataFrame([(7, 1, 1, True, None, None, True), (8, 2, 2, None, 40.0, True, None), (9, 3, 3, None, None, None, None)], spec)
-    return rules.auto_match(p, F.broadcast(table)).select("l_row", "rule")  # a configuration of three rows
+    table = spark.createDataFrame([(7, 1, 1, True, None, None, True), (9, 4, 3, None, None, None, None), (8, 2, 2, None, 40.0, True, None), (10, 3, 1, False, None, True, False)], spec)
+    return rules.auto_match(p, table).select("l_row", "rule")
+
+
+#: Ten thousand texts, of which a few occur: the event kinds in pieces of five letters, and references by number.
+_MANY = [rules.Rule(i % 997, f"rule {i}", narration=("purchase", "click", "view", "signup", "error", "logout")[i % 6] if i % 100 == 0 else f"word{i}x", ref=f"{i // 100 % 1000:03d}" if i % 100 == 0 else None, amount_min=float(i % 300)) for i in range(10000)]
+
+
+@query("WITH " + D.ITEMS + """, r AS (SELECT i, i % 997 AS priority, ['PURCHASE', 'CLICK', 'VIEW', 'SIGNUP', 'ERROR', 'LOGOUT'][i % 6 + 1] AS word, lpad(CAST(i // 100 % 1000 AS VARCHAR), 3, '0') AS ref, i % 300 AS least FROM range(0, 10000, 100) t(i)),
+f AS (SELECT item_id, arg_min(r.i, r.priority * 10000 + r.i) AS i FROM items JOIN r ON contains(upper(narration), word) AND contains(items.ref, r.ref) AND amount >= least GROUP BY item_id)
+SELECT item_id, coalesce('rule ' || f.i, 'uncategorized') AS found FROM items LEFT JOIN f USING (item_id)""")
+def categorize_many_rules(spark, d):
+    return rules.first_match(D.items(spark, d), _MANY, "found", rules.DEFAULT_CATEGORY).select("item_id", "found")
 
 
 _OPEN = D.STMT + "," + D.LEDG + "," + D.ASSIGN

@@ -44,7 +44,10 @@ def _record(d: str) -> str:
 
 
 def rows(files: DataFrame, profile: Profile) -> DataFrame:
-    """path, text -> path, row_number (over all data rows that are not blank), extra (header -> cell)."""
+    """path, text -> path, row_number (over all data rows that are not blank), extra (header -> cell).
+
+    Where the header repeats a name, as trailing delimiters repeat the blank one, the name's first column counts.
+    """
     d = {"|": r"\|", "\t": "\t"}.get(profile.delimiter, profile.delimiter)
     lines = F.filter(F.regexp_extract_all("text", F.lit(_record(d)), F.lit(0)), lambda s: F.trim(s) != "")
     data = files.select("path", F.slice(lines, profile.skip_rows + profile.header_row + 1, F.size(lines)).alias("lines")).where(F.size("lines") > 0)
@@ -58,9 +61,8 @@ def rows(files: DataFrame, profile: Profile) -> DataFrame:
     named = data.select("path", cells(F.get("lines", F.lit(0))).alias("header"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("i", "line"))
     got = named.withColumn("cells", cells(F.col("line"))).where(F.exists("cells", lambda c: c != ""))
     keys = F.array_distinct("header")
-    wide = F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit("")))
-    extra = F.map_from_arrays("header", wide)
-    return got.where(F.size(keys) == F.size("header")).select("path", (F.col("i") + 1).alias("row_number"), extra.alias("extra"))
+    first = F.transform(keys, lambda k: F.coalesce(F.get("cells", F.array_position("header", k).cast("int") - 1), F.lit("")))
+    return got.select("path", (F.col("i") + 1).alias("row_number"), F.map_from_arrays(keys, first).alias("extra"))
 
 
 def load(files: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
