@@ -36,7 +36,9 @@ from tallyloom.llm.shared import own_names, spread, written
 
 DEPTH, MIN_COUNT, TOP, COVER = 5, 100, 2000, 100
 #: Positions that a task gathers before it builds a shard's trie of them, nodes of a serialised chunk and of a merged range.
-SHARD_PLACES, CHUNK_NODES, RANGE_NODES = 1 << 22, 1 << 16, 1 << 20
+SHARD_PLACES, CHUNK_NODES, RANGE_NODES = 1 << 21, 1 << 14, 1 << 19
+#: Bytes of chunks that a task takes in at once.
+BATCH_BYTES = 16 << 20
 #: Bits of a filter at most, and for each key as long as that allows.
 FILTER_BITS, BITS_PER_KEY = 1 << 27, 16
 
@@ -99,10 +101,10 @@ def _counted_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, first, n = np.unique(h, return_index=True, return_counts=True)
             held.append((found, n, _strings(data, starts[first], ends[first]), lang.take(pa.array(row[first]))))
             rows += len(found)
-            if rows >= SHARD_PLACES // 2:
+            if rows >= SHARD_PLACES // 4:
                 held[:] = [merged()]
                 rows = len(held[0][0])
-                if rows >= SHARD_PLACES // 4:  # mostly distinct words: a shard of its own
+                if rows >= SHARD_PLACES // 8:  # mostly distinct words: a shard of its own
                     yield batch()
                     held.clear()
                     rows = 0
@@ -231,16 +233,13 @@ def _cut(bounds: np.ndarray):
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks cut where ranges begin."""
         for part in parts:
-            rows = []
-            for raw_keys, raw_counts, raw_more in zip(*(part.column(c).to_pylist() for c in ("keys", "counts", "more"))):
-                keys = _unpack_keys(raw_keys)
-                n, more = _unpack_counts(raw_counts, len(keys)), None if raw_more is None else np.frombuffer(raw_more, _MORE)
+            for raw_keys, raw_counts, raw_more in zip(*(part.column(c) for c in ("keys", "counts", "more"))):
+                keys = _unpack_keys(raw_keys.as_py())
+                n, more = _unpack_counts(raw_counts.as_py(), len(keys)), np.frombuffer(raw_more.as_py(), _MORE) if raw_more.is_valid else None
                 owner = np.searchsorted(bounds, _place(keys, more), "right")
                 edges = np.flatnonzero(np.diff(owner, prepend=-1, append=len(bounds) + 1))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    rows.append((int(owner[a]), _pack_keys(keys[a:b]), _pack_counts(n[a:b]), None if more is None else more[a:b].tobytes()))
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["range", "keys", "counts", "more"])
+                rows = [(int(owner[a]), _pack_keys(keys[a:b]), _pack_counts(n[a:b]), None if more is None else more[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["range", "keys", "counts", "more"])
 
     return cut
 
@@ -285,6 +284,7 @@ def mine(
     """The ``top`` phrases of each language: lang, rank (from 1), phrase, a, l, r, n, score."""
     rows = own_names(docs, lang=lang_col, text=text_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
     rows = spread(rows)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     words = written(rows.mapInArrow(_counted_words, _WORDS).groupBy("lang", "key", "word").agg(F.sum("n").alias("f")), "phrase-words")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = written(words.where(F.col("f") >= min_count).select("key", "lang", "f", F.array("word").alias("words"), *[F.array().cast("array<long>").alias(c) for c in ("lefts", "rights")]), "phrase-level")
