@@ -5,61 +5,93 @@ Rows on both sides carry ``session_id`` and ``row_number``; pairs never cross se
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import tiers as T
-from tallyloom.operators.tolerance import DEFAULT, Tolerance, window
+from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, is_asked, number, window
 
 KEYS = ["session_id", "l_row", "r_row"]
 
 
-def ref_token_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
-    """session_id, l_row, r_row of mirrored rows that share a reference key. The digit gate on free text keeps words out."""
-    l = left.select(
-        "session_id", F.col("row_number").alias("l_row"), T.mirrored(F.col("sign")).alias("type"),
-        F.explode(text.ref_keys([F.col("our_ref")], [F.col("booking_text_1"), F.col("booking_text_2")], tol.min_ref_len)).alias("key"),
-    )
-    r = right.select(
-        "session_id", F.col("row_number").alias("r_row"), "type",
-        F.explode(text.ref_keys([F.col("trn_ref"), F.col("external_ref")], [F.col("narration")], tol.min_ref_len)).alias("key"),
-    )
-    return l.join(r, ["session_id", "type", "key"]).select(KEYS).distinct()
+def _left(left: DataFrame, tol: Tolerance | OfRows, wanted: set[str] | None, keyed: bool) -> DataFrame:
+    """session_id, type (of the balancing row), l (struct of the wanted columns and the row's number) and its reference keys."""
+    own = F.struct(*[c for c in left.columns if wanted is None or c in wanted], F.col("row_number").alias("_row"))
+    keys = text.ref_keys([F.col("our_ref")], [F.col("booking_text_1"), F.col("booking_text_2")], tol.at(F.col).min_ref_len) if keyed else F.array().cast("array<string>")
+    return left.select("session_id", T.mirrored(F.col("sign")).alias("type"), own.alias("l"), keys.alias("l_keys"))
 
 
-def amount_bin(a: Column, tol: Tolerance) -> Column:
-    """The bin of an amount; amounts in one another's window are in the same or in neighbouring bins."""
-    if tol.amount_pct > 0:
-        step = math.log1p(max(tol.amount_pct / 100 * 2, 1e-6))
-        least = max(tol.amount_abs, 1e-6) * 100 / tol.amount_pct  # below it the absolute tolerance is the wider one
-        return F.when(F.abs(a) <= least, F.lit(0)).otherwise(F.ceil(F.log(F.abs(a) / least) / step)).cast("long")
-    return F.floor(a / (2 * max(tol.amount_abs, 1e-6) + 4e-9)).cast("long")
+def _right(right: DataFrame, tol: Tolerance | OfRows, wanted: set[str] | None, keyed: bool) -> DataFrame:
+    own = F.struct(*[c for c in right.columns if wanted is None or c in wanted], F.col("row_number").alias("_row"))
+    keys = text.ref_keys([F.col("trn_ref"), F.col("external_ref")], [F.col("narration")], tol.at(F.col).min_ref_len) if keyed else F.array().cast("array<string>")
+    return right.select("session_id", "type", own.alias("r"), keys.alias("r_keys"))
 
 
-def amount_window_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
-    """session_id, l_row, r_row of mirrored rows whose amounts lie in the left one's window.
+_ON = ["session_id", "type"]
+
+
+def _by_key(l: DataFrame, r: DataFrame) -> DataFrame:
+    """session_id, l, r of rows that share a key. A pair is kept where the first key that both have is met, so it is found once."""
+    both = l.withColumn("key", F.explode("l_keys")).join(r.withColumn("key", F.explode("r_keys")), [*_ON, "key"])
+    return both.where(F.get(F.array_intersect("l_keys", "r_keys"), F.lit(0)) == F.col("key")).select("session_id", "l", "r")
+
+
+def _by_amount(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+    """session_id, l, r of rows without a common key whose amounts lie in the left one's window.
 
     Amounts fall into bins at least as wide as the window: equal ones for an absolute tolerance, growing ones for a
     percentage. The left row looks into its bin and the two next to it, so the join is an equi-join with a filter.
     """
-    bin_of = lambda a: amount_bin(a, tol)
-    l = left.select("session_id", F.col("row_number").alias("l_row"), T.mirrored(F.col("sign")).alias("type"), F.col("amount").alias("l_amount"))
-    l = l.withColumn("bin", F.explode(F.array(*[bin_of(F.col("l_amount")) + d for d in (-1, 0, 1)])))
-    r = right.select("session_id", F.col("row_number").alias("r_row"), "type", F.col("amount").alias("r_amount")).withColumn("bin", bin_of(F.col("r_amount")))
-    near = F.abs(F.col("r_amount") - F.col("l_amount")) <= window(F.col("l_amount"), tol)
-    return l.join(r, ["session_id", "type", "bin"]).where(near).select(KEYS)
+    at_l, at_r = (tol.at(lambda c, side=side: F.col(side)[c]) for side in "lr")
+    l = l.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("l.amount"), at_l) + d for d in (-1, 0, 1)])))
+    r = r.withColumn("bin", amount_bin(F.col("r.amount"), at_r))
+    both = l.join(r, [*_ON, "bin"]).where(_near(tol)).where(~F.arrays_overlap("l_keys", "r_keys"))
+    return both.select("session_id", "l", "r")
+
 
+def _near(tol: Tolerance | OfRows) -> Column:
+    return F.abs(F.col("r.amount") - F.col("l.amount")) <= window(F.col("l.amount"), tol.at(lambda c: F.col("l")[c]))
 
-def fx_window_join(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame:
-    """session_id, l_row, r_row of mirrored rows whose amount lies within ``fx_bps`` of the left one times its ``rate``.
+
+def _by_rate(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+    """Those that neither of the others finds, and whose amount lies within ``fx_bps`` of the left one times its ``rate``.
 
     The converted amounts fall into growing bins, as percentages do; rows without a rate have no such candidates.
     """
-    there = left.where("rate is not null and rate * amount <> 0").withColumn("amount", F.col("amount") * F.col("rate"))
-    return amount_window_join(there, right, Tolerance(amount_abs=0.0, amount_pct=tol.fx_bps / 100))
+    share = lambda side: Tolerance(amount_abs=0.0, amount_pct=tol.at(lambda c: F.col(side)[c]).fx_bps / 100)
+    there = F.col("l.amount") * F.col("l.rate")
+    l = l.where((there != 0) & (number(share("l").amount_pct) > 0)).withColumn("there", there)
+    l = l.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("there"), share("l")) + d for d in (-1, 0, 1)])))
+    r = r.withColumn("bin", amount_bin(F.col("r.amount"), share("r")))
+    near = F.abs(F.col("r.amount") - F.col("there")) <= window(F.col("there"), share("l"))
+    return l.join(r, [*_ON, "bin"]).where(near & ~_near(tol) & ~F.arrays_overlap("l_keys", "r_keys")).select("session_id", "l", "r")
+
+
+def ref_token_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
+    """session_id, l_row, r_row of mirrored rows that share a reference key. The digit gate on free text keeps words out."""
+    return _numbers(_by_key(_left(left, tol, set(), True), _right(right, tol, set(), True)))
+
+
+def _numbers(pairs: DataFrame) -> DataFrame:
+    return pairs.select("session_id", F.col("l._row").alias("l_row"), F.col("r._row").alias("r_row"))
+
+
+def amount_bin(a: Column, tol: Tolerance) -> Column:
+    """The bin of an amount; amounts in one another's window are in the same or in neighbouring bins."""
+    least = F.greatest(number(tol.amount_abs), F.lit(1e-6))
+    even = F.floor(a / (2 * least + 4e-9)).cast("long")
+    if not is_asked(tol.amount_pct):
+        return even
+    step = F.log1p(F.greatest(number(tol.amount_pct) / 100 * 2, F.lit(1e-6)))
+    below = least * 100 / F.nullif(number(tol.amount_pct), F.lit(0.0))  # below it the absolute tolerance is the wider one
+    growing = F.when(F.abs(a) <= below, F.lit(0)).otherwise(F.ceil(F.log(F.abs(a) / below) / step)).cast("long")
+    return F.when(tol.amount_pct > 0, growing).otherwise(even) if isinstance(tol.amount_pct, Column) else growing
+
+
+def amount_window_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
+    """session_id, l_row, r_row of mirrored rows whose amounts lie in the left one's window."""
+    return _numbers(_by_amount(_left(left, tol, {"amount"}, False), _right(right, tol, {"amount"}, False), tol))
 
 
 def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, wanted: set[str] | None = None) -> DataFrame:
@@ -70,22 +102,30 @@ def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, wanted: set[s
     return pairs.join(l, ["session_id", "l_row"]).join(r, ["session_id", "r_row"])
 
 
-def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | None = None) -> DataFrame:
     """session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref: every pair that some tier accepts, by its first one.
 
-    Amounts are searched only if a tier can do without a reference, converted ones if ``tol.fx_bps`` is set and left rows have
-    a ``rate``. A pair found both ways is judged once. Only the columns that tiers read travel with the pairs.
+    Amounts are searched only if a tier can do without a reference (``amounts`` overrides that), converted ones if rows have a
+    ``rate`` and an ``fx_bps`` above 0. Every pair is found once, so that nothing has to be made distinct, and rows travel with
+    their pairs: those columns that the tiers read, or all of them where rows carry the tiers.
     """
     tiers = T.default_tiers() if tiers is None else tiers
-    pairs = ref_token_join(left, right, tol)
-    if not T.all_gated_by_ref(tiers):
-        pairs = pairs.unionByName(amount_window_join(left, right, tol))
-        if tol.fx_bps > 0 and "rate" in left.columns:
-            pairs = pairs.unionByName(fx_window_join(left, right, tol))
-        pairs = pairs.distinct()
-    rows = with_rows(pairs, left, right, T.columns(tiers) | {"amount", "our_ref"}).withColumn("t", T.first_tier(tiers, F.col("l"), F.col("r"), tol)).where("t is not null")
+    by_rows = isinstance(tiers, T.OfRows)
+    wanted = None if by_rows else T.columns(tiers) | {"amount", "our_ref", *tol.columns}
+    l, r = _left(left, tol, wanted, True), _right(right, tol, wanted, True)
+    pairs = _by_key(l, r)
+    if amounts is None:
+        amounts = by_rows or not T.all_gated_by_ref(tiers)
+    if amounts:
+        near = l.where("l.searches") if by_rows else l
+        pairs = pairs.unionByName(_by_amount(near, r, tol))
+        if "rate" in left.columns and is_asked(tol.at(F.col).fx_bps):
+            pairs = pairs.unionByName(_by_rate(near, r, tol))
+    at = tol.at(lambda c: F.col("l")[c])
+    first = tiers.first(F.col("l"), F.col("r"), at, left.columns, right.columns) if by_rows else T.first_tier(tiers, F.col("l"), F.col("r"), at)
+    rows = pairs.withColumn("t", first).where("t is not null")
     diff = F.col("r.amount") - F.col("l.amount")
-    return rows.select(*KEYS, "t.tier", "t.auto_confirm", diff.alias("amount_diff"), F.col("l.our_ref").alias("ref"))
+    return rows.select("session_id", F.col("l._row").alias("l_row"), F.col("r._row").alias("r_row"), "t.tier", "t.auto_confirm", diff.alias("amount_diff"), F.col("l.our_ref").alias("ref"))
 
 
 def equal_rows(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame | None:

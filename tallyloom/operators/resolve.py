@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import blocks
 from tallyloom.operators import candidates as C
 from tallyloom.operators import tiers as T
+from tallyloom.operators.components import components
 from tallyloom.operators.store import written
-from tallyloom.operators.tolerance import DEFAULT, Tolerance
+from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance
 
 _L, _R = ["session_id", "l_row"], ["session_id", "r_row"]
 
@@ -28,7 +30,7 @@ def greedy(pairs: DataFrame) -> DataFrame:
     either, so the result is the sequential one. Pairs at claimed rows go; the contested rest is taken up by the next round.
     A round shuffles by left, right and left rows again, joins nothing and is written once. Once a round leaves more than half
     of the pairs, they form long chains (n equal rows of both sides need n rounds): :func:`_in_order` resolves what is left in
-    one pass.
+    one pass over each connected component.
     """
     open_, taken, before = pairs.withColumn("_o", order()), None, None
     by_l, by_r = Window.partitionBy(_L), Window.partitionBy(_R)
@@ -49,36 +51,61 @@ def greedy(pairs: DataFrame) -> DataFrame:
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
-    """The sequential pass itself, sessions side by side: pairs come sorted, only the claimed rows of a session are kept."""
+    """The sequential pass itself, connected components of pairs side by side; only the claimed rows of one are kept."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, used_l, used_r = None, set(), set()
+        group, used_l, used_r = None, set(), set()
         for batch in batches:
             keep = []
-            for i, (s, l, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("session_id", "l_row", "r_row")))):
-                if s != session:
-                    session, used_l, used_r = s, set(), set()
+            for i, (c, l, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_c", "l_row", "r_row")))):
+                if c != group:
+                    group, used_l, used_r = c, set(), set()
                 if l not in used_l and r not in used_r:
                     used_l.add(l)
                     used_r.add(r)
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return pairs.repartition("session_id").sortWithinPartitions("session_id", "_o").mapInArrow(take, pairs.schema)
+    pairs = written(pairs, "greedy-open")
+    node = lambda side: F.struct("session_id", F.lit(side).alias("side"), F.col(f"{side}_row").alias("row"))
+    groups = components(pairs.select(node("l").alias("a"), node("r").alias("b")), "a", "b")
+    of = groups.where("node.side = 'l'").select(F.col("node.session_id").alias("session_id"), F.col("node.row").alias("l_row"), F.xxhash64("component").alias("_c"))
+    grouped = pairs.join(of, _L).repartition("_c").sortWithinPartitions("_c", "session_id", "_o")
+    return grouped.mapInArrow(take, grouped.schema)
 
 
-def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT) -> DataFrame:
-    """:func:`greedy` over all candidates of two sides, without pairing the rows that :func:`candidates.equal_rows` settles."""
+def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT) -> DataFrame:
+    """What :func:`greedy` takes of all candidates of two sides.
+
+    Where all tiers that need a reference come first and the others read but amounts, dates and signs (as the built-in ones
+    do), the former are resolved alone, from pairs with a common key, and what is left over by blocks of equal rows: no pair
+    of rows is made for amounts. Other tiers are resolved together. Rows that carry their tiers say by ``staged`` which it is.
+    """
+    if isinstance(tiers, T.OfRows):
+        one = _in_stages(left.where("staged"), right.where("staged"), T.OfRows("gated"), T.OfRows("free"), tol)
+        return one.unionByName(greedy(C.candidates(left.where("not staged"), right.where("not staged"), tiers, tol)))
+    tiers = T.default_tiers() if tiers is None else tiers
+    stages = T.staged(tiers) if tol.amount_pct == 0 and tol.amount_abs >= 0 else None
+    if stages is not None:
+        return _in_stages(left, right, *stages, tol)
     settled = C.equal_rows(left, right, tiers, tol)
     if settled is None:
         return greedy(C.candidates(left, right, tiers, tol))
     settled = written(settled, "greedy-equal")
-    if settled.isEmpty():
-        return greedy(C.candidates(left, right, tiers, tol))
     rest = greedy(C.candidates(unmatched(left, settled, "l"), unmatched(right, settled, "r"), tiers, tol))
     return settled.unionByName(rest)
 
 
+def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows, free: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> DataFrame:
+    first = greedy(C.candidates(left, right, gated, tol, amounts=False)) if gated else None
+    if not free:
+        return first if first is not None else greedy(C.candidates(left, right, [], tol, amounts=False))
+    if first is None:
+        return blocks.resolved(left, right, free, tol)
+    first = written(first, "assigned-by-reference")
+    return first.unionByName(blocks.resolved(unmatched(left, first, "l"), unmatched(right, first, "r"), free, tol))
+
+
 def unmatched(rows: DataFrame, assignments: DataFrame, side: str) -> DataFrame:
     """The rows of one side ("l" or "r") that no assignment holds."""
     held = assignments.select("session_id", F.col(f"{side}_row").alias("row_number"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text
-from tallyloom.operators.tolerance import DEFAULT, Tolerance, amount_ok
+from tallyloom.operators.tolerance import DEFAULT, Tolerance, amount_ok, is_asked
 
 #: The ledger type that balances a statement sign.
 MIRROR = {"C": "DR", "D": "CR"}
@@ -62,7 +62,7 @@ def condition(c: Condition, l: Column, r: Column, tol: Tolerance = DEFAULT) -> C
     """One condition; an unknown one never holds."""
     key, p = (c.field, c.op), c.params
     if key == ("amount", "equal_within_tol"):
-        return amount_ok(l["amount"], r["amount"], tol, l["rate"] if tol.fx_bps > 0 else None)
+        return amount_ok(l["amount"], r["amount"], tol, l["rate"] if is_asked(tol.fx_bps) else None)
     if key == ("amount", "exact"):
         return l["amount"] == r["amount"]
     if key == ("value_date", "equal"):
@@ -142,6 +142,60 @@ def holds(tier: Tier, l: Column, r: Column, tol: Tolerance = DEFAULT) -> Column:
     return out
 
 
+#: An array of tiers as rows carry it: the active ones in order of their rank.
+ROWS = "array<struct<tier:int,tier_name:string,auto_confirm:boolean,conditions:array<struct<field:string,op:string,params:map<string,string>>>>>"
+
+
+def as_rows(tiers: list[Tier]) -> list[tuple]:
+    """The active tiers as a value of :data:`ROWS`."""
+    said = lambda p: {k: str(v) for k, v in p.items() if v is not None}
+    return [(t.number, t.name, t.auto_confirm, [(c.field, c.op, said(c.params)) for c in t.conditions]) for t in active(tiers)]
+
+
+@dataclass(frozen=True)
+class OfRows:
+    """Tiers that left rows carry in a column of type :data:`ROWS`: one expression judges pairs of accounts with any tiers."""
+
+    column: str = "tiers"
+
+    def first(self, l: Column, r: Column, tol: Tolerance, left: list[str], right: list[str]) -> Column:
+        """What :func:`first_tier` gives. ``left`` and ``right``: the columns that a condition on equal fields may name."""
+        plain = {op: condition(Condition(*op), l, r, tol) for op in _PLAIN}
+        days = dates.days_between(l["value_date"], r["value_date"])
+        texts = F.upper(F.concat_ws(" ", text.text(l["booking_text_1"]), text.text(l["booking_text_2"]))), F.upper(text.text(r["narration"]))
+        named = [F.create_map(*[x for c in names for x in (F.lit(c), text.text(side[c]))]) for side, names in ((l, left), (r, right))]
+
+        def holds(c: Column) -> Column:
+            is_ = lambda field, op: (c["field"] == field) & (c["op"] == op)
+            p = lambda name: F.coalesce(c["params"][name], F.lit(""))
+            side, wanted = p("side"), F.upper(p("text"))
+            inside = (side != "right") & F.contains(texts[0], wanted) | (side != "left") & F.contains(texts[1], wanted)
+            chain = F.when(is_("value_date", "within_days"), days <= F.coalesce(c["params"]["n"].cast("int"), F.lit(1)))
+            chain = chain.when(is_("narration", "contains"), (wanted != "") & inside)
+            chain = chain.when(is_("field", "equal"), (p("left") != "") & (p("right") != "") & (F.try_element_at(named[0], p("left")) == F.try_element_at(named[1], p("right"))))
+            for (field_, op), ok in plain.items():
+                chain = chain.when(is_(field_, op), ok)
+            return F.coalesce(chain, F.lit(False))
+
+        return F.get(F.filter(l[self.column], lambda t: F.forall(t["conditions"], holds)), F.lit(0))
+
+
+_PLAIN = (("amount", "equal_within_tol"), ("amount", "exact"), ("value_date", "equal"), ("sign", "mirror"), ("ref", "in_other_narration"), ("ref", "symmetric_in_narration"))
+
+
+def staged(tiers: list[Tier]) -> tuple[list[Tier], list[Tier]] | None:
+    """The active tiers that need a shared reference and, all after them, those that read but amounts, dates and signs.
+
+    None where tiers are not of this kind: then they cannot be resolved one kind after the other.
+    """
+    own = active(tiers)
+    gated = [t for t in own if any(c.op == "symmetric_in_narration" for c in t.conditions)]
+    free = [t for t in own if t not in gated]
+    plain = all({c.field for c in t.conditions} <= {"amount", "value_date", "sign"} and any(c.field == "amount" and (c.field, c.op) in _PLAIN for c in t.conditions) for t in free)
+    apart = not gated or not free or max(t.number for t in gated) < min(t.number for t in free)
+    return (gated, free) if plain and apart and own == gated + free else None
+
+
 def first_tier(tiers: list[Tier], l: Column, r: Column, tol: Tolerance = DEFAULT) -> Column:
     """struct(tier, tier_name, auto_confirm) of the first tier that holds, or null."""
     chain = None

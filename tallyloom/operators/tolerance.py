@@ -2,40 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+Number = float | Column
+
+
 @dataclass(frozen=True)
 class Tolerance:
-    amount_abs: float = 0.01
-    amount_pct: float = 0.0
-    days: int = 1
-    min_ref_len: int = 6
-    fx_bps: float = 0.0
+    """The settings of one run as numbers, or those of each row as columns (see :class:`OfRows`)."""
+
+    amount_abs: Number = 0.01
+    amount_pct: Number = 0.0
+    days: int | Column = 1
+    min_ref_len: int | Column = 6
+    fx_bps: Number = 0.0
     continuity_abs: float = 0.01
 
+    #: Columns of rows that hold settings.
+    columns = ()
+
+    def at(self, get: Callable[[str], Column]) -> Tolerance:
+        """The settings where ``get`` yields the columns of a row."""
+        return self
+
+
+@dataclass(frozen=True)
+class OfRows:
+    """Settings that rows carry as columns, so that one plan serves accounts of any settings. ``rate``: rows have a rate."""
+
+    rate: bool = False
+    columns = ("amount_tol_abs", "amount_tol_pct", "date_tol_days", "min_ref_len", "fx_tol_bps")
+
+    def at(self, get: Callable[[str], Column]) -> Tolerance:
+        amount_abs, pct, days, ref_len, bps = map(get, self.columns)
+        return Tolerance(amount_abs, pct, days.cast("int"), ref_len.cast("int"), bps if self.rate else 0.0)
+
 
 DEFAULT = Tolerance()
 
 
+def is_asked(x: Number) -> bool:
+    """Whether a share may play a part; a plan with a number of 0 does without it."""
+    return isinstance(x, Column) or x > 0
+
+
+def _where_asked(x: Number, ok: Column) -> Column:
+    return (x > 0) & ok if isinstance(x, Column) else ok
+
+
 def amount_ok(left: Column, right: Column, tol: Tolerance = DEFAULT, rate: Column | None = None) -> Column:
     """Within the absolute tolerance, or within the percentage of the larger amount, or of the converted one in basis points."""
     diff = F.abs(right - left)
     ok = diff <= tol.amount_abs
-    if tol.amount_pct > 0:
-        ok = ok | (diff / F.greatest(F.abs(left), F.abs(right), F.lit(1.0)) * 100 <= tol.amount_pct)
-    if tol.fx_bps > 0 and rate is not None:
+    if is_asked(tol.amount_pct):
+        ok = ok | _where_asked(tol.amount_pct, diff / F.greatest(F.abs(left), F.abs(right), F.lit(1.0)) * 100 <= tol.amount_pct)
+    if is_asked(tol.fx_bps) and rate is not None:
         there = left * rate
-        ok = ok | F.coalesce(F.abs(right - there) <= F.abs(there) * tol.fx_bps / 10000, F.lit(False))
+        ok = ok | _where_asked(tol.fx_bps, F.coalesce(F.abs(right - there) <= F.abs(there) * tol.fx_bps / 10000, F.lit(False)))
     return ok
 
 
+def number(x: Number) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
 def window(left: Column, tol: Tolerance = DEFAULT) -> Column:
     """Half the width of the range in which a left amount looks for right ones."""
-    return F.greatest(F.lit(tol.amount_abs), F.abs(left) * tol.amount_pct / 100) + 1e-9
+    return F.greatest(number(tol.amount_abs), F.abs(left) * tol.amount_pct / 100) + 1e-9
 
 
 def of_accounts(accounts: DataFrame, settings: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
