@@ -2,9 +2,10 @@
 
 1. Words are counted by language. Those with at least ``min_count`` occurrences are the trie's first level.
 2. Every task builds count tries of its share of the texts, a shard at a time: a node is a phrase, named by the hash of its
-   path. Only nodes below frequent ones are built, as a phrase is never more frequent than its parts: first all of depth 2,
-   then, below the frequent ones of these, depths 2 to 5. Which nodes are frequent is told by a bit filter of at most 16 MB
-   (``FILTER_BITS``); what it lets through in error only costs rows, as the merged counts decide.
+   path. Only nodes whose parts are frequent are built, as a phrase is never more frequent than these: first those of depth 2,
+   below them those of depth 3, each as keys and counts alone, then depths 2 to 5 with their structure. Which nodes are frequent
+   is told by a bit filter of at most 16 MB (``FILTER_BITS``) a depth; what it lets through in error only costs rows, as the
+   merged counts decide.
 3. A shard's trie is serialised in the order of its paths, the first two words first, as packed chunks. Boundaries are
    taken from the chunks' first paths, so that ranges hold about ``RANGE_NODES`` nodes each, however frequent a prefix
    is. A task merges the sorted runs of one range of all shards and adds their counts.
@@ -35,6 +36,8 @@ from tallyloom.llm import wordhash
 from tallyloom.llm.shared import own_names, spread, written
 
 DEPTH, MIN_COUNT, TOP, COVER = 5, 100, 2000, 100
+#: Depths that are counted one by one before the trie of all depths is built.
+COUNTED = 3
 #: Positions that a task gathers before it builds a shard's trie of them, nodes of a serialised chunk and of a merged range.
 SHARD_PLACES, CHUNK_NODES, RANGE_NODES = 1 << 21, 1 << 14, 1 << 19
 #: Bytes of chunks that a task takes in at once.
@@ -178,12 +181,44 @@ def _summed(keys: np.ndarray, n: np.ndarray, more: np.ndarray | None) -> tuple[n
     return keys[first], total, None if more is None else more[order][first]
 
 
-def _tries(frequent: Filter, pairs: Filter | None):
-    """Serialised shard tries: of depth 2 alone, or below the frequent ``pairs`` of depths 2 to DEPTH with their structure."""
+def _nodes(h: np.ndarray, piece: np.ndarray, filters: list[Filter], structure: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Nodes (keys, and the rest where there is structure) of a chunk's positions, depth by depth.
+
+    ``at``: where the nodes of a depth begin; ``held[i]``: a node of the depth above begins at i, and ``name[i]`` is its key. A
+    node of the next depth begins where one does at its own place and one at the next place, which is its suffix link.
+    """
+    at = np.flatnonzero(filters[0].holds(h))
+    key, top = h[at], None
+    for depth in range(2, DEPTH + 1 if structure else len(filters) + 2):
+        held, name = np.zeros(len(h) + 1, bool), np.zeros(len(h) + 1, np.uint64)
+        held[at], name[at] = True, key
+        on = held[at + 1]
+        if depth == 2:
+            on[on] = piece[at[on]] == piece[at[on] + 1]
+        at, parent = at[on], key[on]
+        key = _child(parent, h[at + depth - 1])
+        top = key if depth == 2 else top[on]
+        if depth <= len(filters):
+            known = filters[depth - 1].holds(key)
+            at, key, parent, top = at[known], key[known], parent[known], top[known]
+        if structure:
+            more = np.zeros(len(key), _MORE)
+            more["top"], more["depth"], more["parent"], more["link"] = top >> np.uint64(32), depth, parent, name[at + 1]
+            yield key, more
+        elif depth > len(filters):
+            yield key, None
+
+
+def _tries(filters: list[Filter], structure: bool):
+    """Serialised shard tries below the nodes that ``filters`` hold, one for each depth from 1 on.
+
+    Without ``structure`` they have the nodes of the next depth alone, whose parts are all held, as keys and counts. With it they
+    have those of depths 2 to DEPTH, each with its parent and suffix link.
+    """
 
     def chunks(held: list[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([k for k, _ in held])
-        keys, n, more = _summed(keys, np.ones(len(keys), np.int64), None if pairs is None else np.concatenate([m for _, m in held]))
+        keys, n, more = _summed(keys, np.ones(len(keys), np.int64), np.concatenate([m for _, m in held]) if structure else None)
         place = _place(keys, more)
         for a in range(0, len(keys), CHUNK_NODES):
             b = min(a + CHUNK_NODES, len(keys))
@@ -195,31 +230,9 @@ def _tries(frequent: Filter, pairs: Filter | None):
         size = 0
         for part in parts:
             for h, piece, *_ in _located(part):
-                if len(h) < 2:
-                    continue
-                known = frequent.holds(h)
-                at = np.flatnonzero(known[:-1] & known[1:] & (piece[:-1] == piece[1:]))
-                top = _child(h[at], h[at + 1])
-                if pairs is None:
-                    held.append((top, None))
-                    size += len(top)
-                else:
-                    fine = pairs.holds(top)
-                    at, top = at[fine], top[fine]
-                    goes_on = np.zeros(len(h) + DEPTH, bool)  # a frequent pair begins here
-                    goes_on[at] = True
-                    key, parent, link = top, h[at], h[at + 1]
-                    known_link = np.zeros(len(h) + DEPTH, np.uint64)
-                    for depth in range(2, DEPTH + 1):
-                        more = np.zeros(len(key), _MORE)
-                        more["top"], more["depth"], more["parent"], more["link"] = top >> np.uint64(32), depth, parent, link
-                        held.append((key, more))
-                        size += 4 * len(key)
-                        known_link[at] = key
-                        on = goes_on[at + depth - 1]
-                        at, top, parent = at[on], top[on], key[on]
-                        link = known_link[at + 1]
-                        key = _child(parent, h[at + depth])
+                for found in _nodes(h, piece, filters, structure):
+                    held.append(found)
+                    size += len(found[0])
                 if size >= SHARD_PLACES:
                     yield from chunks(held)
                     held, size = [], 0
@@ -288,10 +301,11 @@ def mine(
     words = written(rows.mapInArrow(_counted_words, _WORDS).groupBy("lang", "key", "word").agg(F.sum("n").alias("f")), "phrase-words")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = written(words.where(F.col("f") >= min_count).select("key", "lang", "f", F.array("word").alias("words"), *[F.array().cast("array<long>").alias(c) for c in ("lefts", "rights")]), "phrase-level")
-    frequent = Filter(level.select("key"), level.count(), filter_bits)
-    pairs = written(_merged(rows.mapInArrow(_tries(frequent, None), _TRIE), min_count, range_nodes).select("key"), "phrase-pairs")
-    below = Filter(pairs, pairs.count(), filter_bits)
-    nodes = written(_merged(rows.mapInArrow(_tries(frequent, below), _TRIE), min_count, range_nodes), "phrase-nodes")
+    filters = [Filter(level.select("key"), level.count(), filter_bits)]
+    for _ in range(2, COUNTED + 1):
+        keys = written(_merged(rows.mapInArrow(_tries(filters, False), _TRIE), min_count, range_nodes).select("key"), "phrase-keys")
+        filters.append(Filter(keys, keys.count(), filter_bits))
+    nodes = written(_merged(rows.mapInArrow(_tries(filters, True), _TRIE), min_count, range_nodes), "phrase-nodes")
 
     found = None
     for depth in range(2, DEPTH + 1):
