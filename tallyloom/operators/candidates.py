@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import tiers as T
+from tallyloom.operators.store import written
 from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, is_asked, number, window
 
 KEYS = ["session_id", "l_row", "r_row"]
@@ -54,6 +55,62 @@ def _near(tol: Tolerance | OfRows) -> Column:
     return F.abs(F.col("r.amount") - F.col("l.amount")) <= window(F.col("l.amount"), tol.at(lambda c: F.col("l")[c]))
 
 
+#: A bin is hot where its pairs are so many times its rows.
+HOT = 32
+#: Lengths of grams: a reference is looked up by the longest of these that it has.
+GRAMS = (6, 3)
+
+
+def _by_amount_with_reference(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+    """The pairs of :func:`_by_amount` of which one row's reference may lie inside the other's texts; others may be left out.
+
+    Where a bin holds few rows, all its pairs are returned. In a hot bin (n equal amounts) references are looked up by the
+    rarest of their grams instead, so that it costs its rows and the pairs that hold a reference, not all n * n of them.
+    """
+    at_l, at_r = (tol.at(lambda c, side=side: F.col(side)[c]) for side in "lr")
+    on = [*_ON, "bin"]
+    lb = l.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("l.amount"), at_l) + d for d in (-1, 0, 1)])))
+    rb = r.withColumn("bin", amount_bin(F.col("r.amount"), at_r))
+    size = lambda df, name: df.groupBy(*on).agg(F.count("*").alias(name))
+    hot = size(lb, "ln").join(size(rb, "rn"), on).where(F.col("ln").cast("double") * F.col("rn") > HOT * (F.col("ln") + F.col("rn")))
+    hot = written(hot.select(on), "hot-bins")
+    fine = _near(tol) & ~F.arrays_overlap("l_keys", "r_keys")
+    if hot.isEmpty():
+        return lb.join(rb, on).where(fine).select("session_id", "l", "r")
+    cold = lb.join(hot, on, "left_anti").join(rb, on).where(fine).select("session_id", "l", "r")
+    lh, rh = lb.join(hot, on, "left_semi"), rb.join(hot, on, "left_semi")
+    number_of = lambda side: F.col(f"{side}._row").alias(f"{side}_row")
+    whole = lambda side, *fields: F.array(*[text.normalize_ref(F.col(f"{side}.{f}")) for f in fields])
+    enough = lambda side, length: length >= tol.at(lambda c: F.col(side)[c]).min_ref_len
+    bare = lambda f: text.normalize_ref(F.col(f"r.{f}"))
+    # a reference of separators alone counts as a short one
+    written_long = lambda f: F.when(enough("r", F.length(F.trim(text.text(F.col(f"r.{f}"))))), F.when(bare(f) == "", "-").otherwise(bare(f))).otherwise("")
+    theirs = lh.select(*on, number_of("l"), F.explode(whole("l", "our_ref")).alias("needle"), "l").where(enough("l", F.length("needle"))).drop("l"), rh.select(*on, number_of("r"), whole("r", "narration", "external_ref", "trn_ref").alias("texts"))
+    ours = rh.select(*on, number_of("r"), F.explode(F.array(written_long("trn_ref"), written_long("external_ref"))).alias("needle")), lh.select(*on, number_of("l"), whole("l", "booking_text_1", "booking_text_2").alias("texts"))
+    found = _holding(*theirs, on, "l_row", "r_row").unionByName(_holding(*ours, on, "r_row", "l_row")).distinct()
+    both = found.join(lh.withColumn("l_row", F.col("l._row")), [*on, "l_row"]).join(rh.withColumn("r_row", F.col("r._row")), [*on, "r_row"])
+    return cold.unionByName(both.where(fine).select("session_id", "l", "r"))
+
+
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def _holding(needles: DataFrame, texts: DataFrame, on: list[str], row: str, other: str) -> DataFrame:
+    """on, row, other: needles and the rows some text of which may hold them. Needles shorter than all grams meet every row."""
+    size = F.length("needle")
+    found = needles.where((size < GRAMS[-1]) & (size > 0)).select(*on, row).join(texts.select(*on, other), on)
+    for n, upto in zip(GRAMS, (None, *GRAMS)):
+        own = needles.where((size >= n) & (F.lit(True) if upto is None else size < upto))
+        near = texts.join(own.select(*on).distinct(), on, "left_semi")
+        known = near.select(*on, other, F.explode(F.array_distinct(F.flatten(F.transform("texts", lambda t, n=n: _grams(t, n))))).alias("g"))
+        counts = known.groupBy(*on, "g").agg(F.count("*").alias("n"))
+        grams = own.select(*on, row, "needle", F.explode(_grams(F.col("needle"), n)).alias("g"), F.size(_grams(F.col("needle"), n)).alias("grams"))
+        rarest = grams.join(counts, [*on, "g"]).groupBy(*on, row, "needle", "grams").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("met"))
+        found = found.unionByName(rarest.where("met = grams").join(known, [*on, "g"]).select(*on, row, other))
+    return found.select(*on, "l_row", "r_row")
+
+
 def _by_rate(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
     """Those that neither of the others finds, and whose amount lies within ``fx_bps`` of the left one times its ``rate``.
 
@@ -102,10 +159,11 @@ def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, wanted: set[s
     return pairs.join(l, ["session_id", "l_row"]).join(r, ["session_id", "r_row"])
 
 
-def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | None = None) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | str | None = None) -> DataFrame:
     """session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref: every pair that some tier accepts, by its first one.
 
-    Amounts are searched only if a tier can do without a reference (``amounts`` overrides that), converted ones if rows have a
+    Amounts are searched only if a tier can do without a reference (``amounts`` overrides that: "contained" searches them for
+    tiers that all need a reference, which may then lie inside another without being a common key), converted ones if rows have a
     ``rate`` and an ``fx_bps`` above 0. Every pair is found once, so that nothing has to be made distinct, and rows travel with
     their pairs: those columns that the tiers read, or all of them where rows carry the tiers.
     """
@@ -118,7 +176,7 @@ def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows
         amounts = by_rows or not T.all_gated_by_ref(tiers)
     if amounts:
         near = l.where("l.searches") if by_rows else l
-        pairs = pairs.unionByName(_by_amount(near, r, tol))
+        pairs = pairs.unionByName(_by_amount_with_reference(near, r, tol) if amounts == "contained" else _by_amount(near, r, tol))
         if "rate" in left.columns and is_asked(tol.at(F.col).fx_bps):
             pairs = pairs.unionByName(_by_rate(near, r, tol))
     at = tol.at(lambda c: F.col("l")[c])

@@ -9,7 +9,7 @@ from tallyloom.functions import dates, text
 from tallyloom.operators import resolve
 from tallyloom.operators.candidates import amount_bin
 from tallyloom.operators.store import numbered
-from tallyloom.operators.tolerance import DEFAULT, Tolerance, amount_ok, window
+from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, amount_ok, window
 
 #: What balances an open item of a sign: ledger items look for statement signs and the other way round.
 COUNTER = {"C": "DR", "D": "CR", "CR": "D", "DR": "C"}
@@ -38,21 +38,23 @@ def seed(left: DataFrame, right: DataFrame, assignments: DataFrame, existing: Da
     return items if existing is None else items.join(existing.select("session_id", "side", "row_number"), ["session_id", "side", "row_number"], "left_anti")
 
 
-def carry_forward(items: DataFrame, rows: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
+def carry_forward(items: DataFrame, rows: DataFrame, tol: Tolerance | OfRows = DEFAULT) -> DataFrame:
     """Open items cleared by free rows of the opposite side: item_id, row_number, phase.
 
     items: item_id, account_id, amount, sign, ref, value_date; rows: account_id, row_number, amount, sign, own_refs and
     texts (arrays), value_date. Phase 1 takes equal references within the amount tolerance, phase 2 equal amounts near
-    in date for items with a reference. Claims are resolved one-to-one, items in order, each its first row.
+    in date for items with a reference. Claims are resolved one-to-one, items in order, each its first row. Both tables carry
+    the account's settings if ``tol`` is that of rows.
     """
+    own_tol = tol.at(F.col)
     key = text.normalize_ref(F.col("ref"))
-    i = items.withColumn("key", key).where(F.length("key") >= tol.min_ref_len).withColumn("want", counter_sign(F.col("sign")))
+    i = items.withColumn("key", key).where(F.length("key") >= own_tol.min_ref_len).withColumn("want", counter_sign(F.col("sign")))
     own = F.filter(F.transform("own_refs", text.normalize_ref), lambda t: F.length(t) >= 3)
     loose = F.filter(F.transform(F.flatten(F.transform("texts", lambda t: text.split_tokens(t))), text.normalize_ref), lambda t: (F.length(t) >= 3) & text.ref_like(t))
     r = rows.withColumn("tokens", F.array_distinct(F.concat(own, loose)))
 
     def pairs(i: DataFrame, r: DataFrame, on: Column) -> DataFrame:
-        both = i.select("account_id", "item_id", "want", F.col("amount").alias("ia"), F.col("value_date").alias("iv"), "key").alias("i")
+        both = i.select("account_id", "item_id", "want", F.col("amount").alias("ia"), F.col("value_date").alias("iv"), "key", *tol.columns).alias("i")
         return both.join(r, on).select(
             F.col("i.account_id").alias("session_id"), F.col("item_id").alias("l_row"), F.col("row_number").alias("r_row"), F.lit(0).alias("tier"), F.lit(0.0).alias("amount_diff")
         )
@@ -62,18 +64,18 @@ def carry_forward(items: DataFrame, rows: DataFrame, tol: Tolerance = DEFAULT) -
 
     r1 = r.select(F.col("account_id").alias("ra"), "row_number", F.col("amount").alias("rm"), F.col("sign").alias("rs"), F.explode("tokens").alias("token"))
     same = (F.col("i.account_id") == F.col("ra")) & (F.col("want") == F.col("rs")) & (F.col("key") == F.col("token"))
-    first = claims(pairs(i, r1, same & amount_ok(F.col("rm"), F.col("ia"), tol))).withColumn("phase", F.lit(1))
+    first = claims(pairs(i, r1, same & amount_ok(F.col("rm"), F.col("ia"), own_tol))).withColumn("phase", F.lit(1))
 
     done = first.select(F.col("session_id").alias("account_id"), F.col("l_row").alias("item_id"))
     used = first.select(F.col("session_id").alias("account_id"), F.col("r_row").alias("row_number"))
     i2 = i.join(done, ["account_id", "item_id"], "left_anti")
     r2 = r.join(used, ["account_id", "row_number"], "left_anti")
     # equal bins for an absolute tolerance, growing ones for a percentage: an equi-join either way
-    i2 = i2.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("amount"), tol) + k for k in (-1, 0, 1)])))
-    r2 = r2.select(F.col("account_id").alias("ra"), "row_number", F.col("amount").alias("rm"), F.col("sign").alias("rs"), F.col("value_date").alias("rv"), amount_bin(F.col("amount"), tol).alias("rb"))
+    i2 = i2.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("amount"), own_tol) + k for k in (-1, 0, 1)])))
+    r2 = r2.select(F.col("account_id").alias("ra"), "row_number", F.col("amount").alias("rm"), F.col("sign").alias("rs"), F.col("value_date").alias("rv"), amount_bin(F.col("amount"), own_tol).alias("rb"))
     on = (F.col("i.account_id") == F.col("ra")) & (F.col("want") == F.col("rs")) & (F.col("i.bin") == F.col("rb"))
-    cols = ["account_id", "item_id", "want", "bin", F.col("amount").alias("ia"), F.col("value_date").alias("iv")]
-    p2 = i2.select(*cols).alias("i").join(r2, on).where((F.abs(F.col("rm") - F.col("ia")) <= window(F.col("ia"), tol)) & dates.date_close(F.col("iv"), F.col("rv"), tol.days))
+    cols = ["account_id", "item_id", "want", "bin", F.col("amount").alias("ia"), F.col("value_date").alias("iv"), *tol.columns]
+    p2 = i2.select(*cols).alias("i").join(r2, on).where((F.abs(F.col("rm") - F.col("ia")) <= window(F.col("ia"), own_tol)) & dates.date_close(F.col("iv"), F.col("rv"), own_tol.days))
     p2 = p2.select(F.col("i.account_id").alias("session_id"), F.col("item_id").alias("l_row"), F.col("row_number").alias("r_row"), F.lit(0).alias("tier"), (F.col("rm") - F.col("ia")).alias("amount_diff"))
     second = claims(p2).withColumn("phase", F.lit(2))
     return first.unionByName(second).select(F.col("session_id").alias("account_id"), F.col("l_row").alias("item_id"), F.col("r_row").alias("row_number"), "phase")

@@ -78,8 +78,8 @@ def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows |
     """What :func:`greedy` takes of all candidates of two sides.
 
     Where all tiers that need a reference come first and the others read but amounts, dates and signs (as the built-in ones
-    do), the former are resolved alone, from pairs with a common key, and what is left over by blocks of equal rows: no pair
-    of rows is made for amounts. Other tiers are resolved together. Rows that carry their tiers say by ``staged`` which it is.
+    do), the former are resolved alone, from pairs with a common key or with a reference inside a text, and what is left over
+    by blocks of equal rows, so that n equal amounts do not make n * n pairs. Other tiers are resolved together. Rows that carry their tiers say by ``staged`` which it is.
     """
     if isinstance(tiers, T.OfRows):
         one = _in_stages(left.where("staged"), right.where("staged"), T.OfRows("gated"), T.OfRows("free"), tol)
@@ -97,7 +97,7 @@ def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows |
 
 
 def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows, free: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> DataFrame:
-    first = greedy(C.candidates(left, right, gated, tol, amounts=False)) if gated else None
+    first = greedy(C.candidates(left, right, gated, tol, amounts="contained" if free else False)) if gated else None
     if not free:
         return first if first is not None else greedy(C.candidates(left, right, [], tol, amounts=False))
     if first is None:

@@ -20,7 +20,7 @@ from tallyloom.functions import text
 from tallyloom.operators import tiers as T
 from tallyloom.operators.components import components
 from tallyloom.operators.store import written
-from tallyloom.operators.tolerance import DEFAULT, Tolerance
+from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, number
 
 MAX_SUBSET, POOL, SIDE = 4, 20, 3
 MIN_KEY = 4
@@ -104,16 +104,17 @@ def contained_keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return compared.where(F.contains("outer", F.col("inner"))).select(*of, "inner", "outer"), compared
 
 
-def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
-    """session_id, type, c, side (0: of many), key, row, amount: the rows that may take part, and the group ``c`` of each.
+def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+    """session_id, type, c, side (0: of many), key, row, amount, SHARES: the rows that may take part, and the group ``c`` of each.
 
     Pools are the rows whose keys are equal to a row's key, contain it or lie inside it. Keys that are so related, directly or
     over others, are a group: the smallest of its keys names it, and a key related to no other is a group by itself.
     """
     of = ["session_id", "type"]
-    o = one.where((F.length("key") >= max(tol.min_ref_len, MIN_KEY)) & F.col("type").isNotNull()).withColumn("side", F.lit(1))
+    least = F.greatest(F.lit(MIN_KEY), tol.at(F.col).min_ref_len if tol.columns else F.lit(tol.min_ref_len))
+    o = one.where((F.length("key") >= least) & F.col("type").isNotNull()).withColumn("side", F.lit(1))
     m = many.where((F.length("key") >= MIN_KEY) & F.col("type").isNotNull()).withColumn("side", F.lit(0))
-    rows = written(o.unionByName(m).select(*of, "side", "key", "row", "amount"), "split-rows")
+    rows = written(_with_shares(o.unionByName(m), tol).select(*of, "side", "key", "row", "amount", *SHARES), "split-rows")
     keys = written(rows.groupBy(*of, "key").agg(F.max(F.col("side") == 1).alias("o"), F.max(F.col("side") == 0).alias("m")), "split-keys")
     pairs, _ = contained_keys(keys.select(*of, "key"))
     roles = lambda name: keys.select(*of, F.col("key").alias(name), F.struct("o", "m").alias(f"{name}_at"))
@@ -124,7 +125,7 @@ def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
     return rows.join(both.select(*of, "key", F.coalesce("c", "key").alias("c")), [*of, "key"])
 
 
-def _claimed(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
+def _claimed(one: DataFrame, many: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
     """session_id, o, ms, gap: in order of ``o``, each takes the first subset (in size and order of rows) of its free rows that meets its amount.
 
     Claims reach only as far as pools share rows, which is a group at most. Rows travel once each; the pools of a group are put
@@ -133,18 +134,18 @@ def _claimed(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
     schema = pa.schema([("session_id", pa.int64()), ("o", pa.int64()), ("ms", pa.list_(pa.int64())), ("gap", pa.float64())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "type", "c", "side", "key", "row", "amount"))))
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "type", "c", "side", "key", "row", "amount", *SHARES))))
         out = []
         for (session, _, _), group in groupby(rows, key=lambda r: r[:3]):
             held, pools, used = {}, {}, set()
-            for *_, side, key, row, amount in group:  # first the rows of many
+            for *_, side, key, row, amount, share_abs, share_pct in group:  # first the rows of many
                 if not side:
                     held.setdefault(key, []).append((row, amount))
                     continue
                 if key not in pools:
                     pools[key] = sorted(x for k, xs in held.items() if k == key or k in key or key in k for x in xs)
                 free = [x for x in pools[key] if x[0] not in used]
-                hit = first_subset([a for _, a in free], amount, tol) if len(free) > 1 else None
+                hit = first_subset([a for _, a in free], amount, Tolerance(share_abs, share_pct)) if len(free) > 1 else None
                 if hit:
                     used.update(free[p][0] for p in hit)
                     out.append({"session_id": session, "o": row, "ms": [free[p][0] for p in hit], "gap": sum(free[p][1] for p in hit) - amount})
@@ -154,54 +155,65 @@ def _claimed(one: DataFrame, many: DataFrame, tol: Tolerance) -> DataFrame:
         yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = _grouped(one, many, tol).repartition("session_id", "type", "c").sortWithinPartitions("session_id", "type", "c", "side", "row")
-    return rows.select("session_id", "type", "c", "side", "key", "row", "amount").mapInArrow(take, "session_id long, o long, ms array<long>, gap double")
+    return rows.select("session_id", "type", "c", "side", "key", "row", "amount", *SHARES).mapInArrow(take, "session_id long, o long, ms array<long>, gap double")
 
 
-def _left(left: DataFrame) -> DataFrame:
-    return left.select("session_id", F.col("row_number").alias("row"), T.mirrored(F.col("sign")).alias("type"), text.normalize_ref(F.col("our_ref")).alias("key"), "amount")
+#: The tolerances of sums, as rows carry them to where subsets are searched.
+SHARES = ("share_abs", "share_pct")
 
 
-def _right(right: DataFrame) -> DataFrame:
+def _with_shares(rows: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+    own = tol.at(F.col)
+    return rows.withColumns({"share_abs": number(own.amount_abs), "share_pct": number(own.amount_pct)})
+
+
+def _left(left: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+    return left.select("session_id", F.col("row_number").alias("row"), T.mirrored(F.col("sign")).alias("type"), text.normalize_ref(F.col("our_ref")).alias("key"), "amount", *tol.columns)
+
+
+def _right(right: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
     key = F.when(F.length(text.normalize_ref(F.col("trn_ref"))) >= MIN_KEY, text.normalize_ref(F.col("trn_ref"))).otherwise(text.normalize_ref(F.col("external_ref")))
-    return right.select("session_id", F.col("row_number").alias("row"), "type", key.alias("key"), "amount")
+    return right.select("session_id", F.col("row_number").alias("row"), "type", key.alias("key"), "amount", *tol.columns)
 
 
-def one_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
+def one_to_many(left: DataFrame, right: DataFrame, tol: Tolerance | OfRows = DEFAULT) -> DataFrame:
     """session_id, l_rows, r_rows, tier 5, amount_diff: a statement row against two to four ledger rows."""
-    found = _claimed(_left(left), _right(right), tol)
+    found = _claimed(_left(left, tol), _right(right, tol), tol)
     return found.select("session_id", F.array("o").alias("l_rows"), F.col("ms").alias("r_rows"), F.lit(5).alias("tier"), F.col("gap").alias("amount_diff"))
 
 
-def many_to_one(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT, taken: DataFrame | None = None) -> DataFrame:
+def many_to_one(left: DataFrame, right: DataFrame, tol: Tolerance | OfRows = DEFAULT, taken: DataFrame | None = None) -> DataFrame:
     """A ledger row against two to four statement rows; rows that ``taken`` one-to-many matches hold are left out."""
-    r = _right(right)
+    r = _right(right, tol)
     if taken is not None:
         r = r.join(taken.select("session_id", F.explode("r_rows").alias("row")), ["session_id", "row"], "left_anti")
-    found = _claimed(r, _left(left), tol)
+    found = _claimed(r, _left(left, tol), tol)
     return found.select("session_id", F.col("ms").alias("l_rows"), F.array("o").alias("r_rows"), F.lit(5).alias("tier"), (-F.col("gap")).alias("amount_diff"))
 
 
-def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
+def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance | OfRows = DEFAULT) -> DataFrame:
     """session_id, l_rows, r_rows, tier 6: two or three rows of each side whose sums agree within a band of days.
 
     For each left date, in order, the rows of both sides within the band form a pool; a pool of more than ``POOL`` rows
     on a side is not searched. Claims go on from date to date as long as pools share rows, so a group is a run of dates that
     are at most two bands apart; rows in no searchable pool are left out before.
     """
-    band = max(tol.days, 1)
+    days = tol.at(F.col).days
+    band = F.greatest(days if isinstance(days, Column) else F.lit(days), F.lit(1)).alias("band")
+    left, right = _with_shares(left, tol), _with_shares(right, tol)
     day = lambda c: F.unix_date(F.try_to_date(c.cast("string"), "yyyyMMdd"))
-    l = left.where("value_date <> 0").select("session_id", F.lit("l").alias("at"), F.col("row_number").alias("row"), "amount", F.when(F.col("sign") == "C", "DR").when(F.col("sign") == "D", "CR").alias("type"), day(F.col("value_date")).alias("day"))
-    r = right.where("value_date <> 0").select("session_id", F.lit("r").alias("at"), F.col("row_number").alias("row"), "amount", "type", day(F.col("value_date")).alias("day"))
+    l = left.where("value_date <> 0").select("session_id", F.lit("l").alias("at"), F.col("row_number").alias("row"), "amount", F.when(F.col("sign") == "C", "DR").when(F.col("sign") == "D", "CR").alias("type"), day(F.col("value_date")).alias("day"), band, *SHARES)
+    r = right.where("value_date <> 0").select("session_id", F.lit("r").alias("at"), F.col("row_number").alias("row"), "amount", "type", day(F.col("value_date")).alias("day"), band, *SHARES)
     both = l.unionByName(r)
-    near = both.select("session_id", "at", "row", F.explode(F.sequence(F.col("day") - band, F.col("day") + band)).alias("anchor"))
-    sizes = near.groupBy("session_id", "anchor").agg(F.count_if(F.col("at") == "l").alias("nl"), F.count_if(F.col("at") == "r").alias("nr"))
+    near = both.select("session_id", "at", "row", "band", F.explode(F.sequence(F.col("day") - F.col("band"), F.col("day") + F.col("band"))).alias("anchor"))
+    sizes = near.groupBy("session_id", "anchor", "band").agg(F.count_if(F.col("at") == "l").alias("nl"), F.count_if(F.col("at") == "r").alias("nr"))
     anchors = sizes.where(f"nl between 2 and {POOL} and nr between 2 and {POOL}").join(l.select("session_id", F.col("day").alias("anchor")).distinct(), ["session_id", "anchor"], "left_semi")
     days = Window.partitionBy("session_id").orderBy("anchor")
-    begins = F.coalesce((F.col("anchor") - F.lag("anchor").over(days) > 2 * band).cast("int"), F.lit(0))
+    begins = F.coalesce((F.col("anchor") - F.lag("anchor").over(days) > 2 * F.col("band")).cast("int"), F.lit(0))
     runs = anchors.select("session_id", "anchor", begins.alias("begins")).withColumn("run", F.sum("begins").over(days)).drop("begins")
-    pools = near.join(runs, ["session_id", "anchor"]).join(both, ["session_id", "at", "row"])
+    pools = near.drop("band").join(runs, ["session_id", "anchor"]).join(both, ["session_id", "at", "row"])
 
-    def search(left: list[tuple[int, float]], right: list[tuple[int, float]], used: set[tuple[str, int]]) -> Iterator[tuple[list[int], list[int], float]]:
+    def search(left: list[tuple[int, float]], right: list[tuple[int, float]], used: set[tuple[str, int]], tol: Tolerance) -> Iterator[tuple[list[int], list[int], float]]:
         """The matches of one pool, in order of left combinations; each claims its rows."""
         amounts = np.array([a for _, a in right])
         tuples = [np.array(list(combinations(range(len(right)), n)), int).reshape(-1, n) for n in range(2, SIDE + 1)]
@@ -231,25 +243,25 @@ def many_to_many(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) ->
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pools in order of session, run, date and row; what is claimed is kept for one run."""
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "run", "anchor", "row", "at", "type", "amount"))))
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "run", "anchor", "row", "at", "type", "amount", *SHARES))))
         group, used, out = None, set(), []
         for (session, run, _), pool in groupby(rows, key=lambda x: x[:3]):
             if (session, run) != group:
                 group, used = (session, run), set()
             sides: dict[tuple[str, str], list[tuple[int, float]]] = {}
-            for *_, row, at, kind, amount in pool:
+            for *_, row, at, kind, amount, share_abs, share_pct in pool:
                 sides.setdefault((at, kind), []).append((row, amount))
             for kind in ("DR", "CR"):
                 left, right = sides.get(("l", kind), []), sides.get(("r", kind), [])
                 if min(len(left), len(right)) >= 2:
-                    out += [{"session_id": session, "l_rows": ls, "r_rows": rs, "tier": 6, "amount_diff": gap} for ls, rs, gap in search(left, right, used)]
+                    out += [{"session_id": session, "l_rows": ls, "r_rows": rs, "tier": 6, "amount_diff": gap} for ls, rs, gap in search(left, right, used, Tolerance(share_abs, share_pct))]
             if len(out) >= 10000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema)
 
     ordered = pools.repartition("session_id", "run").sortWithinPartitions("session_id", "run", "anchor", "row", "at")
-    return ordered.select("session_id", "run", "anchor", "row", "at", "type", "amount").mapInArrow(find, _OUT)
+    return ordered.select("session_id", "run", "anchor", "row", "at", "type", "amount", *SHARES).mapInArrow(find, _OUT)
 
 
 def persisted(found: DataFrame) -> DataFrame:

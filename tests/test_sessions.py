@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ledger, resolve, reviews, rules, splits
+from tallyloom.operators import candidates, ledger, resolve, reviews, rules, splits
 from tallyloom.operators import session as R
 from tallyloom.operators import tiers as T
 from tallyloom.operators.tolerance import Tolerance
@@ -153,3 +153,50 @@ def test_open_items_of_a_session_are_seeded_once(spark):
     after, items = ledger.close(sessions, now, 24, left, right, none, spark.createDataFrame([], "session_id long, side string, row_number long"))
     assert [x.status for x in after.collect()] == ["closed"] and items.count() == 2
     assert ledger.close(after, now, 24, left, right, none, items)[1].count() == 0
+
+
+def _accounts(n):
+    """One session for each account, of a tolerance of its own: a row a little within it and one a little beyond, without references."""
+    sessions = [(i, 10 + i, "two_sided", "open", None, None, None) for i in range(n)]
+    settings = [(10 + i, 0.5 + i / 100, None, None, None, None) for i in range(n)]
+    left = [l(row, amount, session=i) for i in range(n) for row, amount in ((1, 1000.0), (2, 5000.0))]
+    right = [r(row, amount, session=i) for i in range(n) for row, amount in ((1, 1000.49 + i / 100), (2, 5000.51 + i / 100))]
+    return left, right, sessions, settings
+
+
+def test_one_plan_serves_all_accounts(spark):
+    """Five thousand accounts of different tolerances, some of different tiers, take as many jobs as two."""
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (2, 5000):
+        left, right, sessions, settings = _accounts(n)
+        settings = spark.createDataFrame(settings, "account_id long, amount_tol_abs double, amount_tol_pct double, date_tol_days int, min_ref_len int, fx_tol_bps double")
+        own = {11: T.default_tiers(), **({} if n < 9 else {17: [T.of(9, "exact", ("amount", "exact"), ("sign", "mirror"))]})}
+        spark.sparkContext.setJobGroup(f"accounts {n}", "")
+        got = run(spark, left, right, sessions, settings=settings, tiers=own, flags=R.Flags(seed=False))
+        found = {(a.session_id, a.l_row, a.r_row, a.tier) for a in got["assignments"].collect()}
+        assert found == {(i, 1, 1, 3) for i in range(n) if not (n > 9 and i == 7)}
+        jobs.append(len(tracker.getJobIdsForGroup(f"accounts {n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[0] - jobs[1]) <= 4  # adaptive execution may broadcast what is small, which is a job
+
+
+def test_settings_and_tiers_of_rows_equal_those_of_a_run(spark):
+    """Percentages, short references, rates and tiers on other fields: each session as if it ran alone."""
+    rng = random.Random(12)
+    texts, refs = ["", "wire FEE", "pays 7001234 now", "AB12"], ["", "AB12", "7001234", "X-900-77", "INV7001234"]
+    left = [l(i, rng.choice([10.0, 10.2, 55.0, 1000.0]), rng.choice(refs), rng.choice([20240105, 20240106, 0]), rng.choice("CD"), s, rng.choice(texts)) for s in range(6) for i in range(25)]
+    right = [r(i, rng.choice([10.0, 10.1, 55.5, 1004.0]), rng.choice(refs), rng.choice([20240105, 20240106, 0]), rng.choice(["DR", "CR"]), s, rng.choice(texts)) for s in range(6) for i in range(25)]
+    tols = [Tolerance(), Tolerance(amount_abs=0.6), Tolerance(amount_pct=1.0), Tolerance(min_ref_len=4), Tolerance(amount_abs=0.25, amount_pct=0.5, min_ref_len=3), Tolerance()]
+    own = [None, None, None, None, [T.of(1, "fee", ("amount", "equal_within_tol"), ("narration", "contains", {"text": "fee", "side": "left"})), T.of(2, "ref", ("ref", "in_other_narration"))],
+           [T.of(7, "same", ("field", "equal", {"left": "our_ref", "right": "trn_ref"}), ("sign", "mirror")), T.of(3, "days", ("amount", "exact"), ("value_date", "within_days", {"n": 0}), priority=1)]]
+    sessions = [session(s, kind="one_sided" if s == 3 else "two_sided") for s in range(6)]
+    settings = spark.createDataFrame([(10 + s, t.amount_abs, t.amount_pct, None, t.min_ref_len, None) for s, t in enumerate(tols)], "account_id long, amount_tol_abs double, amount_tol_pct double, date_tol_days int, min_ref_len int, fx_tol_bps double")
+    got = run(spark, left, right, sessions, settings=settings, tiers={10 + s: t for s, t in enumerate(own) if t}, flags=R.Flags(seed=False))
+    found = {(a.session_id, a.l_row, a.r_row, a.tier) for a in got["assignments"].collect()}
+    a, b = spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
+    want = set()
+    for s in range(6):
+        tiers = own[s] or T.default_tiers(two_sided=s != 3)
+        alone = resolve.greedy(candidates.candidates(a.where(f"session_id = {s}"), b.where(f"session_id = {s}"), tiers, tols[s]))
+        want |= {(x.session_id, x.l_row, x.r_row, x.tier) for x in alone.collect()}
+    assert found == want and len(want) > 40

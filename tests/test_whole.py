@@ -149,3 +149,37 @@ def test_splits_equal_the_sequential_pass(spark):
                 used |= {b["row"] for b in p}
                 break
     assert sorted((s.l_rows, s.r_rows) for s in splits.one_to_many(left(spark, *ls), right(spark, *rs)).collect()) == sorted(expected)
+
+
+def test_hot_amounts_with_references_equal_the_sequential_pass(spark, monkeypatch):
+    """Equal amounts of a few days with references that are equal, lie inside others, or stand alone, hot bins and cold ones."""
+    monkeypatch.setattr(C, "HOT", 2)
+    rng = random.Random(21)
+    refs = [f"INV70{i:04d}" for i in range(40)]
+
+    def row(i, at):
+        ref = rng.choice(["", "", rng.choice(refs), rng.choice(refs)[3:] if at == "l" else "X" + rng.choice(refs), "7"])
+        return dict(row=i, amount=rng.choice([10.0, 10.0, 10.0, 10.01, 20.0, 999.0 + i]), date=rng.choice([20240105, 20240106, 20240108]), ref=ref) | ({"t1" if at == "l" else "n": f"pays {rng.choice(refs)}"} if i % 7 == 0 else {})
+
+    l, r = left(spark, *[row(i, "l") for i in range(120)]), right(spark, *[row(i, "r") for i in range(110)])
+    pairs = C.candidates(l, r)
+    got = R.assigned(l, r)
+    want = sorted(sequential([(p.session_id, p.l_row, p.r_row, p.tier, p.amount_diff) for p in pairs.collect()]))
+    assert taken(got) == want
+    tier = {(p.l_row, p.r_row): (p.tier, p.auto_confirm, p.amount_diff, p.ref) for p in pairs.collect()}
+    assert all(tier[x.l_row, x.r_row] == (x.tier, x.auto_confirm, x.amount_diff, x.ref) for x in got.collect())
+
+
+def test_twenty_thousand_equal_amounts_of_a_day(spark):
+    """With a reference on every row: of half of the rows it stands inside the other's, the rest is settled by amount and day."""
+    n = 20000
+    i = F.col("id")
+    ref = F.concat(F.lit("PAY"), F.lpad(i.cast("string"), 8, "0"))
+    rows = spark.range(n)
+    none = F.lit("")
+    l = rows.select(F.lit(1).alias("session_id"), i.alias("row_number"), F.lit(20240105).alias("value_date"), F.lit(100.0).alias("amount"), F.lit("C").alias("sign"), ref.alias("our_ref"), none.alias("their_ref"), none.alias("booking_text_1"), none.alias("booking_text_2"))
+    other = F.when(i % 2 == 0, F.concat(F.lit("X"), ref)).otherwise(F.concat(F.lit("Z"), F.sha2(i.cast("string"), 256)))
+    r = rows.select(F.lit(1).alias("session_id"), (n - i).alias("row_number"), F.lit(20240105).alias("value_date"), F.lit(100.0).alias("amount"), F.lit("DR").alias("type"), other.alias("trn_ref"), none.alias("external_ref"), none.alias("narration"))
+    got = {x.l_row: (x.r_row, x.tier) for x in R.assigned(l, r).collect()}
+    odd = [k for k in range(n) if k % 2]
+    assert got == {k: (n - k, 1) for k in range(0, n, 2)} | {k: (m, 3) for k, m in zip(odd, sorted(n - k for k in odd))}
