@@ -96,6 +96,10 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
 
 
+def _grams_of(n: int):
+    return lambda c: _grams(c, n)  # Spark counts a lambda's parameters, so that it may not have a second one
+
+
 def _holding(needles: DataFrame, texts: DataFrame, on: list[str], row: str, other: str) -> DataFrame:
     """on, row, other: needles and the rows some text of which may hold them. Needles shorter than all grams meet every row."""
     size = F.length("needle")
@@ -103,7 +107,7 @@ def _holding(needles: DataFrame, texts: DataFrame, on: list[str], row: str, othe
     for n, upto in zip(GRAMS, (None, *GRAMS)):
         own = needles.where((size >= n) & (F.lit(True) if upto is None else size < upto))
         near = texts.join(own.select(*on).distinct(), on, "left_semi")
-        known = near.select(*on, other, F.explode(F.array_distinct(F.flatten(F.transform("texts", lambda t, n=n: _grams(t, n))))).alias("g"))
+        known = near.select(*on, other, F.explode(F.array_distinct(F.flatten(F.transform("texts", _grams_of(n))))).alias("g"))
         counts = known.groupBy(*on, "g").agg(F.count("*").alias("n"))
         grams = own.select(*on, row, "needle", F.explode(_grams(F.col("needle"), n)).alias("g"), F.size(_grams(F.col("needle"), n)).alias("grams"))
         rarest = grams.join(counts, [*on, "g"]).groupBy(*on, row, "needle", "grams").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("met"))
