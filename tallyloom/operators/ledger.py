@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text
 from tallyloom.operators import resolve
 from tallyloom.operators.candidates import amount_bin
-from tallyloom.operators.store import numbered
+from tallyloom.operators.store import numbered, written
 from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, amount_ok, window
 
 #: What balances an open item of a sign: ledger items look for statement signs and the other way round.
@@ -102,29 +106,100 @@ def balance_check(rows: DataFrame, balances: DataFrame, keys: list[str]) -> Data
     return out.withColumn("delta", delta).withColumn("balanced", F.abs("delta") < 0.01)
 
 
-def continuity(chain: DataFrame, tolerance: float | str = DEFAULT.continuity_abs, forced: str | None = None) -> DataFrame:
+def continuity(chain: DataFrame, tolerance: float | str = DEFAULT.continuity_abs, forced: str | None = None, parts: int | None = None) -> DataFrame:
     """chain: account_id, seq, opening, closing. Each file's opening against the closing of the last accepted file before it.
 
     A refused file leaves the anchor where it was, so the files after it are refused until one fits or is accepted by force
     (``forced``, a boolean column). The first file of an account has no anchor and is accepted. ``tolerance`` is a number or a
-    column. An account's files, one a day or so, are folded in order in one row.
+    column.
+
+    Files lie in ``parts`` ranges of account and order, whatever an account's share of them. A range is judged from the anchor
+    that the range before it ends with; at first it is guessed that its own first file fits. Ranges whose guess was wrong are
+    judged again until none is: mostly once, as a chain that fits again forgets where it came from. What then holds at every
+    border is the fold of the whole account.
     """
     within = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
     force = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
-    files = chain.select("account_id", F.struct("seq", "opening", "closing", within.alias("tol"), force.alias("forced"), F.struct(*chain.columns).alias("row")).alias("f"))
-    files = files.groupBy("account_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    files = chain.select(F.struct(*chain.columns).alias("row"), "account_id", "seq", F.col("opening").cast("double").alias("opening"), F.col("closing").cast("double").alias("closing"), within.cast("double").alias("tol"), force.alias("forced"))
+    ranges = parts or max(8, chain.sparkSession.sparkContext.defaultParallelism)
+    laid = written(files.repartitionByRange(ranges, "account_id", "seq").withColumn("part", F.spark_partition_id()), "chain-files")
+    order = Window.partitionBy("account_id").orderBy("part")
     none = F.lit(None).cast("double")
-    done = "array<struct<anchor:double,gap:double,accepted:boolean>>"
-    start = F.struct(none.alias("anchor"), F.array().cast(done).alias("done"))
-
-    def step(state: Column, f: Column) -> Column:
-        gap = F.round(f["opening"] - state["anchor"], 4)
-        accepted = state["anchor"].isNull() | f["forced"] | F.coalesce(F.abs(gap) <= f["tol"], F.lit(False))
-        here = F.struct(state["anchor"].alias("anchor"), gap.alias("gap"), accepted.alias("accepted"))
-        return F.struct(F.when(accepted, f["closing"]).otherwise(state["anchor"]).alias("anchor"), F.concat(state["done"], F.array(here)).alias("done"))
-
-    out = files.select(F.explode(F.arrays_zip("fs", F.aggregate("fs", start, step)["done"].alias("done"))).alias("z"))
-    return out.select("z.fs.row.*", "z.done.*")
+    ends = written(laid.groupBy("account_id", "part").agg(F.count("*").alias("files")).select("account_id", "part", none.alias("anchor"), none.alias("ends"), F.lag("part").over(order).isNotNull().alias("todo")), "chain-ends")
+    ends = _judged_ends(laid, ends, ends.select("account_id").join(ends.where("todo").select("account_id").distinct(), "account_id", "left_semi").distinct())
+    while True:
+        # a range begins with what the one before it ends with; where that is what it was judged from, it stands
+        moved = ends.withColumn("begins", F.lag("ends").over(order)).withColumn("todo", ~F.col("begins").eqNullSafe(F.col("anchor")))
+        moved = written(moved.withColumn("anchor", F.col("begins")).drop("begins"), "chain-ends")
+        if moved.where("todo").isEmpty():
+            break
+        ends = _judged_ends(laid, moved, None)
+    found = _laid_from(laid, moved).mapInArrow(_judge, laid.select("row").schema.add("anchor", "double").add("accepted", "boolean"))
+    out = found.select("row.*", "anchor", "accepted")
+    return out.select(*chain.columns, "anchor", F.round(F.col("opening") - F.col("anchor"), 4).alias("gap"), "accepted")
+
+
+def _laid_from(laid: DataFrame, ends: DataFrame) -> DataFrame:
+    """The files of the ranges in ``ends``, in order, with the anchor that each range begins with."""
+    at = ends.select(F.col("account_id").alias("_a"), F.col("part").alias("_p"), "anchor")
+    rows = laid.join(at, F.col("account_id").eqNullSafe(F.col("_a")) & (F.col("part") == F.col("_p")))
+    return rows.repartition("account_id", "part").sortWithinPartitions("account_id", "part", "seq", "opening", "closing", "tol", "forced")
+
+
+def _judged_ends(laid: DataFrame, ends: DataFrame, accounts: DataFrame | None) -> DataFrame:
+    """``ends`` with the anchors that its ranges end with: of the accounts given, or where ``todo`` says that they are to be judged."""
+    todo = ends.where("todo") if accounts is None else ends.join(accounts, "account_id", "left_semi")
+    judged = _laid_from(laid.drop("row"), todo).mapInArrow(_end, ends.select("account_id", "part").schema.add("now", "double"))
+    judged = judged.select(F.col("account_id").alias("_a"), F.col("part").alias("_p"), "now", F.lit(True).alias("seen"))
+    both = ends.join(judged, F.col("account_id").eqNullSafe(F.col("_a")) & (F.col("part") == F.col("_p")), "left")
+    return written(both.select("account_id", "part", "anchor", F.when(F.col("seen"), F.col("now")).otherwise(F.col("ends")).alias("ends"), "todo"), "chain-ends")
+
+
+def _fits(opening: float | None, anchor: float, tol: float | None) -> bool:
+    """Whether the gap, rounded half up to four places, is within the tolerance."""
+    if opening is None or tol is None:
+        return False
+    gap = abs(opening - anchor)
+    if abs(gap - tol) > 1e-3 or gap != gap:
+        return gap <= tol
+    return float(Decimal(repr(gap)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) <= tol
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+    """Per batch the (account, part), the anchor before and the acceptance of each file; the fold goes on over batches."""
+    at, anchor = None, None
+    for batch in batches:
+        keys, before, taken, after = list(zip(batch.column("account_id").to_pylist(), batch.column("part").to_pylist())), [], [], []
+        begins, opening, closing, tol, forced = (batch.column(c).to_pylist() for c in ("anchor", "opening", "closing", "tol", "forced"))
+        for i, key in enumerate(keys):
+            if key != at:
+                at, anchor = key, begins[i]
+            ok = anchor is None or forced[i] or _fits(opening[i], anchor, tol[i])
+            before.append(anchor)
+            taken.append(ok)
+            if ok:
+                anchor = closing[i]
+            after.append(anchor)
+        yield batch, before, taken, after
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, before, taken, _ in _steps(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(before, pa.float64()), pa.array(taken, pa.bool_())], names=["row", "anchor", "accepted"])
+
+
+def _end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchor behind each range's last file."""
+    ends: dict = {}
+    kinds = None
+    for batch, _, _, after in _steps(batches):
+        kinds = [batch.schema.field(c).type for c in ("account_id", "part")]
+        keys = list(zip(batch.column("account_id").to_pylist(), batch.column("part").to_pylist()))
+        for i, key in enumerate(keys):
+            if i + 1 == len(keys) or keys[i + 1] != key:
+                ends[key] = after[i]  # a range that goes on in the next batch is put right there
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in ends], kinds[0]), pa.array([k[1] for k in ends], kinds[1]), pa.array(list(ends.values()), pa.float64())], names=["account_id", "part", "now"])
 
 
 def running_anchor(chain: DataFrame, net: str = "net") -> DataFrame:

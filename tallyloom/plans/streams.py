@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.plans import ledgers
-from tallyloom.streaming import flows
+from tallyloom.streaming import flows, late
 
 Q, O = {}, {}
 
@@ -39,6 +39,19 @@ def stream_counterparts(spark, d):
     return flows.drained(flows.counterparts(rows), "update", merge=flows.latest("account_id", "ref"))
 
 
+def _waiting(rows):
+    """Events as items of repeated references: five classes of amounts, a cent apart at most within one; every 13th is snoozed."""
+    i, at = F.col("event_id"), F.col("at")
+    item = rows.select(F.col("user_id").alias("account_id"), F.concat(F.lit("R"), i % 3).alias("ref"), F.lit("item").alias("kind"), i.alias("item_id"), F.when(i % 7 < 3, "ledger").otherwise("statement").alias("side"), (i % 5 + i % 2 * 0.004).alias("amount"), at, F.lit(None).cast("timestamp").alias("until"))
+    snooze = rows.where("event_id % 13 = 0").withColumn("until", at + F.expr("INTERVAL 12 days"))
+    return item.unionByName(snooze.select(F.col("user_id").alias("account_id"), F.concat(F.lit("R"), i % 3).alias("ref"), F.lit("snooze").alias("kind"), i.alias("item_id"), F.lit("").alias("side"), F.lit(0.0).alias("amount"), at, "until"))
+
+
+def stream_late_counterparts(spark, d):
+    got = flows.drained(late.late_counterparts(_waiting(flows.events(spark, d))), "update", merge=flows.latest("item_id"), timers=True)
+    return got.select("item_id", "status", "other_id")
+
+
 def stream_anchors(spark, d):
     """The files of every account in two folders, one after the other; the chain's state goes on from the first to the second."""
     import uuid
@@ -49,12 +62,12 @@ def stream_anchors(spark, d):
     path = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
     chain = _chain(spark, d).select("account_id", "seq", "opening", "closing")
     for at, part in enumerate((F.col("seq") < "1995-01-01", F.col("seq") >= "1995-01-01")):
-        chain.where(part).coalesce(1).write.parquet(f"{path}/{at}")
+        chain.where(part).repartitionByRange(1, "account_id", "seq").write.parquet(f"{path}/{at}")
     stream = spark.readStream.schema(chain.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
     return flows.drained(flows.anchor_state(stream), "append")
 
 
-Q |= {f.__name__: f for f in (stream_tumbling_daily, stream_dedupe, stream_session_window, stream_open_item_state, stream_counterparts, stream_anchors)}
+Q |= {f.__name__: f for f in (stream_tumbling_daily, stream_dedupe, stream_session_window, stream_open_item_state, stream_counterparts, stream_late_counterparts, stream_anchors)}
 O |= {
     "stream_tumbling_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
     "stream_dedupe": "SELECT DISTINCT user_id || '-' || event_type AS key FROM events",
@@ -63,6 +76,10 @@ SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 6 H
     "stream_counterparts": """WITH e AS (SELECT user_id AS account_id, 'R' || (event_id // 4) AS ref, ts, CASE WHEN event_id % 2 = 0 THEN event_id // 8 END AS l, CASE WHEN event_id % 2 = 1 THEN event_id // 8 END AS s FROM events),
 g AS (SELECT account_id, ref, min(ts) AS opened_at, max(ts) AS last_at, sum(l) AS l, sum(s) AS s FROM e GROUP BY 1, 2)
 SELECT account_id, ref, opened_at, CASE WHEN abs(l - s) < 0.01 THEN 'cleared' ELSE 'open' END AS status, CASE WHEN abs(l - s) < 0.01 THEN last_at END AS cleared_at FROM g""",
+    "stream_late_counterparts": """WITH i AS (SELECT user_id, event_id % 3 AS ref, event_id, event_id % 5 AS class, event_id % 7 < 3 AS booked, ts FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, ref, class, booked ORDER BY ts, event_id) AS n FROM i)
+SELECT a.event_id AS item_id, CASE WHEN b.event_id IS NOT NULL THEN 'cleared' WHEN a.ts + CASE WHEN a.event_id % 13 = 0 THEN INTERVAL 12 DAY ELSE INTERVAL 7 DAY END <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) THEN 'escalated' ELSE 'open' END AS status, b.event_id AS other_id
+FROM n a LEFT JOIN n b ON a.user_id = b.user_id AND a.ref = b.ref AND a.class = b.class AND a.n = b.n AND a.booked <> b.booked""",
     "stream_anchors": ledgers.O["continuity_chain"].replace("SELECT account_id, seq, anchor, gap, accepted FROM fold", "SELECT account_id, seq, anchor, accepted FROM fold"),
     "stream_open_item_state": """SELECT user_id AS account_id, count(*) FILTER (WHERE event_id % 4 <> 0) - count(*) FILTER (WHERE event_id % 4 = 0) AS open_items,
  round(sum(CASE WHEN event_id % 4 = 0 THEN -value ELSE value END), 2) AS open_amount, count(*) FILTER (WHERE event_id % 4 = 0) AS cleared_items FROM events GROUP BY 1""",

@@ -18,8 +18,8 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def append_sessions(df: DataFrame, path: str) -> None:
-    """Rows of new sessions, a folder for each."""
-    df.write.mode("append").partitionBy("session_id").parquet(path)
+    """Rows of sessions, a folder for each. A session that is written again replaces its own folder; others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
 def append_audit(df: DataFrame, path: str) -> None:

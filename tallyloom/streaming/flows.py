@@ -81,20 +81,31 @@ def anchor_state(stream: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return rows.groupBy("account_id").applyInPandasWithState(fold, "account_id long, seq timestamp_ntz, anchor double, accepted boolean", "anchor double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str, *, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drained(stream: DataFrame, mode: str, *, merge: Callable[[DataFrame], DataFrame] | None = None, into: str | None = None, timers: bool = False) -> DataFrame:
     """All that is there now, through a checkpointed query, as a table.
 
-    Batches are written with their number; ``merge`` gets them all (column ``_batch``) and keeps what counts.
+    Batches are written with their number; ``merge`` gets them all (column ``_batch``) and keeps what counts. A folder ``into``
+    that an earlier call has filled is gone on with from its checkpoint. ``timers``: the query has state of its own and timers,
+    which one of Spark's two stores of state offers.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/_batch=-1")  # where no file is, there is no batch
+    base = into or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/_batch=-1")  # where no file is, there is no batch
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/_batch={number}")  # a batch that is run again replaces itself
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    before = spark.conf.get(_PROVIDER)
+    if timers:
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     got = spark.read.schema(stream.schema.add("_batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
     return (merge(got) if merge else got).drop("_batch")
 
