@@ -47,18 +47,27 @@ def resolved(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows,
     br = r.groupBy("block", *keys, "type").agg(*head, *[F.first(c).alias(c) for c in tol.columns])
     blank = {c: F.lit("") for c in ("our_ref", "booking_text_1", "booking_text_2", "trn_ref", "external_ref", "narration")}  # no condition reads them
     edges = _block_pairs(bl.withColumns(blank), br.withColumns(blank), tiers, tol)
-    edges = written(edges, "block-pairs")
-    degree = lambda c: edges.groupBy(c).agg(F.count("*").alias(f"{c}_n"))
-    edges = written(edges.join(degree("lb"), "lb").join(degree("rb"), "rb").withColumn("alone", (F.col("lb_n") == 1) & (F.col("rb_n") == 1)).drop("lb_n", "rb_n"), "block-pairs")
-
-    alone = edges.where("alone")
-    largest = alone.agg(F.max(F.least("l_n", "r_n"))).first()[0]  # a block of more rows than its partner needs its first ones alone
-    place = _by_window if (largest or 0) <= PLACES else numbered
+    several = lambda c: F.count("*").over(Window.partitionBy(c)) > 1  # noqa: E731  a block's partners are few
+    edges = written(edges.withColumn("alone", ~(several("lb") | several("rb"))), "block-pairs")
+    facts = edges.agg(F.count_if("alone").alias("alone"), F.count_if(~F.col("alone")).alias("contested"), F.max(F.when(F.col("alone"), F.least("l_n", "r_n"))).alias("largest")).first()
+    found = left.sparkSession.createDataFrame([], _OUT)
+    if facts["alone"]:
+        found = _ranked(l_rows, r_rows, edges.where("alone"), facts["largest"])
+    if facts["contested"]:
+        found = found.unionByName(_contested(l_rows, r_rows, edges.where("not alone")))
+    return found
+
+
+def _ranked(l_rows: DataFrame, r_rows: DataFrame, alone: DataFrame, largest: int) -> DataFrame:
+    """Blocks with one partner each. A block of more rows than its partner needs its first ones alone."""
+    place = _by_window if largest <= PLACES else numbered
     by_rank = place(l_rows.join(alone.withColumnRenamed("lb", "block"), "block"), "block", "l_row", "place").where("place <= r_n")
     partner = place(r_rows.join(alone.select(F.col("rb").alias("block")), "block"), "block", "r_row", "place").withColumnRenamed("block", "rb")
-    ranked = by_rank.join(partner, ["rb", "place"]).select([x.split()[0] for x in _OUT.split(", ")])
+    return by_rank.join(partner, ["rb", "place"]).select([x.split()[0] for x in _OUT.split(", ")])
+
 
-    contested = edges.where("not alone")
+def _contested(l_rows: DataFrame, r_rows: DataFrame, contested: DataFrame) -> DataFrame:
+    """Blocks with several partners, by connected components."""
     node = lambda side, c: F.concat(F.lit(side), F.col(c))
     groups = written(components(contested.select(node("l", "lb").alias("a"), node("r", "rb").alias("b")), "a", "b"), "block-groups")
     null = lambda kind: F.lit(None).cast(kind)
@@ -67,8 +76,7 @@ def resolved(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows,
     rows = [(1, l_rows.join(of("l"), "block"), F.col("ref"), F.col("session_id"), "l_row"), (2, r_rows.join(of("r"), "block"), null("string"), null("long"), "r_row")]
     for kind, part, ref, session, row in rows:
         sent = sent.unionByName(part.select("c", F.lit(kind).alias("kind"), F.col("block").alias("a"), ref.alias("b"), session.alias("session_id"), F.col(row).alias("row"), null("int").alias("tier"), null("boolean").alias("auto_confirm"), null("double").alias("amount_diff")))
-    taken = sent.repartition("c").sortWithinPartitions("c", "kind", "row").mapInArrow(_take, _OUT)
-    return ranked.unionByName(taken)
+    return sent.repartition("c").sortWithinPartitions("c", "kind", "row").mapInArrow(_take, _OUT)
 
 
 def _by_window(rows: DataFrame, key: str, order: str, into: str) -> DataFrame:

@@ -34,7 +34,8 @@ _ON = ["session_id", "type"]
 
 def _by_key(l: DataFrame, r: DataFrame) -> DataFrame:
     """session_id, l, r of rows that share a key. A pair is kept where the first key that both have is met, so it is found once."""
-    both = l.withColumn("key", F.explode("l_keys")).join(r.withColumn("key", F.explode("r_keys")), [*_ON, "key"])
+    # an outer explode, as the optimiser guards a plain one by filters that compute the keys again
+    both = l.withColumn("key", F.explode_outer("l_keys")).join(r.withColumn("key", F.explode_outer("r_keys")), [*_ON, "key"])
     return both.where(F.get(F.array_intersect("l_keys", "r_keys"), F.lit(0)) == F.col("key")).select("session_id", "l", "r")
 
 
@@ -73,10 +74,11 @@ def _by_amount_with_reference(l: DataFrame, r: DataFrame, tol: Tolerance | OfRow
     rb = r.withColumn("bin", amount_bin(F.col("r.amount"), at_r))
     size = lambda df, name: df.groupBy(*on).agg(F.count("*").alias(name))
     hot = size(lb, "ln").join(size(rb, "rn"), on).where(F.col("ln").cast("double") * F.col("rn") > HOT * (F.col("ln") + F.col("rn")))
-    hot = written(hot.select(on), "hot-bins")
+    hot = hot.select(on)
     fine = _near(tol) & ~F.arrays_overlap("l_keys", "r_keys")
-    if hot.isEmpty():
+    if not hot.count():
         return lb.join(rb, on).where(fine).select("session_id", "l", "r")
+    hot = written(hot, "hot-bins")
     cold = lb.join(hot, on, "left_anti").join(rb, on).where(fine).select("session_id", "l", "r")
     lh, rh = lb.join(hot, on, "left_semi"), rb.join(hot, on, "left_semi")
     number_of = lambda side: F.col(f"{side}._row").alias(f"{side}_row")
@@ -184,8 +186,13 @@ def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows
         if "rate" in left.columns and is_asked(tol.at(F.col).fx_bps):
             pairs = pairs.unionByName(_by_rate(near, r, tol))
     at = tol.at(lambda c: F.col("l")[c])
-    first = tiers.first(F.col("l"), F.col("r"), at, left.columns, right.columns) if by_rows else T.first_tier(tiers, F.col("l"), F.col("r"), at)
-    rows = pairs.withColumn("t", first).where("t is not null")
+    if by_rows:
+        first = tiers.first(F.col("l"), F.col("r"), at, left.columns, right.columns)
+    else:
+        conditions = {str(c): (f"_c{i}", c) for i, c in enumerate({str(c): c for t in T.active(tiers) for c in t.conditions}.values())}
+        pairs = pairs.withColumns({name: T.condition(c, F.col("l"), F.col("r"), at) for name, c in conditions.values()})  # each once, however many tiers ask it
+        first = T.first_tier(tiers, F.col("l"), F.col("r"), at, lambda c: F.col(conditions[str(c)][0]))
+    rows = pairs.withColumn("t", F.explode_outer(F.array(first))).where("t is not null")  # judged once: no filter is pushed below an explode
     diff = F.col("r.amount") - F.col("l.amount")
     return rows.select("session_id", F.col("l._row").alias("l_row"), F.col("r._row").alias("r_row"), "t.tier", "t.auto_confirm", diff.alias("amount_diff"), F.col("l.our_ref").alias("ref"))
 

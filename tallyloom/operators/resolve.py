@@ -42,10 +42,10 @@ def greedy(pairs: DataFrame) -> DataFrame:
         first = rows.where("_first").select(pairs.columns)
         taken = first if taken is None else taken.unionByName(first)
         open_ = rows.where("not _first").select(*pairs.columns, "_o")
-        left = open_.count()
+        left, every = rows.agg(F.count_if(~F.col("_first")), F.count("*")).first()
         if not left:
             return taken
-        if 2 * left > (rows.count() if before is None else before):
+        if 2 * left > (every if before is None else before):
             return taken.unionByName(written(_in_order(open_).select(pairs.columns), "greedy-taken"))
         before = left
 
@@ -102,7 +102,6 @@ def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows
         return first if first is not None else greedy(C.candidates(left, right, [], tol, amounts=False))
     if first is None:
         return blocks.resolved(left, right, free, tol)
-    first = written(first, "assigned-by-reference")
     return first.unionByName(blocks.resolved(unmatched(left, first, "l"), unmatched(right, first, "r"), free, tol))
 
 

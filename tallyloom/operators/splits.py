@@ -96,7 +96,7 @@ def contained_keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     looked up at all. What prefixes of a bank's references have in common is thereby never joined on.
     """
     of = ["session_id", "type"]
-    grams = written(keys.select(*of, "key", F.explode(_grams(F.col("key"))).alias("g")), "split-grams")
+    grams = keys.select(*of, "key", F.explode_outer(_grams(F.col("key"))).alias("g"))
     counts = written(grams.groupBy(*of, "g").agg(F.count("*").alias("n")).where("n > 1"), "split-counts")
     rarest = grams.join(counts, [*of, "g"]).groupBy(*of, "key").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("known"))
     inner = rarest.where(F.col("known") == F.size(_grams(F.col("key")))).select(*of, F.col("key").alias("inner"), "g")
@@ -121,7 +121,7 @@ def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance | OfRows) -> DataFr
     linked = pairs.join(roles("inner"), [*of, "inner"]).join(roles("outer"), [*of, "outer"]).where("inner_at.o and outer_at.m or inner_at.m and outer_at.o")
     node = lambda c: F.struct(*of, F.col(c).alias("key"))
     groups = components(linked.select(node("inner").alias("a"), node("outer").alias("b")), "a", "b").select("node.*", F.col("component.key").alias("c"))
-    both = keys.join(written(groups, "split-groups"), [*of, "key"], "left").where("c is not null or o and m")  # a key of one side alone has no pool
+    both = keys.join(groups, [*of, "key"], "left").where("c is not null or o and m")  # a key of one side alone has no pool
     return rows.join(both.select(*of, "key", F.coalesce("c", "key").alias("c")), [*of, "key"])
 
 

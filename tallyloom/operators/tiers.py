@@ -6,6 +6,7 @@ A pair has the statement row's columns under ``l`` and the ledger row's under ``
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -135,10 +136,11 @@ def columns(tiers: list[Tier]) -> set[str]:
     return {x for c in conditions for x in (*_READS.get(c.field, ()), c.params.get("left"), c.params.get("right")) if x}
 
 
-def holds(tier: Tier, l: Column, r: Column, tol: Tolerance = DEFAULT) -> Column:
+def holds(tier: Tier, l: Column, r: Column, tol: Tolerance = DEFAULT, known: Callable[[Condition], Column] | None = None) -> Column:
+    """Whether all conditions hold; ``known`` gives columns that have them already."""
     out = F.lit(True)
     for c in tier.conditions:
-        out = out & condition(c, l, r, tol)
+        out = out & (known(c) if known else condition(c, l, r, tol))
     return out
 
 
@@ -196,12 +198,13 @@ def staged(tiers: list[Tier]) -> tuple[list[Tier], list[Tier]] | None:
     return (gated, free) if plain and apart and own == gated + free else None
 
 
-def first_tier(tiers: list[Tier], l: Column, r: Column, tol: Tolerance = DEFAULT) -> Column:
+def first_tier(tiers: list[Tier], l: Column, r: Column, tol: Tolerance = DEFAULT, known: Callable[[Condition], Column] | None = None) -> Column:
     """struct(tier, tier_name, auto_confirm) of the first tier that holds, or null."""
     chain = None
     for t in active(tiers):
         value = F.struct(F.lit(t.number).alias("tier"), F.lit(t.name).alias("tier_name"), F.lit(t.auto_confirm).alias("auto_confirm"))
-        chain = F.when(holds(t, l, r, tol), value) if chain is None else chain.when(holds(t, l, r, tol), value)
+        ok = holds(t, l, r, tol, known)
+        chain = F.when(ok, value) if chain is None else chain.when(ok, value)
     return chain if chain is not None else F.lit(None).cast("struct<tier:int,tier_name:string,auto_confirm:boolean>")
 
 

@@ -13,8 +13,9 @@ from tallyloom.plans import ledgers
 SMALL = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "none"])
-def test_components(spark, shape):
+def test_components(spark, shape, one_task):
     rng = random.Random(2)
     edges = {
         "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(170)],
@@ -32,7 +33,7 @@ def test_components(spark, shape):
     for a, b in edges:
         x, y = top(a), top(b)
         root[max(x, y)] = min(x, y)
-    got = components(spark.createDataFrame([((1, a), (1, b)) for a, b in edges], "a struct<s:int,i:long>, b struct<s:int,i:long>"), "a", "b").collect()
+    got = components(spark.createDataFrame([((1, a), (1, b)) for a, b in edges], "a struct<s:int,i:long>, b struct<s:int,i:long>"), "a", "b", one_task).collect()
     assert sorted((r.node.i, r.component.i) for r in got) == sorted((x, top(x)) for x in root)
 
 
