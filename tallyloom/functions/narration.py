@@ -1,88 +1,49 @@
-"""Narrations of known shapes taken apart into two texts and a reference, by a parser named for each account."""
+"""Narrations taken apart into two texts and a reference, by rules that each account brings along.
 
-from __future__ import annotations
+The rules are a table of the user's, one row for each thing to look for. The package knows no bank's wording.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import text
 
 WIDTH, LONGEST = 41, 400
-#: Words before a cash withdrawal's own text. Fixed values.
-WITHDRAWAL = ("ATM CASH WITHDRAWAL (REMOTE-ON-US)-", "ATM CASH WITHDRAWAL (REMOTE-ON-US)", "ATM WITHDRAWAL-", "ATM WITHDRAWAL")
-#: Where a retrieval reference of twelve digits stands in a card narration, in order. Fixed values.
-RETRIEVAL = (r"RRN (\d{12})", r"(000\d{9})", r"(\d{12})\d{6}\*{6}\d{4}")
+#: The columns of a rule. ``pattern``'s ``group`` is looked for in ``source`` (narration, own_ref or user_ref) and becomes ``target`` (text_1 or
+#: ref). It is asked of rows of ``module`` alone if that is not null, and not of those whose own reference fits ``unless_own``, if that is not.
+RULE = ("account", "priority", "source", "pattern", "group", "target", "module", "unless_own")
 
 
 def _clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), r"\s+", " "))
 
 
-def _parts(one: Column, two: Column, ref: Column | None = None) -> Column:
-    return F.struct(one.alias("text_1"), two.alias("text_2"), (F.lit(None).cast("string") if ref is None else ref).alias("ref"))
-
-
-def cut(narration: Column, **_: Column) -> Column:
-    """At a fixed width."""
-    t = _clean(narration)
-    return _parts(F.substring(t, 1, WIDTH), F.substring(t, WIDTH + 1, LONGEST - WIDTH))
-
-
-def marked(mark: str) -> Callable[..., Column]:
-    """A word with ``mark`` inside becomes the reference, unless the row's own one has it; else the first number is the first text."""
-
-    def parse(narration: Column, own_ref: Column, **_: Column) -> Column:
-        t, word = _clean(narration), F.regexp_extract(text(narration), rf"(\w+{mark}\w+)", 1)
-        promoted = (word != "") & ~F.contains(text(own_ref), F.lit(mark))
-        return _parts(F.when(promoted, text(narration)).otherwise(F.regexp_extract(t, r"(\d+)", 1)), t, F.when(promoted, word))
-
-    return parse
-
-
-def first_of(*patterns: str) -> Callable[..., Column]:
-    """What the first fitting pattern's group holds."""
-
-    def parse(narration: Column, **_: Column) -> Column:
-        t = _clean(narration)
-        hits = [F.regexp_extract(t, p, 1) for p in patterns]
-        return _parts(F.coalesce(*[F.nullif(h, F.lit("")) for h in hits], F.lit("")), F.substring(t, 1, LONGEST))
-
-    return parse
-
-
-def card(narration: Column, module: Column, user_ref: Column, **_: Column) -> Column:
-    """The retrieval reference of rows entered by hand (module DE), the user's reference of others."""
-    found = first_of(*RETRIEVAL)(narration)
-    return _parts(F.when(module == "DE", found["text_1"]).otherwise(text(user_ref)), found["text_2"])
-
+def _found(rules: Column, target: str, given: dict[str, Column]) -> Column:
+    """What the first rule of a target finds, by priority; null where none finds anything."""
 
-def withdrawal(narration: Column, **_: Column) -> Column:
-    t = rest = _clean(narration)
-    for words in WITHDRAWAL:
-        rest = F.replace(rest, F.lit(words), F.lit(""))
-    return _parts(rest, F.substring(t, 1, LONGEST))
+    def hit(r: Column) -> Column:
+        source = F.when(r["source"] == "own_ref", given["own_ref"]).when(r["source"] == "user_ref", given["user_ref"]).otherwise(given["narration"])
+        asked = (r["target"] == target) & (r["module"].isNull() | (r["module"] == given["module"])) & (r["unless_own"].isNull() | ~F.rlike(given["own_ref"], r["unless_own"]))
+        return F.when(asked, F.nullif(F.call_function("regexp_extract", source, r["pattern"], r["group"]), F.lit("")))
 
+    return F.get(F.filter(F.transform(rules, hit), lambda x: x.isNotNull()), F.lit(0))
 
-#: Parsers by name; an account without one is cut at a fixed width.
-PARSERS: dict[str, Callable[..., Column]] = {
-    "cut": cut,
-    "transfer": marked("ZEXA"),
-    "rapid": first_of(r"(RT\d{10})"),
-    "card": card,
-    "channel": first_of(r" (\w+):"),
-    "withdrawal": withdrawal,
-    "wallet": first_of(r"REF:([^ ]*)"),
-}
 
+def extracted(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (account, narration, own_ref, user_ref, module) with text_1, text_2 and ref.
 
-def parsed(account: Column, parser_of: dict[str, str], *, narration: Column, own_ref: Column, module: Column, user_ref: Column) -> Column:
-    """struct(text_1, text_2, ref) by the parser of the row's account."""
-    given = {"narration": narration, "own_ref": own_ref, "module": module, "user_ref": user_ref}
-    chain = None
-    for name in sorted(set(parser_of.values())):
-        accounts = [a for a, n in parser_of.items() if n == name]
-        value = PARSERS[name](**given)
-        chain = F.when(account.isin(accounts), value) if chain is None else chain.when(account.isin(accounts), value)
-    return chain.otherwise(cut(narration)) if chain is not None else cut(narration)
+    Accounts with rules: text_1 is what they find, text_2 the whole narration. Others are cut at a fixed width. Blanks are made one.
+    """
+    listed = rules.groupBy(F.col("account").alias("_account")).agg(F.array_sort(F.collect_list(F.struct("priority", *[c for c in RULE if c not in ("account", "priority")]))).alias("_rules"))
+    given = {"narration": _clean(F.col("narration")), "own_ref": text(F.col("own_ref")), "user_ref": text(F.col("user_ref")), "module": F.col("module")}
+    both = rows.join(listed, rows["account"] == F.col("_account"), "left")
+    ruled, t = F.col("_rules").isNotNull(), given["narration"]
+    return both.withColumns(
+        {
+            "text_1": F.when(ruled, F.coalesce(_found(F.col("_rules"), "text_1", given), F.lit(""))).otherwise(F.substring(t, 1, WIDTH)),
+            "text_2": F.when(ruled, F.substring(t, 1, LONGEST)).otherwise(F.substring(t, WIDTH + 1, LONGEST - WIDTH)),
+            "ref": _found(F.col("_rules"), "ref", given),
+        }
+    ).drop("_account", "_rules")

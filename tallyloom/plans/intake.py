@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import amounts, dates, narration, pan, text
-from tallyloom.operators.store import shared_folder
+from tallyloom.operators.store import shared_folder, written
 from tallyloom.plans import derived as D
 from tallyloom.sinks import tables
 from tallyloom.sources import camt, csv_profile, files, mt, xlsx
@@ -143,6 +143,19 @@ def source_csv_errors(spark, d):
     return csv_profile.load(_csv_files(spark, d), csv_profile.PRESETS["plain"])[1].select("path", "row_number", "error")
 
 
+def _trailing(text):
+    """The same files with a repeated name, trailing delimiters and blank names, as exports have them."""
+    head = F.regexp_replace(text, r"^Date,Ref,Memo,Amount,Card", "Date,Ref,Memo,Amount,Card,Ref,,")
+    return F.regexp_replace(head, r"(\*{6}\d{4})", "$1,other,,")
+
+
+@query(O["source_csv_rows"])
+def source_csv_trailing(spark, d):
+    f = _csv_files(spark, d).withColumn("text", _trailing(F.col("text")))
+    good, _ = csv_profile.load(f, csv_profile.PRESETS["plain"])
+    return good.select("path", "row_number", "trn_ref", "value_date", "amount", "type", "narration")
+
+
 @query("""SELECT 'R' || o_orderkey AS scheme_ref, 'clearing' AS stage, round(o_totalprice, 2) AS amount, '411111' AS pan_first6, lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS pan_last4 FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0""")
 def source_card_csv(spark, d):
     good, _ = csv_profile.load(_csv_files(spark, d), csv_profile.PRESETS["plain"])
@@ -194,6 +207,37 @@ def sink_one_sided(spark, d):
     return rows.groupBy("part", "account_id", "key").agg(F.sum("n").alias("n"))
 
 
+@query("WITH " + D.PAIRS + """, m AS (SELECT * FROM cand WHERE tier IS NOT NULL AND l_row = r_row) SELECT 'summary' AS part, session_id, count(*) AS n FROM m GROUP BY 2 UNION ALL SELECT 'matched', session_id, count(*) FROM m GROUP BY 2
+UNION ALL SELECT 'unmatched_statement', session_id, count(*) FROM stmt WHERE row_number NOT IN (SELECT l_row FROM m) GROUP BY 2 UNION ALL SELECT 'unmatched_ledger', session_id, count(*) FROM ledg WHERE row_number NOT IN (SELECT r_row FROM m) GROUP BY 2""")
+def sink_two_sided(spark, d):
+    """The book of two-sided accounts: a summary, the matched pairs and both sides' rest, written and counted."""
+    from tallyloom.operators import resolve
+
+    left, right = D.stmt(spark, d), D.ledg(spark, d)
+    matched = written(resolve.assigned(left, right), "book-matched")
+    path = f"{shared_folder(spark)}/book-{uuid.uuid4().hex}"
+    summary = matched.groupBy("session_id").agg(F.count("*").alias("n"))
+    tables.two_sided(summary, matched, resolve.unmatched(left, matched, "l"), resolve.unmatched(right, matched, "r"), path)
+    out = spark.read.parquet(f"{path}/summary").select(F.lit("summary").alias("part"), "session_id", "n")
+    for name in ("matched", "unmatched_statement", "unmatched_ledger"):
+        out = out.unionByName(spark.read.parquet(f"{path}/{name}").groupBy("session_id").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)))
+    return out
+
+
+@query("""SELECT 'book' || (o_custkey % 6) AS book, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS value_date, o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'C' END AS sign, 'REF' || o_orderkey AS our_ref, o_orderpriority AS booking_text_1 FROM orders""")
+def source_statement_sheet(spark, d):
+    """Statements written as workbooks, one of each six broken, and read back; a broken workbook is an error row and ends nothing."""
+    o = D.table(spark, d, "orders")
+    sheet = o.select(
+        F.concat(F.lit("book"), F.col("o_custkey") % 6).alias("tab"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Value Date"), F.col("o_totalprice").alias("Amount"), F.when(F.col("o_orderstatus") == "F", "D").otherwise("C").alias("Sign"),
+        F.lit("").alias("Origin"), F.lit("Other").alias("Type"), F.lit("").alias("Status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Book Date"), F.concat(F.lit("REF"), "o_orderkey").alias("Our Ref"), F.lit("").alias("Their Ref"), F.col("o_orderpriority").alias("Text 1"), F.lit("").alias("Text 2"),
+    )
+    books = tables.workbooks(sheet, "tab", 2000).select(F.concat_ws("-", "tab", "part").alias("path"), "content")
+    broken = books.select(F.concat(F.lit("broken-"), "path").alias("path"), F.expr("substring(content, 1, 300)").alias("content"))
+    cells = xlsx.rows(books.unionByName(broken))
+    return xlsx.parsed_statement(cells).select(F.split_part("path", F.lit("-"), F.lit(1)).alias("book"), "value_date", "amount", "sign", "our_ref", "booking_text_1")
+
+
 @query("WITH " + D.ITEMS + """ SELECT category AS key, count(*) AS n FROM items WHERE status = 'open' GROUP BY 1""")
 def sink_certificate(spark, d):
     """A certificate's frozen figures, read back from their JSON text."""
@@ -230,10 +274,11 @@ def file_magic(spark, d):
     return D.table(spark, d, "customer").select(name.alias("name"), F.coalesce(files.is_xlsx(content), F.lit(False)).alias("xlsx"))
 
 
-@query("""SELECT count(DISTINCT c_nationkey) = 1 AS one_account, count(DISTINCT c_mktsegment) = 1 AS one_currency FROM customer WHERE c_nationkey = 3""")
+@query("""SELECT c_custkey // 3 AS pair, min(c_nationkey) = max(c_nationkey) AS one_account, min(c_mktsegment) = max(c_mktsegment) AS one_currency FROM customer GROUP BY 1""")
 def file_pair_valid(spark, d):
-    c = D.table(spark, d, "customer").where("c_nationkey = 3")
-    return files.valid_pair(c.select(F.col("c_name").alias("file"), F.col("c_nationkey").alias("account"), F.col("c_mktsegment").alias("ccy")))
+    c = D.table(spark, d, "customer")
+    rows = c.select(F.floor(F.col("c_custkey") / 3).alias("pair"), F.col("c_name").alias("file"), F.col("c_nationkey").alias("account"), F.col("c_mktsegment").alias("ccy"))
+    return files.valid_pair(rows, "pair")
 
 
 # -- files ---------------------------------------------------------------------------------------------------------
@@ -330,19 +375,26 @@ def masked_cards(spark, d):
     return safe
 
 
-_ACCOUNTS = {"0": "transfer", "1": "rapid", "2": "card", "3": "channel", "4": "withdrawal", "5": "wallet"}
+#: Rules of invented accounts: (account, priority, source, pattern, group, target, module, unless_own).
+_NARRATIONS = [
+    ("0", 1, "narration", r"(\d+)", 1, "text_1", None, None), ("0", 1, "narration", r"(\w*QFM\w+)", 1, "ref", None, "QFM"),
+    ("1", 2, "narration", r"no (\d{4})", 1, "text_1", None, None), ("1", 1, "narration", r"(LOT)-(\d{10})", 2, "text_1", None, None),
+    ("2", 1, "narration", r"slip (\d{12})", 1, "text_1", "TILL", None), ("2", 2, "user_ref", r"(.+)", 1, "text_1", None, None),
+    ("3", 1, "narration", r"<([^>]*)>", 1, "text_1", None, None),
+]
 
 
-@query("""WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'from 55 AZEXA' || o_orderkey || ' to' WHEN 1 THEN 'sent RT' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || ' ok' WHEN 2 THEN 'buy RRN ' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')
-  WHEN 3 THEN 'via CH' || o_orderkey || ': paid' WHEN 4 THEN 'ATM WITHDRAWAL-' || o_orderkey WHEN 5 THEN 'REF:W' || o_orderkey || ' done' ELSE repeat('x', 40) || o_orderkey END AS n FROM orders)
-SELECT k, CASE k % 7 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN n ELSE '55' END WHEN 1 THEN 'RT' || lpad(CAST(k AS VARCHAR), 10, '0') WHEN 2 THEN CASE WHEN k % 2 = 0 THEN lpad(CAST(k AS VARCHAR), 12, '0') ELSE 'user ref' END WHEN 3 THEN 'CH' || k WHEN 4 THEN CAST(k AS VARCHAR) WHEN 5 THEN 'W' || k
-  ELSE substr(n, 1, 41) END AS text_1, CASE WHEN k % 7 = 6 THEN substr(n, 42) ELSE n END AS text_2, CASE WHEN k % 14 = 0 THEN 'AZEXA' || k END AS ref FROM t""")
+@query("""WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'of 55  aQFM' || o_orderkey || ' to' WHEN 1 THEN 'no 1234 LOT-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') WHEN 2 THEN 'by slip ' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')
+  WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'at <shop ' || o_orderkey || '>' ELSE 'nothing here' END ELSE repeat('x', 40) || o_orderkey END AS n FROM orders), c AS (SELECT k, replace(n, '  ', ' ') AS n FROM t)
+SELECT k, CASE k % 5 WHEN 0 THEN '55' WHEN 1 THEN lpad(CAST(k AS VARCHAR), 10, '0') WHEN 2 THEN CASE WHEN k % 2 = 0 THEN lpad(CAST(k AS VARCHAR), 12, '0') ELSE 'user ' || k END WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 'shop ' || k ELSE '' END ELSE substr(n, 1, 41) END AS text_1,
+ CASE WHEN k % 5 = 4 THEN substr(n, 42) ELSE n END AS text_2, CASE WHEN k % 5 = 0 AND k % 3 <> 0 THEN 'aQFM' || k END AS ref FROM c""")
 def narration_parsers(spark, d):
     k = F.col("o_orderkey")
     padded = lambda n: F.lpad(k.cast("string"), n, "0")
-    shapes = [F.concat(F.lit("from 55 AZEXA"), k, F.lit(" to")), F.concat(F.lit("sent RT"), padded(10), F.lit(" ok")), F.concat(F.lit("buy RRN "), padded(12)), F.concat(F.lit("via CH"), k, F.lit(": paid")),
-              F.concat(F.lit("ATM WITHDRAWAL-"), k), F.concat(F.lit("REF:W"), k, F.lit(" done")), F.concat(F.lit("x" * 40), k)]
-    rows = D.table(spark, d, "orders").select(k.alias("k"), F.element_at(F.array(*shapes), (k % 7 + 1).cast("int")).alias("n"))
-    own, module = F.when(F.col("k") % 2 == 0, "T1").otherwise("TZEXA1"), F.when(F.col("k") % 2 == 0, "DE").otherwise("RT")
-    got = narration.parsed((F.col("k") % 7).cast("string"), _ACCOUNTS, narration=F.col("n"), own_ref=own, module=module, user_ref=F.lit("user ref"))
-    return rows.select("k", got.alias("p")).select("k", "p.text_1", "p.text_2", "p.ref")
+    shapes = [F.concat(F.lit("of 55  aQFM"), k, F.lit(" to")), F.concat(F.lit("no 1234 LOT-"), padded(10)), F.concat(F.lit("by slip "), padded(12)), F.when(k % 2 == 0, F.concat(F.lit("at <shop "), k, F.lit(">"))).otherwise("nothing here"), F.concat(F.lit("x" * 40), k)]
+    rows = D.table(spark, d, "orders").select(
+        k.alias("k"), (k % 5).cast("string").alias("account"), F.element_at(F.array(*shapes), (k % 5 + 1).cast("int")).alias("narration"),
+        F.when(k % 3 == 0, "T-QFM1").otherwise("T1").alias("own_ref"), F.concat(F.lit("user "), k).alias("user_ref"), F.when(k % 2 == 0, "TILL").otherwise("NET").alias("module"),
+    )
+    rules = spark.createDataFrame(_NARRATIONS, "account string, priority int, source string, pattern string, `group` int, target string, module string, unless_own string")
+    return narration.extracted(rows, rules).select("k", "text_1", "text_2", "ref")

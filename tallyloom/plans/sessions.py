@@ -70,9 +70,15 @@ def session_log(spark, d):
     return R.reconcile(D.stmt(spark, d), D.ledg(spark, d), _run_sessions(spark), settings=settings)["log"].select("session_id", "pairs", "confirmed", "seeded")
 
 
-@query("SELECT * FROM (VALUES (0, NULL), (1, NULL), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, 'in progress'), (7, 'closed')) v(session_id, refused)")
+@query("WITH " + D.SESSIONS_SQL + """ SELECT session_id, CASE WHEN session_id % 7 = 0 THEN 'closed' WHEN account_id % 5 = 0 THEN 'locked' WHEN session_id % 3 = 0 AND rows > 1 THEN 'in progress' END AS refused FROM sess""")
 def session_guards(spark, d):
-    return R.guarded(_run_sessions(spark)).select("session_id", "refused")
+    """Sessions of all accounts and months: some closed, some of locked accounts, some that are running."""
+    at, never = F.col("created_at").cast("timestamp"), F.lit(None).cast("timestamp")
+    rows = D.sessions(spark, d).select(
+        "session_id", F.when(F.col("session_id") % 7 == 0, "closed").otherwise("open").alias("status"), F.when(F.col("account_id") % 5 == 0, at).alias("locked_at"),
+        F.when(F.col("session_id") % 3 == 0, at).otherwise(never).alias("started_at"), F.when(F.col("rows") == 1, at).otherwise(never).alias("finished_at"),
+    )
+    return R.guarded(rows).select("session_id", "refused")
 
 
 _RATED = """l AS (SELECT *, CASE WHEN row_number % 3 = 0 THEN 0.5 ELSE 2.0 END AS rate FROM stmt), r AS (SELECT * REPLACE (amount * CASE WHEN row_number % 3 = 0 THEN 0.5 ELSE 2.0 END * 1.0004 AS amount) FROM ledg)"""

@@ -107,9 +107,10 @@ def guess_columns(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def valid_pair(rows: DataFrame) -> DataFrame:
-    """rows: file, account, ccy of both sides. One row: whether all name one account and one currency."""
-    return rows.agg((F.size(F.collect_set("account")) == 1).alias("one_account"), (F.size(F.collect_set("ccy")) == 1).alias("one_currency"))
+def valid_pair(rows: DataFrame, *by: str) -> DataFrame:
+    """rows: account, ccy of the files of each pair (named by ``by``). Whether all files of it name one account and one currency."""
+    one = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
+    return rows.groupBy(*by).agg(F.coalesce(one("account"), F.lit(False)).alias("one_account"), F.coalesce(one("ccy"), F.lit(False)).alias("one_currency"))
 
 
 def ledger_table(spark: SparkSession, url: str, query: str, *, key: str, low: int, high: int, parts: int, **options) -> DataFrame:

@@ -9,6 +9,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,11 +18,22 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import amounts, dates
 
-_CELLS = "path string, sheet int, sheet_name string, row int, cells array<string>"
+_CELLS = "path string, sheet int, sheet_name string, row int, cells array<string>, error string"
 LEDGER = {"TRN_REF_NO": "trn_ref", "BOOKING_DATE": "booking_date", "TYPE": "type", "TXN_NARRATIONS": "narration", "VALUE_DATE": "value_date", "LCY_AMOUNT": "amount", "AC_BRANCH": "ac_branch", "AC_NO": "ac_no", "ACCT_CCY": "ccy", "MODULE": "module", "EXTERNAL_REF_NO": "external_ref", "USER_ID": "user_id"}
 REQUIRED = ("TRN_REF_NO", "BOOKING_DATE", "TYPE", "TXN_NARRATIONS", "VALUE_DATE", "LCY_AMOUNT")
 
 
+#: What a damaged or foreign archive, part or cell raises.
+UNREADABLE = (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, TypeError, StopIteration, EOFError, NotImplementedError, zlib.error)
+
+
+def _xml(book: zipfile.ZipFile, part: str) -> ET.Element:
+    data = book.read(part)
+    if b"<!DOCTYPE" in data:
+        raise ValueError(f"document type declared in {part}")
+    return ET.fromstring(data)
+
+
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", ref)[0]:
@@ -38,15 +50,15 @@ def sheets(content: bytes) -> Iterator[tuple[int, str, int, list[str | None]]]:
     book = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in s.iter() if _local(t) == "t") for s in ET.fromstring(book.read("xl/sharedStrings.xml")) if _local(s) == "si"]
+        shared = ["".join(t.text or "" for t in s.iter() if _local(t) == "t") for s in _xml(book, "xl/sharedStrings.xml") if _local(s) == "si"]
     # sheets stand in the workbook's order; which part holds one is told by its relationship
-    parts = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    listed = [s for s in ET.fromstring(book.read("xl/workbook.xml")).iter() if _local(s) == "sheet"]
+    parts = {r.get("Id"): r.get("Target", "") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
+    listed = [s for s in _xml(book, "xl/workbook.xml").iter() if _local(s) == "sheet"]
     for i, sheet in enumerate(listed):
         name, target = sheet.get("name"), parts[next(v for k, v in sheet.items() if k.endswith("}id"))]
         part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         number = 0
-        for row in (e for e in ET.fromstring(book.read(part)).iter() if _local(e) == "row"):
+        for row in (e for e in _xml(book, part).iter() if _local(e) == "row"):
             number = int(row.get("r") or number + 1)
             cells: list[str | None] = []
             for c in row:
@@ -59,12 +71,21 @@ def sheets(content: bytes) -> Iterator[tuple[int, str, int, list[str | None]]]:
 
 
 def rows(files: DataFrame) -> DataFrame:
-    """path, content -> path, sheet, sheet_name, row, cells."""
+    """path, content -> path, sheet, sheet_name, row, cells, error.
+
+    A file that is no readable workbook gives one row without cells that says why; its rows before the fault are not given.
+    """
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            got = [(path, *r) for path, content in zip(part["path"], part["content"]) for r in sheets(bytes(content))]
-            yield pd.DataFrame(got, columns=["path", "sheet", "sheet_name", "row", "cells"]).astype({"cells": object})
+            got = []
+            for path, content in zip(part["path"], part["content"]):
+                try:
+                    got += [(path, *r, None) for r in list(sheets(bytes(content)))]
+                except UNREADABLE as fault:
+                    got.append((path, None, None, None, None, f"{type(fault).__name__}: {fault}"))
+            found = pd.DataFrame(got, columns=["path", "sheet", "sheet_name", "row", "cells", "error"]).astype({"cells": object})
+            yield found.astype({"sheet": "Int32", "row": "Int32"})
 
     return files.select("path", "content").mapInPandas(read, _CELLS)
 

@@ -167,3 +167,28 @@ def test_an_empty_folder_streams_nothing(spark, tmp_path):
     from tallyloom.streaming import flows
 
     assert flows.drained(flows.daily(flows.events(spark, str(tmp_path))), "complete", merge=flows.last_batch).count() == 0
+
+
+def test_repeated_and_blank_headers_keep_their_first_place(spark):
+    text = "Date,Ref,Memo,Amount,Ref,,\n2024-01-05,R1,m,5.00,other,,\n2024-01-06,R2,m,6.00\n"
+    good, bad = csv_profile.load(_files(spark, a=text), csv_profile.PRESETS["plain"])
+    assert sorted((r.trn_ref, r.amount) for r in good.collect()) == [("R1", 5.0), ("R2", 6.0)] and bad.count() == 0
+
+
+def test_broken_workbooks_are_error_rows(spark):
+    import io
+    import zipfile
+
+    def book(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in parts.items():
+                z.writestr(name.replace("__", "/"), data)
+        return out.getvalue()
+
+    fine = tables.sheet_bytes("led", list(xlsx.LEDGER), [("R1", "05/01/2024", "DR", "t", "05/01/2024", "1", "B", "A", "USD", "M", "X", "U")])
+    cases = {"fine": fine, "cut": fine[:200], "none": b"no archive", "empty": book(), "bomb": book(**{"xl/_rels/workbook.xml.rels": "<!DOCTYPE x><r/>", "xl/workbook.xml": "<w/>"}),
+             "lost": book(**{"xl/_rels/workbook.xml.rels": "<r/>", "xl/workbook.xml": '<w xmlns:r="x"><sheet name="a" r:id="r9"/></w>'})}
+    cells = xlsx.rows(spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary"))
+    assert {r.path for r in cells.where("error is not null").collect()} == set(cases) - {"fine"}
+    assert [r.trn_ref for r in xlsx.ledger(cells).collect()] == ["R1"]
