@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import amounts, dates
@@ -43,30 +43,64 @@ def _record(d: str) -> str:
     return rf"{field}(?:{d}{field})*+"
 
 
+def _cells(line: Column, delimiter: str) -> Column:
+    """A record's cells, trimmed and unquoted. Quoted cells keep their delimiters: cells are matched, not split."""
+    cell = rf'(?:^|{delimiter})("[^"]*+(?:""[^"]*+)*+"|[^{delimiter}]*)'
+    found = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
+    return F.transform(found, lambda c: F.trim(F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
+
+
+def _extra(got: DataFrame) -> DataFrame:
+    """path, row_number, extra of rows with cells and their file's header. Where a name repeats, its first column counts."""
+    keys = F.array_distinct("header")
+    first = F.transform(keys, lambda k: F.coalesce(F.get("cells", F.array_position("header", k).cast("int") - 1), F.lit("")))
+    return got.where(F.exists("cells", lambda c: c != "")).select("path", "row_number", F.map_from_arrays(keys, first).alias("extra"))
+
+
+def _delimiter(profile: Profile) -> str:
+    return {"|": r"\|", "\t": "\t"}.get(profile.delimiter, profile.delimiter)
+
+
 def rows(files: DataFrame, profile: Profile) -> DataFrame:
     """path, text -> path, row_number (over all data rows that are not blank), extra (header -> cell).
 
-    Where the header repeats a name, as trailing delimiters repeat the blank one, the name's first column counts.
+    Cells may hold line breaks, so a file is read whole. Where the header repeats a name, as trailing delimiters repeat the blank
+    one, the name's first column counts.
     """
-    d = {"|": r"\|", "\t": "\t"}.get(profile.delimiter, profile.delimiter)
+    d = _delimiter(profile)
     lines = F.filter(F.regexp_extract_all("text", F.lit(_record(d)), F.lit(0)), lambda s: F.trim(s) != "")
     data = files.select("path", F.slice(lines, profile.skip_rows + profile.header_row + 1, F.size(lines)).alias("lines")).where(F.size("lines") > 0)
-    # quoted cells keep their delimiters: cells are matched, not split
-    cell = rf'(?:^|{d})("[^"]*+(?:""[^"]*+)*+"|[^{d}]*)'
+    # the header is taken before lines are exploded: else every line would carry its whole file along
+    parted = data.select("path", _cells(F.get("lines", F.lit(0)), d).alias("header"), F.slice("lines", 2, F.size("lines")).alias("body"))
+    named = parted.select("path", "header", F.posexplode("body").alias("i", "line"))
+    return _extra(named.select("path", "header", _cells(F.col("line"), d).alias("cells"), (F.col("i") + 1).alias("row_number")))
 
-    def cells(line: Column) -> Column:
-        found = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
-        return F.transform(found, lambda c: F.trim(F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
 
-    named = data.select("path", cells(F.get("lines", F.lit(0))).alias("header"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("i", "line"))
-    got = named.withColumn("cells", cells(F.col("line"))).where(F.exists("cells", lambda c: c != ""))
-    keys = F.array_distinct("header")
-    first = F.transform(keys, lambda k: F.coalesce(F.get("cells", F.array_position("header", k).cast("int") - 1), F.lit("")))
-    return got.select("path", (F.col("i") + 1).alias("row_number"), F.map_from_arrays(keys, first).alias("extra"))
+def read_lines(spark: SparkSession, paths: str | list[str], profile: Profile) -> DataFrame:
+    """What :func:`rows` gives, of files whose cells hold no line breaks: a large file is read by as many tasks as it has splits.
+
+    A line's number is its place in its split and the lines of the splits before it, which are counted first; so no file is sorted,
+    and none passes through one task.
+    """
+    d = _delimiter(profile)
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    lines = lines.where(F.trim("line") != "").withColumn("at", F.monotonically_increasing_id())  # one after the other within a split
+    counts = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("path", "split", (before - F.col("first")).alias("shift"))
+    top = profile.skip_rows + profile.header_row
+    placed = lines.join(shift, ["path", "split"]).select("path", (F.col("at") + F.col("shift") - top).cast("int").alias("row_number"), "line")
+    header = placed.where("row_number = 0").select("path", _cells(F.col("line"), d).alias("header"))
+    return _extra(placed.where("row_number > 0").withColumn("cells", _cells(F.col("line"), d)).join(header, "path"))
 
 
 def load(files: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows, rows that could not be read with the reason). The profile's currency goes before the column's."""
+    """(ledger rows, rows that could not be read with the reason) of path, text. The profile's currency goes before the column's."""
+    return typed(rows(files, profile), profile)
+
+
+def typed(rows: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """:func:`load` for rows that :func:`rows` or :func:`read_lines` gave."""
     at = lambda f: F.element_at("extra", F.lit(profile.columns[f])) if f in profile.columns else F.lit("")
     if profile.sign_convention == "two_columns":
         amount, sign = amounts.two_columns(at("paid_in"), at("withdrawn"))
@@ -76,7 +110,7 @@ def load(files: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     value = dates.parse_date(at("value_date"), formats)
     booked = dates.parse_date(at("booking_date"), formats)
     ccy = F.upper(F.lit(profile.currency)) if profile.currency else F.upper(F.trim(at("currency")))
-    out = rows(files, profile).select(
+    out = rows.select(
         "path", "row_number", at("ref").alias("trn_ref"), at("ref").alias("external_ref"), value.alias("value_date"), F.when(booked != 0, booked).otherwise(value).alias("booking_date"),
         sign.alias("type"), at("narration").alias("narration"), amount.alias("amount"), ccy.alias("ccy"), "extra",
     )

@@ -192,3 +192,23 @@ def test_broken_workbooks_are_error_rows(spark):
     cells = xlsx.rows(spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary"))
     assert {r.path for r in cells.where("error is not null").collect()} == set(cases) - {"fine"}
     assert [r.trn_ref for r in xlsx.ledger(cells).collect()] == ["R1"]
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    """Line by line as whole: numbers, headers of several files, blank lines, quoted delimiters."""
+    p = csv_profile.Profile("p", csv_profile.PRESETS["plain"].columns, skip_rows=1)
+    texts = {}
+    for f, n in (("a", 9000), ("b", 3), ("c", 0)):
+        head = "top\n\nDate,Ref,Memo,Amount,,\n" if f != "b" else "top\r\nRef,Date,Amount,Memo\r\n"
+        body = "".join(f'2024-01-05,{f}{i},"m, {i}",{i}.50,,\n' + ("\n" if i % 50 == 0 else "") for i in range(n)) if f != "b" else "".join(f"{f}{i},2024-01-06,{i},x\r\n" for i in range(n))
+        texts[f] = head + body
+        (tmp_path / f).write_text(texts[f], newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        assert spark.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 5
+        got = csv_profile.read_lines(spark, f"file://{tmp_path}", p)
+        shown = lambda df: sorted((r.path.rsplit("/", 1)[-1], r.row_number, sorted(r.extra.items())) for r in df.collect())
+        assert shown(got) == shown(csv_profile.rows(_files(spark, **texts), p)) and got.count() == 9003
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
