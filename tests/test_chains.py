@@ -82,6 +82,7 @@ def test_a_session_that_is_stored_again_replaces_itself(spark, tmp_path):
 
 
 def test_core_banking_tables_are_read_in_parts_with_their_filters(spark):
+    spark.sparkContext._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
     url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
     rows = spark.range(1, 1001).select(F.col("id").alias("ID"), (F.col("id") % 7).alias("BRANCH"), (F.col("id") * 1.5).alias("AMOUNT"))
     rows.coalesce(1).write.format("jdbc").options(url=url, dbtable="POSTINGS", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
