@@ -39,7 +39,7 @@ DEPTH, MIN_COUNT, TOP, COVER = 5, 100, 2000, 100
 #: Depths that are counted one by one before the trie of all depths is built.
 COUNTED = 3
 #: Positions that a task gathers before it builds a shard's trie of them, nodes of a serialised chunk and of a merged range.
-SHARD_PLACES, CHUNK_NODES, RANGE_NODES = 1 << 21, 1 << 14, 1 << 19
+SHARD_PLACES, CHUNK_NODES, RANGE_NODES = 1 << 20, 1 << 13, 1 << 18
 #: Bytes of chunks that a task takes in at once.
 BATCH_BYTES = 16 << 20
 #: Bits of a filter at most, and for each key as long as that allows.
