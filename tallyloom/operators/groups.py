@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAGES = ("auth", "clearing", "settlement")
@@ -11,8 +13,8 @@ ORDER = ("mismatched", "incomplete", "matched", "unmatched")
 EPSILON = 1e-9
 
 
-def groups(records: DataFrame, tolerance: float = 0.01, required: tuple[str, ...] = STAGES) -> DataFrame:
-    """scheme_ref, records, files, lowest, highest, total, spread, stages, status.
+def groups(records: DataFrame, tolerance: float = 0.01, required: tuple[str, ...] = STAGES, more: Sequence[Column] = ()) -> DataFrame:
+    """scheme_ref, records, files, lowest, highest, total, stages, the aggregates ``more``, spread, status.
 
     One file alone is unmatched; a spread above the tolerance is mismatched; a missing stage makes a group incomplete.
     """
@@ -24,6 +26,7 @@ def groups(records: DataFrame, tolerance: float = 0.01, required: tuple[str, ...
         F.max("amount").alias("highest"),
         F.sum("amount").alias("total"),
         F.array_sort(F.collect_set("stage")).alias("stages"),
+        *more,
     )
     spread = F.col("highest") - F.col("lowest")
     missing = F.size(F.array_except(F.array(*map(F.lit, required)), "stages")) if required else F.lit(0)

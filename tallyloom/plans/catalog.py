@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import casework, intake, ledgers, matching, reports, sessions, streams
+from tallyloom.plans import cards, casework, intake, ledgers, matching, reports, sessions, streams
 
-_MODULES = (matching, ledgers, sessions, reports, intake, streams, casework)
+_MODULES = (matching, ledgers, sessions, reports, intake, streams, casework, cards)
 
 
 def queries() -> dict:
