@@ -1,4 +1,4 @@
-"""One-to-one resolution of rows that only amounts, dates and signs can match, by blocks of rows that are alike.
+"""One-to-one resolution by blocks of rows that are alike: of rows that only amounts, dates and signs can match, and of frequent references.
 
 Rows of one session that agree in all that the tiers read are a block: n payments of one amount and day are one block, and
 candidates are pairs of blocks, not of rows. A greedy pass takes a block's rows in their order, so it is settled by counts.
@@ -30,23 +30,43 @@ def _name(*columns: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
 
 
-def resolved(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> DataFrame:
-    """What a greedy pass over all candidates of free rows takes: session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref.
-
-    A pair of blocks without other partners is settled by rank: the first row with the first, and so on. Blocks with several
-    partners are resolved by components: see :func:`_take`.
-    """
+def _alike(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both sides with their rows' block, then their blocks, for tiers without references: amounts, dates and signs make a block."""
     rate = ["rate"] if "rate" in left.columns else []
     l = left.withColumn("block", _name("session_id", "sign", "amount", "value_date", *rate))
     r = right.withColumn("block", _name("session_id", "type", "amount", "value_date"))
-    l_rows, r_rows = l.select("block", "session_id", F.col("row_number").alias("l_row"), F.col("our_ref").alias("ref")), r.select("block", F.col("row_number").alias("r_row"))
     head = F.min("row_number").alias("row_number"), F.count("*").alias("rows")
     carried = [c for c in (*tol.columns, "searches", getattr(tiers, "column", None)) if c in left.columns]
     keys = ["session_id", "amount", "value_date"]
     bl = l.groupBy("block", *keys, "sign", *rate).agg(*head, *[F.first(c).alias(c) for c in carried])
     br = r.groupBy("block", *keys, "type").agg(*head, *[F.first(c).alias(c) for c in tol.columns])
     blank = {c: F.lit("") for c in ("our_ref", "booking_text_1", "booking_text_2", "trn_ref", "external_ref", "narration")}  # no condition reads them
-    edges = _block_pairs(bl.withColumns(blank), br.withColumns(blank), tiers, tol)
+    return l, r, bl.withColumns(blank), br.withColumns(blank)
+
+
+def _alike_in_texts(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same for tiers that read references: all columns that they read make a block, all of the row where rows carry the tiers."""
+    read = None if isinstance(tiers, T.OfRows) else T.columns(tiers) | {"session_id", "amount", "sign", "type", "our_ref", "trn_ref", "external_ref", "booking_text_1", "booking_text_2", "narration"}
+    out = []
+    for side in (left, right):
+        same = [c for c in side.columns if c != "row_number" and (c in read if read is not None else True)]
+        rows = side.withColumn("block", F.md5(F.to_json(F.struct(*same))))  # names and quotes keep neighbouring texts apart
+        heads = rows.groupBy("block").agg(F.min("row_number").alias("row_number"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in side.columns if c != "row_number"])
+        out.append((rows, heads))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def resolved(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows, references: str | bool | None = None) -> DataFrame:
+    """What a greedy pass over all candidates takes: session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref.
+
+    The tiers read amounts, dates and signs alone; or any columns, if ``references`` says how their candidates are found (as
+    ``amounts`` does for :func:`candidates.candidates`). A pair of blocks without other partners is settled by rank: the first row
+    with the first, and so on. Blocks with several partners are resolved by components: see :func:`_take`.
+    """
+    alike, amounts = (_alike, True) if references is None else (_alike_in_texts, references)
+    l, r, bl, br = alike(left, right, tiers, tol)
+    l_rows, r_rows = l.select("block", "session_id", F.col("row_number").alias("l_row"), F.col("our_ref").alias("ref")), r.select("block", F.col("row_number").alias("r_row"))
+    edges = _block_pairs(bl, br, tiers, tol, amounts)
     several = lambda c: F.count("*").over(Window.partitionBy(c)) > 1  # noqa: E731  a block's partners are few
     edges = written(edges.withColumn("alone", ~(several("lb") | several("rb"))), "block-pairs")
     facts = edges.agg(F.count_if("alone").alias("alone"), F.count_if(~F.col("alone")).alias("contested"), F.max(F.when(F.col("alone"), F.least("l_n", "r_n"))).alias("largest")).first()
@@ -83,9 +103,9 @@ def _by_window(rows: DataFrame, key: str, order: str, into: str) -> DataFrame:
     return rows.withColumn(into, F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> DataFrame:
+def _block_pairs(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows, amounts: str | bool) -> DataFrame:
     """lb, rb, tier, auto_confirm, amount_diff, l_n, r_n. A block's first row stands for it."""
-    found = C.candidates(left, right, tiers, tol, amounts=True).drop("ref")
+    found = C.candidates(left, right, tiers, tol, amounts).drop("ref")
     l = left.select("session_id", F.col("row_number").alias("l_row"), F.col("block").alias("lb"), F.col("rows").alias("l_n"))
     r = right.select("session_id", F.col("row_number").alias("r_row"), F.col("block").alias("rb"), F.col("rows").alias("r_n"))
     return found.join(l, ["session_id", "l_row"]).join(r, ["session_id", "r_row"]).drop("session_id", "l_row", "r_row")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from tallyloom.functions import text
 from tallyloom.operators import tiers as T
@@ -165,18 +166,34 @@ def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, wanted: set[s
     return pairs.join(l, ["session_id", "l_row"]).join(r, ["session_id", "r_row"])
 
 
-def candidates(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | str | None = None) -> DataFrame:
+def sides(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Both sides as :func:`candidates` joins them: session_id, type, the columns that the tiers read, and the reference keys."""
+    wanted = None if isinstance(tiers, T.OfRows) else T.columns(tiers) | {"amount", "our_ref", *tol.columns}
+    left, right = (df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, NullType)}) for df in (left, right))  # Parquet has no such type
+    return _left(left, tol, wanted, True), _right(right, tol, wanted, True)
+
+
+def hot_sessions(l: DataFrame, r: DataFrame) -> DataFrame | None:
+    """session_id of the sessions (of :func:`sides`) with a reference key so frequent that its pairs are many times its rows; None without any."""
+    sizes = lambda df, keys, name: df.select(*_ON, F.explode(keys).alias("key")).groupBy(*_ON, "key").agg(F.count("*").alias(name))
+    both = sizes(l, "l_keys", "ln").join(sizes(r, "r_keys", "rn"), [*_ON, "key"])
+    hot = written(both.where(F.col("ln").cast("double") * F.col("rn") > HOT * (F.col("ln") + F.col("rn"))).select("session_id").distinct(), "hot-sessions")
+    return hot if hot.count() else None
+
+
+def candidates(
+    left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | str | None = None, keyed: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref: every pair that some tier accepts, by its first one.
 
     Amounts are searched only if a tier can do without a reference (``amounts`` overrides that: "contained" searches them for
     tiers that all need a reference, which may then lie inside another without being a common key), converted ones if rows have a
     ``rate`` and an ``fx_bps`` above 0. Every pair is found once, so that nothing has to be made distinct, and rows travel with
-    their pairs: those columns that the tiers read, or all of them where rows carry the tiers.
+    their pairs: those columns that the tiers read, or all of them where rows carry the tiers. ``keyed``: :func:`sides`, if known.
     """
     tiers = T.default_tiers() if tiers is None else tiers
     by_rows = isinstance(tiers, T.OfRows)
-    wanted = None if by_rows else T.columns(tiers) | {"amount", "our_ref", *tol.columns}
-    l, r = _left(left, tol, wanted, True), _right(right, tol, wanted, True)
+    l, r = keyed or sides(left, right, tiers, tol)
     pairs = _by_key(l, r)
     if amounts is None:
         amounts = by_rows or not T.all_gated_by_ref(tiers)

@@ -12,7 +12,7 @@ from tallyloom.operators import blocks
 from tallyloom.operators import candidates as C
 from tallyloom.operators import tiers as T
 from tallyloom.operators.components import components
-from tallyloom.operators.store import written
+from tallyloom.operators.store import written, written_together
 from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance
 
 _L, _R = ["session_id", "l_row"], ["session_id", "r_row"]
@@ -97,7 +97,7 @@ def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows |
 
 
 def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows, free: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> DataFrame:
-    first = greedy(C.candidates(left, right, gated, tol, amounts="contained" if free else False)) if gated else None
+    first = _by_reference(left, right, gated, tol, "contained" if free else False) if gated else None
     if not free:
         return first if first is not None else greedy(C.candidates(left, right, [], tol, amounts=False))
     if first is None:
@@ -105,6 +105,21 @@ def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows
     return first.unionByName(blocks.resolved(unmatched(left, first, "l"), unmatched(right, first, "r"), free, tol))
 
 
+def _by_reference(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows, amounts: str | bool) -> DataFrame:
+    """What :func:`greedy` takes at tiers that need a reference.
+
+    Keys are computed and written once. Sessions in which many rows of both sides share a key are resolved by blocks of rows alike in
+    all that the tiers read, so that n payments under one reference do not make n * n pairs; all others by pairs of rows.
+    """
+    l, r = written_together(dict(zip(("keyed-l", "keyed-r"), C.sides(left, right, gated, tol))))
+    hot = C.hot_sessions(l, r)
+    if hot is None:
+        return greedy(C.candidates(left, right, gated, tol, amounts, (l, r)))
+    rest = greedy(C.candidates(left, right, gated, tol, amounts, tuple(side.join(hot, "session_id", "left_anti") for side in (l, r))))
+    own = [side.join(hot, "session_id", "left_semi") for side in (left, right)]
+    return rest.unionByName(blocks.resolved(*own, gated, tol, amounts))
+
+
 def unmatched(rows: DataFrame, assignments: DataFrame, side: str) -> DataFrame:
     """The rows of one side ("l" or "r") that no assignment holds."""
     held = assignments.select("session_id", F.col(f"{side}_row").alias("row_number"))
