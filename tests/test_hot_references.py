@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import test_sessions as S
 from pyspark.sql import functions as F
 from test_matching import left, right, sequential
 from test_whole import taken
@@ -57,3 +58,17 @@ def test_sides_without_rows(spark, monkeypatch):
     monkeypatch.setattr(C, "HOT", 0)
     l, r = drawn(spark, 1, 20, 1)
     assert R.assigned(l.limit(0), r).count() == 0 and R.assigned(l, r.limit(0)).count() == 0
+
+
+def test_runs_with_settings_of_accounts_take_the_same_pairs(spark, monkeypatch):
+    """Rows that carry their tiers and tolerances: a session's blocks agree in these, as all of them are its account's."""
+    rng = random.Random(9)
+    refs = ["SO4711000", "SO4711001", ""]
+    lefts = [S.l(i, rng.choice([10.0, 10.0, 11.0]), rng.choice(refs), session=i % 2, text=rng.choice(["", "pays SO4711001"])) for i in range(80)]
+    rights = [S.r(i, rng.choice([10.0, 10.0, 10.4]), rng.choice(refs), session=i % 2) for i in range(70)]
+    settings = spark.createDataFrame([(10, 0.0, 0.0, 1, 4, 0.0), (11, 0.5, 0.0, 1, 4, 0.0)], "account_id long, amount_tol_abs double, amount_tol_pct double, date_tol_days int, min_ref_len int, fx_tol_bps double")
+    found = []
+    for hot in (0, 10**9):
+        monkeypatch.setattr(C, "HOT", hot)
+        found.append(S.shown(S.run(spark, lefts, rights, [S.session(0), S.session(1)], settings=settings)))
+    assert found[0] == found[1] and {a[3] for a in found[0]} >= {1, 2, 3}
