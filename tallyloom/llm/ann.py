@@ -5,12 +5,15 @@
 2. Codebooks of 16 centres for every two components are fitted on at most ``SAMPLE`` entries, chosen by hash. The loss
    weighs the residual along a vector ``eta`` times as much as that across it, since the former is what changes large
    inner products; assignment is by coordinate descent, centres are the weighted least-squares solutions.
-3. Every entry is encoded. The scan ships codes alone (half a byte for two components): blocks of queries meet blocks of
-   codes, and a four-bit table per query and component pair, joined in twos to bytes, is summed over the block's codes.
-   Entries lie in blocks by hash, so a block sends on its share of the ``rerank`` best and six standard deviations more.
+3. Every entry is encoded: half a byte for two components, and a signed byte for what is left of each, as a share of the entry's
+   largest rest. With the codes goes the length of the error that remains, so that they bound an entry's product from above.
+   The scan ships codes alone: blocks of queries meet blocks of codes and rank them by that bound, which is the product with the
+   decoded codes and the error's length. Entries lie in blocks by hash, so a block sends on its share of the ``rerank`` best and six standard deviations more.
 4. The ``rerank`` best of all blocks are kept by a ranking per query. They go back to the blocks of their entries, where
    the original vectors wait: each vector moves once for every ``ASKED`` queries, each query once for every block that holds
    some of its candidates. There the products are computed exactly, and the ``k`` best are ranked again.
+5. A query is done if its ``k`` best lie above the bounds of all that was left out. The others (more near copies around than are ranked
+   exactly) meet the vectors of all blocks, of which each sends on its ``k`` best. So the result is exact on any rows.
 
 Nearness is the inner product in double precision, summed in the order of components; ties go to the smaller id.
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id. Vectors of different
@@ -102,27 +105,46 @@ def _matrix(column, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def scan(queries: np.ndarray, code: np.ndarray, books: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the places of the ``keep`` best codes by the tables, and their sums. A byte of ``code`` has two parts' codes."""
-    parts = books.shape[0]
-    table = np.einsum("qmw,mcw->mqc", _split(queries), books).astype(np.float32)
-    total = np.zeros((len(queries), len(code)), np.float32)
-    for b in range(parts // 2):
-        both = (table[2 * b][:, :, None] + table[2 * b + 1][:, None, :]).reshape(len(queries), -1)
-        total += both[:, code[:, b]]
-    if len(code) > keep:
+def decoded(code: np.ndarray, rest: np.ndarray, step: np.ndarray, books: np.ndarray, dim: int) -> np.ndarray:
+    """(n, dim) vectors of codes, of which a byte has two parts' codes, and of their rests in steps."""
+    both = np.empty((len(code), books.shape[0]), np.uint8)
+    both[:, 0::2], both[:, 1::2] = code >> 4, code & 15
+    out = books[np.arange(books.shape[0]), both].reshape(len(code), -1)[:, :dim]
+    return out + rest * step[:, None]
+
+
+def scan(queries: np.ndarray, known: np.ndarray, error: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query (of length 1) the places of the ``keep`` entries of the largest bounds, and these, the smallest one last."""
+    total = queries.astype(np.float32) @ known.T
+    total += error
+    if len(known) > keep:
         best = np.argpartition(-total, keep - 1, axis=1)[:, :keep]
     else:
-        best = np.tile(np.arange(len(code)), (len(queries), 1))
+        best = np.tile(np.arange(len(known)), (len(queries), 1))
     return best, np.take_along_axis(total, best, 1)
 
 
-def _coded(books: np.ndarray, eta: float, dim: int):
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, in their largest component's measure first so that squares stay finite."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _coded(books: np.ndarray, eta: float, dim: int, unit: float):
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            code = encode(_matrix(part.column("v"), dim).astype(np.float32), books, eta).astype(np.uint8)
+            x = _matrix(part.column("v"), dim) / unit
+            code = encode(x.astype(np.float32), books, eta).astype(np.uint8)
             packed = code[:, 0::2] * np.uint8(CENTRES) + code[:, 1::2]
-            yield part.append_column("code", pa.array([c.tobytes() for c in packed], pa.binary()))
+            left = x - decoded(packed, np.zeros((1, 1), np.float32), np.zeros(len(x), np.float32), books, dim)
+            step = (np.abs(left).max(1) / 127).astype(np.float32) if len(x) else np.zeros(0, np.float32)
+            rest = np.clip(np.rint(left / np.maximum(step, 1e-30)[:, None]), -127, 127).astype(np.int8)
+            known = decoded(packed, rest, step, books, dim).astype(np.float32)
+            # the error's length, and what sums of single precision may lose
+            error = (np.linalg.norm(x - known, axis=1) * (1 + 1e-5) + (dim + 8) * 3e-7 * np.linalg.norm(known, axis=1) + 1e-30).astype(np.float32)
+            for name, value in (("code", pa.array([c.tobytes() for c in packed], pa.binary())), ("rest", pa.array([c.tobytes() for c in rest], pa.binary())), ("step", pa.array(step)), ("error", pa.array(error))):
+                part = part.append_column(name, value)
+            yield part
 
     return coded
 
@@ -131,15 +153,17 @@ def _scanned(books: np.ndarray, dim: int, keep: int):
     def scanned(key, left, right):
         """One block of codes (left) and one of queries (right): the block's best entries of every query."""
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "e": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
-        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-        entry, q, names = left.column("e").to_numpy(), _matrix(right.column("v"), dim), right.column("query_id").to_numpy()
+            return pa.table({"query_id": pa.array([], pa.int64()), "e": pa.array([], pa.int64()), "near": pa.array([], pa.float32()), "cut": pa.array([], pa.bool_())})
+        bytes_of = lambda name, kind: np.frombuffer(b"".join(left.column(name).to_pylist()), kind).reshape(left.num_rows, -1)
+        known = decoded(bytes_of("code", np.uint8), bytes_of("rest", np.int8), left.column("step").to_numpy(), books, dim)
+        entry, error, q, names = left.column("e").to_numpy(), left.column("error").to_numpy(), _shares(_matrix(right.column("v"), dim)), right.column("query_id").to_numpy()
         parts = []
         for a in range(0, len(q), AT_ONCE):
-            best, near = scan(q[a : a + AT_ONCE], code, books, keep)
-            parts.append((np.repeat(names[a : a + AT_ONCE], best.shape[1]), entry[best.ravel()], near.ravel()))
+            best, near = scan(q[a : a + AT_ONCE], known, error, keep)
+            cut = near == near.min(1, keepdims=True) if len(known) > keep else np.zeros(near.shape, bool)  # more entries may reach as far
+            parts.append((np.repeat(names[a : a + AT_ONCE], best.shape[1]), entry[best.ravel()], near.ravel(), cut.ravel()))
         columns = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table(dict(zip(("query_id", "e", "near"), map(pa.array, columns))))
+        return pa.table(dict(zip(("query_id", "e", "near", "cut"), map(pa.array, columns))))
 
     return scanned
 
@@ -169,6 +193,35 @@ def _ranked(dim: int, k: int):
     return ranked
 
 
+def _all_ranked(dim: int, k: int):
+    def ranked(key, left, right):
+        """One block of entries (left) and queries (right): exact products with all of them, the ``k`` best of each query."""
+        out_q, out_v, out_s = [], [], []
+        if left.num_rows and right.num_rows:
+            x, ids = _matrix(left.column("v"), dim), left.column("ids").to_pylist()
+            first, longest = np.array([own[0] for own in ids], np.int64), np.linalg.norm(x, axis=1).max()
+            q, names = _matrix(right.column("v"), dim), right.column("query_id").to_pylist()
+            for a in range(0, len(q), AT_ONCE):
+                total = q[a : a + AT_ONCE] @ x.T
+                for name, own, near in zip(names[a:], q[a : a + AT_ONCE], total):
+                    if len(x) > k + 1:  # sums in another order differ by roundings
+                        least = np.partition(near, -k - 1)[-k - 1] - (dim + 8) * 1e-15 * longest * np.linalg.norm(own)
+                        places = np.flatnonzero(~(near < least))
+                    else:
+                        places = np.arange(len(x))
+                    exact, some = np.zeros(len(places)), x[places]
+                    for d in range(dim):
+                        exact += some[:, d] * own[d]
+                    best = np.lexsort((first[places], -exact))[: k + 1]
+                    found = sorted((-exact[p], i) for p in best for i in ids[places[p]] if i != name)[:k]
+                    out_q += [name] * len(found)
+                    out_v += [i for _, i in found]
+                    out_s += [-s for s, _ in found]
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+
+    return ranked
+
+
 def search(
     vectors: DataFrame,
     *,
@@ -203,10 +256,11 @@ def _found(rows: DataFrame, dim: int, every: int, k: int, sample: int, block: in
     entries = few.groupBy("h", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))  # at most k + 1 ids
     entries = written(entries.withColumn("e", F.monotonically_increasing_id()), "ann-entries")
     got = entries.orderBy("h", "v").limit(sample).select("v").toArrow()
-    x = _matrix(got.column("v"), dim).astype(np.float32)
+    unit = entries.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]  # codes are single precision
+    x = (_matrix(got.column("v"), dim) / unit).astype(np.float32)
     eta = eta_of(dim)
-    books = fit(x, eta)
-    entries = written(entries.mapInArrow(_coded(books, eta, dim), "h long, v array<double>, ids array<long>, e long, code binary"), "ann-codes")
+    books = fit(x, eta).astype(np.float32)
+    entries = written(entries.mapInArrow(_coded(books, eta, dim, unit), "h long, v array<double>, ids array<long>, e long, code binary, rest binary, step float, error float"), "ann-codes")
 
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = written(asked, "ann-queries")
@@ -220,16 +274,34 @@ def _found(rows: DataFrame, dim: int, every: int, k: int, sample: int, block: in
     of = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts).cast("long"))
     all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     # every block of codes meets every block of queries: the pair is the key, each side goes once to each of its pairs
-    codes = entries.select("e", "code", of("e", blocks).alias("b")).withColumn("t", all_of(turns))
+    codes = entries.select("e", "code", "rest", "step", "error", of("e", blocks).alias("b")).withColumn("t", all_of(turns))
     questions = asked.withColumn("t", of("query_id", turns)).withColumn("b", all_of(blocks))
-    near = codes.groupBy("b", "t").cogroup(questions.groupBy("b", "t")).applyInArrow(_scanned(books, dim, keep), "query_id long, e long, near float")
+    near = codes.groupBy("b", "t").cogroup(questions.groupBy("b", "t")).applyInArrow(_scanned(books, dim, keep), "query_id long, e long, near float, cut boolean")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "e")
-    near = written(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "e"), "ann-near")
+    near = written(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank + 1), "ann-near")
 
-    wanted = near.groupBy(F.col("query_id").alias("q"), of("e", blocks).alias("b")).agg(F.collect_list("e").alias("es"))  # at most rerank
+    wanted = near.where(F.col("r") <= rerank).groupBy(F.col("query_id").alias("q"), of("e", blocks).alias("b")).agg(F.collect_list("e").alias("es"))  # at most rerank
     wanted = wanted.join(asked, F.col("q") == F.col("query_id")).select("b", "query_id", "v", "es", of("query_id", wide).alias("t"))
     vectors = entries.select("e", "v", "ids", of("e", blocks).alias("b")).withColumn("t", all_of(wide))
-    return vectors.groupBy("b", "t").cogroup(wanted.groupBy("b", "t")).applyInArrow(_ranked(dim, k), "query_id long, vec_id long, score double")
+    found = vectors.groupBy("b", "t").cogroup(wanted.groupBy("b", "t")).applyInArrow(_ranked(dim, k), "query_id long, vec_id long, score double")
+    found = written(found, "ann-found")
+
+    # queries whose k best may be exceeded by an entry that was left out
+    beyond = near.where("cut or r > %d" % rerank).groupBy("query_id").agg(F.max("near").cast("double").alias("beyond"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    reached = found.withColumn("p", place).where(F.col("p") == k).select("query_id", F.col("score").alias("reached"))
+    largest = F.array_max(F.transform("v", F.abs))
+    length = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / largest) * (c / largest)))
+    sure = F.coalesce(F.col("reached") / length / F.lit(unit) > F.col("beyond"), F.lit(False))
+    again = written(asked.join(beyond, "query_id").join(reached, "query_id", "left").where(~sure).select("query_id", "v"), "ann-again")
+    m = again.count()
+    if not m:
+        return found
+    turns = max(1, min(m, 2 * cores // blocks), -(-m // QUERIES))
+    vectors = entries.select("v", "ids", of("e", blocks).alias("b")).withColumn("t", all_of(turns))
+    questions = again.withColumn("t", of("query_id", turns)).withColumn("b", all_of(blocks))
+    rest = vectors.groupBy("b", "t").cogroup(questions.groupBy("b", "t")).applyInArrow(_all_ranked(dim, k), "query_id long, vec_id long, score double")
+    return found.unionByName(rest)
 
 
 ORACLE = """

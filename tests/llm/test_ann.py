@@ -48,6 +48,20 @@ def test_recall_with_few_reranked(spark):
     assert len(found & wanted) >= 0.95 * len(wanted)
 
 
+def test_nothing_is_missed_among_near_copies_and_mixed_lengths(spark):
+    """A family larger than what is ranked exactly, whose members the codes cannot tell apart, and vectors a thousand times as long."""
+    rng = np.random.default_rng(3)
+    centre, rows = rng.normal(size=8), []
+    for i in range(3000):
+        v = centre + rng.normal(size=8) * 1e-6 if i % 3 else rng.normal(size=8) * 10.0 ** rng.integers(-2, 2)
+        rows.append((i, [float(x) for x in v]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, block=1000, rerank=64).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found == plain(rows)
+
+
 def test_anisotropic_codes_lower_the_weighted_loss():
     x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
     eta = 6.0
