@@ -39,6 +39,11 @@ def pans(c: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(runs, sequences)), is_pan))
 
 
+def pans_of(c: Column, n: int) -> Column:
+    """The distinct card numbers of ``n`` digits in a row, read from the left wherever digits stand; neighbouring groups are not joined."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"[0-9]{{{n}}}"), F.lit(0)), is_pan))
+
+
 def mask(c: Column) -> Column:
     d = digits(c)
     return F.concat(F.substring(d, 1, 6), F.lit("***"), F.right(d, F.lit(4)))
