@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
-from tallyloom.functions import text
+from tallyloom.functions import dates, text
 from tallyloom.operators import tiers as T
 from tallyloom.operators.store import written
 from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, is_asked, number, window
@@ -40,8 +40,8 @@ def _by_key(l: DataFrame, r: DataFrame) -> DataFrame:
     return both.where(F.get(F.array_intersect("l_keys", "r_keys"), F.lit(0)) == F.col("key")).select("session_id", "l", "r")
 
 
-def _by_amount(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
-    """session_id, l, r of rows without a common key whose amounts lie in the left one's window.
+def _by_amount(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows, days: int | None = None) -> DataFrame:
+    """session_id, l, r of rows without a common key whose amounts lie in the left one's window, and whose dates are at most ``days`` apart if that is given.
 
     Amounts fall into bins at least as wide as the window: equal ones for an absolute tolerance, growing ones for a
     percentage. The left row looks into its bin and the two next to it, so the join is an equi-join with a filter.
@@ -49,8 +49,27 @@ def _by_amount(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame
     at_l, at_r = (tol.at(lambda c, side=side: F.col(side)[c]) for side in "lr")
     l = l.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("l.amount"), at_l) + d for d in (-1, 0, 1)])))
     r = r.withColumn("bin", amount_bin(F.col("r.amount"), at_r))
-    both = l.join(r, [*_ON, "bin"]).where(_near(tol)).where(~F.arrays_overlap("l_keys", "r_keys"))
-    return both.select("session_id", "l", "r")
+    return _same_bin(l, r, days).where(_near(tol)).where(~F.arrays_overlap("l_keys", "r_keys")).select("session_id", "l", "r")
+
+
+def _same_bin(l: DataFrame, r: DataFrame, days: int | None) -> DataFrame:
+    """Rows of one bin. With ``days`` they also meet by spans of days, so that n equal amounts of as many days do not make n * n pairs."""
+    if days is None:
+        return l.join(r, [*_ON, "bin"])
+    span = 2 * days + 1
+    l = l.withColumn("span", F.explode(F.array_distinct(F.array(*[F.floor((_day(F.col("l.value_date")) + d) / span) for d in (-days, days)]))))
+    r = r.withColumn("span", F.floor(_day(F.col("r.value_date")) / span))
+    return l.join(r, [*_ON, "bin", "span"]).where(_close(days))
+
+
+def _day(ymd: Column) -> Column:
+    """Days from 1970; an integer that names no day is close to itself alone, far from all days."""
+    return F.coalesce(F.unix_date(dates.to_date(ymd)).cast("long"), -(ymd.cast("long") + (1 << 32)) * (1 << 16))
+
+
+def _close(days: int) -> Column:
+    l, r = F.col("l.value_date"), F.col("r.value_date")
+    return F.coalesce((l == r) | (dates.days_between(l, r) <= days), F.lit(False))
 
 
 def _near(tol: Tolerance | OfRows) -> Column:
@@ -118,7 +137,7 @@ def _holding(needles: DataFrame, texts: DataFrame, on: list[str], row: str, othe
     return found.select(*on, "l_row", "r_row")
 
 
-def _by_rate(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
+def _by_rate(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows, days: int | None = None) -> DataFrame:
     """Those that neither of the others finds, and whose amount lies within ``fx_bps`` of the left one times its ``rate``.
 
     The converted amounts fall into growing bins, as percentages do; rows without a rate have no such candidates.
@@ -129,7 +148,7 @@ def _by_rate(l: DataFrame, r: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
     l = l.withColumn("bin", F.explode(F.array(*[amount_bin(F.col("there"), share("l")) + d for d in (-1, 0, 1)])))
     r = r.withColumn("bin", amount_bin(F.col("r.amount"), share("r")))
     near = F.abs(F.col("r.amount") - F.col("there")) <= window(F.col("there"), share("l"))
-    return l.join(r, [*_ON, "bin"]).where(near & ~_near(tol) & ~F.arrays_overlap("l_keys", "r_keys")).select("session_id", "l", "r")
+    return _same_bin(l, r, days).where(near & ~_near(tol) & ~F.arrays_overlap("l_keys", "r_keys")).select("session_id", "l", "r")
 
 
 def ref_token_join(left: DataFrame, right: DataFrame, tol: Tolerance = DEFAULT) -> DataFrame:
@@ -199,9 +218,16 @@ def candidates(
         amounts = by_rows or not T.all_gated_by_ref(tiers)
     if amounts:
         near = l.where("l.searches") if by_rows else l
-        pairs = pairs.unionByName(_by_amount_with_reference(near, r, tol) if amounts == "contained" else _by_amount(near, r, tol))
+        days = None if by_rows else T.days_apart(tiers)
+        referred = not by_rows and any(T.needs_reference(t) for t in T.active(tiers))
+        if amounts == "contained":
+            pairs = pairs.unionByName(_by_amount_with_reference(near, r, tol))
+        else:
+            pairs = pairs.unionByName(_by_amount(near, r, tol, days))
+            if days is not None and referred:  # a reference inside a text is looked for on any day
+                pairs = pairs.unionByName(_by_amount_with_reference(near, r, tol).where(~_close(days)))
         if "rate" in left.columns and is_asked(tol.at(F.col).fx_bps):
-            pairs = pairs.unionByName(_by_rate(near, r, tol))
+            pairs = pairs.unionByName(_by_rate(near, r, tol, None if referred else days))
     at = tol.at(lambda c: F.col("l")[c])
     if by_rows:
         first = tiers.first(F.col("l"), F.col("r"), at, left.columns, right.columns)

@@ -125,6 +125,21 @@ def all_gated_by_ref(tiers: list[Tier]) -> bool:
     return all(any(c.op == "symmetric_in_narration" for c in t.conditions) for t in active(tiers))
 
 
+def needs_reference(tier: Tier) -> bool:
+    return any(c.op in ("symmetric_in_narration", "in_other_narration") for c in tier.conditions)
+
+
+def days_apart(tiers: list[Tier]) -> int | None:
+    """Days that dates may be apart where an active tier matches a pair without a reference; None without such tiers, or where one sets no bound."""
+    bounds = []
+    for t in (t for t in active(tiers) if not needs_reference(t)):
+        own = [0 if c.op == "equal" else int(c.params.get("n", 1)) for c in t.conditions if c.field == "value_date" and c.op in ("equal", "within_days")]
+        if not own or not 0 <= min(own) < dates.FAR:
+            return None
+        bounds.append(min(own))
+    return max(bounds) if bounds else None
+
+
 #: The columns that each kind of condition reads.
 _READS = {"amount": ("amount", "rate"), "value_date": ("value_date",), "sign": ("sign", "type"), "narration": ("booking_text_1", "booking_text_2", "narration"),
           "ref": ("our_ref", "booking_text_1", "booking_text_2", "narration", "external_ref", "trn_ref")}
