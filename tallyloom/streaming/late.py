@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ _STATE = "side string, amount double, at long, due long, escalated boolean"
 
 
 class _Waiting(StatefulProcessor):
-    """The open items of one account and reference, by id; each has a timer at which it is escalated unless it is gone by then."""
+    """The open items of one account and reference, by id. The state is told once a batch what a batch has changed; a reference has one timer, at the earliest time at which an item is due."""
 
     def __init__(self, tolerance: float, after: int):
         self.tolerance, self.after = tolerance, after
@@ -25,15 +26,22 @@ class _Waiting(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _put(self, item: int, side: str, amount: float, at: int, due: int, escalated: bool) -> None:
-        self.open.updateValue((item,), (side, amount, at, due, escalated))
-        self.handle.registerTimer(due)
+    def _wake(self, dues: list[int], due_before: list[int]) -> None:
+        """One timer, at the earliest of ``dues``. Where an earlier one stands already, nothing falls due before it."""
+        if dues and (not due_before or min(dues) < min(due_before)):
+            self.handle.registerTimer(min(dues))
+
+    def _bin(self, amount: float) -> float:
+        return amount // (2 * self.tolerance + 4e-9)  # amounts within the tolerance are in the same or in neighbouring bins
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         batch["rank"] = (batch["kind"] != "item").astype(int)  # what is said of an item comes behind it
         batch = batch.sort_values(["at", "rank", "item_id"], kind="stable")
-        held = {k[0]: v for k, v in self.open.iterator()}
+        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        held, bins = dict(before), {}
+        for item, v in held.items():
+            heapq.heappush(bins.setdefault(self._bin(v[1]), {}).setdefault(v[0], []), (v[2], item))
         told: dict[int, tuple] = {}
         for kind, item, side, amount, at, until in zip(batch["kind"], batch["item_id"], batch["side"], batch["amount"], batch["at"], batch["until"]):
             item, ms = int(item), int(pd.Timestamp(at).value // 10**6)
@@ -41,26 +49,47 @@ class _Waiting(StatefulProcessor):
                 if item in held and not held[item][4]:
                     old = held[item]
                     held[item] = (*old[:3], max(old[3], int(pd.Timestamp(until).value // 10**6)), False)
-                    self._put(item, *held[item])
                 continue
-            near = [(v[2], k) for k, v in held.items() if v[0] != side and abs(v[1] - amount) <= self.tolerance]
-            if near:
-                other = min(near)[1]
+            other = self._nearest(bins, held, side, amount)
+            if other is not None:
                 del held[other]
-                self.open.removeKey((other,))
                 told[item], told[other] = (item, "cleared", other, at), (other, "cleared", item, at)
             else:
                 held[item] = (side, float(amount), ms, ms + self.after, False)
-                self._put(item, *held[item])
+                heapq.heappush(bins.setdefault(self._bin(amount), {}).setdefault(side, []), (ms, item))
                 told[item] = (item, "open", None, at)
+        for item in before.keys() - held.keys():
+            self.open.removeKey((item,))
+        for item, v in held.items():
+            if before.get(item) != v:
+                self.open.updateValue((item,), v)
+        waits = lambda items: [v[3] for v in items.values() if not v[4]]
+        self._wake(waits(held), waits(before))
         yield pd.DataFrame(list(told.values()), columns=["item_id", "status", "other_id", "at"]).astype({"other_id": "Int64"})
 
+    def _nearest(self, bins: dict, held: dict, side: str, amount: float) -> int | None:
+        """The earliest open item of the other side within the tolerance; what has left the open items leaves the bins here."""
+        found, b = None, self._bin(amount)
+        for d in (-1, 0, 1):
+            for own, waiting in bins.get(b + d, {}).items():
+                if own == side:
+                    continue
+                is_open = lambda x: x[1] in held and held[x[1]][2] == x[0]
+                while waiting and not is_open(waiting[0]):
+                    heapq.heappop(waiting)
+                near = waiting[:1]
+                if near and not abs(held[near[0][1]][1] - amount) <= self.tolerance:
+                    near = [x for x in waiting if is_open(x) and abs(held[x[1]][1] - amount) <= self.tolerance]
+                found = min([*near, *([found] if found else [])], default=None)
+        return found[1] if found else None
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, told = expiredTimerInfo.getExpiryTimeInMs(), []
+        now, told = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), []
         for (item,), (side, amount, at, due, escalated) in list(self.open.iterator()):
             if due <= now and not escalated:
                 self.open.updateValue((item,), (side, amount, at, due, True))
                 told.append((item, "escalated", None, pd.Timestamp(due, unit="ms")))
+        self._wake([v[3] for (_,), v in self.open.iterator() if not v[4]], [])
         yield pd.DataFrame(told, columns=["item_id", "status", "other_id", "at"]).astype({"other_id": "Int64"})
 
 
