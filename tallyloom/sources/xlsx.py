@@ -23,6 +23,8 @@ LEDGER = {"TRN_REF_NO": "trn_ref", "BOOKING_DATE": "booking_date", "TYPE": "type
 REQUIRED = ("TRN_REF_NO", "BOOKING_DATE", "TYPE", "TXN_NARRATIONS", "VALUE_DATE", "LCY_AMOUNT")
 
 
+#: Rows of a file that are handed on at once.
+AT_ONCE = 10_000
 #: What a damaged or foreign archive, part or cell raises.
 UNREADABLE = (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, TypeError, StopIteration, EOFError, NotImplementedError, zlib.error)
 
@@ -34,6 +36,17 @@ def _xml(book: zipfile.ZipFile, part: str) -> ET.Element:
     return ET.fromstring(data)
 
 
+def _rows(book: zipfile.ZipFile, part: str) -> Iterator[ET.Element]:
+    """A sheet's rows, each forgotten once it is read, so that no sheet is a tree as a whole."""
+    data = book.read(part)
+    if b"<!DOCTYPE" in data:
+        raise ValueError(f"document type declared in {part}")
+    for _, e in ET.iterparse(io.BytesIO(data)):
+        if _local(e) == "row":
+            yield e
+            e.clear()
+
+
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", ref)[0]:
@@ -58,7 +71,7 @@ def sheets(content: bytes) -> Iterator[tuple[int, str, int, list[str | None]]]:
         name, target = sheet.get("name"), parts[next(v for k, v in sheet.items() if k.endswith("}id"))]
         part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         number = 0
-        for row in (e for e in _xml(book, part).iter() if _local(e) == "row"):
+        for row in _rows(book, part):
             number = int(row.get("r") or number + 1)
             cells: list[str | None] = []
             for c in row:
@@ -78,14 +91,15 @@ def rows(files: DataFrame) -> DataFrame:
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            got = []
             for path, content in zip(part["path"], part["content"]):
                 try:
-                    got += [(path, *r, None) for r in list(sheets(bytes(content)))]
+                    got = [(path, *r, None) for r in sheets(bytes(content))]
                 except UNREADABLE as fault:
-                    got.append((path, None, None, None, None, f"{type(fault).__name__}: {fault}"))
-            found = pd.DataFrame(got, columns=["path", "sheet", "sheet_name", "row", "cells", "error"]).astype({"cells": object})
-            yield found.astype({"sheet": "Int32", "row": "Int32"})
+                    got = [(path, None, None, None, None, f"{type(fault).__name__}: {fault}")]
+                while got:  # one file's rows at a time, and of these so many
+                    found = pd.DataFrame(got[:AT_ONCE], columns=["path", "sheet", "sheet_name", "row", "cells", "error"]).astype({"cells": object})
+                    del got[:AT_ONCE]
+                    yield found.astype({"sheet": "Int32", "row": "Int32"})
 
     return files.select("path", "content").mapInPandas(read, _CELLS)
 
