@@ -3,8 +3,8 @@
 Tokens are runs of letters and digits, and runs of other characters that are no ASCII white space, by their 64-bit hashes;
 two edge marks stand before a text. Everything is DataFrame work:
 
-1. Trusted documents are split by hash into a half for training, of which at most ``max_train_docs`` rows are used, and
-   a half that is held out for the thresholds.
+1. Trusted documents are split by hash into a half for training, all of which is used unless ``max_train_docs`` is given,
+   and a half that is held out for the thresholds.
 2. Training: trigrams are counted, continuation counts, discounts (from counts of counts) and interpolation weights
    follow by grouping and joining these count tables, one order after the other. Grams below ``CUTOFFS`` are discounted
    by their whole count, which keeps the sums at one and the tables short.
@@ -12,7 +12,7 @@ two edge marks stand before a text. Everything is DataFrame work:
    gram, and logarithms are summed by row. A table of at most ``broadcast_rows`` rows (24 bytes each) goes to every
    task, so that the corpus is not shuffled; a larger one is sharded by its key and joined by shuffle, where AQE splits
    the keys of frequent grams. The sums are combined in the task that explodes a text.
-4. Thresholds: for each language the ``quantile`` of the perplexities of all trusted documents outside the sample, from
+4. Thresholds: for each language the ``quantile`` of the perplexities of all trusted documents not trained on, from
    a histogram of log perplexities in steps of 0.001; languages with fewer than ``min_docs`` such documents, and null,
    take that of all languages. A document is kept if its perplexity is at most its threshold.
 
@@ -31,7 +31,7 @@ from tallyloom.llm.shared import free_name, own_names, small, spread, written
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x09-\x0D\x20]+"
 ORDER = 3
-#: Trusted documents that the model is fitted on at most, of the half that hashes to even numbers.
+#: Where the SQL twin cuts off the documents it is fitted on; the operator is fitted on all of the half that hashes to even numbers.
 MAX_TRAIN_DOCS = 2000
 #: Counts of the orders 1 to 3 from which a gram has a share of its own; rarer ones are left to the lower order, all their count being discounted.
 CUTOFFS = (1, 2, 2)
@@ -41,7 +41,7 @@ QUANTILE, MIN_DOCS, STEP = 0.995, 50, 1000
 
 
 def _half(doc_id: Column) -> Column:
-    """60 bits of the id's MD5, so that other engines can take the same sample."""
+    """60 bits of the id's MD5, so that other engines can take the same half."""
     return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 15), 16, 10).cast("long")
 
 
@@ -87,6 +87,7 @@ def model(texts: DataFrame) -> tuple[list[DataFrame], float]:
             first = sums.first()
             unseen = unit * (first["weight"] if first else 1.0)
         else:
+            rows = rows.where(F.col("n") >= CUTOFFS[n - 1]) if n == 3 else rows  # no order above asks for what is cut off
             rows = rows.join(sums, context).join(lower, suffix)
             named = dict(zip(context, keys[3][-n + 1 :]))
             # contexts of rare grams alone leave everything to the lower order, as unseen ones do
@@ -139,7 +140,7 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_train_docs: int = MAX_TRAIN_DOCS,
+    max_train_docs: int | None = None,
     quantile: float = QUANTILE,
     min_docs: int = MIN_DOCS,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -149,11 +150,13 @@ def classify(
     rows = own_names(docs, doc_id=id_col, text=text_col, lang=lang_col).selectExpr("cast(doc_id as long) doc_id", "text", "lang", "xxhash64(coalesce(text, '')) tag")
     good = own_names(labels, doc_id="doc_id", quality="quality").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     good = written(good.where("doc_id is not null").withColumn("h", _half(F.col("doc_id"))), "kn-trusted")
-    sample = written(good.where("h % 2 = 0").orderBy("h", "doc_id").limit(max_train_docs).select("doc_id"), "kn-sample")  # bounded rows of 8 bytes
-    train = written(rows.join(F.broadcast(sample), "doc_id", "left_semi").select("text"), "kn-text")
+    half = good.where("h % 2 = 0")
+    half = half if max_train_docs is None else half.orderBy("h", "doc_id").limit(max_train_docs)
+    trained = small(written(half.select("doc_id"), "kn-half"))
+    train = written(rows.join(trained, "doc_id", "left_semi").select("text"), "kn-text")
     scored = written(log_perplexity(spread(rows), model(train), broadcast_rows), "kn-scores")
 
-    held = scored.join(good, "doc_id", "left_semi").join(F.broadcast(sample), "doc_id", "left_anti").where("log_pp is not null")
+    held = scored.join(good, "doc_id", "left_semi").join(trained, "doc_id", "left_anti").where("log_pp is not null")
     pooled = _quantile(held.withColumn("one", F.lit(1)), ["one"], quantile, "pooled").select("pooled")
     each = _quantile(held.where("lang is not null"), ["lang"], quantile, "own").where(F.col("docs") >= min_docs).select("lang", "own")
     limits = pooled.limit(1).unionByName(spark.sql("select cast(null as double) pooled")).agg(F.max("pooled").alias("pooled"))

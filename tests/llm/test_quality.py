@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -80,6 +81,20 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert out.columns == docs.columns and out.count() == len(kept)
 
 
+def test_the_model_is_fitted_on_all_trusted_documents_of_its_half(spark):
+    """Some 2,600 of them, each with a word of its own, where 2,000 were the most before."""
+    rows = [(i, f"the w{i} was near the {'mill' if i % 3 else 'wood'}", "en") for i in range(5200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    half = [t for i, t, _ in rows if int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % 2 == 0]
+    assert len(half) > Q.MAX_TRAIN_DOCS
+    p, _ = plain_model(half)
+    got = {r.doc_id: r.perplexity for r in Q.classify(docs, labels).where("doc_id < 40").collect()}
+    for i, t, _ in rows[:40]:
+        s = ["", "", *tokens(t)]
+        assert got[i] == pytest.approx(math.exp(-sum(math.log(p(tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))) / (len(s) - 2)), rel=1e-9)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
