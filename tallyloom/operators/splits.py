@@ -24,6 +24,10 @@ from tallyloom.operators.tolerance import DEFAULT, OfRows, Tolerance, number
 
 MAX_SUBSET, POOL, SIDE = 4, 20, 3
 MIN_KEY = 4
+#: Amounts of which all combinations are tried.
+FEW = 6
+#: Characters up to which keys are looked up whole in others.
+WHOLE = 64
 _OUT = "session_id long, l_rows array<long>, r_rows array<long>, tier int, amount_diff double"
 
 
@@ -41,11 +45,16 @@ def _near(totals: np.ndarray, target: float, tol: Tolerance) -> np.ndarray:
 def first_subset(amounts: list[float], target: float, tol: Tolerance) -> list[int] | None:
     """The first combination of two to four places, in order of size and then of places, whose sum is close to ``target``.
 
-    Two amounts of a combination are given; the others are looked up among sorted amounts or sorted sums of two.
+    Two amounts of a combination are given; the others are looked up among sorted amounts or sorted sums of two. Of few amounts
+    all combinations are tried.
     """
-    n, a = len(amounts), np.asarray(amounts, float)
+    n = len(amounts)
     if n < 2:
         return None
+    if n <= FEW:
+        choices = (places for size in range(2, MAX_SUBSET + 1) for places in combinations(range(n), size))
+        return next((list(places) for places in choices if _close(sum(amounts[p] for p in places), target, tol)), None)
+    a = np.asarray(amounts, float)
     share = min(tol.amount_pct / 100, 0.99)
     reach = max(tol.amount_abs, share / (1 - share) * max(abs(target), 1.0)) + 1e-9 * (1 + abs(target) + float(np.abs(a).sum()))
     fits = lambda places: _close(sum(amounts[p] for p in places), target, tol)
@@ -84,24 +93,35 @@ def first_subset(amounts: list[float], target: float, tol: Tolerance) -> list[in
     return None
 
 
-def _grams(key: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - MIN_KEY + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(MIN_KEY))))
+def _pieces(key: Column, n: Column) -> Column:
+    """All different pieces of ``n`` characters, of which the key has at least one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n)))
 
 
 def contained_keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of unequal keys of one session and type of which the first lies inside the second: (them, what was compared).
 
-    keys: distinct session_id, type, key. Every key is looked up by its rarest gram of ``MIN_KEY`` characters alone, counted over
-    all keys first: whatever holds the key holds that gram. A key with a gram that no other has lies in none, and is not
-    looked up at all. What prefixes of a bank's references have in common is thereby never joined on.
+    keys: distinct session_id, type, key. A key is cut into its pieces of each length that shorter keys of its session have, and
+    these are joined with whole keys: what meets is contained, whatever prefixes a bank's references share and however many they
+    are. Where all keys are of one length nothing is cut. Keys longer than ``WHOLE`` are looked up by their rarest piece of
+    that length, counted over all keys first, and compared; keys that cannot be longer than another are not cut.
     """
     of = ["session_id", "type"]
-    grams = keys.select(*of, "key", F.explode_outer(_grams(F.col("key"))).alias("g"))
-    counts = written(grams.groupBy(*of, "g").agg(F.count("*").alias("n")).where("n > 1"), "split-counts")
-    rarest = grams.join(counts, [*of, "g"]).groupBy(*of, "key").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("known"))
-    inner = rarest.where(F.col("known") == F.size(_grams(F.col("key")))).select(*of, F.col("key").alias("inner"), "g")
-    compared = inner.join(grams.withColumnRenamed("key", "outer"), [*of, "g"]).where(F.length("outer") > F.length("inner"))
-    return compared.where(F.contains("outer", F.col("inner"))).select(*of, "inner", "outer"), compared
+    size = F.length("key")
+    keys = keys.where(size > 0)
+    lengths = keys.groupBy(*of).agg(F.array_sort(F.collect_set(F.least(size, F.lit(WHOLE)))).alias("lengths"))  # at most WHOLE numbers each
+    shorter = F.filter("lengths", lambda n: (n < size) & (n < WHOLE))
+    outer = keys.join(lengths, of).select(*of, F.col("key").alias("outer"), F.explode(shorter).alias("n"))
+    cut = outer.select(*of, "outer", F.explode(_pieces(F.col("outer"), F.col("n"))).alias("inner"))
+    found = cut.join(keys.withColumnRenamed("key", "inner"), [*of, "inner"]).select(*of, "inner", "outer")
+
+    long = keys.where(size >= WHOLE)
+    pieces = long.select(*of, "key", F.explode(_pieces(F.col("key"), F.lit(WHOLE))).alias("g"))
+    counts = pieces.groupBy(*of, "g").agg(F.count("*").alias("n")).where("n > 1")  # a key with a piece that no other has lies in none
+    rarest = pieces.join(counts, [*of, "g"]).groupBy(*of, "key").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("known"))
+    inner = rarest.where(F.col("known") == F.size(_pieces(F.col("key"), F.lit(WHOLE)))).select(*of, F.col("key").alias("inner"), "g")
+    near = inner.join(pieces.withColumnRenamed("key", "outer"), [*of, "g"]).where(F.length("outer") > F.length("inner")).select(*of, "inner", "outer")
+    return found.unionByName(near.where(F.contains("outer", F.col("inner")))), found.unionByName(near)
 
 
 def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance | OfRows) -> DataFrame:
@@ -112,9 +132,10 @@ def _grouped(one: DataFrame, many: DataFrame, tol: Tolerance | OfRows) -> DataFr
     """
     of = ["session_id", "type"]
     least = F.greatest(F.lit(MIN_KEY), tol.at(F.col).min_ref_len if tol.columns else F.lit(tol.min_ref_len))
-    o = one.where((F.length("key") >= least) & F.col("type").isNotNull()).withColumn("side", F.lit(1))
-    m = many.where((F.length("key") >= MIN_KEY) & F.col("type").isNotNull()).withColumn("side", F.lit(0))
-    rows = written(_with_shares(o.unionByName(m), tol).select(*of, "side", "key", "row", "amount", *SHARES), "split-rows")
+    o = one.where("type is not null").withColumns({"side": F.lit(1), "least": least})
+    m = many.where("type is not null").withColumns({"side": F.lit(0), "least": F.lit(MIN_KEY)})
+    rows = written(_with_shares(o.unionByName(m), tol).select(*of, "side", "key", "row", "amount", "least", *SHARES), "split-rows")
+    rows = rows.where(F.length("key") >= F.col("least")).drop("least")  # not before keys are computed: each use of one would compute it again
     keys = written(rows.groupBy(*of, "key").agg(F.max(F.col("side") == 1).alias("o"), F.max(F.col("side") == 0).alias("m")), "split-keys")
     pairs, _ = contained_keys(keys.select(*of, "key"))
     roles = lambda name: keys.select(*of, F.col("key").alias(name), F.struct("o", "m").alias(f"{name}_at"))
