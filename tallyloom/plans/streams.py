@@ -53,18 +53,19 @@ def stream_late_counterparts(spark, d):
 
 
 def stream_anchors(spark, d):
-    """The files of every account in two folders, one after the other; the chain's state goes on from the first to the second."""
+    """The files of every account in two folders, each taken in once it is there; the chain's state goes on from the first to the second."""
     import uuid
 
-    from tallyloom.operators.store import shared_folder
+    from tallyloom.operators.store import shared_folder, written
     from tallyloom.plans.ledgers import _chain
 
-    path = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
-    chain = _chain(spark, d).select("account_id", "seq", "opening", "closing")
+    base = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    chain = written(_chain(spark, d).select("account_id", "seq", "opening", "closing"), "chain")
     for at, part in enumerate((F.col("seq") < "1995-01-01", F.col("seq") >= "1995-01-01")):
-        chain.where(part).repartitionByRange(1, "account_id", "seq").write.parquet(f"{path}/{at}")
-    stream = spark.readStream.schema(chain.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
-    return flows.drained(flows.anchor_state(stream), "append")
+        chain.where(part).write.parquet(f"{base}/in/{at}")
+        stream = spark.readStream.schema(chain.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        got = flows.drained(flows.anchor_state(stream), "append", into=f"{base}/run")
+    return got
 
 
 Q |= {f.__name__: f for f in (stream_tumbling_daily, stream_dedupe, stream_session_window, stream_open_item_state, stream_counterparts, stream_late_counterparts, stream_anchors)}

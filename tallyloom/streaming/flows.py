@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators.store import shared_folder
 
+#: Groups of accounts in a state that is kept by Python.
+BUCKETS = 1 << 13
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -59,26 +61,33 @@ def counterparts(stream: DataFrame) -> DataFrame:
     return rows.select("account_id", "ref", "opened_at", F.when(cleared, "cleared").otherwise("open").alias("status"), F.when(cleared, F.col("last_at")).alias("cleared_at"))
 
 
-def anchor_state(stream: DataFrame, tolerance: float = 0.01) -> DataFrame:
+def anchor_state(stream: DataFrame, tolerance: float = 0.01, buckets: int = BUCKETS) -> DataFrame:
     """stream: account_id, seq, opening, closing. Every file as it comes, with the anchor it met and whether it was accepted.
 
     The state of an account is the closing of its last accepted file; a refused file leaves it. Files of one batch are taken in
-    order of ``seq``, batches in the order of their arrival.
+    order of ``seq``, batches in the order of their arrival. Accounts are dealt by hash into ``buckets`` groups, whose accounts
+    are taken through a batch together, as a group costs some milliseconds whatever is in it. The state of a group is a list of
+    its accounts' anchors.
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor = state.get[0] if state.exists else None
-        files = pd.concat([p for p in parts if len(p)]).sort_values("seq")
-        out = []
-        for seq, opening, closing in zip(files["seq"], files["opening"], files["closing"]):
+        anchors = dict(zip(*state.get)) if state.exists else {}
+        files = pd.concat([p for p in parts if len(p)]).sort_values("seq", kind="stable")
+        met, accepted = [], []
+        for account, opening, closing in zip(files["account"].tolist(), files["opening"].tolist(), files["closing"].tolist()):
+            anchor = anchors.get(account)
             fits = anchor is None or abs(round(opening - anchor, 4)) <= tolerance
-            out.append((key[0], seq, anchor, fits))
-            anchor = closing if fits else anchor
-        state.update((anchor,))
-        yield pd.DataFrame(out, columns=["account_id", "seq", "anchor", "accepted"])
-
-    rows = stream.select("account_id", "seq", "opening", "closing")
-    return rows.groupBy("account_id").applyInPandasWithState(fold, "account_id long, seq timestamp_ntz, anchor double, accepted boolean", "anchor double", "append", GroupStateTimeout.NoTimeout)
+            met.append(anchor)
+            accepted.append(fits)
+            if fits:
+                anchors[account] = closing
+        state.update((list(anchors), list(anchors.values())))
+        yield pd.DataFrame({"account": files["account"], "seq": files["seq"], "anchor": pd.Series(met, files.index, float), "accepted": accepted})
+
+    kind = stream.schema["account_id"].dataType
+    rows = stream.select(F.pmod(F.xxhash64("account_id"), F.lit(buckets)).alias("bucket"), F.col("account_id").cast("string").alias("account"), "seq", "opening", "closing")
+    out = rows.groupBy("bucket").applyInPandasWithState(fold, "account string, seq timestamp_ntz, anchor double, accepted boolean", "accounts array<string>, anchors array<double>", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("account").cast(kind).alias("account_id"), "seq", "anchor", "accepted")
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
