@@ -14,6 +14,8 @@ from tallyloom.sinks import tables
 from tallyloom.sources import camt, csv_profile, files, mt, xlsx
 
 Q, O = {}, {}
+#: Lines that a task sorts and writes of a file that is written in parts.
+LINES = 1_000_000
 
 
 def query(sql: str | None = None):
@@ -158,14 +160,16 @@ def source_csv_trailing(spark, d):
 
 @query("""SELECT 'R' || o_orderkey AS trn_ref, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS row_number, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS value_date, o_totalprice AS amount, trim(o_orderpriority) AS narration FROM orders""")
 def source_csv_splits(spark, d):
-    """Three files of all orders, written as text and read line by line in as many splits as they have."""
+    """Three files of all orders, each written in parts of some ``LINES`` lines and read line by line in as many splits as they have."""
     o = D.table(spark, d, "orders")
     line = F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("R"), "o_orderkey"), "o_orderpriority", F.format_string("%.2f", "o_totalprice"))
     head = spark.createDataFrame([(f, -1, "Date,Ref,Memo,Amount") for f in range(3)], "f long, k long, value string")
     rows = head.unionByName(o.select((F.col("o_custkey") % 3).alias("f"), F.col("o_orderkey").alias("k"), line.alias("value")))
     path = f"{shared_folder(spark)}/splits-{uuid.uuid4().hex}"
-    rows.repartition(3, "f").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(path)
-    good, _ = csv_profile.typed(csv_profile.read_lines(spark, path, csv_profile.PRESETS["plain"]), csv_profile.PRESETS["plain"])
+    ranges = max(3, o.count() // LINES + 1)
+    rows.repartitionByRange(ranges, "f", "k").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(path)
+    plain = csv_profile.PRESETS["plain"]
+    good, _ = csv_profile.typed(csv_profile.read_lines(spark, path, plain, parts=True), plain)
     return good.select("trn_ref", F.col("row_number").cast("long").alias("row_number"), "value_date", "amount", "narration")
 
 

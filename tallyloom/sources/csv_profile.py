@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import amounts, dates
 
+#: Tasks of a scan, each of some thirty splits or files at most, whose counts are sent to every task; those of more are joined by shuffle.
+FEW_TASKS = 2000
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -76,22 +79,26 @@ def rows(files: DataFrame, profile: Profile) -> DataFrame:
     return _extra(named.select("path", "header", _cells(F.col("line"), d).alias("cells"), (F.col("i") + 1).alias("row_number")))
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], profile: Profile) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], profile: Profile, parts: bool = False) -> DataFrame:
     """What :func:`rows` gives, of files whose cells hold no line breaks: a large file is read by as many tasks as it has splits.
 
     A line's number is its place in its split and the lines of the splits before it, which are counted first; so no file is sorted,
-    and none passes through one task.
+    and none passes through one task. ``parts``: a folder is a file, whose parts follow one another by name, as exports leave it;
+    its path is the folder's, and its first part holds the header. What is joined to the lines is a row for each split and file.
     """
     d = _delimiter(profile)
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    part = F.col("_metadata.file_path")
+    path = F.regexp_replace(part, "/[^/]*$", "") if parts else part
+    lines = spark.read.text(paths).select(path.alias("path"), part.alias("part"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
     lines = lines.where(F.trim("line") != "").withColumn("at", F.monotonically_increasing_id())  # one after the other within a split
-    counts = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counts.select("path", "split", (before - F.col("first")).alias("shift"))
+    counts = lines.groupBy("path", "part", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("path", "part", "split", (before - F.col("first")).alias("shift"))
+    few = lines.rdd.getNumPartitions() <= FEW_TASKS
     top = profile.skip_rows + profile.header_row
-    placed = lines.join(shift, ["path", "split"]).select("path", (F.col("at") + F.col("shift") - top).cast("int").alias("row_number"), "line")
+    placed = lines.join(F.broadcast(shift) if few else shift, ["path", "part", "split"]).select("path", (F.col("at") + F.col("shift") - top).cast("int").alias("row_number"), "line")
     header = placed.where("row_number = 0").select("path", _cells(F.col("line"), d).alias("header"))
-    return _extra(placed.where("row_number > 0").withColumn("cells", _cells(F.col("line"), d)).join(header, "path"))
+    return _extra(placed.where("row_number > 0").withColumn("cells", _cells(F.col("line"), d)).join(F.broadcast(header) if few else header, "path"))
 
 
 def load(files: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
