@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates
+from tallyloom.sources.files import few_at_once
 
 _ENTRY = "path string, row_number int, amount double, mark string, value_date string, book_date string, our_refs array<string>, their_refs array<string>, texts array<string>, info string, fallback_date string"
 _META = "path string, account string, currency string, statement_ref string, balances array<struct<code:string,amount:double,mark:string,date:string>>, containers int, error string"
@@ -79,7 +80,7 @@ def entries(files: DataFrame) -> DataFrame:
                     ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ENTRY.split(", ")]).astype({"our_refs": object, "their_refs": object, "texts": object})
 
-    raw = files.select("path", "text").mapInPandas(read, _ENTRY).where("amount is not null")
+    raw = few_at_once(files).select("path", "text").mapInPandas(read, _ENTRY).where("amount is not null")
     first = lambda c: F.coalesce(F.get(F.filter(c, lambda x: x.isNotNull() & (x != "NOTPROVIDED")), F.lit(0)), F.lit(""))
     day = lambda *c: dates.to_int(F.try_to_date(F.coalesce(*c), "yyyy-MM-dd"))
     return raw.select(
@@ -105,6 +106,6 @@ def statements(files: DataFrame) -> DataFrame:
                 rows.append((path, _text(box, "Acct", "Id", "IBAN") or _text(box, "Acct", "Id", "Othr", "Id"), ccy, _text(box, "Id"), balances, len(boxes), why))
             yield pd.DataFrame(rows, columns=["path", "account", "currency", "statement_ref", "balances", "containers", "error"]).astype({"balances": object})
 
-    raw = files.select("path", "text").mapInPandas(read, _META)
+    raw = few_at_once(files).select("path", "text").mapInPandas(read, _META)
     pick = lambda *codes: F.get(F.filter("balances", lambda b: b["code"].isin(*codes)), F.lit(0))
     return raw.select("path", "account", "currency", "statement_ref", pick("OPBD", "PRCD").alias("opening"), pick("CLBD").alias("closing"), F.col("error").isNull().alias("valid"), "error")

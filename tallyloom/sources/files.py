@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: What Windows-1252 puts where ISO-8859-1 has control characters.
 _C1 = "".join(map(chr, range(0x80, 0xA0)))
 _CP1252 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
+#: Whole files that a Python worker is given in one batch.
+AT_ONCE = 200
 XLSX_MAGIC = b"PK\x03\x04"
 
 
@@ -22,6 +24,17 @@ def load(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("sha256", F.sha2("content", 256))
 
 
+def few_at_once(files: DataFrame) -> DataFrame:
+    """``files``, of which at most ``AT_ONCE`` come to a Python worker in one batch; Spark's 10,000 whole files take several times the memory.
+
+    Sets the session's Arrow batches to that many rows if they are larger.
+    """
+    conf, name = files.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= AT_ONCE:
+        conf.set(name, str(AT_ONCE))
+    return files
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 (with or without its mark) where that is valid, else Windows-1252."""
     plain = F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252)
