@@ -7,11 +7,14 @@ two edge marks stand before a text. Everything is DataFrame work:
    and a half that is held out for the thresholds.
 2. Training: trigrams are counted, continuation counts, discounts (from counts of counts) and interpolation weights
    follow by grouping and joining these count tables, one order after the other. Grams below ``CUTOFFS`` are discounted
-   by their whole count, which keeps the sums at one and the tables short.
+   by their whole count, which keeps the sums at one and the tables short. Single trigrams, nearly all, are counted in
+   the task that has their bigram and never written; the positions of larger texts are shuffled in ``SLICES``.
 3. Scoring: every whole text is exploded into its positions, which are joined to the three tables by the hash of the
-   gram, and logarithms are summed by row. A table of at most ``broadcast_rows`` rows (24 bytes each) goes to every
-   task, so that the corpus is not shuffled; a larger one is sharded by its key and joined by shuffle, where AQE splits
-   the keys of frequent grams. The sums are combined in the task that explodes a text.
+   gram. A table has the logarithm of what a gram's probability is over what the lower order gives it, so that a text's
+   logarithm is a sum over its grams and a gram that is missing adds nothing. Of each table the ``broadcast_rows`` most
+   frequent rows go to every task, so that the corpus is not shuffled. For rarer rows the texts are read again: only
+   positions that a bit filter of these rows lets through are shuffled and joined to them, all of them, in up to
+   ``PARTS`` parts of the texts. The filter only leaves out what would find no row.
 4. Thresholds: for each language the ``quantile`` of the perplexities of all trusted documents not trained on, from
    a histogram of log perplexities in steps of 0.001; languages with fewer than ``min_docs`` such documents, and null,
    take that of all languages. A document is kept if its perplexity is at most its threshold.
@@ -24,19 +27,25 @@ document all that have tokens are kept. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import free_name, own_names, small, spread, written
+from tallyloom.llm.shared import forget_since, free_name, own_names, scratch_mark, small, spread, written
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x09-\x0D\x20]+"
-ORDER = 3
 #: Where the SQL twin cuts off the documents it is fitted on; the operator is fitted on all of the half that hashes to even numbers.
 MAX_TRAIN_DOCS = 2000
 #: Counts of the orders 1 to 3 from which a gram has a share of its own; rarer ones are left to the lower order, all their count being discounted.
 CUTOFFS = (1, 2, 2)
-#: Rows of a count table that are sent to every task at most: some 60 MB as a hashed relation.
-BROADCAST_ROWS = 1 << 20
+#: Rows of a table that are sent to every task at most: some 45 MB, packed.
+BROADCAST_ROWS = 1_100_000
+#: Training texts of more characters are counted in slices, as many as SLICES; rare rows beyond PART_ROWS are looked up by parts of the texts, as many as PARTS.
+SLICE_CHARS, SLICES, PART_ROWS, PARTS = 1 << 24, 4, 1 << 21, 16
+#: Of 64 words each: 34 MB at most.
+MAX_BUCKETS = 1 << 16
 QUANTILE, MIN_DOCS, STEP = 0.995, 50, 1000
 
 
@@ -46,83 +55,182 @@ def _half(doc_id: Column) -> Column:
 
 
 def positions(texts: DataFrame) -> DataFrame:
-    """The columns but ``text``, and a, b, c: the hashes of each token's two predecessors and its own; null without any."""
+    """The columns but ``text``, and a, b, c: the hashes of each token's two predecessors and its own, null without any; last: no token follows."""
     edge = F.xxhash64(F.lit(""))  # no token is empty
     h = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     others = [c for c in texts.columns if c != "text"]
     rows = texts.select(*others, h.alias("c"))
     n = F.size("c")
     before = [F.slice(F.concat(F.array_repeat(edge, k), "c"), 1, n).alias(name) for k, name in ((2, "a"), (1, "b"))]
-    zipped = rows.select(*others, F.arrays_zip(*before, F.col("c")).alias("t"))
-    return zipped.select(*others, F.explode_outer("t").alias("t")).select(*others, "t.a", "t.b", "t.c")
+    zipped = rows.select(*others, n.alias("size"), F.arrays_zip(*before, F.col("c")).alias("t"))
+    each = zipped.select(*others, "size", F.posexplode_outer("t").alias("at", "t"))
+    return each.select(*others, "t.a", "t.b", "t.c", (F.col("at") + 1 == F.col("size")).alias("last"))
+
+
+def _grams(texts: DataFrame) -> list[DataFrame]:
+    """Trigrams seen ``CUTOFFS[2]`` times or more, (a, b, c, n), and all bigrams with a null a: n contexts, raw times, of which ends at a text's end.
 
+    Positions go to the task of their bigram, which so sees all its contexts; single trigrams are counted there and never written.
+    Larger texts are taken in slices of bigrams, one after the other, so that only a slice's positions are on disk at once.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices, found = min(SLICES, 1 + chars // SLICE_CHARS), []
+    for i in range(slices):
+        rows = positions(texts.select("text")).where("c is not null")
+        rows = rows.where(F.pmod(F.xxhash64("c", "b"), F.lit(slices)) == i) if slices > 1 else rows
+        seen = rows.repartition("b", "c").groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.count_if("last").alias("ends"))
+        often = seen.where(F.col("n") >= CUTOFFS[2]).select("a", "b", "c", "n", F.col("n").alias("raw"), "ends")
+        pairs = seen.groupBy("b", "c").agg(F.count("*").alias("n"), F.sum("n").alias("raw"), F.sum("ends").alias("ends"))
+        both = often.unionByName(pairs.select(F.lit(None).cast("long").alias("a"), "b", "c", "n", "raw", "ends"))
+        found.append(written(both, "kn-counts", drop_shuffles=True))
+    return found
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts of one, two and more, from counts of counts; 0.5, 1 and 1.5 where these lack."""
-    n = [0] + list(counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).first())
+
+def _discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of counts of one, two and more, from the numbers of counts of 1 to 4; 0.5, 1 and 1.5 where these lack."""
+    n = [0, *n]
     if not all(n[1:]):
         return 0.5, 1.0, 1.5
     y = n[1] / (n[1] + 2 * n[2])
     return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), float(k)) for k in (1, 2, 3))
 
 
-def model(texts: DataFrame) -> tuple[list[DataFrame], float]:
-    """Tables of order 1 to 3, (k, p, weight): a gram's probability, and below order 3 its weight as a context; p of unseen words."""
-    keys = {1: ["c"], 2: ["b", "c"], 3: ["a", "b", "c"]}
-    counts = {3: positions(texts.select("text")).where("c is not null").groupBy(*keys[3]).agg(F.count("*").alias("n"))}
-    counts[3] = written(counts[3], "kn-counts")
-    for n in (2, 1):  # in how many different contexts a gram is seen
-        counts[n] = written(counts[n + 1].groupBy(*keys[n]).agg(F.count("*").alias("n")), "kn-counts")
-    unit = 1.0 / (counts[1].count() + 1)
-    unseen, lower, probs, weights = unit, None, [], []
-    for n in (1, 2, 3):
-        d = _discounts(counts[n])
-        share = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = counts[n].withColumn("cut", F.when(F.col("n") < CUTOFFS[n - 1], F.col("n").cast("double")).otherwise(share))
-        context, suffix = keys[n][:-1], keys[n][1:]
-        sums = rows.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight"))
-        if n == 1:
-            sums = sums.where("total > 0")
-            rows = rows.crossJoin(F.broadcast(sums)).withColumn("below", F.lit(unit))  # one row
-            first = sums.first()
-            unseen = unit * (first["weight"] if first else 1.0)
-        else:
-            rows = rows.where(F.col("n") >= CUTOFFS[n - 1]) if n == 3 else rows  # no order above asks for what is cut off
-            rows = rows.join(sums, context).join(lower, suffix)
-            named = dict(zip(context, keys[3][-n + 1 :]))
-            # contexts of rare grams alone leave everything to the lower order, as unseen ones do
-            weights.append(sums.where("weight < 1").select(*[F.col(x).alias(y) for x, y in named.items()], "weight"))
-        p = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")
-        found = written(rows.select(*keys[n], p.alias("p"), (F.col("n") >= CUTOFFS[n - 1]).alias("own")), "kn-probs")
-        probs.append(found.where("own").drop("own"))
-        lower = found.select(*keys[n], F.col("p").alias("below"))
-    weights.append(None)
-    tables = []
-    for n, (found, weight) in enumerate(zip(probs, weights), 1):
-        both = found.withColumn("weight", F.lit(None).cast("double"))
-        if weight is not None:
-            both = both.unionByName(weight.withColumn("p", F.lit(None).cast("double")))
-        key = F.col("c") if n == 1 else F.xxhash64(*keys[n])
-        both = both.groupBy(key.alias("k")).agg(F.max("p").alias("p"), F.max("weight").alias("weight"))
-        tables.append(written(both if n < 3 else both.drop("weight"), "kn-table"))
-    return tables, unseen
-
-
-def log_perplexity(docs: DataFrame, fitted: tuple[list[DataFrame], float], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _cut(order: int, d: tuple[float, float, float]) -> Column:
+    """What is taken off a count n."""
+    share = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    return F.when(F.col("n") < CUTOFFS[order - 1], F.col("n").cast("double")).otherwise(share)
+
+
+def model(texts: DataFrame) -> tuple[list[DataFrame], float, float]:
+    """Tables of order 1 to 3, (k, v, w, f), the logarithm of an unseen word's probability, and that of a text's first context's weights.
+
+    v: the logarithm of a gram's probability over what the lower order gives it; w: of its weight as a context; null: none. So a
+    text's logarithm is a sum over its grams. f: how often a gram is seen. ``texts`` is read more than once.
+    """
+    mark, edge = scratch_mark(), F.xxhash64(F.lit(""))
+    counts = reduce(DataFrame.unionByName, _grams(texts))
+    how_often = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]
+    third = written(counts.where("a is not null").select("a", "b", "c", "n"), "kn-third")
+    pairs = counts.where("a is null").drop("a")
+    words = written(pairs.groupBy("c").agg(F.count("*").alias("n"), F.sum("raw").alias("f")), "kn-words", drop_shuffles=True)
+    *n1, vocabulary, total = words.agg(*how_often, F.count("*"), F.sum("n")).first()
+    *n2, contexts = pairs.agg(*how_often, F.sum("n")).first()  # all trigrams are contexts of bigrams
+    n3 = list(third.agg(*how_often, F.count("*")).first())
+    n3[0] = (contexts or 0) - n3.pop()
+    d = [_discounts(n) for n in (n1, n2, n3)]
+
+    p = lambda: F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")
+    unit = 1.0 / (vocabulary + 1)
+    weight = words.agg(F.sum(_cut(1, d[0])) / F.sum("n")).first()[0] if vocabulary else 1.0
+    one = words.withColumn("cut", _cut(1, d[0])).withColumns({"total": F.lit(total), "weight": F.lit(weight), "below": F.lit(unit)}).withColumn("p", p())
+    firsts = pairs.groupBy("b").agg(F.sum("n").alias("total"), (F.sum(_cut(2, d[1])) / F.sum("n")).alias("weight"), F.sum("raw").alias("raw"))
+    firsts = written(firsts, "kn-firsts", drop_shuffles=True)
+    # what is seen once is neither part nor context of a gram that has a share of its own
+    two = pairs.where("raw > 1").withColumn("cut", _cut(2, d[1])).join(firsts.drop("raw"), "b").join(one.select("c", F.col("p").alias("below")), "c").withColumn("p", p())
+    two = two.select("b", "c", "p", F.when(F.col("n") >= CUTOFFS[1], F.log(F.col("p") / (F.col("weight") * F.col("below")))).alias("v"), (F.col("raw") - F.col("ends")).alias("total"), F.col("raw").alias("f"))
+    two = written(two, "kn-second", drop_shuffles=True)
+    forget_since(mark, 4)
+
+    three = third.withColumn("cut", _cut(3, d[2]))
+    gains = three.groupBy("a", "b").agg(F.sum(F.col("n") - F.col("cut")).alias("gain"))
+    starts = firsts.where(F.col("b") == edge).select(edge.alias("a"), "b", F.col("raw").alias("total"))  # one row
+    totals = two.select(F.col("b").alias("a"), F.col("c").alias("b"), "total").unionByName(starts)
+    before = gains.join(totals, ["a", "b"]).select("a", "b", "total", (1 - F.col("gain") / F.col("total")).alias("weight"))
+    before = written(before, "kn-before", drop_shuffles=True)
+
+    none = F.lit(None).cast("double")
+    v1 = one.select(F.col("c").alias("k"), F.log(F.col("p") / (F.col("weight") * F.col("below"))).alias("v"), none.alias("w"), "f")
+    w1 = firsts.where("weight < 1").select(F.col("b").alias("k"), none.alias("v"), F.log("weight").alias("w"), F.lit(0).cast("long").alias("f"))
+    v2 = two.where("v is not null").select(F.xxhash64("b", "c").alias("k"), "v", none.alias("w"), "f")
+    w2 = before.where("weight < 1").select(F.xxhash64("a", "b").alias("k"), none.alias("v"), F.log("weight").alias("w"), F.col("total").alias("f"))
+    v3 = three.join(before, ["a", "b"]).join(two.select("b", "c", F.col("p").alias("below")), ["b", "c"])
+    v3 = v3.select(F.xxhash64("a", "b", "c").alias("k"), F.log(p() / (F.col("weight") * F.col("below"))).alias("v"), none.alias("w"), F.col("n").alias("f"))
+    merged = lambda x, y: x.unionByName(y).groupBy("k").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.max("f").alias("f"))
+    tables = [written(t, "kn-table", drop_shuffles=True) for t in (merged(v1, w1), merged(v2, w2), v3)]
+    forget_since(mark, 3)
+    start = sum(t.where(F.col("k") == k).agg(F.max("w")).first()[0] or 0.0 for t, k in zip(tables, (edge, F.xxhash64(edge, edge))))
+    return tables, math.log(unit * weight), start
+
+
+def _divided(found: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The some ``rows`` rows of a table that are seen most often, of equally frequent ones by hash, and the others, if any."""
+    if found.count() <= rows:
+        return found, None
+    upto = found.groupBy("f").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("f"))))  # few numbers
+    border = upto.where(F.col("upto") > rows).agg(F.max_by(F.struct("f", "n", "upto"), "f").alias("x")).first()["x"]
+    share = (rows - border["upto"] + border["n"]) * 1024 // border["n"]
+    often = (F.col("f") > border["f"]) | (F.col("f") == border["f"]) & (F.pmod(F.xxhash64("k"), F.lit(1024)) < share)
+    return found.where(often), found.where(~often)
+
+
+def _packed(found: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, k, v, w) of some eight keys each, in arrays: a third of the memory of single rows in a hashed relation."""
+    buckets = 1 << (n // 8).bit_length()
+    row = F.struct("k", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("v", "w")])
+    return written(found.groupBy(_bucket(buckets).alias("bucket")).agg(F.collect_list(row).alias("g")).select("bucket", "g.k", "g.v", "g.w"), "kn-packed", drop_shuffles=True), buckets
+
+
+def _bits(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, bits) of 64 words in which two bits a key are set, and the number of buckets: some 32 keys each, MAX_BUCKETS at most."""
+    buckets = min(MAX_BUCKETS, 1 << max(0, n // 32).bit_length())
+    words = keys.select(_bucket(buckets).alias("bucket"), F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _places()])).alias("x"))
+    words = words.groupBy("bucket", "x.word").agg(F.expr("bit_or(shiftleft(1L, x.bit))").alias("set"))
+    of = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("m"))
+    return written(of.select("bucket", F.expr("transform(sequence(0, 63), i -> coalesce(m[i], 0L)) bits")), "kn-bits", drop_shuffles=True), buckets
+
+
+def _bucket(buckets: int, key: str = "k") -> Column:
+    return F.shiftrightunsigned(key, 24).bitwiseAND(F.lit(buckets - 1).cast("long"))
+
+
+def _places() -> list[tuple[Column, Column]]:
+    """Word and bit of a key in its bucket, twice."""
+    six = lambda by: F.shiftrightunsigned("k", by).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    return [(six(6), six(0)), (six(18), six(12))]
+
+
+def _rest(docs: DataFrame, rare: DataFrame, n: int, keys: list[Column]) -> DataFrame:
+    """docs: h, text -> h, rest: the sum of the values of a text's grams (``keys``) in ``rare`` (n rows), over all rows of that text."""
+    bits, buckets = _bits(rare.select("k"), n)
+    parts, found = min(PARTS, 1 + n // PART_ROWS), []
+    for i in range(parts):
+        rows = positions(docs.where(F.pmod("h", F.lit(parts)) == i) if parts > 1 else docs).where("c is not null")
+        grams = rows.select("h", "last", F.explode(F.array(*keys)).alias("k"))
+        (w1, b1), (w2, b2) = _places()
+        keyed = grams.withColumns({"bucket": _bucket(buckets), "w1": w1, "b1": b1, "w2": w2, "b2": b2})
+        maybe = keyed.join(F.broadcast(bits), "bucket").where("shiftrightunsigned(get(bits, w1), b1) & shiftrightunsigned(get(bits, w2), b2) & 1L = 1L").select("h", "last", "k")
+        value = F.coalesce("v", F.lit(0.0)) + F.when(F.col("last"), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
+        found.append(written(maybe.join(rare.select("k", "v", "w"), "k").groupBy("h").agg(F.sum(value).alias("rest")), "kn-rest", drop_shuffles=True))
+    return reduce(DataFrame.unionByName, found)
+
+
+def log_perplexity(docs: DataFrame, fitted: tuple[list[DataFrame], float, float], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs: doc_id, lang, tag, text -> doc_id, lang, tag, n_tokens, log_pp."""
-    (one, two, three), unseen = fitted
-    one, two, three = (small(t, broadcast_rows) for t in (one, two, three))
+    tables, unseen, start = fitted
+    docs = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = positions(docs.withColumn("row", F.monotonically_increasing_id()))
-    rows = rows.withColumn("abc", F.xxhash64("a", "b", "c")).withColumn("ab", F.xxhash64("a", "b")).withColumn("bc", F.xxhash64("b", "c"))
-    # a table that is used twice is projected alike, so that it is sent once
-    for table, key, taken in ((three, "abc", {"p": "p3"}), (two, "bc", {"p": "p2"}), (two, "ab", {"weight": "w2"}), (one, "c", {"p": "p1"}), (one, "b", {"weight": "w1"})):
-        rows = rows.join(table, F.col(key) == F.col("k"), "left").withColumnsRenamed(taken).drop("k", "p", "weight")
-    ones = F.lit(1.0)
-    q1 = F.coalesce("p1", F.lit(unseen))
-    q2 = F.coalesce("p2", F.coalesce("w1", ones) * q1)
-    q3 = F.coalesce("p3", F.coalesce("w2", ones) * q2)
-    sums = rows.groupBy("row", "doc_id", "lang", "tag").agg(F.count("c").alias("n_tokens"), F.sum(F.when(F.col("c").isNotNull(), F.log(q3))).alias("s"))
-    return sums.select("doc_id", "lang", "tag", "n_tokens", (-F.col("s") / F.col("n_tokens")).alias("log_pp"))
+    keys = {"c": F.col("c"), "bc": F.xxhash64("b", "c"), "abc": F.xxhash64("a", "b", "c")}
+    rows, rare, value = rows.withColumns({k: x for k, x in keys.items() if k != "c"}), {}, F.lit(0.0)
+    for k, found in zip(keys, tables):
+        often, others = _divided(found, broadcast_rows)
+        rare |= {k: others} if others is not None else {}
+        packed, buckets = _packed(often, min(found.count(), broadcast_rows))
+        rows = rows.join(F.broadcast(packed.select("bucket", F.col("k").alias("ks"), "v", "w")), _bucket(buckets, k) == F.col("bucket"), "left")
+        at = F.array_position("ks", F.col(k)).cast("int")
+        taken = F.get("v", at - 1) if k == "abc" else F.get("v", at - 1) + F.when(F.col("last"), 0.0).otherwise(F.get("w", at - 1))
+        rows = rows.withColumn(f"value_{k}", F.when(at > 0, taken).otherwise(0.0)).drop("bucket", "ks", "v", "w")
+        value = value + F.col(f"value_{k}")
+    sums = rows.groupBy("row", "doc_id", "lang", "tag", "h").agg(F.count("c").alias("n_tokens"), F.sum(value).alias("s"))
+    rest = F.lit(0.0)
+    if rare:
+        asked = [keys[k] for k in rare]  # only of orders that have rare rows
+        rare = written(reduce(DataFrame.unionByName, rare.values()), "kn-rare")
+        sums = written(sums, "kn-sums", drop_shuffles=True)
+        others = _rest(docs.select("h", "text"), rare, rare.count(), asked)
+        each = sums.groupBy("h").agg(F.count("*").alias("rows")).join(others, "h").select("h", (F.col("rest") / F.col("rows")).alias("rest"))
+        sums, rest = sums.join(each, "h", "left"), F.coalesce("rest", F.lit(0.0))
+    log_p = F.lit(start) + F.col("s") + rest + F.col("n_tokens") * F.lit(unseen)
+    return sums.select("doc_id", "lang", "tag", "n_tokens", F.when(F.col("n_tokens") > 0, -log_p / F.col("n_tokens")).alias("log_pp"))
 
 
 def _quantile(held: DataFrame, by: list[str], quantile: float, name: str) -> DataFrame:
@@ -153,8 +261,11 @@ def classify(
     half = good.where("h % 2 = 0")
     half = half if max_train_docs is None else half.orderBy("h", "doc_id").limit(max_train_docs)
     trained = small(written(half.select("doc_id"), "kn-half"))
-    train = written(rows.join(trained, "doc_id", "left_semi").select("text"), "kn-text")
-    scored = written(log_perplexity(spread(rows), model(train), broadcast_rows), "kn-scores")
+    mark = scratch_mark()
+    fitted = model(written(rows.join(trained, "doc_id", "left_semi").select("text"), "kn-text", drop_shuffles=True))
+    forget_since(mark, 3)
+    scored = written(log_perplexity(spread(rows), fitted, broadcast_rows), "kn-scores", drop_shuffles=True)
+    forget_since(mark)
 
     held = scored.join(good, "doc_id", "left_semi").join(trained, "doc_id", "left_anti").where("log_pp is not null")
     pooled = _quantile(held.withColumn("one", F.lit(1)), ["one"], quantile, "pooled").select("pooled")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: Spark's setting for removing an execution's shuffle files when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,11 +29,19 @@ def folder(spark: SparkSession) -> str:
     return folder(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, with the same columns and types."""
+def written(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, with the same columns and types.
+
+    ``drop_shuffles``: the shuffle files behind it go as soon as it is written, not when the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, str(drop_shuffles or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,11 +56,11 @@ def scratch_mark() -> int:
     return len(_written)
 
 
-def forget_since(mark: int) -> None:
-    """Deletes the tables that were written after ``mark``, but for the last one, which must read none of the others."""
-    for spark, path in _written[mark:-1]:
+def forget_since(mark: int, keep: int = 1) -> None:
+    """Deletes the tables that were written after ``mark``, but for the last ``keep``, which must read none of the others."""
+    for spark, path in _written[mark:-keep]:
         _delete(spark, path)
-    _written[mark:] = _written[-1:]
+    _written[mark:] = _written[max(mark, len(_written) - keep) :]
 
 
 @atexit.register

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -100,3 +101,36 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.keep for r in Q.classify(docs, labels).collect()] == [True]
     assert Q.classify(docs.limit(0), labels).count() == 0
+
+
+def test_single_trigrams_are_never_written(spark, monkeypatch):
+    """Words in random order: nearly all trigrams are seen once, which took more disk than the texts before."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(400)) for _ in range(40)]
+    sizes, write = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df, *a, **b: (sizes.append((out := write(df, *a, **b)).count()), out)[1])
+    Q.model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    seen, pairs = Counter(), set()
+    for t in texts:
+        s = ["", "", *tokens(t)]
+        seen.update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
+        pairs |= {tuple(s[i - 1 : i + 1]) for i in range(2, len(s))}
+    often = sum(n > 1 for n in seen.values())
+    assert max(sizes) <= len(pairs) + often < len(seen) / 1.5
+
+
+@pytest.mark.parametrize("broadcast_rows", [60, 0])
+def test_slices_parts_and_rare_rows_give_the_same(spark, monkeypatch, broadcast_rows):
+    """Slices of bigrams, parts of texts, tables of which some rows are frequent enough to be sent; repeated texts."""
+    for name, value in (("SLICE_CHARS", 1000), ("PART_ROWS", 40), ("PARTS", 3), ("MAX_BUCKETS", 2)):
+        monkeypatch.setattr(Q, name, value)
+    asked = [GOOD[0], GOOD[0], GOOD[5] + " Never seen words, ever!", "old old the", "?", "mill", "the", "", None]
+    fitted = Q.model(spark.createDataFrame([(t,) for t in GOOD], "text string"))
+    docs = spark.createDataFrame([(i, "en", 7, t) for i, t in enumerate(asked)], "doc_id long, lang string, tag long, text string")
+    got = {r.doc_id: r for r in Q.log_perplexity(docs, fitted, broadcast_rows).collect()}
+    p, _ = plain_model(GOOD)
+    assert len(got) == len(asked)
+    for i, t in enumerate(asked):
+        s = ["", "", *tokens(t)]
+        want = -sum(math.log(p(tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))) / (len(s) - 2) if len(s) > 2 else None
+        assert got[i].n_tokens == len(s) - 2 and got[i].log_pp == (pytest.approx(want, rel=1e-9) if want is not None else None)
