@@ -40,10 +40,10 @@ TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x09-\x0D\x20]+"
 MAX_TRAIN_DOCS = 2000
 #: Counts of the orders 1 to 3 from which a gram has a share of its own; rarer ones are left to the lower order, all their count being discounted.
 CUTOFFS = (1, 2, 2)
-#: Rows of a table that are sent to every task at most: some 45 MB, packed.
-BROADCAST_ROWS = 1_100_000
+#: Rows of a table that are sent to every task at most: some 100 MB as a hashed relation.
+BROADCAST_ROWS = 1 << 20
 #: Training texts of more characters are counted in slices, as many as SLICES; rare rows beyond PART_ROWS are looked up by parts of the texts, as many as PARTS.
-SLICE_CHARS, SLICES, PART_ROWS, PARTS = 1 << 24, 4, 1 << 21, 16
+SLICE_CHARS, SLICES, PART_ROWS, PARTS = 1 << 24, 4, 1 << 20, 16
 #: Of 64 words each: 34 MB at most.
 MAX_BUCKETS = 1 << 16
 QUANTILE, MIN_DOCS, STEP = 0.995, 50, 1000
@@ -153,21 +153,12 @@ def model(texts: DataFrame) -> tuple[list[DataFrame], float, float]:
 
 
 def _divided(found: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """The some ``rows`` rows of a table that are seen most often, of equally frequent ones by hash, and the others, if any."""
+    """The at most ``rows`` rows of a table that are seen most often, and the others, if any."""
     if found.count() <= rows:
         return found, None
     upto = found.groupBy("f").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("f"))))  # few numbers
-    border = upto.where(F.col("upto") > rows).agg(F.max_by(F.struct("f", "n", "upto"), "f").alias("x")).first()["x"]
-    share = (rows - border["upto"] + border["n"]) * 1024 // border["n"]
-    often = (F.col("f") > border["f"]) | (F.col("f") == border["f"]) & (F.pmod(F.xxhash64("k"), F.lit(1024)) < share)
-    return found.where(often), found.where(~often)
-
-
-def _packed(found: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Rows (bucket, k, v, w) of some eight keys each, in arrays: a third of the memory of single rows in a hashed relation."""
-    buckets = 1 << (n // 8).bit_length()
-    row = F.struct("k", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("v", "w")])
-    return written(found.groupBy(_bucket(buckets).alias("bucket")).agg(F.collect_list(row).alias("g")).select("bucket", "g.k", "g.v", "g.w"), "kn-packed", drop_shuffles=True), buckets
+    least = upto.where(F.col("upto") <= rows).agg(F.min("f")).first()[0]
+    return (found.where("false"), found) if least is None else (found.where(F.col("f") >= least), found.where(F.col("f") < least))
 
 
 def _bits(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -179,8 +170,8 @@ def _bits(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     return written(of.select("bucket", F.expr("transform(sequence(0, 63), i -> coalesce(m[i], 0L)) bits")), "kn-bits", drop_shuffles=True), buckets
 
 
-def _bucket(buckets: int, key: str = "k") -> Column:
-    return F.shiftrightunsigned(key, 24).bitwiseAND(F.lit(buckets - 1).cast("long"))
+def _bucket(buckets: int) -> Column:
+    return F.shiftrightunsigned("k", 24).bitwiseAND(F.lit(buckets - 1).cast("long"))
 
 
 def _places() -> list[tuple[Column, Column]]:
@@ -214,12 +205,10 @@ def log_perplexity(docs: DataFrame, fitted: tuple[list[DataFrame], float, float]
     for k, found in zip(keys, tables):
         often, others = _divided(found, broadcast_rows)
         rare |= {k: others} if others is not None else {}
-        packed, buckets = _packed(often, min(found.count(), broadcast_rows))
-        rows = rows.join(F.broadcast(packed.select("bucket", F.col("k").alias("ks"), "v", "w")), _bucket(buckets, k) == F.col("bucket"), "left")
-        at = F.array_position("ks", F.col(k)).cast("int")
-        taken = F.get("v", at - 1) if k == "abc" else F.get("v", at - 1) + F.when(F.col("last"), 0.0).otherwise(F.get("w", at - 1))
-        rows = rows.withColumn(f"value_{k}", F.when(at > 0, taken).otherwise(0.0)).drop("bucket", "ks", "v", "w")
-        value = value + F.col(f"value_{k}")
+        named = often.select(F.col("k").alias(f"k_{k}"), F.col("v").alias(f"v_{k}"), *([F.col("w").alias(f"w_{k}")] if k != "abc" else []))
+        rows = rows.join(F.broadcast(named), F.col(k) == F.col(f"k_{k}"), "left").drop(f"k_{k}")
+        value = value + F.coalesce(f"v_{k}", F.lit(0.0))
+        value = value + F.when(F.col("last"), 0.0).otherwise(F.coalesce(f"w_{k}", F.lit(0.0))) if k != "abc" else value
     sums = rows.groupBy("row", "doc_id", "lang", "tag", "h").agg(F.count("c").alias("n_tokens"), F.sum(value).alias("s"))
     rest = F.lit(0.0)
     if rare:
