@@ -11,10 +11,10 @@ two edge marks stand before a text. Everything is DataFrame work:
    the task that has their bigram and never written; the positions of larger texts are shuffled in ``SLICES``.
 3. Scoring: every whole text is exploded into its positions, which are joined to the three tables by the hash of the
    gram. A table has the logarithm of what a gram's probability is over what the lower order gives it, so that a text's
-   logarithm is a sum over its grams and a gram that is missing adds nothing. Of each table the ``broadcast_rows`` most
-   frequent rows go to every task, so that the corpus is not shuffled. For rarer rows the texts are read again: only
-   positions that a bit filter of these rows lets through are shuffled and joined to them, all of them, in up to
-   ``PARTS`` parts of the texts. The filter only leaves out what would find no row.
+   logarithm is a sum over its grams and a gram that is missing adds nothing. Of each table the most frequent rows, one in
+   ``SENT_SHARE`` and ``broadcast_rows`` at most, go to every task, so that most of the corpus is not shuffled. For rarer
+   rows the texts are read again: only positions that a bit filter of these rows lets through are shuffled and joined to
+   them, all of them, in up to ``PARTS`` parts of the texts. The filter only leaves out what would find no row.
 4. Thresholds: for each language the ``quantile`` of the perplexities of all trusted documents not trained on, from
    a histogram of log perplexities in steps of 0.001; languages with fewer than ``min_docs`` such documents, and null,
    take that of all languages. A document is kept if its perplexity is at most its threshold.
@@ -40,10 +40,11 @@ TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x09-\x0D\x20]+"
 MAX_TRAIN_DOCS = 2000
 #: Counts of the orders 1 to 3 from which a gram has a share of its own; rarer ones are left to the lower order, all their count being discounted.
 CUTOFFS = (1, 2, 2)
-#: Rows of a table that are sent to every task at most: some 100 MB as a hashed relation.
-BROADCAST_ROWS = 1 << 20
+#: Rows of a table that are sent to every task at most (some 25 MB as a hashed relation, of which the driver holds two forms for each of
+#: three tables); a table of more than SENT_WHOLE rows sends one row in SENT_SHARE, the most frequent.
+BROADCAST_ROWS, SENT_WHOLE, SENT_SHARE = 1 << 18, 1 << 15, 8
 #: Training texts of more characters are counted in slices, as many as SLICES; rare rows beyond PART_ROWS are looked up by parts of the texts, as many as PARTS.
-SLICE_CHARS, SLICES, PART_ROWS, PARTS = 1 << 24, 4, 1 << 20, 16
+SLICE_CHARS, SLICES, PART_ROWS, PARTS = 1 << 24, 4, 3 << 19, 16
 #: Of 64 words each: 34 MB at most.
 MAX_BUCKETS = 1 << 16
 QUANTILE, MIN_DOCS, STEP = 0.995, 50, 1000
@@ -54,12 +55,21 @@ def _half(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 15), 16, 10).cast("long")
 
 
+def _hashes(text: str) -> Column:
+    """The hashes of a text's tokens."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+
+
 def positions(texts: DataFrame) -> DataFrame:
     """The columns but ``text``, and a, b, c: the hashes of each token's two predecessors and its own, null without any; last: no token follows."""
-    edge = F.xxhash64(F.lit(""))  # no token is empty
-    h = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     others = [c for c in texts.columns if c != "text"]
-    rows = texts.select(*others, h.alias("c"))
+    return _positions(texts.select(*others, _hashes("text").alias("c")))
+
+
+def _positions(rows: DataFrame) -> DataFrame:
+    """:func:`positions` of texts whose hashes are in an array c."""
+    edge = F.xxhash64(F.lit(""))  # no token is empty
+    others = [c for c in rows.columns if c != "c"]
     n = F.size("c")
     before = [F.slice(F.concat(F.array_repeat(edge, k), "c"), 1, n).alias(name) for k, name in ((2, "a"), (1, "b"))]
     zipped = rows.select(*others, n.alias("size"), F.arrays_zip(*before, F.col("c")).alias("t"))
@@ -71,12 +81,14 @@ def _grams(texts: DataFrame) -> list[DataFrame]:
     """Trigrams seen ``CUTOFFS[2]`` times or more, (a, b, c, n), and all bigrams with a null a: n contexts, raw times, of which ends at a text's end.
 
     Positions go to the task of their bigram, which so sees all its contexts; single trigrams are counted there and never written.
-    Larger texts are taken in slices of bigrams, one after the other, so that only a slice's positions are on disk at once.
+    Larger texts are taken in slices of bigrams, one after the other, so that only a slice's positions are on disk at once;
+    their tokens are hashed once, before.
     """
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = written(texts.select(_hashes("text").alias("c"), F.length("text").alias("chars")), "kn-hashes", drop_shuffles=True)
+    chars = texts.agg(F.sum("chars")).first()[0] or 0
     slices, found = min(SLICES, 1 + chars // SLICE_CHARS), []
     for i in range(slices):
-        rows = positions(texts.select("text")).where("c is not null")
+        rows = _positions(texts.select("c")).where("c is not null")
         rows = rows.where(F.pmod(F.xxhash64("c", "b"), F.lit(slices)) == i) if slices > 1 else rows
         seen = rows.repartition("b", "c").groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.count_if("last").alias("ends"))
         often = seen.where(F.col("n") >= CUTOFFS[2]).select("a", "b", "c", "n", F.col("n").alias("raw"), "ends")
@@ -105,7 +117,7 @@ def model(texts: DataFrame) -> tuple[list[DataFrame], float, float]:
     """Tables of order 1 to 3, (k, v, w, f), the logarithm of an unseen word's probability, and that of a text's first context's weights.
 
     v: the logarithm of a gram's probability over what the lower order gives it; w: of its weight as a context; null: none. So a
-    text's logarithm is a sum over its grams. f: how often a gram is seen. ``texts`` is read more than once.
+    text's logarithm is a sum over its grams. f: how often a gram is seen. ``texts`` is read once.
     """
     mark, edge = scratch_mark(), F.xxhash64(F.lit(""))
     counts = reduce(DataFrame.unionByName, _grams(texts))
@@ -153,8 +165,10 @@ def model(texts: DataFrame) -> tuple[list[DataFrame], float, float]:
 
 
 def _divided(found: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """The at most ``rows`` rows of a table that are seen most often, and the others, if any."""
-    if found.count() <= rows:
+    """The rows of a table that are seen most often, at most ``rows`` and a share of a larger table, and the others, if any."""
+    n = found.count()
+    rows = min(rows, max(SENT_WHOLE, n // SENT_SHARE))
+    if n <= rows:
         return found, None
     upto = found.groupBy("f").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("f"))))  # few numbers
     least = upto.where(F.col("upto") <= rows).agg(F.min("f")).first()[0]
@@ -162,36 +176,49 @@ def _divided(found: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _bits(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Rows (bucket, bits) of 64 words in which two bits a key are set, and the number of buckets: some 32 keys each, MAX_BUCKETS at most."""
-    buckets = min(MAX_BUCKETS, 1 << max(0, n // 32).bit_length())
-    words = keys.select(_bucket(buckets).alias("bucket"), F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _places()])).alias("x"))
-    words = words.groupBy("bucket", "x.word").agg(F.expr("bit_or(shiftleft(1L, x.bit))").alias("set"))
-    of = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("m"))
-    return written(of.select("bucket", F.expr("transform(sequence(0, 63), i -> coalesce(m[i], 0L)) bits")), "kn-bits", drop_shuffles=True), buckets
+    """Rows (bucket, bits) of 64 words in which two bits a key are set, and the number of buckets: 64 to 128 keys each, MAX_BUCKETS at most."""
+    buckets = min(MAX_BUCKETS, 1 << max(0, n // 128).bit_length())
+    empty = keys.sparkSession.range(buckets).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("bucket"))  # has all words, none with a bit
+    rows = keys.select("k", _bucket("k", buckets).alias("bucket")).unionByName(empty).repartition("bucket")
+    places = F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _places("k")])
+    none = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("word"), F.lit(None).cast("int").alias("bit")))
+    words = rows.select("bucket", F.explode(F.when(F.col("k").isNull(), none).otherwise(places)).alias("x"))
+    words = words.groupBy("bucket", "x.word").agg(F.expr("coalesce(bit_or(shiftleft(1L, x.bit)), 0L)").alias("set"))
+    of = words.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("word", "set"))).alias("m"))
+    return written(of.select("bucket", F.col("m.set").alias("bits")), "kn-bits", drop_shuffles=True), buckets
 
 
-def _bucket(buckets: int) -> Column:
-    return F.shiftrightunsigned("k", 24).bitwiseAND(F.lit(buckets - 1).cast("long"))
+def _bucket(k: str, buckets: int) -> Column:
+    return F.shiftrightunsigned(k, 24).bitwiseAND(F.lit(buckets - 1).cast("long"))
 
 
-def _places() -> list[tuple[Column, Column]]:
+def _places(k: str) -> list[tuple[Column, Column]]:
     """Word and bit of a key in its bucket, twice."""
-    six = lambda by: F.shiftrightunsigned("k", by).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    six = lambda by: F.shiftrightunsigned(k, by).bitwiseAND(F.lit(63).cast("long")).cast("int")
     return [(six(6), six(0)), (six(18), six(12))]
 
 
-def _rest(docs: DataFrame, rare: DataFrame, n: int, keys: list[Column]) -> DataFrame:
+def _asked(rows: DataFrame, bits: DataFrame, buckets: int, keys: dict[str, Column]) -> DataFrame:
+    """h, last, k: the keys of positions that the filter lets through."""
+    rows = rows.select("h", "last", *[x.alias(f"k_{k}") for k, x in keys.items()])
+    for k in keys:
+        places = [(F.get("bits", w), b) for w, b in _places(f"k_{k}")]
+        rows = rows.withColumn("at", _bucket(f"k_{k}", buckets)).join(F.broadcast(bits), F.col("at") == F.col("bucket"), "left")
+        isset = reduce(Column.__and__, [F.call_function("getbit", word, bit) == 1 for word, bit in places])
+        rows = rows.withColumn(f"k_{k}", F.when(isset, F.col(f"k_{k}"))).drop("at", "bucket", "bits")
+    some = rows.where(F.coalesce(*[f"k_{k}" for k in keys]).isNotNull())
+    return some.select("h", "last", F.explode(F.array(*[f"k_{k}" for k in keys])).alias("k")).where("k is not null")
+
+
+def _rest(docs: DataFrame, rare: DataFrame, n: int, keys: dict[str, Column]) -> DataFrame:
     """docs: h, text -> h, rest: the sum of the values of a text's grams (``keys``) in ``rare`` (n rows), over all rows of that text."""
     bits, buckets = _bits(rare.select("k"), n)
     parts, found = min(PARTS, 1 + n // PART_ROWS), []
     for i in range(parts):
         rows = positions(docs.where(F.pmod("h", F.lit(parts)) == i) if parts > 1 else docs).where("c is not null")
-        grams = rows.select("h", "last", F.explode(F.array(*keys)).alias("k"))
-        (w1, b1), (w2, b2) = _places()
-        keyed = grams.withColumns({"bucket": _bucket(buckets), "w1": w1, "b1": b1, "w2": w2, "b2": b2})
-        maybe = keyed.join(F.broadcast(bits), "bucket").where("shiftrightunsigned(get(bits, w1), b1) & shiftrightunsigned(get(bits, w2), b2) & 1L = 1L").select("h", "last", "k")
         value = F.coalesce("v", F.lit(0.0)) + F.when(F.col("last"), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
-        found.append(written(maybe.join(rare.select("k", "v", "w"), "k").groupBy("h").agg(F.sum(value).alias("rest")), "kn-rest", drop_shuffles=True))
+        sums = _asked(rows, bits, buckets, keys).join(rare.select("k", "v", "w").hint("shuffle_hash"), "k").groupBy("h").agg(F.sum(value).alias("rest"))
+        found.append(written(sums, "kn-rest", drop_shuffles=True))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -212,7 +239,7 @@ def log_perplexity(docs: DataFrame, fitted: tuple[list[DataFrame], float, float]
     sums = rows.groupBy("row", "doc_id", "lang", "tag", "h").agg(F.count("c").alias("n_tokens"), F.sum(value).alias("s"))
     rest = F.lit(0.0)
     if rare:
-        asked = [keys[k] for k in rare]  # only of orders that have rare rows
+        asked = {k: keys[k] for k in rare}  # only of orders that have rare rows
         rare = written(reduce(DataFrame.unionByName, rare.values()), "kn-rare")
         sums = written(sums, "kn-sums", drop_shuffles=True)
         others = _rest(docs.select("h", "text"), rare, rare.count(), asked)
@@ -251,7 +278,7 @@ def classify(
     half = half if max_train_docs is None else half.orderBy("h", "doc_id").limit(max_train_docs)
     trained = small(written(half.select("doc_id"), "kn-half"))
     mark = scratch_mark()
-    fitted = model(written(rows.join(trained, "doc_id", "left_semi").select("text"), "kn-text", drop_shuffles=True))
+    fitted = model(rows.join(trained, "doc_id", "left_semi").select("text"))
     forget_since(mark, 3)
     scored = written(log_perplexity(spread(rows), fitted, broadcast_rows), "kn-scores", drop_shuffles=True)
     forget_since(mark)

@@ -134,3 +134,11 @@ def test_slices_parts_and_rare_rows_give_the_same(spark, monkeypatch, broadcast_
         s = ["", "", *tokens(t)]
         want = -sum(math.log(p(tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))) / (len(s) - 2) if len(s) > 2 else None
         assert got[i].n_tokens == len(s) - 2 and got[i].log_pp == (pytest.approx(want, rel=1e-9) if want is not None else None)
+
+
+def test_a_table_sends_a_share_of_its_rows(spark):
+    """All of 80,000 rows were sent before, up to 2^20 of each table, which the driver's memory did not hold on 0.51 GB."""
+    found = spark.range(80_000).selectExpr("id k", "1D v", "0D w", "1 + id % 1000 f")
+    often, others = Q._divided(found, Q.BROADCAST_ROWS)
+    assert others is not None and 0 < often.count() <= 40_000 and often.count() + others.count() == 80_000
+    assert often.agg({"f": "min"}).first()[0] > others.agg({"f": "max"}).first()[0]
