@@ -7,11 +7,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyloom.streaming.flows import BUCKETS
+
 DAY = 24 * 3600 * 1000
 OUT = "item_id long, status string, other_id long, at timestamp"
 _STATE = "side string, amount double, at long, due long, escalated boolean"
+_STATES = "name array<string>, item_id array<long>, side array<string>, amount array<double>, at array<long>, due array<long>, escalated array<boolean>"
 
 
 class _Waiting(StatefulProcessor):
@@ -26,6 +30,18 @@ class _Waiting(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _held(self) -> dict[str | None, dict[int, tuple]]:
+        """The open items of the state, by the name of their reference (here there is one, and it needs no name) and by id."""
+        return {None: {k[0]: tuple(v) for k, v in self.open.iterator()}}
+
+    def _keep(self, before: dict[str | None, dict[int, tuple]], held: dict[str | None, dict[int, tuple]]) -> None:
+        old, new = before.get(None, {}), held.get(None, {})
+        for item in old.keys() - new.keys():
+            self.open.removeKey((item,))
+        for item, v in new.items():
+            if old.get(item) != v:
+                self.open.updateValue((item,), v)
+
     def _wake(self, dues: list[int], due_before: list[int]) -> None:
         """One timer, at the earliest of ``dues``. Where an earlier one stands already, nothing falls due before it."""
         if dues and (not due_before or min(dues) < min(due_before)):
@@ -38,34 +54,33 @@ class _Waiting(StatefulProcessor):
         batch = pd.concat(list(rows))
         batch["rank"] = (batch["kind"] != "item").astype(int)  # what is said of an item comes behind it
         batch = batch.sort_values(["at", "rank", "item_id"], kind="stable")
-        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        before = self._held()
         held, bins = dict(before), {}
-        for item, v in held.items():
-            heapq.heappush(bins.setdefault(self._bin(v[1]), {}).setdefault(v[0], []), (v[2], item))
-        told: dict[int, tuple] = {}
-        for kind, item, side, amount, at, until in zip(batch["kind"], batch["item_id"], batch["side"], batch["amount"], batch["at"], batch["until"]):
-            item, ms = int(item), int(pd.Timestamp(at).value // 10**6)
+        told: dict[tuple[str | None, int], tuple] = {}
+        names = batch["name"].tolist() if "name" in batch else [None] * len(batch)
+        columns = *(batch[c].tolist() for c in ("kind", "item_id", "side", "amount")), _nanoseconds(batch["at"]), _nanoseconds(batch["until"])
+        for name, kind, item, side, amount, at, until in zip(names, *columns):
+            if name not in bins:  # its first row in this batch
+                held[name], bins[name] = dict(before.get(name, {})), {}
+                for i, v in held[name].items():
+                    heapq.heappush(bins[name].setdefault(self._bin(v[1]), {}).setdefault(v[0], []), (v[2], i))
+            own, ms = held[name], at // 10**6
             if kind == "snooze":
-                if item in held and not held[item][4]:
-                    old = held[item]
-                    held[item] = (*old[:3], max(old[3], int(pd.Timestamp(until).value // 10**6)), False)
+                if item in own and not own[item][4]:
+                    old = own[item]
+                    own[item] = (*old[:3], max(old[3], until // 10**6), False)
                 continue
-            other = self._nearest(bins, held, side, amount)
+            other = self._nearest(bins[name], own, side, amount)
             if other is not None:
-                del held[other]
-                told[item], told[other] = (item, "cleared", other, at), (other, "cleared", item, at)
+                del own[other]
+                told[name, item], told[name, other] = (item, "cleared", other, at), (other, "cleared", item, at)
             else:
-                held[item] = (side, float(amount), ms, ms + self.after, False)
-                heapq.heappush(bins.setdefault(self._bin(amount), {}).setdefault(side, []), (ms, item))
-                told[item] = (item, "open", None, at)
-        for item in before.keys() - held.keys():
-            self.open.removeKey((item,))
-        for item, v in held.items():
-            if before.get(item) != v:
-                self.open.updateValue((item,), v)
-        waits = lambda items: [v[3] for v in items.values() if not v[4]]
-        self._wake(waits(held), waits(before))
-        yield pd.DataFrame(list(told.values()), columns=["item_id", "status", "other_id", "at"]).astype({"other_id": "Int64"})
+                own[item] = (side, float(amount), ms, ms + self.after, False)
+                heapq.heappush(bins[name].setdefault(self._bin(amount), {}).setdefault(side, []), (ms, item))
+                told[name, item] = (item, "open", None, at)
+        self._keep(before, held)
+        self._wake(_waits(held), _waits(before))
+        yield _told(list(told.values()))
 
     def _nearest(self, bins: dict, held: dict, side: str, amount: float) -> int | None:
         """The earliest open item of the other side within the tolerance; what has left the open items leaves the bins here."""
@@ -85,21 +100,60 @@ class _Waiting(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, told = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), []
-        for (item,), (side, amount, at, due, escalated) in list(self.open.iterator()):
-            if due <= now and not escalated:
-                self.open.updateValue((item,), (side, amount, at, due, True))
-                told.append((item, "escalated", None, pd.Timestamp(due, unit="ms")))
-        self._wake([v[3] for (_,), v in self.open.iterator() if not v[4]], [])
-        yield pd.DataFrame(told, columns=["item_id", "status", "other_id", "at"]).astype({"other_id": "Int64"})
+        before = self._held()
+        held = {name: dict(items) for name, items in before.items()}
+        for items in held.values():
+            for item, (side, amount, at, due, escalated) in items.items():
+                if due <= now and not escalated:
+                    items[item] = (side, amount, at, due, True)
+                    told.append((item, "escalated", None, due * 10**6))
+        self._keep(before, held)
+        self._wake(_waits(held), [])
+        yield _told(told)
+
+
+class _WaitingGroup(_Waiting):
+    """The same for a group of accounts and references, told apart by ``name``: one value of the state and one timer serve them all."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", _STATES)
+
+    def _held(self) -> dict[str | None, dict[int, tuple]]:
+        held: dict[str | None, dict[int, tuple]] = {}
+        for name, item, *v in zip(*(self.open.get() or ())):
+            held.setdefault(name, {})[item] = tuple(v)
+        return held
+
+    def _keep(self, before: dict[str | None, dict[int, tuple]], held: dict[str | None, dict[int, tuple]]) -> None:
+        rows = [(name, item, *v) for name, items in held.items() for item, v in items.items()]
+        if rows:
+            self.open.update(tuple(map(list, zip(*rows))))
+        else:
+            self.open.clear()
+
+
+def _nanoseconds(times: pd.Series) -> list[int]:
+    return pd.to_datetime(times).astype("datetime64[ns]").astype("int64").tolist()
+
+
+def _waits(held: dict[str | None, dict[int, tuple]]) -> list[int]:
+    return [v[3] for items in held.values() for v in items.values() if not v[4]]
+
+
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["item_id", "status", "other_id", "at"])
+    return out.assign(other_id=out["other_id"].astype("Int64"), at=pd.to_datetime(out["at"].astype("int64")))
 
 
-def late_counterparts(stream: DataFrame, *, tolerance: float = 0.01, escalate_days: int = 7, late: str = "1 day") -> DataFrame:
+def late_counterparts(stream: DataFrame, *, tolerance: float = 0.01, escalate_days: int = 7, late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """stream: account_id, ref, kind, item_id, side, amount, at, until. Each item as it changes: open, cleared (by which) or escalated.
 
     Rows of kind "item" are items of one side ("statement" or "ledger"); one is cleared by the earliest open item of the other side of
     its account and reference whose amount is within ``tolerance``, however often a reference comes. An item that is open
     ``escalate_days`` after its time is escalated once that time is safely past, and may still be cleared. A row of kind "snooze" puts that
-    off to ``until``. The state is a map of the open items of a reference: what is cleared leaves it.
+    off to ``until``. References are dealt by hash into ``buckets`` groups, whose references are taken through a batch together, as a
+    group costs some milliseconds whatever is in it. The state of a group is a list of its open items: what is cleared leaves it.
     """
-    rows = stream.withWatermark("at", late).groupBy("account_id", "ref")
-    return rows.transformWithStateInPandas(_Waiting(tolerance, escalate_days * DAY), OUT, "update", "eventTime")
+    name = F.to_json(F.struct("account_id", "ref"))
+    rows = stream.select(F.pmod(F.xxhash64("account_id", "ref"), F.lit(buckets)).alias("bucket"), name.alias("name"), "kind", "item_id", "side", "amount", "at", "until")
+    return rows.withWatermark("at", late).groupBy("bucket").transformWithStateInPandas(_WaitingGroup(tolerance, escalate_days * DAY), OUT, "update", "eventTime")
