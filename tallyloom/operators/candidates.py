@@ -201,19 +201,20 @@ def hot_sessions(l: DataFrame, r: DataFrame) -> DataFrame | None:
 
 
 def candidates(
-    left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | str | None = None, keyed: tuple[DataFrame, DataFrame] | None = None
+    left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows | None = None, tol: Tolerance | OfRows = DEFAULT, amounts: bool | str | None = None, keyed: tuple[DataFrame, DataFrame] | None = None, keys: bool = True
 ) -> DataFrame:
     """session_id, l_row, r_row, tier, auto_confirm, amount_diff, ref: every pair that some tier accepts, by its first one.
 
     Amounts are searched only if a tier can do without a reference (``amounts`` overrides that: "contained" searches them for
     tiers that all need a reference, which may then lie inside another without being a common key), converted ones if rows have a
     ``rate`` and an ``fx_bps`` above 0. Every pair is found once, so that nothing has to be made distinct, and rows travel with
-    their pairs: those columns that the tiers read, or all of them where rows carry the tiers. ``keyed``: :func:`sides`, if known.
+    their pairs: those columns that the tiers read, or all of them where rows carry the tiers. ``keyed``: :func:`sides`, if known. ``keys``: False if no row has a reference.
     """
     tiers = T.default_tiers() if tiers is None else tiers
     by_rows = isinstance(tiers, T.OfRows)
     l, r = keyed or sides(left, right, tiers, tol)
-    pairs = _by_key(l, r)
+    pairs = _by_key(l, r) if keys else None
+    add = lambda more: more if pairs is None else pairs.unionByName(more)
     if amounts is None:
         amounts = by_rows or not T.all_gated_by_ref(tiers)
     if amounts:
@@ -221,9 +222,9 @@ def candidates(
         days = None if by_rows else T.days_apart(tiers)
         referred = not by_rows and any(T.needs_reference(t) for t in T.active(tiers))
         if amounts == "contained":
-            pairs = pairs.unionByName(_by_amount_with_reference(near, r, tol))
+            pairs = add(_by_amount_with_reference(near, r, tol))
         else:
-            pairs = pairs.unionByName(_by_amount(near, r, tol, days))
+            pairs = add(_by_amount(near, r, tol, days))
             if days is not None and referred:  # a reference inside a text is looked for on any day
                 pairs = pairs.unionByName(_by_amount_with_reference(near, r, tol).where(~_close(days)))
         if "rate" in left.columns and is_asked(tol.at(F.col).fx_bps):

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.operators import blocks
 from tallyloom.operators import candidates as C
 from tallyloom.operators import tiers as T
@@ -97,6 +98,8 @@ def assigned(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | T.OfRows |
 
 
 def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows, free: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows) -> DataFrame:
+    if gated and free and not _refers(left, right, tol):
+        gated = None
     first = _by_reference(left, right, gated, tol, "contained" if free else False) if gated else None
     if not free:
         return first if first is not None else greedy(C.candidates(left, right, [], tol, amounts=False))
@@ -105,6 +108,14 @@ def _in_stages(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows
     return first.unionByName(blocks.resolved(unmatched(left, first, "l"), unmatched(right, first, "r"), free, tol))
 
 
+def _refers(left: DataFrame, right: DataFrame, tol: Tolerance | OfRows) -> bool:
+    """Whether some row has a reference of its own, without which no tier that needs one holds."""
+    least = tol.at(F.col).min_ref_len
+    own = F.length(text.normalize_ref(F.col("our_ref"))) >= least
+    theirs = [F.length(F.trim(text.text(F.col(c)))) >= least for c in ("trn_ref", "external_ref")]
+    return not left.where(own).isEmpty() or not right.where(theirs[0] | theirs[1]).isEmpty()
+
+
 def _by_reference(left: DataFrame, right: DataFrame, gated: list[T.Tier] | T.OfRows, tol: Tolerance | OfRows, amounts: str | bool) -> DataFrame:
     """What :func:`greedy` takes at tiers that need a reference.
 
