@@ -154,6 +154,21 @@ def top_competing(rivals: DataFrame, k: int = 6) -> DataFrame:
     return rivals.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def top_rivals(left: DataFrame, right: DataFrame, tiers: list[T.Tier] | None = None, tol: Tolerance = DEFAULT, k: int = 6) -> DataFrame:
+    """What :func:`top_competing` gives for all candidates of two sides and what :func:`greedy` takes of them.
+
+    Where no row has a reference and the other tiers read but amounts, dates and signs, it comes from blocks of equal rows and
+    no pairs are listed; else from the list of all pairs.
+    """
+    tiers = T.default_tiers() if tiers is None else tiers
+    stages = T.staged(tiers) if tol.amount_pct == 0 and tol.amount_abs >= 0 else None
+    if stages is not None and stages[1] and not _refers(left, right, tol):
+        return blocks.rivals(left, right, stages[1], tol, k)
+    pairs = written(C.candidates(left, right, tiers, tol), "rival-pairs")
+    found = top_competing(competing(pairs, greedy(pairs)), k)
+    return found.select("session_id", "winner_l", "winner_r", "place", "l_row", "r_row", "tier", "amount_diff")
+
+
 def confirmed(assignments: DataFrame, actor: str = "auto") -> DataFrame:
     """``status`` and ``decided_by`` from the tier's flag."""
     auto = F.col("auto_confirm")

@@ -9,7 +9,6 @@ from tallyloom.operators import candidates as C
 from tallyloom.operators import resolve as R
 from tallyloom.operators import tiers as T
 from tallyloom.operators import tolerance as tol
-from tallyloom.operators.store import written
 from tallyloom.plans import derived as D
 
 Q, O = {}, {}
@@ -131,9 +130,7 @@ def greedy_colliding(spark, d):
 
 @query()
 def competing_topk(spark, d):
-    pairs = written(C.candidates(*_colliding(spark, d)), "colliding-pairs")
-    found = R.top_competing(R.competing(pairs, R.greedy(pairs)))
-    return found.select("session_id", "winner_l", "winner_r", "place", "l_row", "r_row", "tier")
+    return R.top_rivals(*_colliding(spark, d)).select("session_id", "winner_l", "winner_r", "place", "l_row", "r_row", "tier")
 
 
 @query("WITH " + D.PAIRS + """ SELECT CAST(tier AS INTEGER) AS tier, count(*) AS pairs, count(DISTINCT l_row) AS l_rows,
